@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import bpe_matrix, token_store, url_rules
+from gleaner.llm import bpe_matrix, license_scan, token_store, url_rules
 from gleaner.llm.session import prepare
 
 
@@ -25,6 +25,12 @@ def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_round_trip(documents, tokenizer_path("byte_bpe_50k.json"), end_id=2)
 
 
+def op5_license_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signature rules over all documents."""
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return license_scan.scan_licenses(documents).drop("text")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matrix BPE ids of all documents, hashed, and decoded again."""
     from public_tokenizers import PATTERN
@@ -60,6 +66,7 @@ GROUP BY ALL
 
 QUERIES = {
     "op2_token_ids": op2_token_ids,
+    "op5_license_signatures": op5_license_signatures,
     "op6_byte_bpe": op6_byte_bpe,
     "op10_url_verdicts": op10_url_verdicts,
 }
