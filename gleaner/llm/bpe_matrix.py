@@ -217,11 +217,12 @@ def encode_texts(df: DataFrame, ranks_path: str, pattern: str, text: str = "text
     added += [("token_ids", "array<int>")] if ids else []
     kept = df.drop(*[n for n, _ in added])
     schema = ", ".join(f"`{n}` {t}" for n, t in [(f.name, f.dataType.simpleString()) for f in kept.schema] + added)
+    names, place = [*kept.columns, *[n for n, _ in added]], kept.columns.index(text)
 
     def run(batches):
         own = encoder(ranks_path, pattern)
         for batch in batches:
-            data, offsets = text_bytes(batch.column(kept.columns.index(text)))
+            data, offsets = text_bytes(batch.column(place))
             for a, b in slices(offsets):
                 flat, sizes = own.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 ends = np.concatenate([[0], np.cumsum(sizes)])
@@ -234,7 +235,7 @@ def encode_texts(df: DataFrame, ranks_path: str, pattern: str, text: str = "text
                 if ids:
                     new.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(np.int32))))
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, *new], [*kept.columns, *[n for n, _ in added]])
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], names)
 
     return kept.mapInArrow(run, schema)
 
