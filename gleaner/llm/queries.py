@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import bpe_matrix, license_scan, token_store, url_rules
+from gleaner.llm import bpe_matrix, license_scan, quality, token_store, toxicity, url_rules
+from gleaner.llm.labelled import held_out
 from gleaner.llm.session import prepare
 
 
@@ -25,6 +26,29 @@ def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_round_trip(documents, tokenizer_path("byte_bpe_50k.json"), end_id=2)
 
 
+def _classified(scored: DataFrame, modulus: int, remainder: int) -> DataFrame:
+    return scored.select(
+        "doc_id",
+        held_out("doc_id", modulus, remainder).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
+def op3_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NB-SVM quality scores of all documents, learned outside the held-out rows."""
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit_quality(documents, _table(spark, sf_dir, "labels"), ~held_out("doc_id", 5, 0))
+    return _classified(quality.score_texts(documents, model), 5, 0)
+
+
+def op7_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Convolutional toxicity scores of all documents, learned outside the held-out rows."""
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit_toxicity(documents, _table(spark, sf_dir, "labels"), ~held_out("doc_id", 4, 2))
+    return _classified(toxicity.score_toxicity(documents, model), 4, 2)
+
+
 def op5_license_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signature rules over all documents."""
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -66,6 +90,8 @@ GROUP BY ALL
 
 QUERIES = {
     "op2_token_ids": op2_token_ids,
+    "op3_quality_nbsvm": op3_quality_nbsvm,
+    "op7_toxicity_cnn": op7_toxicity_cnn,
     "op5_license_signatures": op5_license_signatures,
     "op6_byte_bpe": op6_byte_bpe,
     "op10_url_verdicts": op10_url_verdicts,

@@ -135,8 +135,12 @@ class LibraryEncoder:
         self.cache = PieceCache(self._pieces, self._whole)
 
     def _pieces(self, pieces: list[str]):
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+        ids, lens = [], []
+        for i in range(0, len(pieces), 5000):  # the library's results are much larger than the ids
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces[i : i + 5000], add_special_tokens=False)]
+            ids.append(np.fromiter(chain.from_iterable(found), np.uint32))
+            lens.append(np.fromiter(map(len, found), np.int64, len(found)))
+        return np.concatenate(ids), np.concatenate(lens)
 
     def _whole(self, text: str):
         return self.tokenizer.encode(text, add_special_tokens=False).ids
