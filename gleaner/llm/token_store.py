@@ -221,7 +221,8 @@ def read_store(spark, path: str, tokens: bool = False) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
                 ids = unpack(row["payload"])
                 sizes = np.array(row["sizes"], np.int64)
                 ends = np.concatenate([[0], np.cumsum(sizes)])

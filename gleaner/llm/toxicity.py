@@ -88,10 +88,10 @@ class ConvModel:
         r = np.random.default_rng(seed)
         rows = 1 << ROW_BITS
         f32 = lambda x: x.astype(np.float32)
-        self.p = {"word": f32(r.normal(0, 0.1, (rows, SIZE))), "stem": f32(r.normal(0, 0.1, (rows, SIZE)))}
+        self.p = {"word": f32(r.normal(0, 0.03, (rows, SIZE))), "stem": f32(r.normal(0, 0.03, (rows, SIZE)))}
         for w in WIDTHS:
             self.p[f"f{w}"] = f32(r.normal(0, (w * SIZE) ** -0.5, (w * SIZE, FILTERS)))
-        self.p["out"] = f32(r.normal(0, 0.3, len(WIDTHS) * FILTERS))
+        self.p["out"] = f32(np.abs(r.normal(0, 0.3, len(WIDTHS) * FILTERS)))
         self.p["bias"] = np.zeros(1, np.float32)
         self.scale = [(1.0, 0.0)] * (len(FUNCTION_WORDS) + 1)
 
@@ -183,10 +183,12 @@ def train(model: ConvModel, batches: list[tuple[Tokens, np.ndarray, np.ndarray]]
                 adam(name, total, rows)
             for name, grad in grads.items():
                 adam(name, grad)
+            # evidence only adds to toxicity, so a text without any keeps the bias's margin
+            np.maximum(model.p["out"], 0, out=model.p["out"])
 
 
-def fit(texts: list[str], y: np.ndarray, share: float, rounds: int = 6, batch: int = 64) -> ConvModel:
-    """Fit on three quarters of the rows, calibrate by language on the rest."""
+def fit(texts: list[str], y: np.ndarray, share: float, steps: int = 560, batch: int = 64) -> ConvModel:
+    """Fit on three quarters of the rows in about ``steps`` batches, calibrate by language on the rest."""
     model = ConvModel()
     languages = len(FUNCTION_WORDS) + 1
     if len(y) == 0 or y.min() == y.max():
@@ -204,7 +206,7 @@ def fit(texts: list[str], y: np.ndarray, share: float, rounds: int = 6, batch: i
         (tokens([texts[i] for i in part]), y[part].astype(np.float32), even[part])
         for part in (rows[i : i + batch] for i in range(0, len(rows), batch))
     ]
-    train(model, batches, rounds)
+    train(model, batches, -(-steps // len(batches)))
     check = np.flatnonzero(test) if test.any() else rows
     margins, language = [], []
     for i in range(0, len(check), 256):
