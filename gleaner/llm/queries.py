@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import bpe_matrix, license_scan, quality, token_store, toxicity, url_rules
+from gleaner.llm import bpe_matrix, exact_dedup, license_scan, quality, token_store, toxicity, url_rules
 from gleaner.llm.labelled import held_out
 from gleaner.llm.session import prepare
 
@@ -64,6 +64,23 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("text")
 
 
+def op8_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts among all documents."""
+    return exact_dedup.equal_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+_OP8_SQL = r"""
+WITH d AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
+  FROM documents
+), g AS (
+  SELECT *, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size
+  FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
+)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
+"""
+
+
 def op10_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's allow and block rules over all pages."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
@@ -94,9 +111,11 @@ QUERIES = {
     "op7_toxicity_cnn": op7_toxicity_cnn,
     "op5_license_signatures": op5_license_signatures,
     "op6_byte_bpe": op6_byte_bpe,
+    "op8_chunk_recipes": op8_chunk_recipes,
     "op10_url_verdicts": op10_url_verdicts,
 }
 
 ORACLE_SQL = {
+    "op8_chunk_recipes": _OP8_SQL,
     "op10_url_verdicts": _OP10_SQL,
 }
