@@ -150,7 +150,7 @@ class HashTable:
         if 2 * (self.n + len(keys)) > len(self.rows):
             old = self.rows >= 0
             have, rows = self.keys[old], self.rows[old]
-            self._make(int(4 * (self.n + len(keys))).bit_length())
+            self._make(int(2 * (self.n + len(keys))).bit_length())
             self._put(have, rows)
         self._put(keys, np.arange(self.n, self.n + len(keys), dtype=np.int32))
         self.n += len(keys)

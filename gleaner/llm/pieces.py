@@ -16,7 +16,7 @@ import numpy as np
 from gleaner.llm.kernels import HashTable, gather, prefix_hash, span_hash
 
 #: Pieces that one Python worker remembers.
-CAPACITY = 700_000
+CAPACITY = 450_000
 
 _GAP = np.zeros(256, bool)
 _GAP[[0x0A, 0x20]] = True
