@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import bpe_matrix, exact_dedup, license_scan, quality, token_store, toxicity, url_rules
+from gleaner.llm import bpe_matrix, exact_dedup, jaccard_join, license_scan, quality, token_store, toxicity, url_rules
 from gleaner.llm.labelled import held_out
 from gleaner.llm.session import prepare
 
@@ -81,6 +81,11 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
 
+def op9_divide_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components among all documents."""
+    return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's allow and block rules over all pages."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
@@ -112,6 +117,7 @@ QUERIES = {
     "op5_license_signatures": op5_license_signatures,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_chunk_recipes": op8_chunk_recipes,
+    "op9_divide_skip": op9_divide_skip,
     "op10_url_verdicts": op10_url_verdicts,
 }
 
