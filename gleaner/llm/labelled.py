@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that a sample may have in all.
-SAMPLE_BYTES = 48 << 20
+SAMPLE_BYTES = 24 << 20
 
 
 def held_out(key: str, modulus: int, remainder: int) -> Column:
@@ -44,8 +44,8 @@ def labelled_sample(
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
     running = Window.orderBy("_h", "doc_id", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     texts = texts.withColumn("_b", F.sum(F.octet_length("text")).over(running)).where(F.col("_b") <= max_bytes)
-    found = texts.select("text", "_y").collect()
-    return [r["text"] for r in found], np.array([r["_y"] for r in found], np.int64), (counts.get(1, 0) / total if total else 0.5)
+    found = texts.select("text", "_y").toPandas()
+    return found["text"].tolist(), found["_y"].to_numpy(np.int64), (counts.get(1, 0) / total if total else 0.5)
 
 
 def fit_logistic(margin: np.ndarray, y: np.ndarray, weight: np.ndarray, prior: tuple[float, float] = (2.0, 0.0), strength: float = 1e-2) -> tuple[float, float]:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from gleaner.llm.kernels import prefix_hash, slices, span_hash, text_bytes, words
 from gleaner.llm.labelled import fit_logistic, labelled_sample
 
-POSITIVES, NEGATIVES = 4000, 4000
+POSITIVES, NEGATIVES = 3000, 3000
 GRAM_BITS = 16
 _GRAM1, _GRAM2 = 0, 256
 _GRAM3 = _GRAM2 + 65536
@@ -45,7 +45,7 @@ def features(data: np.ndarray, repeat: float) -> np.ndarray:
             seen[_GRAM3 + (third >> np.uint32(32 - GRAM_BITS))] = True
     seen[_REPEAT + int(repeat * 15)] = True
     seen[_LENGTH + min(63, int(4 * np.log2(len(data) + 1)))] = True
-    return np.flatnonzero(seen)
+    return np.flatnonzero(seen).astype(np.int32)
 
 
 def repeats(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -80,16 +80,17 @@ def dual_coordinate_descent(rows, ratio, y, C: float = 1.0, rounds: int = 12, se
     """(weights, bias) of the hinge-loss model over scaled indicators of unit rows."""
     w, bias = np.zeros(N_FEATURES), 0.0
     sign = 2.0 * y - 1.0
-    scaled = [ratio[row] / np.sqrt((ratio[row] ** 2).sum() + 1e-9) for row in rows]
+    norm = [1 / np.sqrt((ratio[row] ** 2).sum() + 1e-9) for row in rows]
     alpha, order = np.zeros(len(rows)), np.random.default_rng(seed)
     for _ in range(rounds):
         moved = 0.0
         for i in order.permutation(len(rows)):
-            gradient = sign[i] * (w[rows[i]] @ scaled[i] + bias) - 1
+            scaled = ratio[rows[i]] * norm[i]
+            gradient = sign[i] * (w[rows[i]] @ scaled + bias) - 1
             new = min(max(alpha[i] - gradient / 2.0, 0.0), C)  # unit row and bias: Q = 2
             step = (new - alpha[i]) * sign[i]
             if step:
-                w[rows[i]] += step * scaled[i]
+                w[rows[i]] += step * scaled
                 bias += step
                 alpha[i] = new
                 moved = max(moved, abs(step))
