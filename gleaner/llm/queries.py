@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import bpe_matrix, exact_dedup, jaccard_join, license_scan, quality, token_store, toxicity, url_rules
+from gleaner.llm import bpe_matrix, decontaminate, exact_dedup, html_extract, jaccard_join, license_scan, quality, token_store, toxicity, url_rules
 from gleaner.llm.labelled import held_out
 from gleaner.llm.session import prepare
 
@@ -20,12 +20,23 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return html_extract.extract_pages(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Simple-8b files of all documents' ids, read back."""
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_store.store_round_trip(documents, tokenizer_path("byte_bpe_50k.json"), end_id=2)
 
 
+def op4_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with passages of benchmark items: the best overlap of each pair."""
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.contaminated_pairs(documents, _table(spark, sf_dir, "benchmark"))
+
+
 def _classified(scored: DataFrame, modulus: int, remainder: int) -> DataFrame:
     return scored.select(
         "doc_id",
@@ -111,8 +122,10 @@ GROUP BY ALL
 """
 
 QUERIES = {
+    "op1_host_suffix_array": op1_host_suffix_array,
     "op2_token_ids": op2_token_ids,
     "op3_quality_nbsvm": op3_quality_nbsvm,
+    "op4_spaced_seeds": op4_spaced_seeds,
     "op7_toxicity_cnn": op7_toxicity_cnn,
     "op5_license_signatures": op5_license_signatures,
     "op6_byte_bpe": op6_byte_bpe,
