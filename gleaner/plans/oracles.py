@@ -1,0 +1,304 @@
+"""DuckDB SQL with the results of the queries in gleaner.plans.queries."""
+
+from __future__ import annotations
+
+
+def squeeze(x: str) -> str:
+    return rf"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
+
+
+def norm(x: str) -> str:
+    return squeeze(f"lower({x})")
+
+
+#: Redaction rules without lookaround: (pattern, replacement) in order.
+_CREDENTIAL = r"""(?i)\b(password|passwd|pwd|token|api_?key|secret|auth)\b["']?\s*[:=]\s*(?:"[^"\n]{8,}"|'[^'\n]{8,}'|[^\s"'&\[\]]{8,})"""
+_WITH_DIGIT = "|".join([f"[A-Za-z+/]{{{i}}}[0-9][A-Za-z0-9+/]{{{19 - i},}}" for i in range(20)] + ["[A-Za-z+/]{20,}[0-9][A-Za-z0-9+/]*"])
+RULES = (
+    (r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z0-9 ]*PRIVATE KEY-----", "[redacted:private-key]"),
+    (r"\b[Bb]earer\s+[A-Za-z0-9._~+/-]+=*", "[redacted:bearer]"),
+    (r"\bsk-[A-Za-z0-9_-]{16,}", "[redacted:secret-key]"),
+    (r"\bA(?:KIA|SIA)[0-9A-Z]{16}\b", "[redacted:aws-key]"),
+    (r"\bgh[pousr]_[A-Za-z0-9]{36,}", "[redacted:github-token]"),
+    (r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "[redacted:jwt]"),
+    (_CREDENTIAL, r"\1=[redacted:credential]"),
+    (r"[0-9A-Fa-f]{20,}", "[redacted:token]"),
+    (f"(?:{_WITH_DIGIT})={{0,2}}", "[redacted:token]"),
+)
+
+
+def redact(x: str) -> str:
+    for pattern, replacement in RULES:
+        x = f"regexp_replace({x}, $r${pattern}$r$, $r${replacement}$r$, 'g')"
+    return x
+
+
+def redactions(x: str) -> str:
+    """A sum over the rules, each counted on the text that the earlier ones left."""
+    parts = []
+    for pattern, replacement in RULES:
+        parts.append(f"len(regexp_extract_all({x}, $r${pattern}$r$))")
+        x = f"regexp_replace({x}, $r${pattern}$r$, $r${replacement}$r$, 'g')"
+    return " + ".join(parts)
+
+
+def chunks(x: str) -> str:
+    """The list of sentence chunks of at most 600 characters."""
+    body = rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+    marked = rf"""regexp_replace({body}, $r$([.!?'"\)\]])(\s+)$r$, '\1' || chr(1) || '\2' || chr(2), 'g')"""
+    sentences = (
+        f"list_transform(string_split({marked}, chr(1)), lambda p: "
+        "{'gap': CASE WHEN contains(p, chr(2)) THEN split_part(p, chr(2), 1) ELSE '' END,"
+        " 's': CASE WHEN contains(p, chr(2)) THEN split_part(p, chr(2), 2) ELSE p END})"
+    )
+    cut = r"regexp_extract_all(q.s, $r$([\s\S]{1,600}$|[\s\S]{1,599}[ \n]|[\s\S]{600})\s*$r$, 1)"
+    pieces = (
+        f"flatten(list_transform({sentences}, lambda q: CASE WHEN length(q.s) <= 600 "
+        "THEN [{'done': []::VARCHAR[], 'open': q.s, 'gap': q.gap, 'apart': false}] "
+        f"ELSE list_transform({cut}, lambda y, i: {{'done': []::VARCHAR[], 'open': regexp_replace(y, '\\s+$', ''), "
+        "'gap': CASE WHEN i = 1 THEN q.gap ELSE '' END, 'apart': i > 1}) END))"
+    )
+    folded = (
+        f"list_reduce({pieces}, lambda a, b: CASE WHEN NOT b.apart AND length(a.open) + length(b.gap) + length(b.open) <= 600 "
+        "THEN {'done': a.done, 'open': a.open || b.gap || b.open, 'gap': '', 'apart': false} "
+        "ELSE {'done': list_append(a.done, a.open), 'open': b.open, 'gap': '', 'apart': false} END)"
+    )
+    return f"list_transform([{folded}], lambda z: CASE WHEN length({body}) = 0 THEN []::VARCHAR[] ELSE list_append(z.done, z.open) END)[1]"
+
+
+_KEEPS = r"length(text) >= 12 AND NOT regexp_matches(text, '(?i)^(?:that|this|it|they|the\s+same|those)\b')"
+
+
+def unit(x: str) -> str:
+    return f"(('0x' || substr(sha256({x}), 1, 8))::UBIGINT::DOUBLE / 4294967296.0)"
+
+
+def pick(options: tuple[str, ...], u: str) -> str:
+    return f"([{', '.join(repr(o) for o in options)}])[(floor({u} * {len(options)}) + 1)::INT]"
+
+
+CATEGORIES = ("preference", "tooling", "architecture", "pitfall", "convention", "none")
+VERDICTS = ("new_overrides", "old_stands", "unclear")
+DISPOSITIONS = ("keep", "stale", "wrong", "unsupported")
+
+STATEMENTS = """st AS (
+  SELECT 'p' || (conv_id % 4) AS project, conv_id::VARCHAR AS session_id, (conv_id << 20) + turn AS seq, role, text FROM conversations
+)"""
+
+EVENTS = f"""{STATEMENTS}, ev AS (
+  SELECT project, session_id, seq, role, text, sha256(coalesce(session_id, '') || chr(31) || {squeeze('text')}) AS id
+  FROM (SELECT * REPLACE ({redact('text')} AS text) FROM st)
+)"""
+
+_CUT = r"""CASE WHEN length(c) <= 800 THEN c ELSE regexp_replace(
+  CASE WHEN regexp_extract(substr(c, 1, 800), '(?s)^(.+)[ \n]', 1) = '' THEN substr(c, 1, 800)
+       ELSE regexp_extract(substr(c, 1, 800), '(?s)^(.+)[ \n]', 1) END, '\s+$', '') END"""
+
+CONTEXT = f"""{STATEMENTS}, sp AS (
+  SELECT *, '[' || role || '] ' || text AS turn_text FROM st WHERE role IN ('user', 'assistant')
+), cx AS (
+  SELECT project, session_id, seq, role, text, {redact("concat_ws(chr(10) || chr(10), lag(turn_text, 2) OVER w, lag(turn_text, 1) OVER w)")} AS c
+  FROM sp WINDOW w AS (PARTITION BY project, session_id ORDER BY seq)
+), con AS (
+  SELECT project, session_id, seq, role, {redact('text')} AS text, {_CUT} AS context FROM cx
+)"""
+
+CANDIDATES = f"""{CONTEXT}, cl AS (
+  SELECT project, session_id, seq, role, context, {chunks('text')} AS parts,
+         sha256(coalesce(session_id, '') || chr(31) || {squeeze('text')}) AS event_id FROM con
+), ca0 AS (
+  SELECT project, session_id, seq, role, context, event_id, unnest(range(len(parts)))::INT AS ordinal, unnest(parts) AS text FROM cl
+), ca AS (SELECT * FROM ca0 WHERE {_KEEPS})"""
+
+GROUPS = f"""{CANDIDATES}, gr AS (
+  SELECT project, {norm('text')} AS norm, role,
+         arg_min(text, seq * 4096 + ordinal) AS text, arg_min(event_id, seq * 4096 + ordinal) AS event_id,
+         arg_min(context, seq * 4096 + ordinal) AS context, min(seq) AS first_seq, count(*) AS occurrences
+  FROM ca GROUP BY 1, 2, 3
+)"""
+
+JUDGED = f"""{GROUPS}, ju AS (
+  SELECT *, {unit("text || 'd'")} AS durable, 3 * {unit("text || 's'")} AS significance,
+         {pick(CATEGORIES, unit("text || 'c'"))} AS category FROM gr
+), pa AS (
+  SELECT *, CASE WHEN durable < (CASE WHEN role = 'user' THEN 0.7 ELSE 0.8 END) THEN 'low_durable'
+                 WHEN significance < 1.0 THEN 'low_significance' END AS drop_reason,
+         durable >= 0.5 AND durable < (CASE WHEN role = 'user' THEN 0.7 ELSE 0.8 END) AS near_miss,
+         greatest(0.0, least(1.0, 2 * abs(durable - 0.5))) AS confidence FROM ju
+)"""
+
+FACTS = f"""{JUDGED}, fa AS (
+  SELECT project, first_seq AS fact_id, text AS claim, category, significance, confidence, event_id, first_seq, context, role, norm,
+         CASE WHEN {unit("text || 'k'")} < 0.7 THEN 'active' WHEN {unit("text || 'k'")} < 0.85 THEN 'ask' ELSE 'superseded' END AS status
+  FROM (SELECT * FROM pa WHERE drop_reason IS NULL QUALIFY row_number() OVER (PARTITION BY first_seq ORDER BY role, norm) = 1)
+)"""
+
+_TOKENS = "list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda w: length(w) >= 2)"
+
+
+def tokens(x: str) -> str:
+    return _TOKENS.format(x)
+
+
+ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+
+#: Claims are the benchmark items; queries are user turns.
+BM25 = f"""q AS (
+  SELECT (conv_id << 20) + turn AS query_id, text AS query FROM conversations WHERE role = 'user'
+), f AS (
+  SELECT item_id AS fact_id, text AS claim, item_id % 5 != 0 AS indexed,
+         CASE WHEN item_id % 7 = 0 THEN 'ask' ELSE 'active' END AS status FROM benchmark
+), ft AS (
+  SELECT fact_id, regexp_extract_all(translate(lower(claim), '{ACCENTED}', '{PLAIN}'), '[\\p{{L}}\\p{{N}}]+') AS terms FROM f {{where}}
+), po AS (
+  SELECT fact_id, term, count(*) AS tf FROM (SELECT fact_id, unnest(terms) AS term FROM ft) GROUP BY ALL
+), stt AS (SELECT count(*) AS n, avg(len(terms)) AS avgdl FROM ft
+), dd AS (SELECT term, count(*) AS df FROM po GROUP BY 1
+), aq AS (
+  SELECT query_id, term, count(*) AS qf FROM (SELECT query_id, unnest({tokens('query')}) AS term FROM q) GROUP BY ALL
+), sc AS (
+  SELECT query_id, po.fact_id, sum(qf * greatest_idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(ft.terms) / avgdl))) AS score
+  FROM (SELECT aq.*, po.fact_id AS fid, po.tf AS ptf, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6
+        ELSE ln((n - df + 0.5) / (df + 0.5)) END AS greatest_idf, avgdl
+        FROM aq JOIN po USING (term) JOIN dd USING (term) CROSS JOIN stt) z
+  JOIN po ON po.fact_id = z.fid AND po.term = z.term JOIN ft ON ft.fact_id = z.fid
+  GROUP BY 1, 2
+), tk AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, fact_id) AS rank FROM sc
+  QUALIFY rank <= 10
+)"""
+
+SIMILAR = BM25.replace("{where}", "WHERE indexed") + f""", js AS (
+  SELECT tk.query_id, tk.fact_id, query, claim,
+         len(list_distinct(list_intersect({tokens('query')}, {tokens('claim')})))::DOUBLE
+         / nullif(len(list_distinct(list_concat({tokens('query')}, {tokens('claim')}))), 0) AS jaccard
+  FROM tk JOIN f USING (fact_id) JOIN q USING (query_id) WHERE status = 'active'
+), si AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY jaccard DESC, fact_id) AS place FROM js QUALIFY place <= 5
+)"""
+
+PAIRS = SIMILAR + f""", pr0 AS (
+  SELECT query_id, fact_id, query_id || ':' || fact_id AS pair FROM si
+), pr1 AS (
+  SELECT *, {unit("pair || 'm'")} AS same_claim, {unit("pair || 'x'")} AS contradicts,
+         {pick(VERDICTS, unit("pair || 'v'"))} AS verdict, {unit("pair || 'f'")} AS verdict_confidence FROM pr0
+), pr AS (
+  SELECT *, CASE WHEN same_claim >= 0.8 THEN 'duplicate' WHEN contradicts >= 0.6 THEN
+    CASE WHEN verdict = 'new_overrides' AND verdict_confidence >= 0.8 THEN 'supersede' ELSE 'ask' END ELSE 'none' END AS action FROM pr1
+), bp AS (
+  SELECT query_id,
+         arg_max(fact_id, same_claim) FILTER (action = 'duplicate') AS duplicate_of,
+         arg_max(fact_id, verdict_confidence) FILTER (action = 'supersede') AS supersedes,
+         count(*) FILTER (action = 'ask') AS asks
+  FROM pr GROUP BY 1
+), be AS (
+  SELECT *, CASE WHEN duplicate_of IS NOT NULL THEN 'duplicate' WHEN supersedes IS NOT NULL THEN 'supersede'
+                 WHEN asks > 0 THEN 'ask' ELSE 'add' END AS action, coalesce(duplicate_of, supersedes) AS winner FROM bp
+)"""
+
+DOC_LINES = f"""dl AS (
+  SELECT doc_id, unnest(range(1, len(parts) + 1))::INT AS number, unnest(parts) AS text
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)
+), lf AS (
+  SELECT {norm('text')} AS n, min(doc_id * 100000 + number) AS fact_id FROM dl WHERE doc_id % 2 = 0 GROUP BY 1 HAVING n != ''
+), ln AS (SELECT doc_id, number, text, {norm('text')} AS n FROM dl WHERE doc_id % 2 = 1 AND {norm('text')} != ''
+), an AS (SELECT ln.doc_id, ln.number, lf.fact_id FROM ln JOIN lf USING (n)
+)"""
+
+VERDICT_LINES = f"""{DOC_LINES}, lj AS (
+  SELECT ln.*, fact_id, {unit("text || 'u'")} AS supported0, {unit("text || 'q'")} AS confidence0,
+         {pick(DISPOSITIONS, unit("text || 'p'"))} AS disposition0 FROM ln LEFT JOIN an USING (doc_id, number)
+), lv AS (
+  SELECT doc_id, number, fact_id AS anchor_fact_id,
+         CASE WHEN fact_id IS NOT NULL THEN 'keep' ELSE disposition0 END AS disposition,
+         fact_id IS NOT NULL OR confidence0 >= 0.8 AS decisive,
+         CASE WHEN fact_id IS NOT NULL THEN 'MATCHED' WHEN confidence0 < 0.8 THEN 'REVIEW' ELSE upper(disposition0) END AS keyword FROM lj
+)"""
+
+
+def markup(x: str) -> str:
+    for pattern, replacement in (
+        (r"<!--.*?-->", ""),
+        (r"\[([^\]]*)\]\([^)]*\)", r"\1"),
+        (r"\*{2,}(.+?)\*{2,}|__(.+?)__", r"\1\2"),
+        (r"\*(.+?)\*|_(.+?)_", r"\1\2"),
+        (r"``(.*?)``|`(.*?)`", r"\1\2"),
+        (r" {2,}", " "),
+        (r"^\s+|\s+$", ""),
+    ):
+        x = f"regexp_replace({x}, $r${pattern}$r$, $r${replacement}$r$, 'g')"
+    return x
+
+
+_LEVEL = "greatest(0, least(3, (CASE WHEN significance % 1 = 0.5 THEN 2 * round(significance / 2) ELSE round(significance) END)))::INT"
+
+SQL: dict[str, str] = {
+    "event_ids": f"WITH {EVENTS} SELECT session_id, seq, id FROM ev WHERE role IN ('user', 'assistant')",
+    "redact_documents": f"SELECT doc_id, sha256({redact('text')}) AS digest, {redact('text')} != text AS changed FROM documents",
+    "redact_pages": f"SELECT page_id, sha256({redact('html')}) AS digest, {redact('html')} != html AS changed FROM pages",
+    "redaction_counts": f"SELECT source, sum({redactions('text')})::BIGINT AS secrets, count(*) AS n FROM documents GROUP BY 1",
+    "event_dedupe": f"""WITH d AS (SELECT source, doc_id, sha256(source || chr(31) || {squeeze(redact('text'))}) AS id FROM documents)
+        SELECT id, min(doc_id) AS seq FROM d WHERE doc_id % 3 != 0 AND id NOT IN (SELECT id FROM d WHERE doc_id % 3 = 0) GROUP BY id""",
+    "chunk_conversations": f"""WITH c AS (SELECT conv_id, turn, {chunks('text')} AS parts FROM conversations)
+        SELECT conv_id, turn, unnest(range(len(parts)))::INT AS ordinal, unnest(parts) AS chunk FROM c""",
+    "chunk_documents": f"""WITH c AS (SELECT doc_id, {chunks('text')} AS parts FROM documents)
+        SELECT doc_id, len(parts)::INT AS n_chunks, sha256(array_to_string(parts, chr(30))) AS digest FROM c""",
+    "context_window": f"WITH {CONTEXT} SELECT session_id, seq, role, context FROM con",
+    "candidates": f"WITH {CANDIDATES} SELECT event_id, seq, ordinal, role, text, context FROM ca",
+    "candidate_groups": f"WITH {GROUPS} SELECT project, norm, role, text, event_id, context, first_seq, occurrences FROM gr",
+    "queue_selection": f"""WITH {CANDIDATES}, e AS (SELECT project, seq FROM st),
+        k AS (SELECT project, seq, {norm('text')} AS norm, role FROM ca),
+        fs AS (SELECT project, norm, role, min(seq) AS first_seq FROM k GROUP BY ALL),
+        cv AS (SELECT project, first_seq AS seq, count(*) AS covers FROM fs GROUP BY ALL),
+        fr AS (SELECT k.project, k.seq, count(*) AS fresh FROM k JOIN fs USING (project, norm, role) WHERE k.seq = fs.first_seq GROUP BY ALL),
+        r AS (SELECT e.project, e.seq, coalesce(sum(coalesce(covers, 0)) OVER (PARTITION BY e.project ORDER BY e.seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                     + coalesce(fresh, 0) > 50 AS over_cap FROM e LEFT JOIN cv USING (project, seq) LEFT JOIN fr USING (project, seq))
+        SELECT project, seq, NOT bool_or(over_cap) OVER (PARTITION BY project ORDER BY seq) AS selected FROM r""",
+    "session_closure": f"""WITH {EVENTS}, g AS (SELECT *, {unit('id')} < 0.8 AS is_graded FROM ev)
+        SELECT id, session_id, seq, is_graded FROM g WHERE NOT is_graded OR session_id IN (SELECT session_id FROM g WHERE NOT is_graded)""",
+    "phase_a_gate": f"WITH {JUDGED} SELECT project, norm, role, round(durable, 6) AS durable, round(significance, 6) AS significance, category, drop_reason, drop_reason IS NULL AS kept, near_miss, round(confidence, 6) AS confidence FROM pa",
+    "phase_a_counts": f"""WITH {JUDGED} SELECT count(*) FILTER (drop_reason IS NULL) AS kept, count(*) FILTER (drop_reason = 'low_durable') AS dropped_durable,
+        count(*) FILTER (drop_reason = 'low_significance') AS dropped_significance, count(*) FILTER (near_miss) AS near_misses FROM pa""",
+    "code_duplicates": f"""WITH d AS (SELECT doc_id, {norm('text')} AS n FROM documents), o AS (SELECT n, min(doc_id) AS fact_id FROM d WHERE doc_id % 2 = 0 AND n != '' GROUP BY 1)
+        SELECT d.doc_id, o.fact_id FROM d JOIN o USING (n) WHERE d.doc_id % 2 = 1""",
+    "anchor_lines": f"WITH {DOC_LINES} SELECT doc_id, number, fact_id FROM an",
+    "unanchored_lines": f"WITH {DOC_LINES} SELECT doc_id, number FROM ln ANTI JOIN an USING (doc_id, number)",
+    "claim_tokens": f"SELECT item_id, array_to_string({tokens('text')}, ' ') AS tokens FROM benchmark",
+    "bm25_topk": f"WITH {BM25.replace('{where}', '')} SELECT query_id, fact_id, rank, round(score, 6) AS score FROM tk",
+    "retrieve_similar": f"WITH {SIMILAR} SELECT query_id, fact_id, place, round(jaccard, 6) AS jaccard FROM si",
+    "pair_actions": f"WITH {PAIRS} SELECT query_id, fact_id, round(same_claim, 6) AS same_claim, round(contradicts, 6) AS contradicts, verdict, action FROM pr",
+    "best_pair": f"WITH {PAIRS} SELECT query_id, coalesce(duplicate_of, -1) AS duplicate_of, coalesce(supersedes, -1) AS supersedes, asks, action, coalesce(winner, -1) AS winner FROM be",
+    "conflict_edges": f"""WITH {PAIRS} SELECT DISTINCT pr.query_id, pr.fact_id AS related_id, 'contradicts' AS relation FROM pr JOIN be USING (query_id)
+        WHERE contradicts >= 0.6 AND (winner IS NULL OR winner != pr.fact_id)""",
+    "sessions_by_fact": f"""WITH {CANDIDATES}, g AS (SELECT {norm('text')} AS norm, event_id, session_id FROM ca)
+        SELECT norm, greatest(count(DISTINCT session_id), 1) AS sessions, count(DISTINCT event_id) AS support_count FROM g GROUP BY 1""",
+    "evidence_pool": f"""WITH {FACTS}, nf AS (SELECT 'fact' AS kind, fact_id AS place, claim AS text FROM fa WHERE status = 'active' ORDER BY fact_id DESC LIMIT 30),
+        ns AS (SELECT 'statement' AS kind, seq AS place, text FROM st ORDER BY seq DESC LIMIT 40) SELECT * FROM nf UNION ALL SELECT * FROM ns""",
+    "line_verdicts": f"WITH {VERDICT_LINES} SELECT doc_id, number, coalesce(anchor_fact_id, -1) AS anchor_fact_id, disposition, decisive, keyword FROM lv",
+    "disposition_counts": f"""WITH {VERDICT_LINES} SELECT k.keyword, count(lv.doc_id) AS n FROM (VALUES ('KEEP'), ('STALE'), ('WRONG'), ('UNSUPPORTED'), ('REVIEW'), ('MATCHED')) k(keyword)
+        LEFT JOIN lv ON lv.keyword = k.keyword GROUP BY 1""",
+    "confusion_matrix": f"""WITH p AS (SELECT doc_id, CASE WHEN {unit("text || 'd'")} >= 0.5 THEN 1 ELSE 0 END AS predicted FROM documents)
+        SELECT quality AS truth, predicted, count(*) AS n FROM labels JOIN p USING (doc_id) GROUP BY ALL""",
+    "judge_accuracy": f"""WITH p AS (SELECT doc_id, CASE WHEN {unit("text || 'd'")} >= 0.5 THEN 1 ELSE 0 END AS predicted FROM documents)
+        SELECT count(*) AS n, round(avg((quality = predicted)::DOUBLE), 6) AS accuracy FROM labels JOIN p USING (doc_id)""",
+    "memory_order": f"""WITH {FACTS} SELECT row_number() OVER (ORDER BY list_position({list(CATEGORIES)!r}, category), significance DESC, confidence DESC, fact_id) AS place,
+        fact_id, category, ([{', '.join(repr(x) for x in ('trivial', 'useful', 'important', 'critical'))}])[{_LEVEL} + 1] AS level FROM fa WHERE status = 'active' AND category != 'none'""",
+    "recall_topk": f"""WITH {FACTS} SELECT row_number() OVER (ORDER BY confidence DESC, fact_id) AS place, fact_id, CASE WHEN length(claim) <= 200 THEN claim
+        ELSE rtrim(substr(claim, 1, 199)) || '…' END AS claim FROM fa WHERE status = 'active' ORDER BY place LIMIT 12""",
+    "status_counts": f"""WITH {EVENTS} SELECT project, count(*) AS events, count(*) FILTER ({unit('id')} >= 0.8) AS pending FROM ev GROUP BY 1""",
+    "fact_status_counts": f"WITH {FACTS} SELECT project, status, count(*) AS n FROM fa GROUP BY ALL",
+    "last_run": "SELECT user_id, max(event_id) AS id, arg_max(event_type, event_id) AS kind, arg_max(value, event_id) AS value FROM events GROUP BY 1",
+    "markup_strip": f"WITH {DOC_LINES} SELECT doc_id, number, {markup('text')} AS text FROM dl WHERE text != {markup('text')}",
+    "stale_badge": """SELECT o_orderkey, floor((epoch(TIMESTAMP '1998-08-02 00:00:00') - epoch(o_orderdate)) / 86400)::BIGINT AS days,
+        floor((epoch(TIMESTAMP '1998-08-02 00:00:00') - epoch(o_orderdate)) / 86400) > 30 AS stale, strftime(o_orderdate, '%b %-d') AS vintage FROM orders""",
+    "resolve_and_expire": f"""WITH {FACTS}, s AS (SELECT *, (fact_id % 3) AS seen FROM fa)
+        SELECT fact_id, CASE WHEN status = 'ask' AND seen + 1 >= 3 THEN 'retired' ELSE status END AS status,
+               CASE WHEN status = 'ask' THEN seen + 1 ELSE seen END AS ask_seen_count, status = 'ask' AND seen + 1 >= 3 AS expired FROM s""",
+    "redaction_corpus": f"""WITH r(n, text) AS (VALUES
+        (1, 'key sk-' || repeat('Ab1_', 6) || ' end'), (2, 'AKIA' || repeat('A1', 8)), (3, 'ghp_' || repeat('a1B2', 9)),
+        (4, 'eyJ' || repeat('a', 9) || '.' || repeat('b', 9) || '.' || repeat('c', 9)), (5, 'Authorization: Bearer abc.def-ghi=='),
+        (6, 'password = "long enough value"'), (7, 'token: abcdefgh1'), (8, repeat('0af', 8)), (9, 'x ' || repeat('Zz9', 8) || '== y'),
+        (10, '-----BEGIN RSA PRIVATE KEY-----' || chr(10) || 'abc' || chr(10) || '-----END RSA PRIVATE KEY-----'), (11, 'short sk-abc and plain prose'),
+        (12, repeat('word', 8)), (13, '')) SELECT n, {redact('text')} AS text, ({redactions('text')})::INT AS hits FROM r""",
+    "payload_json": "SELECT event_id, json_type(props::JSON) = 'OBJECT' AS is_object, nullif(props::JSON ->> '$.page', '') AS page FROM events",
+}
