@@ -121,7 +121,9 @@ def fit(texts: list[str], y: np.ndarray, share: float) -> QualityModel:
         p = 0.5 if len(y) == 0 else min(max(share, 0.01), 0.99)
         return QualityModel(zero, zero, 0.0, 0.0, float(np.log(p / (1 - p))))
     data, offsets = text_bytes(pa.array(texts, pa.large_string()))
-    rows = feature_rows(data, offsets)
+    rows = []
+    for a, b in slices(offsets):
+        rows += feature_rows(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
     test = np.arange(len(y)) % 4 == 3
     if len(np.unique(y[~test])) < 2 or len(np.unique(y[test])) < 2:
         test = np.zeros(len(y), bool)
