@@ -14,7 +14,7 @@ indexed, and a long list only where a text has too few short ones.
 Steps, each a Spark job over partitioned data:
 
 1. ``marks``: doc_id, set size, class key (a hash of the set: copies collapse into
-   one class) and a 64-cell histogram of the set.
+   one class) and a histogram of the set with about a cell for each shingle.
 2. ``lists``: (shingle, class) rows of lists with two classes or more.  Short lists
    travel packed in arrays by hash bucket, and lists of one, by far the most, end in
    the reducer; long lists stay rows, so none is ever gathered into one task.
@@ -50,8 +50,8 @@ WORDS, PERCENT = 5, 80
 LONG = 16
 #: Classes searched against one query at a time.
 CELL = 128
-#: Histogram cells.
-CELLS = 64
+#: Histogram cells, least and most: as many as shingles, rounded up to a power of two.
+LEAST_CELLS, MOST_CELLS = 64, 4096
 #: Bytes of packed postings for one reducer.
 BUCKET_BYTES = 16 << 20
 
@@ -90,9 +90,30 @@ def class_key(shingles: np.ndarray) -> int:
     return int(mix(total).view(np.int64)[0])
 
 
-def histogram(shingles: np.ndarray) -> bytes:
-    counts = np.bincount((shingles >> np.uint64(20)).astype(np.int64) & (CELLS - 1), minlength=CELLS)
-    return np.minimum(counts, 65535).astype("<u2").tobytes()
+def histogram(shingles: np.ndarray) -> bytes | None:
+    """Counts of the set by hash cell, a byte each; None if one doesn't fit a byte."""
+    cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << (len(shingles) - 1).bit_length()))
+    counts = np.bincount((shingles >> np.uint64(20)).astype(np.int64) & (cells - 1), minlength=cells)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+
+
+def histogram_distance(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """Sums of differences of pairs of histograms, the finer folded to the coarser.
+
+    Never more than the symmetric difference of the two sets.
+    """
+    sizes = np.array([[len(x) for x in left], [len(x) for x in right]], np.int64)
+    out = np.zeros(len(left), np.int64)
+    for a, b in np.unique(sizes.T, axis=0).tolist():
+        rows = np.flatnonzero((sizes[0] == a) & (sizes[1] == b))
+        low = min(a, b)
+        for part in np.array_split(rows, 1 + (len(rows) * max(a, b) >> 22)):
+            x, y = (
+                np.frombuffer(b"".join([side[i] for i in part]), np.uint8).reshape(len(part), n // low, low).sum(axis=1, dtype=np.int32)
+                for side, n in ((left, a), (right, b))
+            )
+            out[part] = np.abs(x - y).sum(axis=1)
+    return out
 
 
 def least_overlap(n, percent: int = PERCENT):
@@ -264,10 +285,12 @@ def _near(percent: int):
     @F.pandas_udf("boolean")
     def near(n: pd.Series, m: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
         a, b = n.to_numpy(np.int64), m.to_numpy(np.int64)
-        cells = [np.frombuffer(b"".join(c), "<u2").reshape(-1, CELLS).astype(np.int32) for c in (x, y)]
-        apart = np.abs(cells[0] - cells[1]).sum(axis=1)
-        # |A xor B| <= (n + m) (100 - percent) / (100 + percent)
-        ok = (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & ((100 + percent) * apart <= (a + b) * (100 - percent))
+        ok = 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+        known = np.flatnonzero(ok & x.notna().to_numpy() & y.notna().to_numpy())
+        if len(known):
+            apart = histogram_distance([x.iat[i] for i in known], [y.iat[i] for i in known])
+            # |A xor B| <= (n + m) (100 - percent) / (100 + percent)
+            ok[known] = (100 + percent) * apart <= (a + b)[known] * (100 - percent)
         return pd.Series(ok)
 
     return near
