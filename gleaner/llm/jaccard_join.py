@@ -21,7 +21,8 @@ Steps, each a Spark job over partitioned data:
 3. Round one pairs each list's smallest class with its other members.  A list
    whose classes are all connected by then needs nothing more, which keeps a large
    group of near copies linear.  Round two takes from the other lists every pair of
-   similar size that is still in different components: no link is lost.
+   similar size that is still in different components, from short ones by a join, from
+   long ones by blocks of histograms: no link is lost.
 4. Pairs are tested cheaply first (sizes, histogram distance: both are safe bounds),
    then exactly: cells of one query class and at most ``CELL`` others are searched by
    DivideSkip, merging short lists and binary-probing long ones.
@@ -46,8 +47,12 @@ from gleaner.llm.session import prepare, shuffle_partitions, written
 from gleaner.llm.sketch import hash_bitmap, in_bitmap
 
 WORDS, PERCENT = 5, 80
-#: Recurrences within single Arrow batches, summed over all, that make a list long.
-LONG = 16
+#: Recurrences within parts of about PART shingles, summed over all, that make a list long.
+LONG, PART = 3, 2_000_000
+#: Lists of up to so many classes are compared pair by pair, longer ones by blocks.
+PAIRED = 32
+#: Classes in a block.
+BLOCK = 2048
 #: Classes searched against one query at a time.
 CELL = 128
 #: Histogram cells, least and most: as many as shingles, rounded up to a power of two.
@@ -143,15 +148,23 @@ def _distinct_sets(column: pa.Array, size: int) -> dict[int, np.ndarray]:
 def long_lists(docs: DataFrame, size: int, least: int):
     """Bitmap of shingles with long lists."""
 
+    def recurring(sets):
+        value, count = np.unique(np.concatenate(list(sets.values())), return_counts=True)
+        again = count > 1
+        columns = [pa.array(value[again].view(np.int64)), pa.array(count[again].astype(np.int64))]
+        return pa.RecordBatch.from_arrays(columns, ["token", "n"])
+
     def run(batches):
+        sets, held = {}, 0
         for batch in batches:
-            sets = list(_distinct_sets(batch.column(1), size).values())
-            if not sets:
-                continue
-            value, count = np.unique(np.concatenate(sets), return_counts=True)
-            again = count > 1
-            columns = [pa.array(value[again].view(np.int64)), pa.array(count[again].astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, ["token", "n"])
+            for key, s in _distinct_sets(batch.column(1), size).items():
+                held += len(s) * (key not in sets)
+                sets[key] = s
+                if held >= PART:
+                    yield recurring(sets)
+                    sets, held = {}, 0
+        if sets:
+            yield recurring(sets)
 
     found = docs.mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
     return hash_bitmap(found.where(F.col("n") >= least), F.col("token"))
@@ -298,7 +311,13 @@ def _near(percent: int):
 
 def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that link."""
-    side = lambda k: classes.select(F.col("key").alias(k), F.col("n").alias(f"n_{k}"), F.col("cells").alias(f"c_{k}"))
+    sized = lambda k: classes.select(F.col("key").alias(k), F.col("n").alias(f"n_{k}"))
+    alike = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    pairs = written(pairs.join(sized("a"), "a").join(sized("b"), "b").where(alike))
+    # histograms of the classes that are left
+    some = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    cells = classes.select("key", "cells").join(some, "key", "left_semi")
+    side = lambda k: cells.select(F.col("key").alias(k), F.col("cells").alias(f"c_{k}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b").where(_near(percent)("n_a", "n_b", "c_a", "c_b"))
     near = written(near.select("a", "b"))
     rows = near.count()
@@ -356,6 +375,90 @@ def components(edges: DataFrame) -> DataFrame:
         labels = step.select("key", F.col("new").alias("label"))
 
 
+def _open_pairs(lists: DataFrame, classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a list and of similar sizes whose components still differ."""
+    # sizes of a linked pair are in the same band or the next
+    band = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent))).cast("int")
+    label = F.coalesce("label", "key")
+    known = classes.select("key", "n").join(labels, "key", "left").select("key", "n", label.alias("label"), band.alias("band"))
+    placed = lists.join(known, "key")
+    mixed = placed.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("length"))
+    members = written(placed.join(mixed.where("low < high"), "token").drop("low", "high"))
+
+    short = members.where(F.col("length") <= PAIRED).drop("length")
+    left = short.select("token", F.explode(F.array("band", F.col("band") + 1)).alias("band"), F.col("key").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"))
+    right = short.select("token", "band", F.col("key").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly"))
+    alike = (F.col("lx") != F.col("ly")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
+    pairs = left.join(right, ["token", "band"]).where(alike).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    long_ = members.where(F.col("length") > PAIRED).select("token", "key")
+    if not long_.limit(1).count():
+        return pairs
+    return pairs.unionByName(_block_pairs(long_, known, classes, percent))
+
+
+def _block_pairs(long_: DataFrame, known: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of long lists whose histograms allow a link, found block by block.
+
+    Classes that long lists connect form a family, cut by size band and hash into
+    blocks.  A task has two blocks of histograms and yields only the pairs that pass,
+    so no list is spelled out in pairs.
+    """
+    heads = long_.groupBy("token").agg(F.min("key").alias("a"))
+    edges = long_.join(heads, "token").where("key != a").select("a", F.col("key").alias("b"))
+    family = components(edges).withColumnRenamed("label", "family")
+    rows = family.join(known, "key")
+    sizes = rows.groupBy("family", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    at = lambda shift, name: sizes.select("family", (F.col("band") + shift).alias("band"), F.col("blocks").alias(name))
+    rows = rows.join(at(0, "own"), ["family", "band"]).join(at(-1, "above"), ["family", "band"], "left").join(at(1, "below"), ["family", "band"], "left")
+    rows = rows.withColumn("i", F.pmod(F.xxhash64("key"), F.col("own")).cast("int")).fillna(0, ["above", "below"])
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    cell = lambda band, i, other, j, left: F.struct(
+        band.alias("p"), i.cast("int").alias("i"), other.alias("q"), j.cast("int").alias("j"), F.lit(left).alias("left")
+    )
+    b, i = F.col("band"), F.col("i")
+    places = F.concat(
+        F.transform(F.sequence(i, F.col("own") - 1), lambda j: cell(b, i, b, j, True)),
+        F.transform(upto(i + 1), lambda j: cell(b, j, b, i, False)),
+        F.transform(upto(F.col("above")), lambda j: cell(b, i, b + 1, j, True)),
+        F.transform(upto(F.col("below")), lambda j: cell(b - 1, j, b, i, False)),
+    )
+    placed = rows.select("family", "key", "n", "label", F.explode(places).alias("c")).select("family", "c.*", "key", "n", "label")
+    filled = placed.join(classes.select("key", "cells"), "key")
+
+    def near(part: pd.DataFrame) -> pd.DataFrame:
+        left, right = part[part["left"]], part[~part["left"]]
+        found = []
+        n, label, keys = (right[c].to_numpy(np.int64) for c in ("n", "label", "key"))
+        widths = np.array([len(c) if c is not None else 0 for c in right["cells"]], np.int64)
+        folded: dict = {}
+
+        def matrix(width: int, to: int):
+            if (width, to) not in folded:
+                own = np.frombuffer(b"".join(right["cells"].iloc[np.flatnonzero(widths == width)]), np.uint8)
+                folded[width, to] = own.reshape(-1, width // to, to).sum(axis=1, dtype=np.int16)
+            return folded[width, to]
+
+        for a in left.itertuples():
+            ok = (label != a.label) & (100 * np.minimum(n, a.n) >= percent * np.maximum(n, a.n))
+            if not ok.any():
+                continue
+            if a.cells is not None:
+                mine = np.frombuffer(a.cells, np.uint8)
+                for width in np.unique(widths[ok]).tolist():
+                    if width:
+                        rows_ = np.flatnonzero(widths == width)
+                        low = min(width, len(mine))
+                        use = np.flatnonzero(ok[rows_])
+                        other = matrix(width, low)[use]
+                        own = mine.reshape(-1, low).sum(axis=0, dtype=np.int16)
+                        apart = np.abs(other - own).sum(axis=1, dtype=np.int64)
+                        ok[rows_[use]] = (100 + percent) * apart <= (n[rows_[use]] + a.n) * (100 - percent)
+            found += [(min(a.key, k), max(a.key, k)) for k in keys[ok].tolist() if k != a.key]
+        return pd.DataFrame({"a": [x for x, _ in found], "b": [y for _, y in found]}, dtype=np.int64)
+
+    return filled.groupBy("family", "p", "i", "q", "j").applyInPandas(near, "a bigint, b bigint")
+
+
 def near_duplicates(
     df: DataFrame, text: str = "text", key: str = "doc_id", size: int = WORDS, percent: int = PERCENT
 ) -> DataFrame:
@@ -375,18 +478,7 @@ def near_duplicates(
     first = _links(stars, classes, docs, size, percent)
     labels = components(first)
 
-    # lists that still have several components
-    known = classes.select("key", "n").join(labels, "key", "left").select("key", "n", F.coalesce("label", "key").alias("label"))
-    placed = lists.join(known, "key")
-    mixed = placed.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
-    # sizes of a linked pair are in the same band or the next
-    band = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent))).cast("int")
-    members = placed.join(mixed, "token").withColumn("band", band)
-    left = members.select("token", F.explode(F.array("band", F.col("band") + 1)).alias("band"), F.col("key").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"))
-    right = members.select("token", "band", F.col("key").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly"))
-    alike = (F.col("lx") != F.col("ly")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
-    pairs = left.join(right, ["token", "band"]).where(alike)
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    pairs = _open_pairs(lists, classes, labels, percent).distinct().join(stars, ["a", "b"], "left_anti")
     second = _links(pairs, classes, docs, size, percent)
     if second.limit(1).count():
         labels = components(first.select("a", "b").union(second.select("a", "b")))

@@ -117,6 +117,8 @@ def test_jaccard_join_with_long_lists(spark, monkeypatch):
     """Every recurring shingle is long: short lists alone don't reach a prefix."""
     monkeypatch.setattr(jaccard_join, "LONG", 2)
     monkeypatch.setattr(jaccard_join, "CELL", 4)
+    monkeypatch.setattr(jaccard_join, "PAIRED", 3)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
     rows = near_copies(seed=8, families=6, members=30)
     frame = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(frame).collect()}
