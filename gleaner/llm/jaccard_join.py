@@ -48,7 +48,7 @@ from gleaner.llm.sketch import hash_bitmap, in_bitmap
 
 WORDS, PERCENT = 5, 80
 #: Recurrences within parts of about PART shingles, summed over all, that make a list long.
-LONG, PART = 3, 2_000_000
+LONG, PART = 3, 1_000_000
 #: Lists of up to so many classes are compared pair by pair, longer ones by blocks.
 PAIRED = 32
 #: Classes in a block.
@@ -214,7 +214,7 @@ def _postings(docs: DataFrame, size: int, percent: int, is_long, buckets: int) -
                     long_tokens.append(more)
                     long_keys.append(np.full(len(more), key, np.int64))
                     held += len(more)
-            if held > 500_000:
+            if held > 250_000:
                 yield out()
                 held = 0
         if held:

@@ -30,7 +30,7 @@ _inverse = np.ones(1, np.uint64)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _power, _inverse
     if len(_power) < n:
-        size = max(n, SLICE_BYTES + 1)
+        size = max(n, 2 * SLICE_BYTES)
         _power = np.cumprod(np.concatenate([[_U(1)], np.full(size - 1, _BASE, np.uint64)]))
         inverse = pow(_BASE, -1, 1 << 64)
         _inverse = np.cumprod(np.concatenate([[_U(1)], np.full(size - 1, inverse, np.uint64)]))
@@ -72,7 +72,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Bytes of text that the kernels work on at once; one longer text is one slice.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def slices(offsets: np.ndarray, limit: int = SLICE_BYTES):

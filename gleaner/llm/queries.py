@@ -103,6 +103,28 @@ def op10_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(pages, url_rules.CONTRACT_RULES).drop("url")
 
 
+_OP9_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))
+                                      WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS shingle FROM w
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+), e AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id != b.doc_id
+  JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 80 * (na.n + nb.n - count(*))
+), r AS (
+  SELECT x AS doc_id, y AS reached FROM e
+  UNION
+  SELECT r.doc_id, e.y FROM r JOIN e ON r.reached = e.x
+)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, least(d.doc_id, coalesce(min(r.reached), d.doc_id)) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN r USING (doc_id) GROUP BY d.doc_id
+"""
+
 _OP10_SQL = """
 WITH p AS (
   SELECT page_id, coalesce(regexp_extract(url, '(?s)://(.*)$', 1), '') AS rest FROM pages
@@ -136,5 +158,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op8_chunk_recipes": _OP8_SQL,
+    "op9_divide_skip": _OP9_SQL,
     "op10_url_verdicts": _OP10_SQL,
 }
