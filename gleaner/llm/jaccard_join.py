@@ -51,8 +51,8 @@ WORDS, PERCENT = 5, 80
 LONG, PART = 3, 1_000_000
 #: Lists of up to so many classes are compared pair by pair, longer ones by blocks.
 PAIRED = 32
-#: Classes in a block.
-BLOCK = 2048
+#: Classes in a block, and nearest classes of each that are tried before all.
+BLOCK, NEAREST = 2048, 8
 #: Classes searched against one query at a time.
 CELL = 128
 #: Histogram cells, least and most: as many as shingles, rounded up to a power of two.
@@ -375,34 +375,36 @@ def components(edges: DataFrame) -> DataFrame:
         labels = step.select("key", F.col("new").alias("label"))
 
 
-def _open_pairs(lists: DataFrame, classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of a list and of similar sizes whose components still differ."""
+def _open_lists(lists: DataFrame, classes: DataFrame, labels: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(classes with label and band, members of lists that have several components)."""
     # sizes of a linked pair are in the same band or the next
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent))).cast("int")
     label = F.coalesce("label", "key")
     known = classes.select("key", "n").join(labels, "key", "left").select("key", "n", label.alias("label"), band.alias("band"))
     placed = lists.join(known, "key")
     mixed = placed.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("length"))
-    members = written(placed.join(mixed.where("low < high"), "token").drop("low", "high"))
+    return known, written(placed.join(mixed.where("low < high"), "token").drop("low", "high"))
 
+
+def _short_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a short list, of similar sizes and different components."""
     short = members.where(F.col("length") <= PAIRED).drop("length")
     left = short.select("token", F.explode(F.array("band", F.col("band") + 1)).alias("band"), F.col("key").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"))
     right = short.select("token", "band", F.col("key").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly"))
     alike = (F.col("lx") != F.col("ly")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
-    pairs = left.join(right, ["token", "band"]).where(alike).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    long_ = members.where(F.col("length") > PAIRED).select("token", "key")
-    if not long_.limit(1).count():
-        return pairs
-    return pairs.unionByName(_block_pairs(long_, known, classes, percent))
+    pairs = left.join(right, ["token", "band"]).where(alike)
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def _block_pairs(long_: DataFrame, known: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _block_pairs(members: DataFrame, known: DataFrame, classes: DataFrame, percent: int, nearest: int = 0) -> DataFrame:
     """Pairs of long lists whose histograms allow a link, found block by block.
 
     Classes that long lists connect form a family, cut by size band and hash into
     blocks.  A task has two blocks of histograms and yields only the pairs that pass,
-    so no list is spelled out in pairs.
+    so no list is spelled out in pairs.  With ``nearest``, each class is paired with so
+    many of the block's closest ones only.
     """
+    long_ = members.where(F.col("length") > PAIRED).select("token", "key")
     heads = long_.groupBy("token").agg(F.min("key").alias("a"))
     edges = long_.join(heads, "token").where("key != a").select("a", F.col("key").alias("b"))
     family = components(edges).withColumnRenamed("label", "family")
@@ -431,6 +433,7 @@ def _block_pairs(long_: DataFrame, known: DataFrame, classes: DataFrame, percent
         n, label, keys = (right[c].to_numpy(np.int64) for c in ("n", "label", "key"))
         widths = np.array([len(c) if c is not None else 0 for c in right["cells"]], np.int64)
         folded: dict = {}
+        itself = part["p"].iat[0] == part["q"].iat[0] and part["i"].iat[0] == part["j"].iat[0]
 
         def matrix(width: int, to: int):
             if (width, to) not in folded:
@@ -440,8 +443,11 @@ def _block_pairs(long_: DataFrame, known: DataFrame, classes: DataFrame, percent
 
         for a in left.itertuples():
             ok = (label != a.label) & (100 * np.minimum(n, a.n) >= percent * np.maximum(n, a.n))
+            if itself and not nearest:
+                ok &= keys > a.key  # the other half of the cell has the same pairs
             if not ok.any():
                 continue
+            distance = np.zeros(len(n), np.int64)
             if a.cells is not None:
                 mine = np.frombuffer(a.cells, np.uint8)
                 for width in np.unique(widths[ok]).tolist():
@@ -452,8 +458,12 @@ def _block_pairs(long_: DataFrame, known: DataFrame, classes: DataFrame, percent
                         other = matrix(width, low)[use]
                         own = mine.reshape(-1, low).sum(axis=0, dtype=np.int16)
                         apart = np.abs(other - own).sum(axis=1, dtype=np.int64)
+                        distance[rows_[use]] = apart
                         ok[rows_[use]] = (100 + percent) * apart <= (n[rows_[use]] + a.n) * (100 - percent)
-            found += [(min(a.key, k), max(a.key, k)) for k in keys[ok].tolist() if k != a.key]
+            picked = np.flatnonzero(ok & (keys != a.key))
+            if nearest and len(picked) > nearest:
+                picked = picked[np.argsort(distance[picked], kind="stable")[:nearest]]
+            found += [(min(a.key, k), max(a.key, k)) for k in keys[picked].tolist()]
         return pd.DataFrame({"a": [x for x, _ in found], "b": [y for _, y in found]}, dtype=np.int64)
 
     return filled.groupBy("family", "p", "i", "q", "j").applyInPandas(near, "a bigint, b bigint")
@@ -478,10 +488,24 @@ def near_duplicates(
     first = _links(stars, classes, docs, size, percent)
     labels = components(first)
 
-    pairs = _open_pairs(lists, classes, labels, percent).distinct().join(stars, ["a", "b"], "left_anti")
-    second = _links(pairs, classes, docs, size, percent)
+    tested, links = stars, first.select("a", "b")
+
+    # nearest neighbours first: they connect large groups of near copies with few pairs
+    known, members = _open_lists(lists, classes, labels, percent)
+    if members.where(F.col("length") > PAIRED).limit(1).count():
+        close = _block_pairs(members, known, classes, percent, NEAREST).distinct().join(tested, ["a", "b"], "left_anti")
+        close = written(close)
+        tested = tested.unionByName(close)
+        links = links.unionByName(_links(close, classes, docs, size, percent).select("a", "b"))
+        labels = components(links)
+        known, members = _open_lists(lists, classes, labels, percent)
+
+    pairs = _short_pairs(members, percent)
+    if members.where(F.col("length") > PAIRED).limit(1).count():
+        pairs = pairs.unionByName(_block_pairs(members, known, classes, percent))
+    second = _links(pairs.distinct().join(tested, ["a", "b"], "left_anti"), classes, docs, size, percent)
     if second.limit(1).count():
-        labels = components(first.select("a", "b").union(second.select("a", "b")))
+        labels = components(links.unionByName(second.select("a", "b")))
 
     joined = classes.select("key", "doc_id").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     least = joined.groupBy("label").agg(F.min("doc_id").alias("component_id"))
