@@ -142,7 +142,9 @@ def fit(texts: list[str], y: np.ndarray, share: float) -> QualityModel:
 
 
 def fit_quality(documents: DataFrame, labels: DataFrame, usable, label: str = "quality") -> QualityModel:
-    return fit(*labelled_sample(documents, labels, label, usable, POSITIVES, NEGATIVES))
+    model = fit(*labelled_sample(documents, labels, label, usable, POSITIVES, NEGATIVES))
+    pa.default_memory_pool().release_unused()  # the driver gives back what the sample took
+    return model
 
 
 def score_texts(df: DataFrame, model, rows_of=feature_rows, text: str = "text", score: str = "score") -> DataFrame:
