@@ -57,6 +57,8 @@ BLOCK, NEAREST = 2048, 8
 CELL = 128
 #: Histogram cells, least and most: as many as shingles, rounded up to a power of two.
 LEAST_CELLS, MOST_CELLS = 64, 4096
+#: Edges of a partition that are made stars at a time.
+EDGES = 500_000
 #: Bytes of packed postings for one reducer.
 BUCKET_BYTES = 16 << 20
 
@@ -357,13 +359,49 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, per
     return written(filled.groupBy("pack").applyInPandas(search, "a bigint, b bigint"))
 
 
+def local_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, smallest node that each reaches by the edges given)."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        for place in (x, y, label[x], label[y]):
+            np.minimum.at(new, place, low)
+        new = new[new]
+        if np.array_equal(new, label):
+            return nodes, nodes[label]
+        label = new
+
+
+def _contracted(batches):
+    """Edges as stars, by EDGES edges of a partition."""
+
+    def out(held):
+        a, b = (np.concatenate([x.column(c).to_numpy() for x in held]) for c in ("a", "b"))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in local_components(a, b)], ["a", "b"])
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= EDGES:
+            yield out(held)
+            held, n = [], 0
+    if held:
+        yield out(held)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(key, label): the smallest key that each node of the edges (a, b) reaches.
 
-    Minimum labels travel along edges and are followed to their own label; both
+    The edges of a partition first become stars, which connect the same nodes.  Then
+    minimum labels travel along edges and are followed to their own label; both
     happen in every round, so the rounds grow with the logarithm of a path.
     """
-    both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    edges = edges.select("a", "b").hint("rebalance").mapInArrow(_contracted, "a bigint, b bigint")
+    both = written(edges.union(edges.select("b", "a")).distinct())
     labels = written(both.groupBy(F.col("a").alias("key")).agg(F.least(F.col("key"), F.min("b")).alias("label")))
     while True:
         best = both.join(labels.withColumnRenamed("key", "b"), "b").groupBy(F.col("a").alias("key")).agg(F.min("label").alias("best"))

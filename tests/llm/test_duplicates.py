@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from gleaner.llm import decontaminate, exact_dedup, jaccard_join
 
@@ -207,3 +208,25 @@ def test_decontamination_edges(spark, edge_documents):
     assert decontaminate.contaminated_pairs(edge_documents, benchmark.limit(0)).count() == 0
     assert decontaminate.drop_contaminated(edge_documents, benchmark).count() == 7
     assert decontaminate.drop_contaminated(edge_documents.limit(0), benchmark).count() == 0
+
+
+@pytest.mark.parametrize("partitions", [1, 6])
+def test_components_equal_union_find(spark, monkeypatch, partitions):
+    """A path, many small components and an edge of a node with itself."""
+    monkeypatch.setattr(jaccard_join, "EDGES", 50)
+    r = random.Random(partitions)
+    path = r.sample(range(-200, 200), 300)
+    edges = [*zip(path, path[1:]), *((r.randrange(1000, 1300), r.randrange(1000, 1300)) for _ in range(150)), (5000, 5000)]
+    least = {}
+    for a, b in edges:
+        least.setdefault(a, a), least.setdefault(b, b)
+    for _ in least:
+        before = dict(least)
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+        if least == before:
+            break
+    frame = spark.createDataFrame(edges, "a bigint, b bigint").repartition(partitions)
+    assert {row.key: row.label for row in jaccard_join.components(frame).collect()} == least
+    empty = spark.createDataFrame([], "a bigint, b bigint")
+    assert jaccard_join.components(empty).count() == 0
