@@ -399,9 +399,13 @@ def components(edges: DataFrame) -> DataFrame:
     The edges of a partition first become stars, which connect the same nodes.  Then
     minimum labels travel along edges and are followed to their own label; both
     happen in every round, so the rounds grow with the logarithm of a path.
+
+    The stars are written before both directions are read from them: a partition's
+    edges arrive in any order, so a second evaluation may cut them into other stars,
+    and an edge would lack its reverse.
     """
-    edges = edges.select("a", "b").hint("rebalance").mapInArrow(_contracted, "a bigint, b bigint")
-    both = written(edges.union(edges.select("b", "a")).distinct())
+    stars = written(edges.select("a", "b").hint("rebalance").mapInArrow(_contracted, "a bigint, b bigint"))
+    both = written(stars.union(stars.select("b", "a")).distinct())
     labels = written(both.groupBy(F.col("a").alias("key")).agg(F.least(F.col("key"), F.min("b")).alias("label")))
     while True:
         best = both.join(labels.withColumnRenamed("key", "b"), "b").groupBy(F.col("a").alias("key")).agg(F.min("label").alias("best"))

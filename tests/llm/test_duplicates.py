@@ -230,3 +230,31 @@ def test_components_equal_union_find(spark, monkeypatch, partitions):
     assert {row.key: row.label for row in jaccard_join.components(frame).collect()} == least
     empty = spark.createDataFrame([], "a bigint, b bigint")
     assert jaccard_join.components(empty).count() == 0
+
+
+def test_components_with_stars_that_differ_by_evaluation(spark, monkeypatch):
+    """Each evaluation cuts the edges AX, XK, KZ at a random place, as remote shuffle blocks may."""
+
+    def contracted(batches):
+        import os
+
+        import pyarrow as pa
+
+        from gleaner.llm.jaccard_join import local_components
+
+        paths = {}
+        for batch in batches:
+            for a, b in zip(*(batch.column(c).to_pylist() for c in ("a", "b"))):
+                paths.setdefault(a // 10, []).append((a, b))
+        for own in paths.values():
+            edges = np.array(sorted(own, key=lambda e: (max(e) % 10 == 3, min(e) % 10 != 0)))
+            cut = 1 + os.urandom(1)[0] % 2
+            for part in (edges[:cut], edges[cut:]):
+                if len(part):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in local_components(part[:, 0], part[:, 1])], ["a", "b"])
+
+    monkeypatch.setattr(jaccard_join, "_contracted", contracted)
+    edges = [(10 * c + a, 10 * c + b) for c in range(200) for a, b in ((0, 2), (2, 1), (1, 3))]
+    frame = spark.createDataFrame(edges, "a bigint, b bigint").coalesce(1)
+    found = {row.key: row.label for row in jaccard_join.components(frame).collect()}
+    assert found == {10 * c + i: 10 * c for c in range(200) for i in range(4)}
