@@ -3,7 +3,8 @@
 Each text is lower-cased (A-Z) and reduced to its words joined by single spaces.  A
 rule is a regex over whole words, gated twice by plain substrings: the text must
 have one of a few stems (one cheap pass that most texts end at), and then the
-rule's own keyword.  A rule's matches are word intervals.  They are read in the order
+rule's own keyword.  The stems are derived from the rules, so that whatever a rule
+matches has one of them.  A rule's matches are word intervals.  They are read in the order
 of start, longest first; an interval inside an open one of the same or a higher
 priority is suppressed, so "gnu lesser general public license version 3" does not
 also count as the shorter names within it.  Base rules are never suppressed.
@@ -19,6 +20,8 @@ through, except that the result's own names are replaced.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,9 +32,6 @@ GAP_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: (label, phrase): counted in n_base; always kept.
 BASE = (("mit", "mit license"), ("apache", "apache license"), ("gpl", "general public license"))
 
-#: A text without any of these has no license words.
-STEMS = ("licen", "copyright", "spdx", "public domain", "redistribut", "warrant", "permission", "rights reserved")
-
 _V = r"(?: version| v)?"
 
 #: (label, keyword, name as a regex over words, SPDX words).
@@ -79,7 +79,7 @@ FAMILIES = (
     ("libpng", "libpng", r"libpng license", "libpng"),
     ("unlicense", "unlicense", r"(?:the )?unlicense", "unlicense"),
     ("wtfpl", "what the", r"do what the \w+ you want to public license", "wtfpl"),
-    ("psf-2.0", "python", rf"(?:python software foundation|psf) license{_V}(?: 2)?", "psf 2 0"),
+    ("psf-2.0", "license", rf"(?:python software foundation|psf) license{_V}(?: 2)?", "psf 2 0"),
     ("ruby", "ruby", r"ruby license", "ruby"),
     ("php-3.01", "php", rf"php license{_V} 3 0?1", "php 3 01"),
     ("perl-5", "perl", r"same terms as perl itself", "artistic 1 0 perl"),
@@ -96,7 +96,7 @@ FAMILIES = (
     ("osl-3.0", "open software", rf"open software license{_V} 3 0", "osl 3 0"),
     ("vim", "vim", r"vim license", "vim"),
     ("curl", "curl", r"curl license", "curl"),
-    ("openrail-m", "openrail", r"(?:creativeml )?open ?rail m?(?: license)?", "openrail"),
+    ("openrail-m", "rail", r"(?:creativeml )?open ?rail m?(?: license)?", "openrail"),
 ) + tuple(
     (
         f"cc-{kind.replace(' ', '-')}-{version}",
@@ -107,11 +107,11 @@ FAMILIES = (
     for version in ("1.0", "2.0", "2.5", "3.0", "4.0")
     for kind, keyword, name in (
         ("by", "attribution", r"creative commons attribution(?: license)?"),
-        ("by sa", "share", r"creative commons attribution share ?alike(?: license)?"),
-        ("by nc", "commercial", r"creative commons attribution non ?commercial(?: license)?"),
-        ("by nd", "deriv", r"creative commons attribution no ?deriv(?:ative)?s?(?: license)?"),
-        ("by nc sa", "commercial", r"creative commons attribution non ?commercial share ?alike(?: license)?"),
-        ("by nc nd", "commercial", r"creative commons attribution non ?commercial no ?deriv(?:ative)?s?(?: license)?"),
+        ("by sa", "attribution", r"creative commons attribution share ?alike(?: license)?"),
+        ("by nc", "attribution", r"creative commons attribution non ?commercial(?: license)?"),
+        ("by nd", "attribution", r"creative commons attribution no ?deriv(?:ative)?s?(?: license)?"),
+        ("by nc sa", "attribution", r"creative commons attribution non ?commercial share ?alike(?: license)?"),
+        ("by nc nd", "attribution", r"creative commons attribution non ?commercial no ?deriv(?:ative)?s?(?: license)?"),
     )
 )
 
@@ -161,6 +161,29 @@ def signature_rules() -> list[tuple[str, str, int, float, str, bool]]:
     return rules + [(*r, False) for r in SINGLE_RULES]
 
 
+def rule_stem(keyword: str, pattern: str) -> str:
+    """A part of a word that all matches of the rule have, or "" if only words of two letters are sure."""
+    bare = pattern
+    while "(" in bare:
+        bare = re.sub(r"\(\?:[^()]*\)\??", "|", bare)
+    if "licen" in re.sub(r"[a-z0-9 ]\?", "|", bare):
+        return "licen"
+    stem = max(keyword.split(), key=len)
+    return stem if len(stem) > 2 else ""
+
+
+def _may_match(text: Column, rules) -> Column:
+    """Whether a text has the stem of any rule; for a rule without one, its keyword."""
+    lowered = F.lower(text)
+    stems = {(rule_stem(keyword, pattern), keyword) for _, keyword, _, _, pattern, _ in rules}
+    found = F.lit(False)
+    for stem in sorted({stem for stem, _ in stems if stem}):
+        found = found | F.contains(lowered, F.lit(stem))
+    for keyword in sorted({keyword for stem, keyword in stems if not stem}):
+        found = found | F.regexp_like(lowered, F.lit(keyword.replace(" ", GAP_ANY_CASE)))
+    return found
+
+
 def _spaces(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
@@ -248,10 +271,6 @@ def scan_licenses(df: DataFrame, text: str = "text", rules=None) -> DataFrame:
     """``df`` with n_words, n_base, first_word, last_word, base_labels, labels, score."""
     rules = signature_rules() if rules is None else rules
     value = F.coalesce(F.col(text), F.lit(""))
-    lowered = F.lower(value)
-    stem = F.lit(False)
-    for s in STEMS:
-        stem = stem | F.contains(lowered, F.lit(s))
     exact = F.translate(value, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     norm = F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(exact, F.lit(f"({WORD})"), F.lit(1)), " "), F.lit(" "))
 
@@ -262,7 +281,7 @@ def scan_licenses(df: DataFrame, text: str = "text", rules=None) -> DataFrame:
         )
         return _resolve(F.flatten(F.transform(gated, lambda r: _intervals(n, r))))
 
-    result = F.when(stem, F.transform(F.array(norm), scan)[0])
+    result = F.when(_may_match(value, rules), F.transform(F.array(norm), scan)[0])
     out = df.withColumn("_scan", result)
     names = lambda c: F.coalesce(F.array_join(F.array_sort(c), ","), F.lit(""))
     return out.withColumns(

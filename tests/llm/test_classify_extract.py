@@ -146,6 +146,26 @@ def test_license_rules(spark):
     assert "Python" not in plan and "Exchange" not in plan and "Join" not in plan
 
 
+def license_samples(pattern):
+    """Texts that a rule's regex matches: each alternative, without what is optional."""
+    inner = re.search(r"\(\?:([^()]*)\)(\??)", pattern)
+    if inner:
+        choices = [""] if inner[2] else inner[1].split("|")
+        return [x for c in choices for x in license_samples(pattern[: inner.start()] + c + pattern[inner.end() :])]
+    pattern = pattern.replace(r"\w+", "some")
+    return sorted({re.sub(r"(\w)\?", r"\1", pattern.replace(" ?", space)) for space in ("", " ")})
+
+
+def test_each_license_rule_alone(spark):
+    """No rule needs words that are not its own, nor single spaces between them."""
+    rules = license_scan.signature_rules()
+    cases = [(label, x.replace(" ", "\n* ").upper()) for label, _, _, _, pattern, _ in rules for x in license_samples(pattern)]
+    assert len(cases) > len(rules)
+    frame = spark.createDataFrame(cases, "label string, text string")
+    rows = license_scan.scan_licenses(frame).collect()
+    assert [(r.label, r.text) for r in rows if r.label not in r.labels.split(",") or not r.score] == []
+
+
 def test_url_rules(spark):
     urls = {
         "http://a.b.com/en/x": ("com/en/", "block"),
