@@ -3,24 +3,29 @@
 Texts and benchmark items are words (runs of letters, digits and apostrophes, A-Z
 lower-cased).  A seed is a fixed mask laid over consecutive words; the words under its
 ones are hashed and those under its zeros ignored, so a seed still hits where a word was
-substituted there.  Items too short for a mask have one seed of all their words.
+substituted there.  Any good window (see below) of 13 to 25 words is hit by a mask,
+wherever its substitutions are, and a longer one has a good window of that size in it.
+Items of fewer than ``LEAST_WORDS`` words have seeds of their own length, one for each
+choice of the words that may be substituted.
 Hashes of all places of a text are looked up among the items' seeds; every hit names a
-diagonal (an item laid on a place of the text), and the best ungapped segment on it, with
-+1 for an equal word and -2 for another, is the verified overlap.  A text is
-contaminated by an item when the segment has at least ``LEAST_WORDS`` words (or the
-whole item, if it is shorter) and at least ``LEAST_EQUAL`` of them are equal.
+diagonal (an item laid on a place of the text).  A text is contaminated by an item when
+any window of a diagonal has at least ``LEAST_WORDS`` words (or the whole item, if it is
+shorter) and at least ``LEAST_EQUAL`` of them are equal; the window with the most equal
+words, and of those a shortest, is the verified overlap.
 
 The items are a stated query set: they go to every task in blocks of at most
 ``BLOCK_BYTES`` of text, one pass over the documents for each block, so what is
 broadcast never grows.  Documents are only mapped; nothing about them is shuffled.
 
-Defined edge cases: null and empty texts and items hit nothing; items of fewer than
-``SHORTEST`` words are left out, as they would hit ordinary prose; repeated rows are
+Defined edge cases: null and empty texts and items hit nothing; items too short for
+one substitution are whole word sequences that have to be equal; repeated rows are
 judged alike; empty tables give empty results; extra columns pass through.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,8 +35,8 @@ from gleaner.llm.kernels import lower_table, mix, prefix_hash, slices, span_hash
 from gleaner.llm.session import prepare
 
 #: Seed masks over consecutive words.
-MASKS = ("11101101", "1101011011", "1011100111", "110010010111")
-SHORTEST, LEAST_WORDS, LEAST_EQUAL = 5, 13, 0.8
+MASKS = ("11101101", "1101011011", "1011100111", "110010010111", "1111101", "100110111", "111111")
+LEAST_WORDS, LEAST_EQUAL = 13, 0.8
 BLOCK_BYTES = 4 << 20
 
 _GAP = np.zeros(256, bool)
@@ -62,6 +67,38 @@ def seed_hashes(stream: np.ndarray, first: np.ndarray, mask: str) -> tuple[np.nd
     return mix(h[places]), places
 
 
+def whole_masks(n: int) -> list[str]:
+    """Masks of n words, with a zero for each word that may be substituted."""
+    zeros = n * (10 - round(10 * LEAST_EQUAL)) // 10
+    return ["".join("0" if i in z else "1" for i in range(n)) for z in combinations(range(n), zeros)]
+
+
+def best_window(equal: np.ndarray, least: int) -> tuple[int, int] | None:
+    """(begin, stop) of a window of at least ``least`` places, LEAST_EQUAL of them equal.
+
+    Of all such windows one with the most equal places, without others at its ends as
+    far as ``least`` allows; None if there is none.
+    """
+    if len(equal) < least:
+        return None
+    # a window is good when the score does not fall over it (in whole tenths)
+    score = np.concatenate([[0], np.cumsum(10 * equal.astype(np.int64) - round(10 * LEAST_EQUAL))])
+    same = np.concatenate([[0], np.cumsum(equal)])
+    # the farthest stop for each begin: the last score that is not lower
+    ahead = np.maximum.accumulate(score[::-1])[::-1]
+    stops = np.searchsorted(-ahead, -score, side="right") - 1
+    begins = np.flatnonzero(stops - np.arange(len(score)) >= least)
+    if not len(begins):
+        return None
+    begin = int(begins[(same[stops[begins]] - same[begins]).argmax()])
+    stop = int(stops[begin])
+    while stop - begin > least and not equal[stop - 1]:
+        stop -= 1
+    while stop - begin > least and not equal[begin]:
+        begin += 1
+    return begin, stop
+
+
 class SeedIndex:
     """Seeds of a block of benchmark items."""
 
@@ -70,14 +107,14 @@ class SeedIndex:
         self.ids = ids
         self.stream, self.first = word_stream(data, offsets)
         lens = np.diff(self.first)
-        short = sorted({int(n) for n in lens if SHORTEST <= n < max(map(len, MASKS))})
+        short = sorted({int(n) for n in lens if 0 < n < LEAST_WORDS})
         #: masks with the number of words that an item must have to be given them
-        self.masks = [(m, None) for m in MASKS] + [("1" * n, n) for n in short]
+        self.masks = [(m, None) for m in MASKS] + [(m, n) for n in short for m in whole_masks(n)]
         item = np.repeat(np.arange(len(lens)), lens)
         tables = []
         for mask, only in self.masks:
             h, at = seed_hashes(self.stream, self.first, mask)
-            keep = lens[item[at]] == only if only else lens[item[at]] >= SHORTEST
+            keep = lens[item[at]] == only if only else np.ones(len(at), bool)
             order = np.argsort(h[keep], kind="stable")
             tables.append((h[keep][order], at[keep][order]))
         self.tables, self.item = tables, item
@@ -110,13 +147,10 @@ class SeedIndex:
             a = max(start, int(first[text]))
             b = min(start + len(own), int(first[text + 1]))
             equal = stream[a:b] == own[a - start : b - start]
-            score = np.concatenate([[0], np.cumsum(np.where(equal, 1, -2))])
-            rise = score - np.minimum.accumulate(score)
-            stop = int(rise.argmax())
-            begin = int(score[: stop + 1].argmin())
-            n, same = stop - begin, int(equal[begin:stop].sum())
-            if n >= min(len(own), LEAST_WORDS) and same >= LEAST_EQUAL * n:
-                out.append((text, item, a + begin - int(first[text]), a + begin - start, n, same))
+            window = best_window(equal, min(len(own), LEAST_WORDS))
+            if window:
+                begin, stop = window
+                out.append((text, item, a + begin - int(first[text]), a + begin - start, stop - begin, int(equal[begin:stop].sum())))
         return out
 
 

@@ -258,3 +258,42 @@ def test_components_with_stars_that_differ_by_evaluation(spark, monkeypatch):
     frame = spark.createDataFrame(edges, "a bigint, b bigint").coalesce(1)
     found = {row.key: row.label for row in jaccard_join.components(frame).collect()}
     assert found == {10 * c + i: 10 * c for c in range(200) for i in range(4)}
+
+
+def test_best_window_equals_all_windows():
+    r = random.Random(13)
+    for _ in range(3000):
+        equal = np.array([r.random() < r.choice((0.7, 0.9)) for _ in range(r.randrange(0, 30))], bool)
+        least = r.randrange(1, 14)
+        good = [int(equal[i:j].sum()) for i in range(len(equal)) for j in range(i + least, len(equal) + 1) if 5 * equal[i:j].sum() >= 4 * (j - i)]
+        window = decontaminate.best_window(equal, least)
+        assert (window is None) == (not good)
+        if good:
+            i, j = window
+            assert j - i >= least and 5 * equal[i:j].sum() >= 4 * (j - i) and equal[i:j].sum() == max(good)
+
+
+@pytest.mark.parametrize("n,edits", [(20, 4), (15, 3), (15, 2), (13, 2), (13, 1), (12, 2), (10, 2), (10, 1), (8, 1), (5, 1), (3, 0), (1, 0)])
+def test_edited_whole_items(n, edits):
+    """All placements of substitutions inside the tolerance are found."""
+    import itertools
+
+    words = [f"word{i}" for i in range(n)]
+    index = decontaminate.SeedIndex([1], [" ".join(words)])
+    for places in itertools.combinations(range(n), edits):
+        text = "before it " + " ".join("other" if i in places else w for i, w in enumerate(words)) + " after it"
+        data = np.frombuffer(text.encode(), np.uint8)
+        hits = index.overlaps(data, np.array([0, len(data)], np.int64))
+        assert any(size >= min(n, 13) and 5 * equal >= 4 * size for *_, size, equal in hits), places
+
+
+def test_masks_hit_every_good_window():
+    """For 13 to 25 words; of a longer good window one half is good and has 13 words too."""
+    import itertools
+
+    masks = [int(m, 2) << s for m in decontaminate.MASKS for s in range(26 - len(m))]
+    for n in range(13, 26):
+        inside = [m for m in masks if m < 1 << n]
+        for places in itertools.combinations(range(n), n // 5):
+            bad = sum(1 << i for i in places)
+            assert any(not m & bad for m in inside), (n, places)
