@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a sample may have in all.
 SAMPLE_BYTES = 24 << 20
+#: A text of more than one such part of the bound is left out, and no other for its sake.
+TEXT_PART = 16
 
 
 def held_out(key: str, modulus: int, remainder: int) -> Column:
@@ -28,7 +30,8 @@ def labelled_sample(
 
     At most ``positives`` and ``negatives`` rows of either label, those with the
     least hash of doc_id, as far as ``max_bytes`` of text go; the same rows at every
-    run.  Rows without a doc_id or label are left out, repeated doc_ids count once.
+    run.  A single text of more than a ``TEXT_PART``-th of ``max_bytes`` is left out
+    before that total is taken.  Rows without a doc_id or label are left out, repeated doc_ids count once.
     """
     rows = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & usable)
@@ -42,6 +45,7 @@ def labelled_sample(
     # at most positives + negatives rows: small enough to broadcast, whatever the input
     chosen = least(1, positives).unionByName(least(0, negatives))
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = texts.where(F.octet_length("text") * TEXT_PART <= max_bytes)
     running = Window.orderBy("_h", "doc_id", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     texts = texts.withColumn("_b", F.sum(F.octet_length("text")).over(running)).where(F.col("_b") <= max_bytes)
     found = texts.select("text", "_y").toPandas()

@@ -6,7 +6,9 @@ import zlib
 import duckdb
 import pytest
 
-from gleaner.llm import html_extract, license_scan, quality, queries, toxicity, url_rules
+from pyspark.sql import functions as F
+
+from gleaner.llm import html_extract, labelled, license_scan, quality, queries, toxicity, url_rules
 from gleaner.llm.labelled import held_out
 
 SF = "/root/testdata/sf0.1"
@@ -50,6 +52,18 @@ def test_classifier_edges(spark, edge_documents, module, fit, label):
     assert score(edge_documents.limit(0), one_class).count() == 0
 
 
+def test_sample_without_a_huge_text(spark):
+    """A text beyond the bound leaves out itself, whatever its place in the order."""
+    rows = [(i, f"text {i}") for i in range(20)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id bigint, quality int")
+    for huge in range(3):
+        texts = [(i, "x" * 5000 if i % 3 == huge else t) for i, t in rows]
+        frame = spark.createDataFrame(texts, "doc_id bigint, text string")
+        found, y, share = labelled.labelled_sample(frame, labels, "quality", F.lit(True), 20, 20, max_bytes=4000)
+        assert sorted(found) == sorted(t for _, t in texts if len(t) < 5000)
+        assert len(y) == len(found) and share == 0.5
+
+
 PAGE = """<html><head><title>x</title><style>p{}</style></head><body><header><h1>Site</h1></header>
 <nav><ul><li>Home<li>About</ul></nav><div class="cookie-notice">We use cookies</div>
 <article><h1>Title &amp; more</h1><p>First<br>line <b>bo</b>ld<p>second   para<aside>side</aside>
