@@ -42,7 +42,7 @@ RUN = 8
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|svg|math|iframe|object|select|title|head(?!er))\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))"
+    r"|<(?P<raw>script|style|noscript|template|textarea|svg|math|iframe|object|select|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<[!?][^>]*>",
     re.S | re.I,
@@ -58,7 +58,7 @@ _BLOCK = frozenset(
 )
 #: Closed by their next sibling or parent as often as by their own end tag.
 _LOOSE = frozenset("p li dt dd td th tr tbody thead tfoot option".split())
-_CHROME_TAGS = frozenset("nav footer aside form menu dialog button label fieldset".split())
+_CHROME_TAGS = frozenset("head nav footer aside form menu dialog button label fieldset".split())
 _CHROME_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar".split())
 _CHROME_WORDS = frozenset(
     "ad ads adbox advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments commentlist consent cookie "
@@ -72,28 +72,53 @@ _OUTER_WORDS = frozenset("header top topbar bottom".split())
 OPEN, MAIN, CHROME = 0, 1, 2
 
 
-def _zone(name: str, attrs: str, outer: int) -> int:
+#: How far class and id are believed: everywhere, not on article and main, only inside main.
+ALL_HINTS, NOT_ON_MAIN, INSIDE_MAIN = 0, 1, 2
+
+
+def _zone(name: str, attrs: str, outer: int, hints: int) -> int:
     if outer == CHROME or name in _CHROME_TAGS or (name == "header" and outer != MAIN):
         return CHROME
+    shell = name in ("html", "body")
     zone = MAIN if name in ("article", "main") else outer
+    believed = not shell and (outer == MAIN or hints == ALL_HINTS or (hints == NOT_ON_MAIN and zone != MAIN))
     if attrs and "=" in attrs or "hidden" in attrs:
         for m in _ATTR.finditer(attrs):
             key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if key in ("class", "id"):
+                if not believed:
+                    continue
                 words = set(_HINT_SPLIT.split(value))
                 if words & _CHROME_WORDS or (outer != MAIN and zone != MAIN and words & _OUTER_WORDS):
                     return CHROME
             elif key == "role":
-                if value in _CHROME_ROLES:
+                if value in _CHROME_ROLES and not shell:
                     return CHROME
                 zone = MAIN if value in ("main", "article") else zone
+            elif shell:
+                continue
             elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
                 return CHROME
     return zone
 
 
 def blocks(page: str) -> list[tuple[int, str]]:
-    """(zone, text) of the page's text blocks in order; text has single spaces."""
+    """(zone, text) of the page's text blocks in order; text has single spaces.
+
+    A page that a class or id on article or main, or around them, left without main
+    blocks is read again without believing those.
+    """
+    found = _blocks(page, ALL_HINTS)
+    zones = {z for z, _ in found}
+    if found and MAIN not in zones:
+        for hints in (NOT_ON_MAIN, INSIDE_MAIN) if OPEN not in zones else (NOT_ON_MAIN,):
+            again = _blocks(page, hints)
+            if any(z == MAIN for z, _ in again):
+                return again
+    return found
+
+
+def _blocks(page: str, hints: int) -> list[tuple[int, str]]:
     out: list[tuple[int, str]] = []
     parts: list[str] = []
     stack: list[tuple[str, int]] = []
@@ -139,7 +164,12 @@ def blocks(page: str) -> list[tuple[int, str]]:
         attrs = m["attrs"]
         if attrs.endswith("/") and name not in _BLOCK:
             continue
-        new = _zone(name, attrs, zone)
+        if stack and stack[-1][0] == "head":
+            # its own tags are void or raw: any other one ends it
+            close()
+            stack.pop()
+            zone = stack[-1][1] if stack else OPEN
+        new = _zone(name, attrs, zone, hints)
         if name not in _LOOSE or new != zone:
             if new != zone:
                 close()

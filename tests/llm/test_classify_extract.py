@@ -77,6 +77,20 @@ def test_blocks_of_a_page():
     assert html_extract.blocks("") == [] and html_extract.blocks("<p>a<!-- open") == [(html_extract.OPEN, "a")]
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html class='modal'><body class='no-sidebar'><nav>menu</nav><article>the text</article></body></html>",
+        "<body><nav>menu</nav><article class='share'>the text</article></body>",
+        "<body><div class='search widget'><main><p>the text</p><p class='share'>like it</p></main></div></body>",
+        "<html><head><meta charset='x'><title>t</title><style>p{}</style><body><main>the text</main></body></html>",
+        "<html><head><title>t</title><article>the text</article></html>",
+    ],
+)
+def test_hints_and_open_heads_keep_the_article(page):
+    assert [t for z, t in html_extract.blocks(page) if z == html_extract.MAIN] == ["the text"]
+
+
 def test_pages_equal_their_articles(spark):
     """All pages of the table have one flat article; a plain reading of it is the truth."""
     import html
