@@ -26,7 +26,7 @@ Steps, each a Spark job over partitioned data:
 4. Pairs are tested cheaply first (sizes, histogram distance: both are safe bounds),
    then exactly: cells of one query class and at most ``CELL`` others are searched by
    DivideSkip, merging short lists and binary-probing long ones.
-5. Components by repeated minimum labels, in written tables.
+5. Components by contraction level by level, in written tables.
 
 Defined edge cases: null and empty texts have an empty set and link with nothing;
 a text with fewer words than a shingle is one shingle; a null doc_id is passed over
@@ -43,8 +43,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.kernels import mix, slices, text_bytes, word_hashes
-from gleaner.llm.session import prepare, shuffle_partitions, written
-from gleaner.llm.sketch import hash_bitmap, in_bitmap
+from gleaner.llm.session import Tables, prepare, shuffle_partitions, written
+from gleaner.llm.sketch import hash_bitmap, in_bitmap, split_by_map
 
 WORDS, PERCENT = 5, 80
 #: Recurrences within parts of about PART shingles, summed over all, that make a list long.
@@ -58,7 +58,7 @@ CELL = 128
 #: Histogram cells, least and most: as many as shingles, rounded up to a power of two.
 LEAST_CELLS, MOST_CELLS = 64, 4096
 #: Edges of a partition that are made stars at a time.
-EDGES = 500_000
+EDGES = 200_000
 #: Bytes of packed postings for one reducer.
 BUCKET_BYTES = 16 << 20
 
@@ -315,13 +315,15 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, per
     """The pairs (a, b) of classes that link."""
     sized = lambda k: classes.select(F.col("key").alias(k), F.col("n").alias(f"n_{k}"))
     alike = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    pairs = written(pairs.join(sized("a"), "a").join(sized("b"), "b").where(alike))
+    tables = Tables(docs.sparkSession)
+    pairs = tables.written(pairs.join(sized("a"), "a").join(sized("b"), "b").where(alike))
     # histograms of the classes that are left
     some = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    cells = classes.select("key", "cells").join(some, "key", "left_semi")
+    cells = split_by_map(classes.select("key", "cells"), F.col("key"), some)[1].join(some, "key", "left_semi")
     side = lambda k: cells.select(F.col("key").alias(k), F.col("cells").alias(f"c_{k}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b").where(_near(percent)("n_a", "n_b", "c_a", "c_b"))
-    near = written(near.select("a", "b"))
+    near = tables.written(near.select("a", "b"))
+    tables.drop(pairs)
     rows = near.count()
     if not rows:
         return near
@@ -356,7 +358,9 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, per
                 found += [(a, int(keys[rest[i]])) for i in divide_skip(sets_[own], [sets_[i] for i in rest], percent)]
         return pd.DataFrame({"a": [a for a, _ in found], "b": [b for _, b in found]}, dtype=np.int64)
 
-    return written(filled.groupBy("pack").applyInPandas(search, "a bigint, b bigint"))
+    found = written(filled.groupBy("pack").applyInPandas(search, "a bigint, b bigint"))
+    tables.drop()
+    return found
 
 
 def local_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -375,49 +379,70 @@ def local_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarr
         label = new
 
 
-def _contracted(batches):
-    """Edges as stars, by EDGES edges of a partition."""
+def _stars(seed: int):
+    """A task that turns edges into stars (key, root, mark), by EDGES edges at a time.
+
+    A star's root is the node of the least mark, a hash of the node and the seed.
+    """
 
     def out(held):
         a, b = (np.concatenate([x.column(c).to_numpy() for x in held]) for c in ("a", "b"))
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in local_components(a, b)], ["a", "b"])
+        nodes = np.unique(np.concatenate([a, b]))
+        marks = mix(nodes.view(np.uint64) ^ np.uint64(seed * _STEP & _MASK)).view(np.int64)
+        order = np.argsort(marks, kind="stable")
+        place = np.empty(len(nodes), np.int64)
+        place[order] = np.arange(len(nodes))
+        found, root = local_components(place[np.searchsorted(nodes, a)], place[np.searchsorted(nodes, b)])
+        columns = [nodes[order[found]], nodes[order[root]], marks[order[root]]]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "root", "mark"])
 
-    held, n = [], 0
-    for batch in batches:
-        held.append(batch)
-        n += batch.num_rows
-        if n >= EDGES:
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= EDGES:
+                yield out(held)
+                held, n = [], 0
+        if held:
             yield out(held)
-            held, n = [], 0
-    if held:
-        yield out(held)
+
+    return run
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(key, label): the smallest key that each node of the edges (a, b) reaches.
 
-    The edges of a partition first become stars, which connect the same nodes.  Then
-    minimum labels travel along edges and are followed to their own label; both
-    happen in every round, so the rounds grow with the logarithm of a path.
-
-    The stars are written before both directions are read from them: a partition's
-    edges arrive in any order, so a second evaluation may cut them into other stars,
-    and an edge would lack its reverse.
+    Each level contracts the graph.  The edges of a partition become stars there, and a
+    node takes the root of the least mark among its stars; the other roots it has are
+    joined with that one by the edges of the next level.  Marks are drawn anew at each
+    level, so a level leaves a constant share of the nodes at most, whatever the
+    graph's shape, and a node has as many rows as there are stars with it, not
+    as it has neighbours.
     """
-    stars = written(edges.select("a", "b").hint("rebalance").mapInArrow(_contracted, "a bigint, b bigint"))
-    both = written(stars.union(stars.select("b", "a")).distinct())
-    labels = written(both.groupBy(F.col("a").alias("key")).agg(F.least(F.col("key"), F.min("b")).alias("label")))
-    while True:
-        best = both.join(labels.withColumnRenamed("key", "b"), "b").groupBy(F.col("a").alias("key")).agg(F.min("label").alias("best"))
-        step = labels.join(best, "key").select("key", "label", F.least("label", "best").alias("next"))
-        jump = labels.select(F.col("key").alias("next"), F.col("label").alias("far"))
-        step = written(step.join(jump, "next", "left").select("key", "label", F.coalesce(F.least("next", "far"), "next").alias("new")))
-        if not step.where("new < label").limit(1).count():
-            return labels
-        labels = step.select("key", F.col("new").alias("label"))
+    tables = Tables(edges.sparkSession)
+    levels, rest = [], tables.written(edges.select("a", "b"))
+    rows = rest.count()
+    while not levels or rows:
+        parts = rest.repartition(1 + rows // EDGES)  # EDGES of them each, whatever their number
+        stars = parts.mapInArrow(_stars(len(levels)), "key bigint, root bigint, mark bigint")
+        low = F.min(F.struct("mark", "root")).over(Window.partitionBy("key"))["root"]
+        placed = tables.written(stars.select("key", "root", low.alias("low")))
+        levels.append(placed.select("key", F.col("low").alias("label")).distinct())
+        rest = placed.where("root != low").select(F.col("root").alias("a"), F.col("low").alias("b")).distinct()
+        rows = rest.count()
+    labels = levels.pop()
+    while levels:
+        above = labels.select(F.col("key").alias("label"), F.col("label").alias("top"))
+        labels = levels.pop().join(above, "label", "left").select("key", F.coalesce("top", "label").alias("label"))
+    labels = tables.written(labels)
+    least = labels.groupBy("label").agg(F.min("key").alias("least"))
+    out = written(labels.join(least, "label").select("key", F.col("least").alias("label")))
+    tables.drop()
+    return out
 
 
-def _open_lists(lists: DataFrame, classes: DataFrame, labels: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def _open_lists(lists: DataFrame, classes: DataFrame, labels: DataFrame, percent: int, tables: Tables) -> tuple[DataFrame, DataFrame]:
     """(classes with label and band, members of lists that have several components)."""
     # sizes of a linked pair are in the same band or the next
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent))).cast("int")
@@ -425,7 +450,7 @@ def _open_lists(lists: DataFrame, classes: DataFrame, labels: DataFrame, percent
     known = classes.select("key", "n").join(labels, "key", "left").select("key", "n", label.alias("label"), band.alias("band"))
     placed = lists.join(known, "key")
     mixed = placed.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("length"))
-    return known, written(placed.join(mixed.where("low < high"), "token").drop("low", "high"))
+    return known, tables.written(placed.join(mixed.where("low < high"), "token").drop("low", "high"))
 
 
 def _short_pairs(members: DataFrame, percent: int) -> DataFrame:
@@ -467,7 +492,7 @@ def _block_pairs(members: DataFrame, known: DataFrame, classes: DataFrame, perce
         F.transform(upto(F.col("below")), lambda j: cell(b - 1, j, b, i, False)),
     )
     placed = rows.select("family", "key", "n", "label", F.explode(places).alias("c")).select("family", "c.*", "key", "n", "label")
-    filled = placed.join(classes.select("key", "cells"), "key")
+    filled = placed.join(split_by_map(classes.select("key", "cells"), F.col("key"), family.select("key"))[1], "key")
 
     def near(part: pd.DataFrame) -> pd.DataFrame:
         left, right = part[part["left"]], part[~part["left"]]
@@ -517,30 +542,31 @@ def near_duplicates(
     """doc_id, n_shingles and component_id of each row."""
     spark = prepare(df.sparkSession)
     docs = df.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    marks = written(_marks(docs, size))
-    classes = written(
+    tables = Tables(spark)
+    marks = tables.written(_marks(docs, size))
+    classes = tables.written(
         marks.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("cells").alias("cells"))
     )
     total = classes.agg(F.sum("n")).first()[0] or 0
     buckets = max(shuffle_partitions(spark), int(total * (100 - percent) / 100 * 16 / BUCKET_BYTES) + 1)
-    lists = written(_lists(docs, size, percent, long_lists(docs, size, LONG), buckets))
+    lists = tables.written(_lists(docs, size, percent, long_lists(docs, size, LONG), buckets))
 
     heads = lists.groupBy("token").agg(F.min("key").alias("a"))
-    stars = written(lists.join(heads, "token").where("key != a").select("a", F.col("key").alias("b")).distinct())
+    stars = tables.written(lists.join(heads, "token").where("key != a").select("a", F.col("key").alias("b")).distinct())
     first = _links(stars, classes, docs, size, percent)
     labels = components(first)
 
     tested, links = stars, first.select("a", "b")
 
     # nearest neighbours first: they connect large groups of near copies with few pairs
-    known, members = _open_lists(lists, classes, labels, percent)
+    known, members = _open_lists(lists, classes, labels, percent, tables)
     if members.where(F.col("length") > PAIRED).limit(1).count():
         close = _block_pairs(members, known, classes, percent, NEAREST).distinct().join(tested, ["a", "b"], "left_anti")
-        close = written(close)
+        close = tables.written(close)
         tested = tested.unionByName(close)
         links = links.unionByName(_links(close, classes, docs, size, percent).select("a", "b"))
         labels = components(links)
-        known, members = _open_lists(lists, classes, labels, percent)
+        known, members = _open_lists(lists, classes, labels, percent, tables)
 
     pairs = _short_pairs(members, percent)
     if members.where(F.col("length") > PAIRED).limit(1).count():
@@ -554,20 +580,24 @@ def near_duplicates(
     owner = joined.join(least, "label").select("key", "component_id")
     named = marks.where("n > 0").select("doc_id", F.col("n").alias("n_shingles"), "key").join(owner, "key")
     empty = marks.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return named.select("doc_id", "n_shingles", "component_id").unionByName(empty)
+    found = written(named.select("doc_id", "n_shingles", "component_id").unionByName(empty))
+    tables.drop()
+    return found
 
 
 def keep_representatives(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows whose doc_id is the smallest of their component, with all columns.
 
-    Rows with an empty set stay; of rows that repeat a doc_id and text, one.
+    Rows with an empty set stay; of rows that repeat a doc_id and text, one.  Texts of
+    rows that certainly stay are not moved (see ``split_by_map``).
     """
     verdicts = near_duplicates(df, text, key)
-    dropped = verdicts.where("doc_id IS NOT NULL AND doc_id != component_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = df.join(dropped, F.col(key).cast("bigint") == F.col("_id"), "left_anti")
+    dropped = verdicts.where("doc_id IS NOT NULL AND doc_id != component_id").select("doc_id")
     # only doc_ids that repeat can still stand twice
-    twice = verdicts.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_id"))
-    again = F.col(key).cast("bigint").eqNullSafe(F.col("_id"))
+    twice = verdicts.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id")
+    place = F.xxhash64(F.col(key).cast("bigint"))
+    sure, unsure = split_by_map(df, place, dropped.unionByName(twice).select(F.xxhash64("doc_id").alias("place")))
+    gone = dropped.distinct().withColumnRenamed("doc_id", "_id")
+    kept = unsure.join(gone, F.col(key).cast("bigint") == F.col("_id"), "left_anti")
     one = Window.partitionBy(key, F.xxhash64(text)).orderBy(F.xxhash64(text))
-    rest = kept.join(twice, again, "left_semi").withColumn("_r", F.row_number().over(one)).where("_r = 1").drop("_r")
-    return kept.join(twice, again, "left_anti").unionByName(rest)
+    return sure.unionByName(kept.withColumn("_r", F.row_number().over(one)).where("_r = 1").drop("_r"))

@@ -45,6 +45,8 @@ def shared_folder(spark: SparkSession) -> str:
     if not base:
         known = spark.sparkContext.getCheckpointDir()
         if known is None:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gleaner-shared"))
             known = spark.sparkContext.getCheckpointDir()
         base = known
@@ -61,5 +63,25 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Tables:
+    """Written tables of one computation, dropped when their readers are done."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.held = spark, {}
+
+    def written(self, df: DataFrame) -> DataFrame:
+        path = shared_folder(self.spark)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.held[id(out)] = (out, path)
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Delete these tables, or all of them."""
+        for key in [id(f) for f in frames] or list(self.held):
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.held.pop(key)[1])
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

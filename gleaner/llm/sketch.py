@@ -10,23 +10,42 @@ from pyspark.sql import functions as F
 BITS = 24
 
 
-def hash_bitmap(df: DataFrame, key: Column):
-    """Broadcast bitmap with the bit of every key set.
-
-    ``key`` must be a well-mixed long.  Its top bits name the bit, so at most
-    2**(BITS - 6) words come to the driver.  A set bit may belong to another key:
-    use it to leave out what cannot matter, never as proof.
-    """
+def _words(key: Column, df: DataFrame) -> DataFrame:
+    """(word, bits): the words of the bitmap that have a bit set, at most 2**(BITS - 6)."""
     place = F.shiftrightunsigned(key, 64 - BITS)
     bit = F.expr("shiftleft(1L, cast(_place & 63 as int))")
-    words = (
+    return (
         df.select(place.alias("_place"))
         .where(F.col("_place").isNotNull())
         .select(F.shiftrightunsigned("_place", 6).alias("word"), bit.alias("bit"))
         .groupBy("word")
         .agg(F.bit_or("bit").alias("bits"))
-        .toPandas()
     )
+
+
+def split_by_map(df: DataFrame, key: Column, marked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key is surely not in ``marked``, all other rows), by the bitmap.
+
+    ``marked`` has one column of well-mixed longs.  The map's words are joined by
+    broadcast (4 MB at most), so the first frame's rows, texts and all, are not shuffled
+    for a join that couldn't touch them; a full map only makes the second frame larger.
+    """
+    words = _words(F.col(marked.columns[0]), marked).select(F.col("word").alias("_word"), F.col("bits").alias("_bits"))
+    place = F.shiftrightunsigned(key, 64 - BITS)
+    placed = df.withColumn("_place", place).withColumn("_key", F.shiftrightunsigned("_place", 6))
+    seen = placed.join(F.broadcast(words), F.col("_key") == F.col("_word"), "left")
+    hit = F.coalesce(F.expr("shiftrightunsigned(_bits, cast(_place & 63 as int)) & 1") == 1, F.lit(False))
+    return tuple(seen.where(c).select(*[F.col(f"`{n}`") for n in df.columns]) for c in (~hit, hit))
+
+
+def hash_bitmap(df: DataFrame, key: Column):
+    """Broadcast bitmap with the bit of every key set.
+
+    ``key`` must be a well-mixed long.  Its top bits name the bit, so at most
+    2**(BITS - 6) words come to the driver.  A set bit may belong to another key:
+    use it to leave out what cannot matter, never as proof.
+    """
+    words = _words(key, df).toPandas()
     table = np.zeros(1 << (BITS - 6), np.uint64)
     table[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
     return df.sparkSession.sparkContext.broadcast(table)

@@ -199,6 +199,8 @@ def test_decontamination_in_blocks(spark, documents, monkeypatch):
     one = decontaminate.contaminated_pairs(documents, benchmark).collect()
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 3000)
     assert sorted(decontaminate.contaminated_pairs(documents, benchmark).collect()) == sorted(one)
+    kept = {r.doc_id for r in decontaminate.drop_contaminated(documents, benchmark).collect()}
+    assert kept == {r.doc_id for r in documents.select("doc_id").collect()} - {r.doc_id for r in one}
 
 
 def test_decontamination_edges(spark, edge_documents):
@@ -235,7 +237,7 @@ def test_components_equal_union_find(spark, monkeypatch, partitions):
 def test_components_with_stars_that_differ_by_evaluation(spark, monkeypatch):
     """Each evaluation cuts the edges AX, XK, KZ at a random place, as remote shuffle blocks may."""
 
-    def contracted(batches):
+    def stars(batches):
         import os
 
         import pyarrow as pa
@@ -251,9 +253,10 @@ def test_components_with_stars_that_differ_by_evaluation(spark, monkeypatch):
             cut = 1 + os.urandom(1)[0] % 2
             for part in (edges[:cut], edges[cut:]):
                 if len(part):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in local_components(part[:, 0], part[:, 1])], ["a", "b"])
+                    nodes, root = local_components(part[:, 0], part[:, 1])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (nodes, root, root)], ["key", "root", "mark"])
 
-    monkeypatch.setattr(jaccard_join, "_contracted", contracted)
+    monkeypatch.setattr(jaccard_join, "_stars", lambda seed: stars)
     edges = [(10 * c + a, 10 * c + b) for c in range(200) for a, b in ((0, 2), (2, 1), (1, 3))]
     frame = spark.createDataFrame(edges, "a bigint, b bigint").coalesce(1)
     found = {row.key: row.label for row in jaccard_join.components(frame).collect()}
