@@ -4,7 +4,8 @@ The usual byte-level BPE pattern starts a new match at every change from a
 non-space to a white-space character.  So a text may be cut there, each piece be
 tokenized once, and the ids of a text be gathered by piece.  Only plain spaces and
 newlines are cut at; texts with other or repeated white space are given to
-``whole`` in one, which costs more and is just as right.
+``whole`` in one, which costs more and is just as right.  So are texts that have one of
+the byte strings ``whole_if``, which a tokenizer may look for before its pattern.
 
 Pieces are known by a 64-bit hash of their bytes (kernels.span_hash).
 """
@@ -54,14 +55,23 @@ class PieceCache:
     half that most slices used is kept.
     """
 
-    def __init__(self, encode, whole, capacity: int = CAPACITY):
-        self.encode, self.whole, self.capacity = encode, whole, capacity
+    def __init__(self, encode, whole, capacity: int = CAPACITY, whole_if: list[bytes] = ()):
+        self.encode, self.whole, self.capacity, self.whole_if = encode, whole, capacity, whole_if
         self.table = HashTable()
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
         size = 1 << 16
         self.keys, self.at = np.zeros(size, np.uint64), np.zeros(size, np.int64)
         self.len, self.hits = np.zeros(size, np.int32), np.zeros(size, np.int32)
 
+    def _spelled_out(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        raw, found = data.tobytes(), []
+        for mark in self.whole_if:
+            at = raw.find(mark)
+            while at >= 0:
+                found.append(at)
+                at = raw.find(mark, at + 1)
+        return np.unique(np.searchsorted(offsets, np.array(found, np.int64), side="right") - 1)
+
     def _forget(self) -> None:
         n = self.table.n
         keep = np.sort(np.argsort(-self.hits[:n], kind="stable")[: self.capacity // 2])
@@ -89,6 +99,8 @@ class PieceCache:
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(n, np.int64)
         odd = odd_texts(data, offsets)
+        if self.whole_if:
+            odd = np.union1d(odd, self._spelled_out(data, offsets))
         cut = _GAP[data]
         cut[offsets[:-1][np.diff(offsets) > 0]] = True
         for i in odd.tolist():

@@ -17,7 +17,10 @@ simply written again.
 
 Order.  Shard bounds are quantiles of doc_id (an evenly split, bounded list, read
 from that column alone), so no hot source or group of copies can fill one shard;
-each shard is sorted by doc_id.
+each shard is one partition, sorted by doc_id.
+
+Added tokens of the tokenizer file (such as an end-of-text mark) that a text spells out
+get their own id, as the library gives it; texts with one are encoded in one piece.
 
 Defined edge cases: a null text is empty and has only the end id; a null doc_id
 sorts first; rows of one doc_id are ordered by the hash of their text; an empty
@@ -29,7 +32,6 @@ from __future__ import annotations
 import struct
 import zlib
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +46,8 @@ COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3)
 BITS = tuple(60 // c for c in COUNTS)
 ESCAPE = (1 << BITS[-1]) - 1
 BLOCK = 4096
+#: Pieces that the library encodes as one text.
+PIECES = 2000
 
 STORE_SCHEMA = "shard int, seq int, doc_ids array<bigint>, sizes array<int>, payload binary"
 
@@ -65,16 +69,18 @@ def pack(ids: np.ndarray) -> bytes:
             np.maximum(widest[:-width], need[width:], out=widest[:-width])
             width += 1
         best[: len(padded) - width][widest[: len(padded) - width] <= s] = s
-    step = np.array(COUNTS, np.int64)[best].tolist()
-    places: list[int] = []
-    first_word = np.zeros(n_blocks, np.uint32)
-    for b in range(n_blocks):
-        first_word[b] = len(places)
-        i, end = b * BLOCK, min((b + 1) * BLOCK, len(ids))
-        while i < end:
-            places.append(i)
-            i += step[i]
-    at = np.array(places, np.int64)
+    step = np.array(COUNTS, np.int64)[best]
+    # all blocks are walked at once: each round takes the next word of every block not yet at its end
+    at, end = np.arange(n_blocks) * BLOCK, np.minimum((np.arange(n_blocks) + 1) * BLOCK, len(ids))
+    begins = np.zeros(len(ids), bool)
+    while len(at):
+        begins[at] = True
+        at = at + step[at]
+        inside = at < end
+        if not inside.all():
+            at, end = at[inside], end[inside]
+    at = np.flatnonzero(begins)
+    first_word = np.searchsorted(at, np.arange(n_blocks) * BLOCK).astype(np.uint32)
     # a word that reaches over its block's end may only pack what is inside it
     inside = np.minimum((at // BLOCK + 1) * BLOCK, len(ids)) - at
     select = best[at].astype(np.int64)
@@ -129,17 +135,36 @@ class LibraryEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.cache = PieceCache(self._pieces, self._whole)
+        self.bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.bytes[i] = len(token)  # a byte-level token has a character for each byte
+        added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.cache = PieceCache(self._pieces, self._whole, whole_if=added)
 
     def _pieces(self, pieces: list[str]):
+        """Ids and id counts of pieces, encoded many at a time as one text.
+
+        No token reaches over a piece's end, and tokens stand for whole bytes, so the ends are
+        found by counting bytes.  A piece that doesn't start with white space gets a newline
+        before it, which is a token of its own and is taken out again.
+        """
+        bare = np.array([p[0] not in " \n" for p in pieces], bool)
+        sizes = np.fromiter((len(p.encode()) for p in pieces), np.int64, len(pieces)) + bare
+        texts, groups = [], range(0, len(pieces), PIECES)
+        for i in groups:
+            texts.append("".join(["\n" + p if b else p for p, b in zip(pieces[i : i + PIECES], bare[i : i + PIECES].tolist())]))
         ids, lens = [], []
-        for i in range(0, len(pieces), 5000):  # the library's results are much larger than the ids
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces[i : i + 5000], add_special_tokens=False)]
-            ids.append(np.fromiter(chain.from_iterable(found), np.uint32))
-            lens.append(np.fromiter(map(len, found), np.int64, len(found)))
+        for i, e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            own = np.array(e.ids, np.uint32)
+            stop, until = np.cumsum(sizes[i : i + PIECES]), np.cumsum(self.bytes[own])
+            ends = np.searchsorted(until, stop) + 1
+            if len(until) < ends[-1] or (until[ends - 1] != stop).any():
+                raise ValueError("the tokenizer is not a byte-level one that splits at white space")
+            counts, first = np.diff(ends, prepend=0), bare[i : i + PIECES]
+            ids.append(np.delete(own, (ends - counts)[first]))
+            lens.append(counts - first)
         return np.concatenate(ids), np.concatenate(lens)
 
     def _whole(self, text: str):
@@ -166,10 +191,10 @@ def write_store(df: DataFrame, tokenizer: str, end_id: int, path: str, text: str
     shard = F.lit(0)
     if cuts:
         # the number of bounds at or below the key, by binary search over a literal
-        shard = F.coalesce(F.expr(_bucket(key, cuts, 0, len(cuts))), F.lit(0))
+        shard = F.when(F.col(key).isNotNull(), F.expr(_bucket(key, cuts, 0, len(cuts)))).otherwise(0)
     rows = (
         df.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"), shard.cast("int").alias("shard"))
-        .repartition(n, "shard")
+        .repartitionById(n, F.col("shard"))
         .sortWithinPartitions("shard", "doc_id", F.xxhash64("text"))
     )
 
