@@ -46,10 +46,48 @@ def test_cache_forgets_without_changing_ids(tiktoken_encoding):
         assert split(*encoder.encode(*text_bytes(pa.array(texts)))) == [tiktoken_encoding.encode_ordinary(t) for t in texts]
 
 
+MARKS = ["hello <|endoftext|> x", "a<|endoftext|>b", "<|endoftext|>", "<|endoftext|><|endoftext|> ", "x\n<|endoftext|>\ny", "plain <|endof", "text|> plain"]
+
+
+def fresh_tokenizer(path):
+    """The library as it is: no switch of the operator's own is set."""
+    return pytest.importorskip("tokenizers").Tokenizer.from_file(path)
+
+
 def test_library_pieces_equal_whole_texts():
-    encoder = token_store.LibraryEncoder(P.path("byte_bpe_50k.json"))
-    got = split(*encoder.encode(*text_bytes(pa.array(TEXTS))))
-    assert got == [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in TEXTS]
+    path = P.path("byte_bpe_50k.json")
+    got = split(*token_store.LibraryEncoder(path).encode(*text_bytes(pa.array(TEXTS + MARKS))))
+    library = fresh_tokenizer(path)
+    assert got == [library.encode(t or "", add_special_tokens=False).ids for t in TEXTS + MARKS]
+    assert got[len(TEXTS)] == [31373, 220, 50256, 2124]
+
+
+def test_store_of_marks_and_repeated_rows(spark):
+    """Ids and order with added tokens in the texts, a null doc_id and a repeated one."""
+    path = tokenizer_path("byte_bpe_50k.json")
+    library = fresh_tokenizer(path)
+    rows = [(i, t) for i, t in enumerate(MARKS)] + [(None, "no id"), (3, "again"), (3, None)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(token_store.store_round_trip(frame, path, 2).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, *sorted(i for i, _ in rows if i is not None)]
+    want = sorted((-1 if i is None else i, zlib.crc32(np.array(library.encode(t or "", add_special_tokens=False).ids + [2], "<u4").tobytes())) for i, t in rows)
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.ids_crc32) for r in got) == want
+    assert [r.start for r in got] == [sum(r.n_tokens for r in got[:i]) for i in range(len(got))]
+
+
+def test_long_pretokens_equal_tiktoken(tiktoken_encoding):
+    """Runs without white space: random letters, one letter, many alphabets; and 1 MB of it in time."""
+    import time
+
+    r = np.random.default_rng(5)
+    texts = ["".join(map(chr, r.integers(97, 123, n))) for n in (255, 256, 257, 300, 5000)]
+    texts += ["".join(map(chr, r.integers(0x4E00, 0x9FA0, 3000))), "ab" * 2000, "e" * 4001, "ethe" * 700 + "=" * 900]
+    encoder = bpe_matrix.MatrixEncoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    assert split(*encoder.encode(*text_bytes(pa.array(texts)))) == [tiktoken_encoding.encode_ordinary(t) for t in texts]
+    long = "".join(map(chr, r.integers(97, 123, 1 << 20)))
+    began = time.process_time()
+    flat, _ = encoder.encode(*text_bytes(pa.array([long])))
+    assert time.process_time() - began < 60 and encoder.decode(flat).decode() == long
 
 
 @pytest.mark.parametrize("n", [0, 1, 59, 60, 61, 4095, 4096, 4097, 20000])
@@ -62,7 +100,7 @@ def test_simple8b_round_trip(n, top):
 
 def test_store_in_order_of_doc_id(spark, documents):
     path = tokenizer_path("byte_bpe_50k.json")
-    tokenizer = token_store.LibraryEncoder(path).tokenizer
+    tokenizer = fresh_tokenizer(path)
     got = {r.doc_id: r for r in token_store.store_round_trip(documents, path, 2).collect()}
     start = 0
     for row in documents.orderBy("doc_id").collect():
