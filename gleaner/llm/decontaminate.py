@@ -14,8 +14,10 @@ shorter) and at least ``LEAST_EQUAL`` of them are equal; the window with the mos
 words, and of those a shortest, is the verified overlap.
 
 The items are a stated query set: they go to every task in blocks of at most
-``BLOCK_BYTES`` of text, one pass over the documents for each block, so what is
-broadcast never grows.  Documents are only mapped; nothing about them is shuffled.
+``BLOCK_BYTES`` of text, one pass over the documents for each block.  With more than one
+block each pass is written before the next block is read and its broadcast freed, so
+neither the driver nor an executor ever holds more than one.  Documents are only
+mapped; nothing about them is shuffled.
 
 Defined edge cases: null and empty texts and items hit nothing; items too short for
 one substitution are whole word sequences that have to be equal; repeated rows are
@@ -24,6 +26,8 @@ judged alike; empty tables give empty results; extra columns pass through.
 
 from __future__ import annotations
 
+import hashlib
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -32,7 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.kernels import lower_table, mix, prefix_hash, slices, span_hash, text_bytes, words
-from gleaner.llm.session import prepare
+from gleaner.llm.session import prepare, written
+from gleaner.llm.sketch import split_by_map
 
 #: Seed masks over consecutive words.
 MASKS = ("11101101", "1101011011", "1011100111", "110010010111", "1111101", "100110111", "111111")
@@ -155,14 +160,17 @@ class SeedIndex:
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str):
-    """Broadcast seed indexes of bounded blocks of the benchmark."""
+    """(broadcast seed index, whether there are others) of bounded blocks of the benchmark.
+
+    With others, the caller writes what it makes of a block and destroys its broadcast.
+    """
     items = benchmark.select(F.col(item).cast("bigint").alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = -(-size // BLOCK_BYTES)
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()
         if rows:
-            yield benchmark.sparkSession.sparkContext.broadcast(SeedIndex([r["i"] for r in rows], [r["t"] for r in rows]))
+            yield benchmark.sparkSession.sparkContext.broadcast(SeedIndex([r["i"] for r in rows], [r["t"] for r in rows])), blocks > 1
 
 
 _FOUND = "doc_id bigint, item_id bigint, doc_word bigint, item_word bigint, n_words bigint, n_equal bigint"
@@ -188,8 +196,12 @@ def overlaps(df: DataFrame, benchmark: DataFrame, text: str = "text", key: str =
     spark = prepare(df.sparkSession)
     docs = df.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     out = spark.createDataFrame([], _FOUND)
-    for index in _blocks(benchmark, item, text):
-        out = out.unionByName(_scan(docs, index))
+    for index, others in _blocks(benchmark, item, text):
+        found = _scan(docs, index)
+        if others:
+            found = written(found)
+            index.destroy()
+        out = out.unionByName(found)
     return out
 
 
@@ -207,20 +219,41 @@ def contaminated_pairs(df: DataFrame, benchmark: DataFrame, **names) -> DataFram
     )
 
 
-def drop_contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id") -> DataFrame:
+def _hit(index, column) -> np.ndarray:
+    """Which texts of an Arrow column an item contaminates."""
+    data, offsets = text_bytes(column)
+    hit = np.zeros(len(offsets) - 1, bool)
+    for a, b in slices(offsets):
+        for text, *_ in index.overlaps(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]):
+            hit[a + text] = True
+    return hit
+
+
+def drop_contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", key: str = "doc_id") -> DataFrame:
     """The rows of ``df`` that no benchmark item contaminates, with all columns."""
     prepare(df.sparkSession)
-    place, out = df.columns.index(text), df
-    for index in _blocks(benchmark, item, text):
+    place = df.columns.index(text)
+    docs, gone = df.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")), []
+    for index, others in _blocks(benchmark, item, text):
 
-        def run(batches, index=index):
+        def clean(batches):
             for batch in batches:
-                data, offsets = text_bytes(batch.column(place))
-                clean = np.ones(batch.num_rows, bool)
-                for a, b in slices(offsets):
-                    for text_, *_ in index.value.overlaps(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]):
-                        clean[a + text_] = False
-                yield batch.filter(pa.array(clean))
-
-        out = out.mapInArrow(run, df.schema)
-    return out
+                yield batch.filter(pa.array(~_hit(index.value, batch.column(place))))
+
+        def hits(batches):
+            for batch in batches:
+                own = batch.filter(pa.array(_hit(index.value, batch.column(1))))
+                sha = [hashlib.sha256((t or "").encode()).hexdigest() for t in own.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([own.column(0), pa.array(sha, pa.string())], ["_id", "_sha"])
+
+        if not others:
+            return df.mapInArrow(clean, df.schema)
+        gone.append(written(docs.mapInArrow(hits, "_id bigint, _sha string")))
+        index.destroy()
+    if not gone:
+        return df
+    found = reduce(DataFrame.unionByName, gone).distinct()
+    own = F.col(key).cast("bigint")
+    sure, unsure = split_by_map(df, F.xxhash64(own), found.select(F.xxhash64("_id").alias("place")))
+    same = own.eqNullSafe(F.col("_id")) & (F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256) == F.col("_sha"))
+    return sure.unionByName(unsure.join(found, same, "left_anti"))
