@@ -4,7 +4,8 @@ The trie's first levels are host labels read from the right (``com``, then
 ``example``), so one walk meets the rules of a host and of every parent domain.
 Each host node carries a second trie over path segments, also read in one walk.
 A rule's last path piece may be a part of a segment (``/en/7`` fits ``/en/70``),
-so the node before it keeps such pieces by length.
+so the node before it keeps such pieces by length, and a segment is looked up once for
+each length that occurs there.
 
 Precedence: the fitting rule with the most characters (host plus path) wins; on
 a tie the longer host, then ``block`` before ``allow``.
@@ -54,7 +55,7 @@ def build_trie(rules) -> dict:
         for segment in whole:
             node = node.setdefault(segment, {})
         rank = (len(host) + len(path), len(host), verdict == "block")
-        slot = node if last == "" else node.setdefault(_PART, {})
+        slot = node if last == "" else node.setdefault(_PART, {}).setdefault(len(last), {})
         key = _END if last == "" else last
         if key not in slot or slot[key][0] < rank:
             slot[key] = (rank, host + path, verdict)
@@ -77,8 +78,9 @@ def best_rule(trie: dict, host: str, path: str):
             found = at.get(_END)
             if found and (best is None or found[0] > best[0]):
                 best = found
-            for part, found in at.get(_PART, {}).items():
-                if segment.startswith(part) and (best is None or found[0] > best[0]):
+            for length, parts in at.get(_PART, {}).items():
+                found = parts.get(segment[:length])
+                if found and (best is None or found[0] > best[0]):
                     best = found
             # a segment counts as whole only when a slash follows it
             at = at.get(segment) if i + 1 < len(segments) else None
