@@ -3,7 +3,8 @@
 A tolerant tag scan cuts a page into text blocks and gives each a zone: *main* (in
 article or main), *chrome* (menus, headers, footers, sidebars, notices, adverts, forms,
 comments, by tag, role, class or id) or *open* (neither).  Scripts, styles and comments
-never become text.
+never become text.  A header inside an article is the article's own (title, byline) and
+stays.
 
 A page's text is its main blocks.  A page without any has to be judged by its host:
 the tokens of all its pages outside main are concatenated, page by page, and sorted by
@@ -42,12 +43,15 @@ RUN = 8
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|svg|math|iframe|object|select|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))"
+    r"|<(?P<raw>script|style|textarea|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))"
+    # without an end tag only the tag itself goes, not the rest of the page
+    r"|<(?P<inner>noscript|template|svg|math|iframe|object|select)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:/>|>(?:.*?</(?P=inner)\s*>)?)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<[!?][^>]*>",
     re.S | re.I,
 )
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_ARTICLE = re.compile(r"<(?:article|main)\b", re.I)
 _SPACE = re.compile(r"\s+")
 _HINT_SPLIT = re.compile(r"[^a-z0-9]+")
 
@@ -58,7 +62,9 @@ _BLOCK = frozenset(
 )
 #: Closed by their next sibling or parent as often as by their own end tag.
 _LOOSE = frozenset("p li dt dd td th tr tbody thead tfoot option".split())
-_CHROME_TAGS = frozenset("head nav footer aside form menu dialog button label fieldset".split())
+_CHROME_TAGS = frozenset("head nav footer aside form menu dialog button fieldset".split())
+#: May be laid around a whole page, the article included.
+_WRAPPERS = frozenset("form fieldset dialog".split())
 _CHROME_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar".split())
 _CHROME_WORDS = frozenset(
     "ad ads adbox advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments commentlist consent cookie "
@@ -77,7 +83,9 @@ ALL_HINTS, NOT_ON_MAIN, INSIDE_MAIN = 0, 1, 2
 
 
 def _zone(name: str, attrs: str, outer: int, hints: int) -> int:
-    if outer == CHROME or name in _CHROME_TAGS or (name == "header" and outer != MAIN):
+    if outer == CHROME or (name == "header" and outer != MAIN):
+        return CHROME
+    if name in _CHROME_TAGS and not (name in _WRAPPERS and outer == OPEN and hints == INSIDE_MAIN):
         return CHROME
     shell = name in ("html", "body")
     zone = MAIN if name in ("article", "main") else outer
@@ -105,13 +113,13 @@ def _zone(name: str, attrs: str, outer: int, hints: int) -> int:
 def blocks(page: str) -> list[tuple[int, str]]:
     """(zone, text) of the page's text blocks in order; text has single spaces.
 
-    A page that a class or id on article or main, or around them, left without main
-    blocks is read again without believing those.
+    A page that a class or id on article or main, or around them, or a form laid around
+    them, left without main blocks is read again without believing those.
     """
     found = _blocks(page, ALL_HINTS)
     zones = {z for z, _ in found}
     if found and MAIN not in zones:
-        for hints in (NOT_ON_MAIN, INSIDE_MAIN) if OPEN not in zones else (NOT_ON_MAIN,):
+        for hints in (NOT_ON_MAIN, INSIDE_MAIN) if OPEN not in zones or _ARTICLE.search(page) else (NOT_ON_MAIN,):
             again = _blocks(page, hints)
             if any(z == MAIN for z, _ in again):
                 return again
@@ -122,6 +130,7 @@ def _blocks(page: str, hints: int) -> list[tuple[int, str]]:
     out: list[tuple[int, str]] = []
     parts: list[str] = []
     stack: list[tuple[str, int]] = []
+    opened: dict[str, int] = {}  # tags on the stack, so that a stray end tag costs no search
     zone, at = OPEN, 0
 
     def close() -> None:
@@ -148,10 +157,12 @@ def _blocks(page: str, hints: int) -> list[tuple[int, str]]:
         if name in _VOID:
             continue
         if m["end"]:
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if opened.get(name) else ():
                 if stack[i][0] == name:
                     if stack[i][1] != zone or any(z != zone for _, z in stack[i:]):
                         close()
+                    for inner, _ in stack[i:]:
+                        opened[inner] -= 1
                     del stack[i:]
                     break
                 if name not in _BLOCK and stack[i][0] in _BLOCK:
@@ -167,13 +178,14 @@ def _blocks(page: str, hints: int) -> list[tuple[int, str]]:
         if stack and stack[-1][0] == "head":
             # its own tags are void or raw: any other one ends it
             close()
-            stack.pop()
+            opened[stack.pop()[0]] -= 1
             zone = stack[-1][1] if stack else OPEN
         new = _zone(name, attrs, zone, hints)
         if name not in _LOOSE or new != zone:
             if new != zone:
                 close()
             stack.append((name, new))
+            opened[name] = opened.get(name, 0) + 1
             zone = new
     if at < len(page):
         parts.append(page[at:])
