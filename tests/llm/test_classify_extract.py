@@ -85,12 +85,39 @@ def test_blocks_of_a_page():
         "<body><div class='search widget'><main><p>the text</p><p class='share'>like it</p></main></div></body>",
         "<html><head><meta charset='x'><title>t</title><style>p{}</style><body><main>the text</main></body></html>",
         "<html><head><title>t</title><article>the text</article></html>",
+        "<body class='has-sidebar'><article>the text</article></body>",
+        "<body><article class='post comments-open'>the text</article></body>",
+        "<body><form action='/'><nav>menu</nav><article>the text</article><input></form></body>",
+        "<body><form><p>Search</p></form><article>the text</article></body>",
+        "<body><article><svg width='1'>the text</article></body>",
+        "<body><article><iframe src='x'>the text</article></body>",
+        "<body><article>the <label>text</label></article></body>",
     ],
 )
 def test_hints_and_open_heads_keep_the_article(page):
     assert [t for z, t in html_extract.blocks(page) if z == html_extract.MAIN] == ["the text"]
 
 
+def test_stray_end_tags_cost_no_search():
+    import time
+
+    page = "<article>" + "<div>" * 5000 + "the text" + "</span></section>" * 5000 + "</article>"
+    began = time.process_time()
+    assert [t for z, t in html_extract.blocks(page) if z == html_extract.MAIN] == ["the text"]
+    assert time.process_time() - began < 1.5
+
+
+def test_long_repeated_and_malformed_pages(spark):
+    """A page of 2 MB, unfinished markup, repeated page_ids and an input column with a result's name."""
+    long = "<article>" + "".join(f"<p>Line {i} &amp; more</p>" for i in range(80_000)) + "</article>"
+    rows = [(1, "http://h.org/1", long), (2, "http://h.org/2", "<article><p>cut <b"), (2, "http://h.org/2", "<article>again")]
+    rows += [(3, "http://h.org/3", "a < b <article>c > d</artic"), (4, None, "&#xD800;&bogus;<article>&lt;p&gt;</article>")]
+    frame = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumns({"text": F.lit(7), "n_chars": F.lit("x"), "host": F.lit(1)})
+    got = sorted(html_extract.extract_pages(frame).collect(), key=lambda r: (r.page_id, r.text))
+    assert got[0].text.split("\n")[79_999] == "Line 79999 & more" and got[0].n_chars == len(got[0].text)
+    assert [r.text for r in got[1:]] == ["again", "cut <b", "c > d</artic", "<p>"]
+
+
 def test_pages_equal_their_articles(spark):
     """All pages of the table have one flat article; a plain reading of it is the truth."""
     import html
@@ -163,6 +190,13 @@ def test_license_rules(spark):
         ("", 0, ""),
         (None, 0, ""),
         ("mit license " * 3000, 3000, "mit"),
+        ("Released under GPLv2", 0, "gpl-2.0"),
+        ("licensed under GPL-3.0", 0, "gpl-3.0"),
+        ("BSD license", 0, "bsd"),
+        ("LGPL v2.1 license", 0, "lgpl-2.1"),
+        ("GPL v3 or later license", 0, "gpl-3.0-or-later"),
+        ("Apache License v2.0", 1, "apache,apache-2.0"),
+        ("the gplv, a gpl and 2 more", 0, ""),
     ]
     frame = spark.createDataFrame([(i, t, "old") for i, (t, _, _) in enumerate(cases)], "doc_id int, text string, labels string")
     rows = {r.doc_id: r for r in license_scan.scan_licenses(frame).collect()}
@@ -194,6 +228,48 @@ def test_each_license_rule_alone(spark):
     assert [(r.label, r.text) for r in rows if r.label not in r.labels.split(",") or not r.score] == []
 
 
+def test_license_edges(spark, edge_documents):
+    out = license_scan.scan_licenses(edge_documents)
+    assert sorted(out.columns) == sorted({*edge_documents.columns, "n_words", "n_base", "first_word", "last_word", "base_labels", "labels"})
+    assert {(r.n_base, r.labels, r.score) for r in out.collect()} == {(0, "", 0.0)}
+    assert license_scan.scan_licenses(edge_documents.limit(0)).count() == 0
+
+
+def brute_force_labels(text):
+    """All rules on one text, suppressed as the module says, word by word."""
+    lowered = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    words = re.findall(license_scan.WORD, lowered)
+    norm = " " + " ".join(words) + " "
+    found = []
+    for label, keyword, priority, confidence, pattern, base in license_scan.signature_rules():
+        if keyword in norm:
+            for m in re.finditer(rf"(?<= )(?:{pattern})(?= )", norm):
+                at = norm[: m.start()].count(" ") - 1
+                found.append((at, -(m[0].count(" ") + 1), -priority, label, confidence, base))
+    labels, score, shown = set(), 0.0, []
+    for at, n, rank, label, confidence, base in sorted(found):
+        stop = at - n
+        if not base and any(a <= at and b >= stop and r <= rank for a, b, r in shown):
+            continue
+        labels.add(label)
+        score = max(score, confidence)
+        shown.append((at, stop, rank))
+    return ",".join(sorted(labels)), score
+
+
+def test_license_labels_equal_brute_force(spark):
+    """The tables' texts with a stem, and made-up mixtures of the rules' own samples."""
+    import random
+
+    r = random.Random(3)
+    samples = [x for _, _, _, _, pattern, _ in license_scan.signature_rules() for x in license_samples(pattern)]
+    texts = [" ".join(r.choice([r.choice(samples), "and", "The", "license", "v2", "- 2.0"]) for _ in range(r.randrange(1, 12))) for _ in range(400)]
+    texts += [t for (t,) in duckdb.sql("select text from '/root/testdata/sf0.01/documents.parquet' where lower(text) like '%licen%'").fetchall()]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    for row in license_scan.scan_licenses(frame).collect():
+        assert (row.labels, row.score) == brute_force_labels(row.text), row.text
+
+
 def test_url_rules(spark):
     urls = {
         "http://a.b.com/en/x": ("com/en/", "block"),
@@ -215,6 +291,21 @@ def test_url_rules(spark):
     assert url_rules.judge_urls(frame.limit(0), url_rules.CONTRACT_RULES).count() == 0
 
 
+def test_many_rules_of_one_host_and_long_urls(spark):
+    """Unfinished pieces are looked up by length: 50,000 of a host, and a url of 1 MB; repeated rows."""
+    import time
+
+    rules = [("block" if i % 2 else "allow", "h.org", f"/p/{i:05d}") for i in range(50_000)]
+    trie = url_rules.build_trie(rules)
+    began = time.process_time()
+    for i in range(0, 50_000, 10):
+        assert url_rules.best_rule(trie, "www.h.org", f"/p/{i:05d}x")[1] == f"h.org/p/{i:05d}"
+    assert time.process_time() - began < 2
+    urls = ["http://h.org/p/00007" + "x" * (1 << 20), "http://h.org/p/00007", "http://h.org/p/00007", "http://" + "a." * 500_000 + "com/en/"]
+    got = url_rules.judge_urls(spark.createDataFrame([(u,) for u in urls], "url string"), [*rules[:100], *url_rules.CONTRACT_RULES]).collect()
+    assert [r.rule for r in got] == ["h.org/p/00007"] * 3 + ["com/en/"]
+
+
 def test_url_rules_in_several_tries(spark, monkeypatch):
     monkeypatch.setattr(url_rules, "MAX_RULES", 2)
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
