@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.kernels import mix, slices, text_bytes
 from gleaner.llm.session import prepare, written
-from gleaner.llm.sketch import hash_bitmap, in_bitmap
+from gleaner.llm.sketch import hash_bitmap, in_bitmap, split_by_map
 
 #: Deleted before comparison.
 WHITE = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
@@ -184,10 +184,18 @@ def _verdicts(df: DataFrame, text: str, key: str) -> DataFrame:
 
 
 def drop_copies(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of ``df`` that stay, with all their columns."""
-    kept = _verdicts(df, text, key).where("kept").select(
+    """The rows of ``df`` that stay, with all their columns.
+
+    Rows whose doc_id no dropped or repeated row has stay without being moved.
+    """
+    verdicts = written(_verdicts(df, text, key))
+    place = lambda c: F.xxhash64(c.cast("bigint"))
+    doubtful = verdicts.where("NOT kept OR repeats > 1").select(place(F.col("doc_id")).alias("place"))
+    sure, df = split_by_map(df, place(F.col(key)), doubtful)
+    kept = verdicts.where("kept").select(
         F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("n_chars").alias("_chars"), "repeats"
     )
+    kept = split_by_map(kept, place(F.col("_id")), doubtful)[1]
     value = F.coalesce(F.col(text), F.lit(""))
     plain = value
     for white in WHITE.decode():
@@ -198,4 +206,4 @@ def drop_copies(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
     # rows that repeat a kept row: one of each stays
     one = Window.partitionBy("_id", "_s").orderBy(F.xxhash64(text))
     again = joined.where("repeats > 1").withColumn("_r", F.row_number().over(one)).where("_r = 1")
-    return joined.where("repeats = 1").select(*df.columns).unionByName(again.select(*df.columns))
+    return sure.unionByName(joined.where("repeats = 1").select(*df.columns)).unionByName(again.select(*df.columns))

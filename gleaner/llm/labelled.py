@@ -31,7 +31,8 @@ def labelled_sample(
     At most ``positives`` and ``negatives`` rows of either label, those with the
     least hash of doc_id, as far as ``max_bytes`` of text go; the same rows at every
     run.  A single text of more than a ``TEXT_PART``-th of ``max_bytes`` is left out
-    before that total is taken.  Rows without a doc_id or label are left out, repeated doc_ids count once.
+    before that total is taken.  Rows without a doc_id or label are left out, repeated doc_ids count
+    once, with the least of their texts.
     """
     rows = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & usable)
@@ -46,6 +47,8 @@ def labelled_sample(
     chosen = least(1, positives).unionByName(least(0, negatives))
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
     texts = texts.where(F.octet_length("text") * TEXT_PART <= max_bytes)
+    # rows that repeat a doc_id give one text, so the window has a bounded number of rows
+    texts = texts.groupBy("doc_id", "_y", "_h").agg(F.min("text").alias("text"))
     running = Window.orderBy("_h", "doc_id", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     texts = texts.withColumn("_b", F.sum(F.octet_length("text")).over(running)).where(F.col("_b") <= max_bytes)
     found = texts.select("text", "_y").toPandas()
