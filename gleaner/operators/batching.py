@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import json
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 BUDGET = 28_000
 
@@ -16,10 +13,22 @@ class BatchError(Exception):
     """One item alone is over the budget."""
 
 
-@F.pandas_udf(T.LongType())
-def json_chars(text: pd.Series) -> pd.Series:
-    """Length of a text as compact, ASCII-escaped JSON."""
-    return text.map(lambda t: len(json.dumps(t)))
+def json_chars(text: Column) -> Column:
+    """Length of a text as compact JSON with everything but printable ASCII escaped; null is ``null``.
+
+    Two quotes, a character each, one more for a short escape, five more for a
+    four-digit one and eleven more where that takes a surrogate pair.
+    """
+    more = lambda pattern, n: n * F.regexp_count(text, F.lit(pattern))
+    short = more(r'["\\\x08\x0c\n\r\t]', 1)
+    long_ = more(r"[\x00-\x07\x0b\x0e-\x1f\x7f-\x{ffff}]", 5)
+    return F.coalesce(F.length(text) + 2 + short + long_ + more(r"[\x{10000}-\x{10ffff}]", 11), F.lit(4)).cast("bigint")
+
+
+def entry_chars(**members: Column) -> Column:
+    """Length of a compact JSON object with these string members."""
+    keys = sum(len(k) + 4 for k in members) + 1  # quotes, colon, comma; the braces
+    return sum((json_chars(v) for v in members.values()), F.lit(keys)).cast("bigint")
 
 
 def tokens_of(chars: Column) -> Column:
@@ -68,7 +77,8 @@ def pack_pairs(plans: DataFrame, budget: int = BUDGET) -> DataFrame:
     """Batches of candidate-fact pairs that share one array of distinct facts.
 
     plans: project, ord, claim_chars, fact_id, fact_chars (a row for each pair).  Yields
-    batch_no, i (candidate) and j (fact) positions; both start anew in each batch.
+    batch_no, i (candidate) and j (fact) positions; both start anew in each batch.  A
+    project's plans are those of one run, whose candidates the cap bounds.
     """
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
@@ -90,3 +100,14 @@ def pack_pairs(plans: DataFrame, budget: int = BUDGET) -> DataFrame:
 
     schema = "project string, ord bigint, fact_id bigint, batch_no int, i int, j int"
     return plans.groupBy("project").applyInPandas(fold, schema)
+
+
+def spend(asked: DataFrame, batch: list[str], chars: str, fixed_chars: int = 0) -> DataFrame:
+    """api_calls and usage: the batches, and the tokens sent in them and answered.
+
+    asked: a row for each question, with ``chars`` of its state and an ``answer``.
+    """
+    sent = asked.groupBy(*batch).agg((F.sum(chars) + fixed_chars).alias("sent"), F.sum(json_chars(F.col("answer"))).alias("told"))
+    return sent.agg(
+        F.count("*").alias("api_calls"), F.coalesce(F.sum(tokens_of(F.col("sent")) + tokens_of(F.col("told"))), F.lit(0)).alias("usage")
+    )

@@ -74,6 +74,7 @@ def candidate_groups(found: DataFrame) -> DataFrame:
             F.min_by("event_id", place).alias("event_id"),
             F.min_by("context", place).alias("context"),
             F.min("seq").alias("first_seq"),
+            F.min(place)["ordinal"].alias("first_ordinal"),
             F.count("*").alias("occurrences"),
             F.array_distinct(
                 F.transform(F.array_sort(F.collect_list(F.struct("seq", "ordinal", "event_id"))), lambda x: x["event_id"])
@@ -82,27 +83,30 @@ def candidate_groups(found: DataFrame) -> DataFrame:
     )
 
 
-def queue_selection(events: DataFrame, found: DataFrame, cap: int) -> DataFrame:
-    """Events of each project in order, and whether the capped run takes them.
+def queue_stops(found: DataFrame, cap: int) -> DataFrame:
+    """(project, stop): the first event that the capped run of a project does not take.
 
-    An event is taken while the groups covered before it plus its own new candidates
-    stay within the cap; the first that does not fit ends the run.  Windows are by
-    project, whose queue is what one run may look at.
+    An event is taken while the groups covered before it plus its own new candidates stay
+    within the cap.  The run stops at the event of the (cap + 1)-th group at the latest,
+    so only the first cap + 1 groups of a project (a top-k that is taken per task first)
+    and their events are looked at in order.
     """
     keyed = found.withColumn("norm", claim_norm(F.col("text")))
-    firsts = keyed.groupBy("project", "norm", "role").agg(F.min("seq").alias("first_seq"))
-    fresh = firsts.groupBy("project", F.col("first_seq").alias("seq")).agg(F.count("*").alias("covers"))
-    rows = keyed.join(firsts, ["project", "norm", "role"]).where("seq = first_seq")
-    fresh_rows = rows.groupBy("project", "seq").agg(F.count("*").alias("fresh"))
-    counted = (
-        events.join(fresh, ["project", "seq"], "left")
-        .join(fresh_rows, ["project", "seq"], "left")
-        .fillna(0, ["covers", "fresh"])
-    )
-    before = Window.partitionBy("project").orderBy("seq")
-    covered = F.coalesce(F.sum("covers").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    over = counted.withColumn("over", (covered + F.col("fresh") > cap).cast("int"))
-    return over.withColumn("selected", F.max("over").over(before) == 0).drop("over", "covers", "fresh")
+    group = ["project", "norm", "role"]
+    firsts = keyed.groupBy(*group).agg(F.min("seq").alias("seq"))
+    early = Window.partitionBy("project").orderBy("seq", "role", "norm")
+    firsts = firsts.withColumn("_n", F.row_number().over(early)).where(F.col("_n") <= cap + 1).drop("_n")
+    fresh = keyed.select(*group, "seq").join(firsts, [*group, "seq"]).groupBy("project", "seq").agg(F.count("*").alias("fresh"))
+    covers = firsts.groupBy("project", "seq").agg(F.count("*").alias("covers")).join(fresh, ["project", "seq"])
+    before = Window.partitionBy("project").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    covered = F.coalesce(F.sum("covers").over(before), F.lit(0))
+    return covers.withColumn("covered", covered).where(F.col("covered") + F.col("fresh") > cap).groupBy("project").agg(F.min("seq").alias("stop"))
+
+
+def queue_selection(events: DataFrame, found: DataFrame, cap: int) -> DataFrame:
+    """Events, and whether the capped run of their project takes them (see queue_stops)."""
+    joined = events.join(queue_stops(found, cap), "project", "left")
+    return joined.withColumn("selected", F.col("stop").isNull() | (F.col("seq") < F.col("stop"))).drop("stop")
 
 
 def session_closure(events: DataFrame) -> DataFrame:

@@ -1,8 +1,10 @@
-"""Judges: deterministic stand-ins for a scoring service, as Column expressions.
+"""Judges: what answers typed questions, and deterministic stand-ins for a scoring service.
 
-A judge gives each subject its answers.  ``hash_answers`` spreads them over the whole
-range, so that every gate has rows on both sides; the constant judges mirror the
-normal and adversarial offline doubles.
+A judge gets question rows (see gleaner.operators.questions) and adds the column
+``answer``, a JSON object.  ColumnJudge makes answers from Column expressions:
+``hash_answers`` spreads them over the whole range, so that every gate has rows on both
+sides; the constant ones mirror the normal and adversarial offline doubles.  A remote
+judge would override ``ask`` with a mapInPandas over the rows of a batch.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ from gleaner.functions.text import CATEGORIES
 
 PAIR_VERDICTS = ("new_overrides", "old_stands", "unclear")
 DISPOSITIONS = ("keep", "stale", "wrong", "unsupported")
+#: Probability of the chosen option.
+PEAK = 0.7
 
 
 def unit_hash(text: Column) -> Column:
@@ -42,6 +46,22 @@ def adversarial_answers() -> dict[str, Column]:
     return {"durable": F.lit(0.5), "significance": F.lit(1.5), "category": F.lit(CATEGORIES[0])}
 
 
+def normal_pair_answers() -> dict[str, Column]:
+    return {"same_claim": F.lit(0.9), "contradicts": F.lit(0.08), "verdict": F.lit("new_overrides"), "verdict_confidence": F.lit(0.8)}
+
+
+def normal_line_answers() -> dict[str, Column]:
+    return {"supported": F.lit(0.9), "contradicted": F.lit(0.08), "disposition": F.lit("keep"), "confidence": F.lit(0.8)}
+
+
+def adversarial_pair_answers() -> dict[str, Column]:
+    return {"same_claim": F.lit(0.5), "contradicts": F.lit(0.5), "verdict": F.lit(PAIR_VERDICTS[0]), "verdict_confidence": F.lit(0.0)}
+
+
+def adversarial_line_answers() -> dict[str, Column]:
+    return {"supported": F.lit(0.5), "contradicted": F.lit(0.5), "disposition": F.lit(DISPOSITIONS[0]), "confidence": F.lit(0.0)}
+
+
 def hash_pair_answers(text: Column) -> dict[str, Column]:
     """Answers about a pair of claims."""
     return {
@@ -69,6 +89,89 @@ def scripted(subjects: DataFrame, answers: DataFrame, on: list[str]) -> DataFram
     return joined.where(F.coalesce(missing, F.lit(True))).drop("_given")
 
 
+def answer_json(kind: Column, value: Column, confidence: Column, criteria: Column) -> Column:
+    """The JSON answer of a question: noul and score values as numbers, a choice by name."""
+    at = F.col("_level").cast("double")
+    chosen = F.transform(criteria, lambda o: F.when(o == value, PEAK).otherwise((1 - PEAK) / F.greatest(F.size(criteria) - 1, F.lit(1))))
+    near = F.transform(criteria, lambda o, i: F.greatest(F.lit(0.0), 1 - F.abs(at - i)))
+    levels = F.transform(criteria, lambda o, i: i.cast("string"))
+    noul = F.to_json(F.struct(kind.alias("type"), at.alias("noul")))
+    choice = F.to_json(
+        F.struct(kind.alias("type"), value.alias("choice"), F.map_from_arrays(criteria, chosen).alias("probabilities"), confidence.alias("confidence"))
+    )
+    score = F.to_json(
+        F.struct(
+            kind.alias("type"), at.alias("score"), F.map_from_arrays(levels, criteria).alias("legend"),
+            F.map_from_arrays(levels, near).alias("probabilities"), confidence.alias("confidence"),
+        )
+    )
+    return F.when(kind == "noul", noul).when(kind == "choice", choice).otherwise(score)
+
+
+class Judge:
+    """Answers question rows: adds ``answer``, a JSON object for each."""
+
+    def ask(self, questions: DataFrame) -> DataFrame:
+        raise NotImplementedError
+
+
+class ColumnJudge(Judge):
+    """Answers by Column expressions of the subject's text (candidates, lines) or name (pairs)."""
+
+    def __init__(self, candidate=hash_answers, pair=hash_pair_answers, line=hash_line_answers):
+        self.candidate, self.pair, self.line = candidate, pair, line
+
+    def ask(self, questions: DataFrame) -> DataFrame:
+        given = {**self.candidate(F.col("text")), **self.pair(F.col("subject")), **self.line(F.col("text"))}
+        value = F.lit(None).cast("string")
+        for name in ("category", "verdict", "disposition"):
+            value = F.when(F.col("name") == name, given[name]).otherwise(value)
+        number = F.lit(None).cast("double")
+        for name in ("durable", "significance", "same_claim", "contradicts", "supported", "contradicted"):
+            number = F.when(F.col("name") == name, given[name]).otherwise(number)
+        sure = F.when(F.col("name") == "verdict", given["verdict_confidence"]).when(F.col("name") == "disposition", given["confidence"])
+        rows = questions.withColumns({"_value": value, "_level": number, "_sure": sure.otherwise(F.lit(0.8))})
+        answer = answer_json(F.col("type"), F.col("_value"), F.col("_sure"), F.col("criteria"))
+        return rows.withColumn("answer", answer).drop("_value", "_level", "_sure")
+
+
+def normal_judge() -> ColumnJudge:
+    return ColumnJudge(lambda text: normal_answers(), lambda name: normal_pair_answers(), lambda text: normal_line_answers())
+
+
+def adversarial_judge() -> ColumnJudge:
+    return ColumnJudge(lambda text: adversarial_answers(), lambda name: adversarial_pair_answers(), lambda text: adversarial_line_answers())
+
+
+def planted_judge(rules: list[tuple[str, str]], default: str = "keep") -> ColumnJudge:
+    """Lines by the first rule whose text they contain; all else as the normal judge."""
+    line = lambda text: normal_line_answers() | {"disposition": planted(text, rules, default), "confidence": F.lit(0.9)}
+    return ColumnJudge(lambda text: normal_answers(), lambda name: normal_pair_answers(), line)
+
+
+class ScriptedJudge(Judge):
+    """Answers from a table (question_id, answer); one without an answer is a protocol error."""
+
+    def __init__(self, answers: DataFrame):
+        self.answers = answers
+
+    def ask(self, questions: DataFrame) -> DataFrame:
+        return scripted(questions, self.answers.select("question_id", "answer"), ["question_id"])
+
+
+class IdealJudge(Judge):
+    """Answers lines with their planted disposition (text, disposition), and all else as the normal judge."""
+
+    def __init__(self, truth: DataFrame):
+        self.truth = truth
+
+    def ask(self, questions: DataFrame) -> DataFrame:
+        known = self.truth.select("text", F.col("disposition").alias("_planted")).dropDuplicates(["text"])
+        line = lambda text: normal_line_answers() | {"disposition": F.coalesce("_planted", F.lit("keep")), "confidence": F.lit(0.95)}
+        own = ColumnJudge(lambda text: normal_answers(), lambda name: normal_pair_answers(), line)
+        return own.ask(questions.join(known, "text", "left")).drop("_planted")
+
+
 def planted(line: Column, rules: list[tuple[str, str]], default: str = "keep") -> Column:
     """Disposition by the first rule whose text the line contains."""
     out = F.lit(default)

@@ -1,26 +1,43 @@
-"""Lifecycle of facts, links and runs as functions from one snapshot to the next."""
+"""Lifecycle of facts, links and runs as functions from one snapshot to the next.
+
+Facts and links belong to a project: a fact is named by (project, fact_id) wherever both
+sides of a join have a project.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import CATEGORIES
 
 ASK_RUNS = 3
 STATUSES = ("active", "superseded", "retired", "ask")
+RESOLVE_CHOICES = ("keep_new", "keep_old")
+
+
+def _key(*frames: DataFrame) -> list[str]:
+    return [c for c in ("project", "fact_id") if all(c in f.columns for f in frames)]
 
 
 def add_links(links: DataFrame, new: DataFrame) -> DataFrame:
-    """Edges (fact_id, related_id, relation), each once."""
-    edge = ["fact_id", "related_id", "relation"]
-    return links.unionByName(new.select(*edge).distinct().join(links, edge, "left_anti"))
+    """Edges (project, fact_id, related_id, relation), each once; new ones come after the old ones."""
+    edge = [*_key(links, new), "related_id", "relation"]
+    fresh = new.select(*edge).distinct().join(links, edge, "left_anti")
+    if "seq" in links.columns:
+        by = [c for c in edge if c == "project"]
+        last = links.groupBy(*by).agg(F.max("seq").alias("_last"))
+        fresh = fresh.join(last, by, "left") if by else fresh.crossJoin(F.broadcast(last))
+        order = Window.partitionBy(*by).orderBy("fact_id", "related_id", "relation")
+        fresh = fresh.withColumn("seq", F.coalesce("_last", F.lit(0)) + F.row_number().over(order)).drop("_last")
+    return links.unionByName(fresh)
 
 
 def bump_support(facts: DataFrame, support: DataFrame, now: str) -> DataFrame:
     """Add source events (fact_id, event_id) that a fact does not have yet."""
-    gained = support.groupBy("fact_id").agg(F.array_sort(F.collect_set("event_id")).alias("_new"))
-    joined = facts.join(gained, "fact_id", "left")
+    key = _key(facts, support)
+    gained = support.groupBy(*key).agg(F.array_sort(F.collect_set("event_id")).alias("_new"))
+    joined = facts.join(gained, key, "left")
     added = F.array_except(F.coalesce("_new", F.array().cast("array<string>")), F.col("source_event_ids"))
     more = F.size(added)
     return joined.withColumns(
@@ -36,7 +53,8 @@ def bump_support(facts: DataFrame, support: DataFrame, now: str) -> DataFrame:
 def set_status(facts: DataFrame, ids: DataFrame, status: str, now: str) -> DataFrame:
     """Change the status of facts; only active and asked ones stay indexed."""
     hit = F.col("_hit").isNotNull()
-    joined = facts.join(ids.select("fact_id").distinct().withColumn("_hit", F.lit(True)), "fact_id", "left")
+    key = _key(facts, ids)
+    joined = facts.join(ids.select(*key).distinct().withColumn("_hit", F.lit(True)), key, "left")
     changes = {
         "status": F.when(hit, F.lit(status)).otherwise(F.col("status")),
         "updated_at": F.when(hit, F.lit(now)).otherwise(F.col("updated_at")),
@@ -49,8 +67,31 @@ def set_status(facts: DataFrame, ids: DataFrame, status: str, now: str) -> DataF
 
 def supersede(facts: DataFrame, links: DataFrame, pairs: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
     """pairs: fact_id is superseded by by_id; returns new (facts, links)."""
-    edges = pairs.select(F.col("by_id").alias("fact_id"), F.col("fact_id").alias("related_id"), F.lit("supersedes").alias("relation"))
-    return set_status(facts, pairs.select("fact_id"), "superseded", now), add_links(links, edges)
+    project = [c for c in pairs.columns if c == "project"]
+    edges = pairs.select(*project, F.col("by_id").alias("fact_id"), F.col("fact_id").alias("related_id"), F.lit("supersedes").alias("relation"))
+    return set_status(facts, pairs.select(*project, "fact_id"), "superseded", now), add_links(links, edges)
+
+
+def retire(facts: DataFrame, ids: DataFrame, now: str) -> DataFrame:
+    """Out of the index; the row stays."""
+    return set_status(facts, ids, "retired", now)
+
+
+def mark_ask(facts: DataFrame, ids: DataFrame, now: str) -> DataFrame:
+    """Hold facts for a decision; they stay indexed and count runs from zero."""
+    return set_status(facts, ids, "ask", now)
+
+
+def reactivate(facts: DataFrame, ids: DataFrame, now: str) -> DataFrame:
+    return set_status(facts, ids, "active", now)
+
+
+def mark_verified(facts: DataFrame, ids: DataFrame, now: str) -> DataFrame:
+    """The audit mark of older stores; nothing here sets it by itself."""
+    key = _key(facts, ids)
+    joined = facts.join(ids.select(*key).distinct().withColumn("_hit", F.lit(True)), key, "left")
+    changed = {c: F.when(F.col("_hit"), F.lit(now)).otherwise(F.col(c)) for c in ("verified_at", "updated_at")}
+    return joined.withColumns(changed).drop("_hit")
 
 
 def bump_and_expire_asks(facts: DataFrame, now: str, runs: int = ASK_RUNS) -> DataFrame:
@@ -70,30 +111,39 @@ def bump_and_expire_asks(facts: DataFrame, now: str, runs: int = ASK_RUNS) -> Da
 
 
 def resolve(facts: DataFrame, links: DataFrame, fact_id: int, choice: str, now: str) -> tuple[DataFrame, DataFrame]:
-    """Settle an ask: keep_new supersedes all its partners, keep_old retires it."""
+    """Settle an ask of one project: keep_new supersedes all its partners, keep_old retires it."""
     found = facts.where(F.col("fact_id") == fact_id).select("status").first()
     if found is None or found["status"] != "ask":
         raise ValueError(f"fact {fact_id} is not an open ask")
-    own = facts.where(F.col("fact_id") == fact_id).select("fact_id")
-    if choice == "keep_old":
-        return set_status(facts, own, "retired", now), links
-    if choice != "keep_new":
+    if choice not in RESOLVE_CHOICES:
         raise ValueError("choice is keep_new or keep_old")
+    own = facts.where(F.col("fact_id") == fact_id).select("fact_id")
+    project = [c for c in links.columns if c == "project"]
     partners = links.where((F.col("fact_id") == fact_id) & (F.col("relation") == "contradicts")).select(
-        F.col("related_id").alias("fact_id"), F.lit(fact_id).cast("bigint").alias("by_id")
+        *project, F.col("related_id").alias("fact_id"), F.lit(fact_id).cast("bigint").alias("by_id")
     )
     if partners.isEmpty():
         raise ValueError(f"ask {fact_id} has no partners")
+    if choice == "keep_old":
+        return retire(facts, own, now), links
     facts, links = supersede(facts, links, partners, now)
-    return set_status(facts, own, "active", now), links
+    return reactivate(facts, own, now), links
+
+
+def contradicts_partners(facts: DataFrame, links: DataFrame) -> DataFrame:
+    """(project, fact_id, partner_id, partner_claim, seq): partners of conflict edges, by seq the oldest first."""
+    edges = links.where("relation = 'contradicts'").select("project", "fact_id", F.col("related_id").alias("partner_id"), "seq")
+    claims = facts.select("project", F.col("fact_id").alias("partner_id"), F.col("claim").alias("partner_claim"))
+    return edges.join(claims, ["project", "partner_id"])
 
 
 def open_asks(facts: DataFrame, links: DataFrame) -> DataFrame:
-    """Open asks with the claim of their first partner."""
-    first = links.where("relation = 'contradicts'").groupBy("fact_id").agg(F.min_by("related_id", "seq").alias("partner_id"))
-    asks = facts.where("status = 'ask'").select("project", "fact_id", "claim").join(first, "fact_id", "left")
-    claims = facts.select(F.col("fact_id").alias("partner_id"), F.col("claim").alias("partner_claim"))
-    return asks.join(claims, "partner_id", "left")
+    """Open asks with their first partner."""
+    first = contradicts_partners(facts, links).groupBy("project", "fact_id").agg(
+        F.min_by(F.struct("partner_id", "partner_claim"), "seq").alias("p")
+    )
+    asks = facts.where("status = 'ask'").select("project", "fact_id", "claim", "confidence")
+    return asks.join(first, ["project", "fact_id"], "left").select("project", "fact_id", "claim", "confidence", "p.partner_id", "p.partner_claim")
 
 
 def sessions_by_fact(facts: DataFrame, events: DataFrame) -> DataFrame:
@@ -114,6 +164,28 @@ def memory_order(facts: DataFrame) -> DataFrame:
     return rows.orderBy("_p", "category", F.desc("significance"), F.desc("confidence"), "fact_id").drop("_p")
 
 
+def memory_places(facts: DataFrame) -> DataFrame:
+    """``facts`` of the memory file with ``place``, its line number there from 1.
+
+    Facts are counted by category and significance in steps of a thousandth, which are a
+    bounded number of rows; sums over these give each step's first place, and only facts
+    of one step are put in order together.
+    """
+    at = category_place(F.col("category"))
+    rows = facts.where("status = 'active' AND category != 'none'").withColumns(
+        {
+            "_p": F.when(at == 0, 99).otherwise(at),
+            # unknown categories go by name first
+            "_s": F.when(at == 0, 0).otherwise(-F.floor(F.greatest(F.lit(0.0), F.least(F.lit(3.0), F.col("significance"))) * 1000)),
+        }
+    )
+    step = ["_p", "_s"]
+    before = Window.orderBy(*step).rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(*step).agg(F.count("*").alias("_n")).withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = Window.partitionBy(*step).orderBy("category", F.desc("significance"), F.desc("confidence"), "fact_id")
+    return rows.withColumn("_r", F.row_number().over(inside)).join(starts, step).withColumn("place", F.col("_first") + F.col("_r")).drop(*step, "_r", "_first")
+
+
 def recall_topk(facts: DataFrame, limit: int = 12) -> DataFrame:
     return facts.where("status = 'active'").orderBy(F.desc("confidence"), "fact_id").limit(limit)
 

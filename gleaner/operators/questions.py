@@ -6,11 +6,13 @@ Question ids name the subject's position in its batch: ``c0_durable``,
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import CATEGORIES, LEVELS
-from gleaner.operators.judges import DISPOSITIONS, PAIR_VERDICTS
+from gleaner.operators.judges import DISPOSITIONS, PAIR_VERDICTS, answer_errors
 
 #: (name, type, prompt, criteria) by phase.
 PHASE_A = (
@@ -31,11 +33,12 @@ PHASE_C = (
 
 
 def ask(subjects: DataFrame, prefix: Column, phase) -> DataFrame:
-    """Three question rows for each subject: question_id, type, prompt, criteria."""
+    """Three question rows for each subject: question_id, name, type, prompt, criteria."""
     asked = F.array(
         *[
             F.struct(
                 F.concat(prefix, F.lit(f"_{name}")).alias("question_id"),
+                F.lit(name).alias("name"),
                 F.lit(kind).alias("type"),
                 F.lit(prompt).alias("prompt"),
                 F.array(*map(F.lit, criteria)).cast("array<string>").alias("criteria"),
@@ -78,14 +81,56 @@ def weighted_score(probabilities: Column) -> Column:
     return F.aggregate(F.map_entries(probabilities), F.lit(0.0), lambda a, e: a + e["key"].cast("double") * e["value"])
 
 
-def receipts(judged: DataFrame, kind: str, subject: Column, questions, run_id: int, now: str) -> DataFrame:
-    """A receipt for each answer: subject, question, type and the answer as JSON."""
-    answer = lambda name, type_: F.struct(
-        F.lit(name).alias("question_id"),
-        F.lit(type_).alias("type"),
-        F.to_json(F.struct(F.lit(type_).alias("type"), F.col(name).alias("value"))).alias("answer_json"),
+def question_chars(phase, places: int = 8) -> int:
+    """Characters of a subject's three questions in a request, at most, with ``places`` for its position."""
+    wire = [{"type": kind, "prompt": prompt, "criteria": list(criteria)} for _, kind, prompt, criteria in phase]
+    return sum(len(name) + places + 6 + len(json.dumps(w, sort_keys=True, separators=(",", ":"))) for (name, *_), w in zip(phase, wire))
+
+
+def wire(asked: DataFrame, by: list[str]) -> DataFrame:
+    """The request body's ``questions`` member of each batch, as JSON in the order of the ids."""
+    form = F.struct(
+        F.col("question_id").alias("id"),
+        F.to_json(F.struct(F.col("criteria"), F.col("prompt"), F.col("type"))).alias("body"),
     )
-    rows = judged.select(subject.alias("subject_id"), F.explode(F.array(*[answer(n, t) for n, t, _, _ in questions])).alias("r"))
-    return rows.select(
-        F.lit(run_id).cast("bigint").alias("run_id"), F.lit(kind).alias("subject_kind"), "subject_id", "r.*", F.lit(now).alias("created_at")
+    rows = asked.groupBy(*by).agg(F.array_sort(F.collect_list(form)).alias("q"))
+    member = lambda q: F.concat(F.lit('"'), q["id"], F.lit('":'), q["body"])
+    return rows.select(*by, F.concat(F.lit('{"questions":{'), F.array_join(F.transform("q", member), ","), F.lit("}}")).alias("body"))
+
+
+def checked(answered: DataFrame, phase) -> DataFrame:
+    """Answers parsed and validated: ``value`` (number), ``choice`` and ``sure``; a bad one is an error."""
+    parsed = F.try_parse_json("answer")
+    problem = F.lit(None).cast("string")
+    for name, kind, _, criteria in phase:
+        problem = F.when(F.col("name") == name, answer_errors(F.col("_a"), kind, criteria)).otherwise(problem)
+    rows = answered.withColumn("_a", parsed).withColumn("_p", F.when(F.col("_a").isNull(), "json").otherwise(problem))
+    said = F.concat(F.lit("bad answer to "), F.col("question_id"), F.lit(": "), F.col("_p"))
+    fine = F.when(F.col("_p").isNotNull(), F.raise_error(said).cast("boolean")).otherwise(F.lit(True))
+    number = F.coalesce(F.try_variant_get("_a", "$.noul", "double"), F.try_variant_get("_a", "$.score", "double"))
+    return (
+        rows.where(fine)
+        .withColumns(
+            {"value": number, "choice": F.try_variant_get("_a", "$.choice", "string"), "sure": F.try_variant_get("_a", "$.confidence", "double")}
+        )
+        .drop("_a", "_p")
     )
+
+
+def by_subject(found: DataFrame, by: list[str], phase) -> DataFrame:
+    """A row for each subject, its answers as columns named by question; choices also have ``<name>_confidence``."""
+    cells = []
+    for name, kind, *_ in phase:
+        own = F.col("name") == name
+        cells.append(F.max(F.when(own, F.col("choice" if kind == "choice" else "value"))).alias(name))
+        if kind == "choice":
+            cells.append(F.max(F.when(own, F.col("sure"))).alias(f"{name}_confidence"))
+    return found.groupBy(*by).agg(*cells)
+
+
+def receipts(answered: DataFrame, kind: str, run_id: int, now: str) -> DataFrame:
+    """A receipt for each answer, as it was given: subject_id, name, type and answer of the rows."""
+    return answered.select(
+        F.lit(run_id).cast("bigint").alias("run_id"), F.lit(kind).alias("subject_kind"), "subject_id", F.col("name").alias("question_id"),
+        "type", F.col("answer").alias("answer_json"), F.lit(now).alias("created_at"),
+    )

@@ -36,12 +36,13 @@ def bm25_scores(queries: DataFrame, facts: DataFrame) -> DataFrame:
     numbers and join by a cross of one row, which is a broadcast of fixed size.
     """
     terms = facts.select("fact_id", index_terms(F.col("claim")).alias("terms"))
-    lengths = terms.select("fact_id", F.size("terms").alias("dl"))
-    postings = terms.select("fact_id", F.explode("terms").alias("term")).groupBy("term", "fact_id").agg(F.count("*").alias("tf"))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    stats = terms.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("avgdl"))
+    # a posting carries its document's length, and its term's document frequency from the asked terms only
+    postings = terms.select("fact_id", F.size("terms").alias("dl"), F.explode("terms").alias("term")).groupBy("term", "fact_id", "dl").agg(F.count("*").alias("tf"))
     asked = queries.select("query_id", F.explode(claim_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-    rows = asked.join(postings, "term").join(df, "term").join(lengths, "fact_id").join(F.broadcast(stats))
+    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    asked = asked.join(df, "term")
+    rows = asked.join(postings, "term").join(F.broadcast(stats))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf <= 0, 1e-6).otherwise(idf)
     part = F.col("qf") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))

@@ -1,61 +1,92 @@
 """Distill: pending events to graded facts, as one plan from snapshot to snapshot.
 
-Everything but the routing of survivors is relational.  Routing is sequential by
-nature (a fact added for one candidate is seen by the next), so it is a fold within a
-project, whose queue the cap bounds; projects run in parallel.
+Everything but the routing of survivors is relational.  Routing is sequential by nature
+(a fact added for one candidate is seen by the next), so it is a fold over one run's
+candidates of a project, which the cap bounds.  The facts that the project already has
+do not go through it: their equal claims and their postings are found by joins, and a
+candidate brings only those that may be among its best.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.functions.text import claim_norm, fact_confidence
+from gleaner.functions.text import claim_norm, claim_tokens, fact_confidence, jaccard
+from gleaner.operators import batching, gates, judges, lifecycle, questions
 from gleaner.operators import events as ev
-from gleaner.operators import gates, lifecycle
-from gleaner.operators.retrieval import ACCENTED, B, K1, KEEP, PLAIN, RETRIEVE
+from gleaner.operators.retrieval import ACCENTED, B, K1, KEEP, PLAIN, RETRIEVE, index_terms
+from gleaner.plans.scratch import Scratch
+from gleaner.plans.store import FACTS, LINKS
 
-FACTS = (
-    "project string, fact_id bigint, claim string, category string, context string, significance double, confidence double, "
-    "status string, source_event_ids array<string>, support_count int, ask_seen_count int, created_at string, updated_at string, "
-    "last_supported_at string, verified_at string, indexed boolean"
-)
-LINKS = "fact_id bigint, related_id bigint, relation string, seq bigint"
+__all__ = ["FACTS", "LINKS", "Outcome", "distill", "plan_run", "route"]
 
 _PLAIN = str.maketrans(ACCENTED, PLAIN)
 _ROUTED = "project string, ord bigint, route string, duplicate_of bigint, partners array<bigint>"
+_NEAR = "array<struct<fact_id:bigint,dl:int,active:boolean,ratio:double,tfs:map<string,bigint>>>"
 
 
-class _Index:
-    """Postings of one project's indexed claims."""
+def near_facts(kept: DataFrame, facts: DataFrame, k: int = RETRIEVE) -> DataFrame:
+    """(project, ord, near, df, n, total): what routing has to know of the indexed facts.
 
-    def __init__(self):
-        self.claims: dict[int, str] = {}
-        self.lengths: dict[int, int] = {}
-        self.postings: dict[str, dict[int, int]] = defaultdict(dict)
-
-    def add(self, fact_id: int, claim: str) -> None:
-        terms = re.findall(r"[^\W_]+", claim.lower().translate(_PLAIN))
-        self.claims[fact_id], self.lengths[fact_id] = claim, len(terms)
-        for term, n in Counter(terms).items():
-            self.postings[term][fact_id] = n
-
-    def top(self, claim: str, k: int) -> list[int]:
-        n = len(self.lengths)
-        if not n:
-            return []
-        mean, scores = sum(self.lengths.values()) / n, Counter()
-        for term, times in Counter(_tokens(claim)).items():
-            own = self.postings.get(term, {})
-            idf = math.log((n - len(own) + 0.5) / (len(own) + 0.5))
-            for fact, tf in own.items():
-                scores[fact] += times * max(idf, 1e-6) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * self.lengths[fact] / mean))
-        return [f for f, _ in sorted(scores.items(), key=lambda x: (-round(x[1], 9), x[0]))[:k]]
+    ``near`` are the facts that may be among the ``k`` best of a candidate by BM25,
+    whatever the run has added before it; ``df`` the document frequencies of its terms.
+    Facts of the run raise N and a term's frequency by at most its number of candidates
+    and move the mean length at most to that of their shortest or longest.  These give each
+    score a lower and an upper bound, and a fact whose upper bound is below the k-th best
+    lower bound is out.
+    """
+    indexed = facts.where("indexed")
+    terms = indexed.select("project", "fact_id", index_terms(F.col("claim")).alias("terms"))
+    stats = terms.groupBy("project").agg(F.count("*").alias("n"), F.sum(F.size("terms")).alias("total"))
+    size = F.size(index_terms(F.col("claim")))
+    runs = kept.groupBy("project").agg(F.count("*").alias("m"), F.min(size).alias("least"), F.max(size).alias("most"))
+    asked = kept.where(F.col("significance") >= gates.PAIRING)
+    asked = asked.select("project", "ord", F.explode(claim_tokens(F.col("claim"))).alias("term")).groupBy("project", "ord", "term").agg(F.count("*").alias("qf"))
+    wanted = asked.select("project", "term").distinct()
+    postings = (
+        terms.select("project", "fact_id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
+        .join(wanted, ["project", "term"])
+        .groupBy("project", "term", "fact_id", "dl")
+        .agg(F.count("*").alias("tf"))
+    )
+    frequency = postings.groupBy("project", "term").agg(F.count("*").alias("df"))
+    weighed = asked.join(frequency, ["project", "term"]).join(stats, "project").join(runs, "project")
+    idf = lambda n, df: F.greatest(F.log((n - df + 0.5) / (df + 0.5)), F.lit(1e-6))
+    # the number of facts without the term can only grow, as can the number with it
+    weighed = weighed.withColumns(
+        {
+            "high": idf(F.col("n") + F.col("m"), F.col("df")),
+            "low": F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + F.col("m") + 0.5)), F.lit(1e-6)),
+            "short": F.least(F.col("total") / F.col("n"), F.col("least").cast("double")),
+            "long": F.greatest(F.col("total") / F.col("n"), F.col("most").cast("double")),
+        }
+    )
+    part = lambda weight, mean: F.col("qf") * weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.greatest(mean, F.lit(1e-9))))
+    scored = (
+        weighed.join(postings, ["project", "term"])
+        .groupBy("project", "ord", "fact_id", "dl")
+        .agg(
+            F.sum(part(F.col("low"), F.col("short"))).alias("lo"),
+            F.sum(part(F.col("high"), F.col("long"))).alias("hi"),
+            F.map_from_entries(F.collect_list(F.struct("term", "tf"))).alias("tfs"),
+        )
+    )
+    best = Window.partitionBy("project", "ord").orderBy(F.desc("lo"))
+    bar = scored.withColumn("_r", F.row_number().over(best)).where(F.col("_r") == k).select("project", "ord", F.col("lo").alias("bar"))
+    near = scored.join(bar, ["project", "ord"], "left").where(F.col("bar").isNull() | (F.col("hi") >= F.col("bar") - 1e-6))
+    claims = indexed.select("project", "fact_id", F.col("claim").alias("known"), (F.col("status") == "active").alias("active"))
+    ratio = jaccard(claim_tokens(F.col("claim")), claim_tokens(F.col("known")))
+    near = near.join(claims, ["project", "fact_id"]).join(kept.select("project", "ord", "claim"), ["project", "ord"])
+    listed = near.groupBy("project", "ord").agg(F.collect_list(F.struct("fact_id", "dl", "active", ratio.alias("ratio"), "tfs")).alias("near"))
+    counts = asked.join(frequency, ["project", "term"]).groupBy("project", "ord").agg(F.map_from_entries(F.collect_list(F.struct("term", "df"))).alias("df"))
+    return kept.select("project", "ord").join(stats, "project", "left").join(listed, ["project", "ord"], "left").join(counts, ["project", "ord"], "left")
 
 
 def _tokens(claim: str) -> list[str]:
@@ -67,6 +98,41 @@ def _ratio(a: str, b: str) -> float:
     return len(x & y) / len(x | y) if x | y else 0.0
 
 
+class _Added:
+    """The facts that a run has added so far."""
+
+    def __init__(self):
+        self.claims: dict[int, str] = {}
+        self.terms: dict[int, Counter] = {}
+        self.df: Counter = Counter()
+        self.total = 0
+
+    def add(self, fact_id: int, claim: str) -> None:
+        terms = Counter(re.findall(r"[^\W_]+", claim.lower().translate(_PLAIN)))
+        self.claims[fact_id], self.terms[fact_id] = claim, terms
+        self.df.update(terms.keys())
+        self.total += sum(terms.values())
+
+    def best(self, claim: str, near: list, df: dict, n: int, total: int) -> list[tuple[int, bool, float]]:
+        """(fact, active, ratio) of the RETRIEVE best of the old and new facts."""
+        n, total = n + len(self.claims), total + self.total
+        if not n or not total:
+            return []
+        scores, known = {}, {f["fact_id"]: (f["active"], f["ratio"]) for f in near}
+        rows = [(f["fact_id"], f["dl"], dict(f["tfs"])) for f in near] + [(f, sum(t.values()), t) for f, t in self.terms.items()]
+        asked = Counter(_tokens(claim))
+        weight = {}
+        for term in asked:
+            own = df.get(term, 0) + self.df[term]
+            weight[term] = max(math.log((n - own + 0.5) / (own + 0.5)), 1e-6)
+        for fact, length, tfs in rows:
+            parts = [q * weight[t] * tfs[t] * (K1 + 1) / (tfs[t] + K1 * (1 - B + B * length * n / total)) for t, q in asked.items() if tfs.get(t)]
+            if parts:
+                scores[fact] = sum(parts)
+        top = sorted(scores, key=lambda f: (-round(scores[f], 9), f))[:RETRIEVE]
+        return [(f, *known[f]) if f in known else (f, True, _ratio(claim, self.claims[f])) for f in top]
+
+
 def route(kept: DataFrame, facts: DataFrame) -> DataFrame:
     """What to do with each kept candidate: duplicate, add, or pair with partners.
 
@@ -74,70 +140,118 @@ def route(kept: DataFrame, facts: DataFrame) -> DataFrame:
     run adds have negative ids, -1 - ord, until they are numbered.
     """
 
-    def fold(key, rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        index, active, by_norm = _Index(), set(), {}
-        for f in known.sort_values("fact_id").itertuples():
-            if f.indexed:
-                index.add(f.fact_id, f.claim)
-            if f.status == "active":
-                active.add(f.fact_id)
-                by_norm.setdefault(f.norm, f.fact_id)
-        out = []
+    def fold(key, rows: pd.DataFrame) -> pd.DataFrame:
+        added, by_norm, out = _Added(), {}, []
         for c in rows.sort_values("ord").itertuples():
-            own, partners = by_norm.get(c.norm), []
+            own = by_norm.get(c.norm) if pd.isna(c.equal) else int(c.equal)
+            partners = []
             if own is None and c.significance >= gates.PAIRING:
-                near = [f for f in index.top(c.claim, RETRIEVE) if f in active]
-                partners = sorted(near, key=lambda f: (-_ratio(c.claim, index.claims[f]), f))[:KEEP]
+                near = [] if c.near is None else list(c.near)
+                found = added.best(c.claim, near, dict(c.df or {}), int(c.n), int(c.total))
+                partners = sorted(((f, r) for f, active, r in found if active), key=lambda x: (-x[1], x[0]))[:KEEP]
             if own is not None:
                 out.append((key[0], c.ord, "duplicate", own, []))
             elif partners:
-                out.append((key[0], c.ord, "pair", None, partners))
+                out.append((key[0], c.ord, "pair", None, [f for f, _ in partners]))
             else:
-                new = -1 - c.ord
-                index.add(new, c.claim), active.add(new)
-                by_norm[c.norm] = new
+                by_norm[c.norm] = -1 - c.ord
+                added.add(-1 - c.ord, c.claim)
                 out.append((key[0], c.ord, "add", None, []))
         return pd.DataFrame(out, columns=["project", "ord", "route", "duplicate_of", "partners"]).astype({"duplicate_of": "Int64"})
 
-    left = kept.select("project", "ord", "norm", "claim", "significance").groupBy("project")
-    right = facts.select("project", "fact_id", "claim", claim_norm(F.col("claim")).alias("norm"), "status", "indexed").groupBy("project")
-    return left.cogroup(right).applyInPandas(fold, _ROUTED)
+    kept = kept.select("project", "ord", "norm", "claim", "significance")
+    active = facts.where("status = 'active'").select("project", claim_norm(F.col("claim")).alias("norm"), "fact_id")
+    equal = active.join(kept.select("project", "norm").distinct(), ["project", "norm"]).groupBy("project", "norm").agg(F.min("fact_id").alias("equal"))
+    rows = kept.join(equal, ["project", "norm"], "left").join(near_facts(kept, facts), ["project", "ord"], "left")
+    rows = rows.withColumns({"n": F.coalesce("n", F.lit(0)), "total": F.coalesce("total", F.lit(0)), "near": F.col("near").cast(_NEAR)})
+    return rows.groupBy("project").applyInPandas(fold, _ROUTED)
 
 
-def distill(statements: DataFrame, facts: DataFrame, links: DataFrame, answers, pair_answers, now: str, cap: int = 50):
-    """(facts, links, selected events, verdicts) after one run.
+@dataclass
+class Outcome:
+    """Frames of one run: the next snapshot and what it did."""
 
-    statements: project, session_id, seq, role, text, graded_at.  ``answers(text)`` and
-    ``pair_answers(pair name)`` give the judge's columns.
-    """
+    facts: DataFrame
+    links: DataFrame
+    queue: DataFrame  # project, seq, id, selected
+    verdicts: DataFrame  # a row for each graded group
+    done: DataFrame  # a row for each kept group: outcome, target, new_id
+    candidate_answers: DataFrame
+    pair_answers: DataFrame
+    expired: DataFrame
+
+
+def _asked(frame: DataFrame, phase, ask, judge: judges.Judge) -> DataFrame:
+    return questions.checked(judge.ask(ask(frame)), phase)
+
+
+def pending_work(statements: DataFrame, put, cap: int = 50) -> tuple[DataFrame, DataFrame]:
+    """(candidates of pending events, queue) of statements (project, session_id, seq, role, text, graded_at)."""
     safe = ev.with_event_ids(statements)
     closed = ev.session_closure(safe)
     pending = closed.where("graded_at IS NULL").select("project", "seq", "id")
-    found = ev.candidates(closed.drop("id", "graded_at")).join(pending.select("project", "seq"), ["project", "seq"], "left_semi")
-    queue = ev.queue_selection(pending, found, cap)
+    found = put(ev.candidates(closed.drop("id", "graded_at")).join(pending.select("project", "seq"), ["project", "seq"], "left_semi"))
+    return found, put(ev.queue_selection(pending, found, cap))
+
+
+def plan_run(work: tuple[DataFrame, DataFrame], facts: DataFrame, links: DataFrame, judge: judges.Judge, now: str, put, budget: int = batching.BUDGET) -> Outcome:
+    """One run over pending_work() and the facts and links of its projects.
+
+    ``put`` writes and rereads a step that several others need (see Scratch).
+    """
+    found, queue = work
     chosen = queue.where("selected")
     groups = ev.candidate_groups(found.join(chosen.select("project", "seq"), ["project", "seq"], "left_semi"))
-    order = Window.partitionBy("project").orderBy("first_seq", "role", "norm")
-    verdicts = gates.phase_a(groups.withColumns(answers(F.col("text")))).withColumn("ord", F.row_number().over(order).cast("bigint"))
+    order = Window.partitionBy("project").orderBy("first_seq", "first_ordinal")
+    groups = groups.withColumn("ord", F.row_number().over(order).cast("bigint"))
+
+    # phase A: batches of candidates, three questions each
+    size = batching.entry_chars(id=F.col("event_id"), role=F.col("role"), text=F.col("text"), context=F.col("context"))
+    sized = groups.withColumn("chars", size + questions.question_chars(questions.PHASE_A))
+    packed = put(batching.pack(put(sized), ["project"], "ord", "chars", budget=budget))
+    subjects = packed.select("project", "batch_no", "position", "ord", "chars", "text", F.col("event_id").alias("subject_id"), F.col("event_id").alias("subject"))
+    candidate_answers = put(_asked(subjects, questions.PHASE_A, questions.candidate_questions, judge))
+    answers = questions.by_subject(candidate_answers, ["project", "batch_no", "position"], questions.PHASE_A)
+    graded = packed.join(answers, ["project", "batch_no", "position"])
+    verdicts = put(gates.phase_a(graded))
     kept = verdicts.where("kept").withColumnRenamed("text", "claim")
 
-    facts = lifecycle.bump_and_expire_asks(facts, now).drop("expired")
-    routed = route(kept, facts)
+    expired = put(lifecycle.bump_and_expire_asks(facts, now))
+    facts = expired.drop("expired")
+    routed = put(route(kept, facts))
+
+    # phase B: pairs share one array of facts in a batch
     pairs = routed.where("route = 'pair'").select("project", "ord", F.explode("partners").alias("fact_id"))
+    claims = facts.select("project", "fact_id", F.col("claim").alias("known")).unionByName(
+        kept.select("project", (-1 - F.col("ord")).alias("fact_id"), F.col("claim").alias("known"))
+    )
+    pairs = pairs.join(claims, ["project", "fact_id"]).join(kept.select("project", "ord", "claim", "event_id"), ["project", "ord"])
+    pairs = pairs.withColumns(
+        {
+            "claim_chars": batching.entry_chars(id=F.col("event_id"), text=F.col("claim")),
+            "fact_chars": batching.entry_chars(id=F.col("fact_id").cast("string"), text=F.col("known")) + questions.question_chars(questions.PHASE_B),
+        }
+    )
+    pairs = put(pairs)
+    placed = batching.pack_pairs(pairs.select("project", "ord", "claim_chars", "fact_id", "fact_chars"), budget)
+    pairs = put(pairs.join(placed, ["project", "ord", "fact_id"]))
     name = F.concat_ws(":", "project", F.col("ord").cast("string"), F.col("fact_id").cast("string"))
-    judged = pairs.withColumns(pair_answers(name))
+    subjects = pairs.select("project", "batch_no", "i", "j", "ord", "fact_id", "event_id", F.col("fact_chars").alias("chars"), F.col("claim").alias("text"), name.alias("subject"))
+    pair_answers = put(_asked(subjects, questions.PHASE_B, questions.pair_questions, judge))
+    answers = questions.by_subject(pair_answers, ["project", "batch_no", "i", "j"], questions.PHASE_B)
+    judged = pairs.select("project", "batch_no", "i", "j", "ord", "fact_id").join(answers, ["project", "batch_no", "i", "j"])
     action = gates.pair_action(F.col("same_claim"), F.col("contradicts"), F.col("verdict"), F.col("verdict_confidence"))
-    judged = judged.withColumn("action", action)
+    judged = put(judged.withColumn("action", action))
     best = gates.best_pairs(judged, ["project", "ord"])
     done = kept.join(routed, ["project", "ord"]).join(best.withColumnRenamed("duplicate_of", "paired_with"), ["project", "ord"], "left")
     outcome = F.when(F.col("route") == "pair", F.col("action")).otherwise(F.col("route"))
-    done = done.withColumn("outcome", outcome).withColumn("target", F.coalesce("duplicate_of", "paired_with"))
+    done = put(done.withColumn("outcome", outcome).withColumn("target", F.coalesce("duplicate_of", "paired_with")))
 
     # new facts are numbered after the old ones, in order
     base = facts.groupBy("project").agg(F.max("fact_id").alias("base"))
     new = done.where("outcome != 'duplicate'").join(base, "project", "left")
     number = F.coalesce("base", F.lit(0)) + F.row_number().over(Window.partitionBy("project").orderBy("ord"))
-    new = new.withColumn("fact_id", number.cast("bigint"))
+    new = put(new.withColumn("fact_id", number.cast("bigint")))
     ids = new.select("project", (-1 - F.col("ord")).alias("draft"), F.col("fact_id").alias("final"))
 
     def numbered(df: DataFrame, column: str) -> DataFrame:
@@ -154,21 +268,50 @@ def distill(statements: DataFrame, facts: DataFrame, links: DataFrame, answers,
     )
     facts = facts.unionByName(rows)
     bumps = numbered(done.where("outcome = 'duplicate'").select("project", "target", "event_ids"), "target")
-    facts = lifecycle.bump_support(facts, bumps.select(F.col("target").alias("fact_id"), F.explode("event_ids").alias("event_id")), now)
+    facts = lifecycle.bump_support(facts, bumps.select("project", F.col("target").alias("fact_id"), F.explode("event_ids").alias("event_id")), now)
     replaced = numbered(new.where("outcome = 'supersede'").select("project", F.col("supersedes").alias("target"), "fact_id"), "target")
-    replaced = replaced.select(F.col("target").alias("fact_id"), F.col("fact_id").alias("by_id"))
+    replaced = replaced.select("project", F.col("target").alias("fact_id"), F.col("fact_id").alias("by_id"))
     edges = numbered(gates.conflict_edges(judged, best, ["project", "ord"]), "related_id")
     edges = edges.join(new.select("project", "ord", "fact_id"), ["project", "ord"])
-    facts = lifecycle.set_status(facts, replaced.select("fact_id"), "superseded", now)
-    added = replaced.select(F.col("by_id").alias("fact_id"), F.col("fact_id").alias("related_id"), F.lit("supersedes").alias("relation"))
-    added = added.unionByName(edges.select("fact_id", "related_id", "relation")).distinct()
-    fresh = added.join(links, ["fact_id", "related_id", "relation"], "left_anti").withColumn("seq", F.monotonically_increasing_id())
-    return facts, links.unionByName(fresh), chosen, done
-
-
-def run_stats(verdicts: DataFrame, done: DataFrame, queue: DataFrame) -> DataFrame:
-    """One JSON row of a run's counts."""
-    a = gates.phase_a_counts(verdicts)
-    b = done.agg(*[F.count_if(F.col("outcome") == x).alias(x) for x in ("add", "duplicate", "supersede", "ask")])
-    c = queue.agg(F.count_if("selected").alias("events_graded"), F.count_if(~F.col("selected")).alias("events_deferred"))
-    return a.crossJoin(b).crossJoin(c).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("stats"))
+    facts, links = lifecycle.supersede(facts, links, replaced, now)
+    links = lifecycle.add_links(links, edges.select("project", "fact_id", "related_id", "relation"))
+    done = done.join(new.select("project", "ord", F.col("fact_id").alias("new_id")), ["project", "ord"], "left")
+    pair_answers = numbered(pair_answers, "fact_id").withColumn("subject_id", F.concat_ws(":", "event_id", F.col("fact_id").cast("string")))
+    done = numbered(numbered(done, "target"), "supersedes")
+    return Outcome(facts, links, queue, verdicts, done, candidate_answers, pair_answers, expired.where("expired").select("project", "fact_id"))
+
+
+def distill(statements: DataFrame, facts: DataFrame, links: DataFrame, answers, pair_answers, now: str, cap: int = 50):
+    """(facts, links, selected events, verdicts) after one run with a judge made of Column expressions.
+
+    ``answers(text)`` and ``pair_answers(pair name)`` give the judge's columns.
+    """
+    put = Scratch(statements.sparkSession).put
+    run = plan_run(pending_work(statements, put, cap), facts, links, judges.ColumnJudge(answers, pair_answers), now, put)
+    return run.facts, run.links, run.queue.where("selected"), run.done
+
+
+def run_stats(run: Outcome) -> DataFrame:
+    """One row of a run's counts; lists of facts are bounded by the run's candidates."""
+    spent = lambda answers: batching.spend(answers, ["project", "batch_no"], "chars")
+    calls = spent(run.candidate_answers).unionByName(spent(run.pair_answers)).agg(F.sum("api_calls").alias("api_calls"), F.sum("usage").alias("usage"))
+    graded = run.verdicts.agg(
+        F.count("*").alias("candidates_graded"),
+        F.coalesce(F.sum("occurrences"), F.lit(0)).alias("occurrences"),
+        F.count_if(F.col("drop_reason") == "low_durable").alias("dropped_low_durable"),
+        F.count_if("near_miss").alias("near_misses"),
+        F.count_if(F.col("drop_reason") == "low_significance").alias("dropped_low_significance"),
+    )
+    listed = lambda condition, c: F.array_sort(F.collect_list(F.when(condition, F.col(c))))
+    outcome = F.col("outcome")
+    kept = run.done.agg(
+        F.count_if((F.col("route") == "add") & (F.col("significance") < gates.PAIRING)).alias("pair_skipped_low_significance"),
+        listed(outcome != "duplicate", "new_id").alias("facts_added"),
+        F.count_if(F.col("route") == "duplicate").alias("duplicates_code"),
+        F.count_if((F.col("route") == "pair") & (outcome == "duplicate")).alias("duplicates_jev"),
+        F.array_sort(F.array_distinct(F.collect_list(F.when(outcome == "supersede", F.col("supersedes"))))).alias("superseded"),
+        listed(outcome == "ask", "new_id").alias("asks"),
+    )
+    events = run.queue.agg(F.count_if("selected").alias("events_graded"), F.count_if(~F.col("selected")).alias("events_deferred"))
+    expired = run.expired.agg(F.array_sort(F.collect_list("fact_id")).alias("asks_expired"))
+    return calls.crossJoin(events).crossJoin(graded).crossJoin(kept).crossJoin(expired)

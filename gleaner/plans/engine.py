@@ -3,136 +3,248 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions.redaction import redaction_count
 from gleaner.operators import audit as au
-from gleaner.operators import gates, judges, lifecycle, retrieval
+from gleaner.operators import batching, gates, judges, lifecycle, questions, retrieval
 from gleaner.operators.events import dedupe_events
 from gleaner.plans import distill as ds
+from gleaner.plans import report
+from gleaner.plans.scratch import Scratch
 from gleaner.plans.store import Store
-from gleaner.sources import memory_file, transcripts
-from gleaner.streaming.ingest import statements_to_events
+from gleaner.sources import memory_file, status_log, transcripts
+from gleaner.streaming.ingest import in_order_of_arrival, statements_to_events
+
+SEARCH_LIMIT = 25
 
 
 class GradingNotEnabledError(Exception):
-    """Distill and audit need the project's consent: Engine(grading=True)."""
+    """Distill and audit need the project's consent: Engine.init(enable_grading=True) or Engine(grading=True)."""
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str, project: str, grading: bool = False):
-        self.spark, self.project, self.grading = spark, project, grading
-        self.store = Store(spark, root)
+    def __init__(self, spark: SparkSession, root: str, project: str, grading: bool = False, read_only: bool = False, log: str | None = None):
+        self.spark, self.project, self.grading, self.log = spark, project, grading, log
+        self.store = Store(spark, root, read_only)
+
+    # -- the store -----------------------------------------------------------------
+
+    def init(self, enable_grading: bool = False, now: str = "") -> int:
+        """Make the store or bring an older one up to date; with ``enable_grading`` note the project's consent."""
+        version = self.store.migrate() or self.store.publish()
+        if enable_grading and not self._consent():
+            row = self.spark.createDataFrame([(self.project, now)], "project string, enabled_at string")
+            version = self.store.publish(append={"markers": row}, project=self.project)
+        return version
+
+    def _consent(self) -> bool:
+        return not self._mine("markers").isEmpty()
 
     def _mine(self, name: str) -> DataFrame:
         return self.store.table(name).where(F.col("project") == self.project)
 
     def _need_grading(self) -> None:
-        if not self.grading:
+        if not self.grading and not self._consent():
             raise GradingNotEnabledError(self.project)
 
-    def _parsed(self, paths: list[str], dialect: str) -> DataFrame:
-        lines = transcripts.read_lines(self.spark, *paths)
-        return transcripts.PARSERS[dialect](transcripts.parse_lines(lines))
-
-    def ingest(self, paths: list[str], dialect: str, now: str) -> dict[str, int]:
-        """Append a transcript's statements that the log does not have."""
-        rows = statements_to_events(self._parsed(paths, dialect), self.project, now)
-        log = self.store.table("events")
-        new = dedupe_events(rows, log).select(*rows.columns).cache()
-        inserted, total = new.count(), rows.count()
-        skipped = transcripts.parse_lines(transcripts.read_lines(self.spark, *paths)).where(~F.col("ok")).count()
-        if inserted:
-            self.store.publish(events=log.unionByName(new))
-        return {"inserted": inserted, "ignored": total - inserted, "skipped_lines": skipped}
+    def _open_run(self, kind: str, now: str) -> int:
+        """A run row without an end; what ends it is logged under the same id."""
+        run_id = (self.store.table("runs").agg(F.max("id")).first()[0] or 0) + 1
+        self._log_run(run_id, kind, now, None, None, None)
+        return run_id
+
+    def _log_run(self, run_id: int, kind: str, started: str, finished: str | None, stats: dict | None, error: str | None, **tables) -> None:
+        row = (run_id, self.project, kind, started, finished, json.dumps(stats, sort_keys=True) if stats is not None else None, error)
+        runs = self.spark.createDataFrame([row], self.store.schemas["runs"])
+        append = {"runs": runs, **tables.get("append", {})}
+        self.store.publish(append=append, replace=tables.get("replace", {}), project=self.project)
+
+    def _receipt_ids(self, rows: DataFrame, run_id: int) -> DataFrame:
+        """Ids that no other run's receipts have."""
+        return rows.withColumn("id", F.lit(run_id << 40).cast("bigint") + F.monotonically_increasing_id().bitwiseAND((1 << 40) - 1))
+
+    # -- ingest --------------------------------------------------------------------
+
+    def _parsed(self, lines: DataFrame, dialect: str) -> DataFrame:
+        return transcripts.PARSERS[dialect](lines)
+
+    def ingest(self, paths: list[str], dialect: str | None = None, now: str = "") -> dict[str, int]:
+        """Append the transcripts' statements that the log does not have, in the order they came.
+
+        Without a dialect each file's is found from its path or first line.
+        """
+        by_dialect = {dialect: paths} if dialect else transcripts.dialects_of(self.spark, paths)
+        counts = {"inserted": 0, "ignored": 0, "skipped_lines": 0}
+        for kind, own in by_dialect.items():
+            for k, n in self._ingest(own, kind, now).items():
+                counts[k] += n
+        if self.log:
+            status_log.append_log(self.spark, self.log, event="ingest", ts=now, **counts)
+        return counts
+
+    def _ingest(self, paths: list[str], dialect: str, now: str) -> dict[str, int]:
+        parsed = transcripts.parse_lines(transcripts.read_lines(self.spark, *paths)).cache()
+        found = self._parsed(parsed, dialect).cache()
+        try:
+            log = self._mine("events")
+            last = log.agg(F.max("seq")).first()[0] or 0
+            ordered = in_order_of_arrival(found, transcripts.arrivals(self.spark, paths), last + 1)
+            rows = statements_to_events(ordered, self.project, now)
+            new = dedupe_events(rows, log).select(*rows.columns)
+            before, total = self.store.version(), found.count()
+            version = self.store.publish(append={"events": new}, project=self.project)
+            added = set(self.store._folders("events", version)) - set(self.store._folders("events", before) if before else ())
+            inserted = self.spark.read.schema(self.store.schemas["events"]).parquet(*added).count()
+            skipped = parsed.where(~F.col("ok")).count()
+            return {"inserted": inserted, "ignored": total - inserted, "skipped_lines": skipped}
+        finally:
+            parsed.unpersist(), found.unpersist()
 
     def scan(self, roots: list[str], name: str) -> DataFrame:
         return transcripts.discover(self.spark, roots, name)
 
     def verify(self, paths: list[str], dialect: str) -> DataFrame:
-        """Statements and secrets by role, without writing anything."""
-        found = self._parsed(paths, dialect).withColumn("secrets", redaction_count(F.col("text")))
-        return found.groupBy("role").agg(F.count("*").alias("statements"), F.sum("secrets").alias("secrets"))
+        """Statements, secrets and lengths by file and role, without writing anything."""
+        lines = transcripts.parse_lines(transcripts.read_lines(self.spark, *paths))
+        found = self._parsed(lines, dialect).withColumns({"secrets": redaction_count(F.col("text")), "chars": F.length("text")})
+        return found.groupBy("path", "role").agg(
+            F.count("*").alias("statements"), F.sum("secrets").alias("secrets"), F.min("chars").alias("least_chars"), F.max("chars").alias("most_chars")
+        )
+
+    # -- distill -------------------------------------------------------------------
 
-    def distill(self, now: str, answers=None, pair_answers=None, cap: int = 50) -> dict:
+    def distill(self, now: str, judge: judges.Judge | None = None, cap: int | None = 50, budget: int = batching.BUDGET) -> dict:
         """Grade pending events into facts and publish the next snapshot at once.
 
-        A run with nothing pending and no open ask writes nothing.
+        A run with nothing to grade and no open ask writes nothing.  The run is open in
+        the log from its start; it is closed with its counts, or with the error's name, in
+        which case the events stay pending.
         """
         self._need_grading()
-        said, facts = self._mine("events"), self._mine("facts")
-        pending = said.where("graded_at IS NULL")
-        if pending.isEmpty() and facts.where("status = 'ask'").isEmpty():
-            return {"events_graded": 0}
-        answers = answers or (lambda text: judges.normal_answers())
-        pair_answers = pair_answers or judges.hash_pair_answers
+        if cap is not None and cap <= 0:
+            raise ValueError("cap must be positive or None")
+        said, facts, links = self._mine("events"), self._mine("facts"), self._mine("links")
         statements = said.select("project", "session_id", "seq", "role", "text", "graded_at")
-        new_facts, links, chosen, done = ds.distill(statements, facts, self.store.table("links"), answers, pair_answers, now, cap)
-        done = done.cache()
-        stats = {r["outcome"]: r["n"] for r in done.groupBy("outcome").agg(F.count("*").alias("n")).collect()}
-        stats["events_graded"] = chosen.count()
-        taken = chosen.select("seq").withColumn("_hit", F.lit(True))
-        stamped = said.join(taken, "seq", "left").withColumn(
-            "graded_at", F.when(F.col("_hit"), F.coalesce("graded_at", F.lit(now))).otherwise(F.col("graded_at"))
-        )
-        others = F.col("project") != self.project
-        runs = self.store.table("runs")
-        run_id = (runs.agg(F.max("id")).first()[0] or 0) + 1
-        run = self.spark.createDataFrame([(run_id, self.project, "distill", now, now, json.dumps(stats), None)], runs.schema)
-        kinds = ("durable", "category", "significance")
-        receipt = lambda k: F.struct(F.lit(k).alias("q"), F.to_json(F.struct(F.col(k))).alias("a"))
-        asked = done.select("event_id", "ord", F.explode(F.array(*map(receipt, kinds))).alias("r"))
-        receipts = asked.select(
-            (F.lit(run_id << 32) + F.col("ord") * 3).alias("id"), F.lit(run_id).alias("run_id"), F.lit("candidate").alias("subject_kind"),
-            F.col("event_id").alias("subject_id"), F.col("r.q").alias("question_id"), F.lit("noul").alias("type"),
-            F.col("r.a").alias("answer_json"), F.lit(now).alias("created_at"),
-        )
-        self.store.publish(
-            events=self.store.table("events").where(others).unionByName(stamped.drop("_hit")),
-            facts=self.store.table("facts").where(others).unionByName(new_facts),
-            links=links,
-            runs=runs.unionByName(run),
-            judgments=self.store.table("judgments").unionByName(receipts),
-        )
-        return stats
+        scratch = Scratch(self.spark)
+        work = ds.pending_work(statements, scratch.put, cap if cap is not None else 1 << 40)
+        if work[1].where("selected").isEmpty() and facts.where("status = 'ask'").isEmpty():
+            return {"events_graded": 0}
+        run_id = self._open_run("distill", now)
+        try:
+            run = ds.plan_run(work, facts, links, judge or judges.normal_judge(), now, scratch.put, budget)
+            stats = ds.run_stats(run).first().asDict()
+            expiry = run.expired.select(
+                F.lit(run_id).cast("bigint").alias("run_id"), F.lit("fact").alias("subject_kind"), F.col("fact_id").cast("string").alias("subject_id"),
+                F.lit("expiry").alias("question_id"), F.lit("choice").alias("type"), F.lit(self._chosen("retired")).alias("answer_json"), F.lit(now).alias("created_at"),
+            )
+            receipts = expiry.unionByName(questions.receipts(run.candidate_answers, "candidate", run_id, now))
+            receipts = receipts.unionByName(questions.receipts(run.pair_answers, "pair", run_id, now))
+            stamps = run.queue.where("selected").select("project", "id", F.lit(now).alias("graded_at"))
+            self._log_run(
+                run_id, "distill", now, now, stats, None,
+                append={"judgments": self._receipt_ids(receipts, run_id), "grades": stamps}, replace={"facts": run.facts, "links": run.links},
+            )
+            return stats
+        except BaseException as error:
+            self._log_run(run_id, "distill", now, now, None, type(error).__name__)
+            raise
+        finally:
+            scratch.drop()
 
-    def audit(self, text: str, answers=judges.hash_line_answers) -> DataFrame:
-        """A verdict for each auditable line of a memory file, in file order."""
+    @staticmethod
+    def _chosen(choice: str) -> str:
+        return json.dumps({"type": "choice", "choice": choice, "probabilities": {choice: 1.0}, "confidence": 1.0})
+
+    # -- audit ---------------------------------------------------------------------
+
+    def audit(self, text: str, judge: judges.Judge | None = None, now: str = "", budget: int = batching.BUDGET) -> "report.AuditReport":
+        """Verdicts of a memory file's lines, with a run and receipts; a file without lines writes nothing.
+
+        Lines that are a stored fact word for word are settled; the others are judged in
+        batches, each with the same evidence: the newest facts and statements.
+        """
         self._need_grading()
-        lines = memory_file.memory_lines(self.spark.createDataFrame([("memory", text)], "path string, text string"))
-        facts = self._mine("facts").where("status = 'active'")
-        anchored = au.anchors(lines, facts, [])
-        judged = lines.withColumns(answers(F.col("text")))
-        return au.line_verdicts(judged, anchored, ["number"]).orderBy("number")
+        lines = memory_file.memory_lines(self.spark.createDataFrame([("memory", text)], "path string, text string")).cache()
+        total = lines.count()
+        if not total:
+            return report.AuditReport([], {k: 0 for k in gates.KEYWORDS})
+        run_id = self._open_run("audit", now)
+        try:
+            facts = self._mine("facts").where("status = 'active'")
+            anchored = au.anchors(lines, facts, []).cache()
+            rest = au.unanchored(lines, anchored, ["number"])
+            pool = au.evidence_pool(facts, self._mine("events")).collect()  # seventy rows at most
+            pool = pool if anchored.count() < total else []
+            evidence = sum(len(json.dumps(dict(zip(("id", "text"), (r["place"], r["text"]))))) + 1 for r in pool)
+            chars = batching.entry_chars(number=F.col("number").cast("string"), section=F.col("section"), text=F.col("text"))
+            sized = rest.withColumns({"all": F.lit(0), "chars": chars + questions.question_chars(questions.PHASE_C)})
+            packed = batching.pack(sized, ["all"], "number", "chars", evidence, budget)
+            subjects = packed.select(
+                "batch_no", "position", "number", "chars", "text", F.concat(F.lit("line:"), F.col("number").cast("string")).alias("subject_id")
+            ).withColumn("subject", F.col("subject_id"))
+            ask = judge or judges.ColumnJudge(line=lambda t: judges.normal_line_answers())
+            asked = questions.checked(ask.ask(questions.line_questions(subjects)), questions.PHASE_C).cache()
+            answers = questions.by_subject(asked, ["batch_no", "position", "number"], questions.PHASE_C)
+            judged = lines.join(answers.withColumnRenamed("disposition_confidence", "confidence"), "number", "left")
+            verdicts = au.line_verdicts(judged, anchored, ["number"]).orderBy("number").collect()  # a row a line of one file
+            spent = batching.spend(asked, ["batch_no"], "chars", evidence).first()
+            counts = {k: sum(v["keyword"] == k for v in verdicts) for k in gates.KEYWORDS}
+            stats = {"api_calls": spent["api_calls"], "usage": spent["usage"], "lines_audited": total}
+            stats |= {f"lines_{k.lower()}": n for k, n in counts.items()}
+            receipts = self._receipt_ids(questions.receipts(asked, "line", run_id, now), run_id)
+            self._log_run(run_id, "audit", now, now, stats, None, append={"judgments": receipts})
+            n_facts = sum(r["kind"] == "fact" for r in pool)
+            return report.AuditReport(verdicts, counts, run_id, spent["api_calls"], spent["usage"], n_facts, len(pool) - n_facts)
+        except BaseException as error:
+            self._log_run(run_id, "audit", now, now, None, type(error).__name__)
+            raise
+        finally:
+            lines.unpersist()
 
-    def audit_counts(self, verdicts: DataFrame) -> dict[str, int]:
-        return {r["keyword"]: r["n"] for r in gates.keyword_counts(self.spark, verdicts).collect()}
+    # -- decisions -----------------------------------------------------------------
 
     def resolve(self, fact_id: int, choice: str, now: str) -> None:
-        facts, links = lifecycle.resolve(self.store.table("facts"), self.store.table("links").drop("seq"), fact_id, choice, now)
-        self.store.publish(facts=facts, links=links.withColumn("seq", F.monotonically_increasing_id()))
+        """Settle an open ask of this project, with a run and a receipt."""
+        facts, links = self._mine("facts"), self._mine("links")
+        partners = [r["partner_id"] for r in lifecycle.contradicts_partners(facts, links).where(F.col("fact_id") == fact_id).orderBy("seq").collect()]
+        facts, links = lifecycle.resolve(facts, links, fact_id, choice, now)
+        run_id = self._open_run("resolve", now)
+        receipt = [(run_id, "fact", str(fact_id), "resolution", "choice", self._chosen(choice), now)]
+        names = "run_id bigint, subject_kind string, subject_id string, question_id string, type string, answer_json string, created_at string"
+        receipts = self._receipt_ids(self.spark.createDataFrame(receipt, names), run_id)
+        stats = {"resolution": choice, "fact_id": fact_id, "partner_ids": partners}
+        self._log_run(run_id, "resolve", now, now, stats, None, append={"judgments": receipts}, replace={"facts": facts, "links": links})
+
+    # -- reading -------------------------------------------------------------------
 
     def status(self) -> dict:
         counts = lifecycle.status_counts(self._mine("events")).first()
         facts = {r["status"]: r["n"] for r in lifecycle.fact_status_counts(self._mine("facts")).collect()}
-        last = lifecycle.last_run(self._mine("runs").select("project", "id", "kind", "stats"), ["project"]).first()
-        return {
+        last = lifecycle.last_run(self._mine("runs").select("project", "id", "kind", "started_at", "stats", "error"), ["project"]).first()
+        out = {
             "events": counts["events"] if counts else 0,
             "pending": counts["pending"] if counts else 0,
             "facts": facts,
             "last_run": last.asDict() if last else None,
         }
+        if self.log:
+            out |= status_log.read_log(self.spark, self.log).first().asDict()
+        return out
 
     def recall(self, limit: int = 12) -> DataFrame:
         return lifecycle.recall_topk(self._mine("facts"), limit)
 
     def search(self, query: str, limit: int = 5) -> DataFrame:
+        """At most ``limit`` (1 to 25) facts like the query, most alike first."""
+        limit = max(1, min(SEARCH_LIMIT, limit))
         asked = self.spark.createDataFrame([(0, query)], "query_id int, query string")
         facts = self._mine("facts")
         found = retrieval.retrieve_similar(asked, facts, max(10, 2 * limit), limit)
-        return found.join(facts.select("fact_id", "claim", "confidence"), "fact_id").orderBy("place")
+        return found.join(facts, "fact_id").orderBy("place")
 
     def fact(self, fact_id: int) -> DataFrame:
         return self._mine("facts").where(F.col("fact_id") == fact_id)
@@ -140,4 +252,11 @@ class Engine:
     def memory(self) -> tuple[DataFrame, DataFrame]:
         """Facts in the memory file's order, and open asks."""
         facts = self._mine("facts")
-        return lifecycle.memory_order(facts), lifecycle.open_asks(facts, self.store.table("links"))
+        return lifecycle.memory_order(facts), lifecycle.open_asks(facts, self._mine("links")).orderBy("fact_id")
+
+    def memory_text(self, now: str | None = None) -> str:
+        """The memory file; facts are rendered as they come from Spark, one at a time."""
+        facts, asks = self.memory()
+        sessions = lifecycle.sessions_by_fact(self._mine("facts"), self._mine("events"))
+        rows: Iterable = facts.join(sessions, "fact_id", "left").transform(lifecycle.memory_order).toLocalIterator()
+        return report.render_memory(rows, asks.toLocalIterator(), now)

@@ -1,12 +1,22 @@
-"""Versioned snapshots of the tables, in Parquet.
+"""Versioned tables in Parquet: folders that are only ever added, and a log that names them.
 
-A version is a folder with every table; it counts once its row in the log is written,
-which is the last write.  Readers take the highest logged version, so a run that fails
-half-way leaves nothing to see.  One writer a store.
+A write puts each frame into a folder of its own and then logs them all under the next
+version; the log rows are the last write.  ``append`` adds a folder to a table; ``replace``
+makes it the only one of a table and project.  Readers take what is logged up to a
+version, so a run that fails half-way leaves nothing to see, and one transcript or one
+resolved ask costs what it writes, not the whole store.  One writer a store.
+
+Grading stamps are a table of their own, joined to the events on reading; a run is
+logged when it opens and again when it closes, and reads as its last row.
 """
 
 from __future__ import annotations
 
+import hashlib
+import os
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,26 +24,53 @@ from pyspark.sql import types as T
 SCHEMA_VERSION = 3
 
 EVENTS = "project string, id string, source string, session_id string, seq bigint, ts string, role string, text string, created_at string, graded_at string"
+GRADES = "project string, id string, graded_at string"
+FACTS = (
+    "project string, fact_id bigint, claim string, category string, context string, significance double, confidence double, "
+    "status string, source_event_ids array<string>, support_count int, ask_seen_count int, created_at string, updated_at string, "
+    "last_supported_at string, verified_at string, indexed boolean"
+)
+LINKS = "project string, fact_id bigint, related_id bigint, relation string, seq bigint"
 RUNS = "id bigint, project string, kind string, started_at string, finished_at string, stats string, error string"
 JUDGMENTS = "id bigint, run_id bigint, subject_kind string, subject_id string, question_id string, type string, answer_json string, created_at string"
+MARKERS = "project string, enabled_at string"
+SCHEMAS = {"events": EVENTS, "grades": GRADES, "facts": FACTS, "links": LINKS, "runs": RUNS, "judgments": JUDGMENTS, "markers": MARKERS}
+_LOG = "version bigint, schema_version int, name string, project string, folder string, replaces boolean"
 
 
 class SchemaVersionError(Exception):
-    """The store was written by a newer version."""
+    """The store has a schema that this code cannot use."""
 
 
-class Store:
-    def __init__(self, spark: SparkSession, root: str):
-        from gleaner.plans.distill import FACTS, LINKS
+def default_home() -> str:
+    """Where stores are kept; GLEANER_HOME overrides it."""
+    return os.environ.get("GLEANER_HOME") or os.path.join(os.path.expanduser("~"), ".gleaner")
 
-        self.spark, self.root = spark, root.rstrip("/")
-        self.schemas = {"events": EVENTS, "facts": FACTS, "links": LINKS, "runs": RUNS, "judgments": JUDGMENTS}
 
-    def _log(self) -> DataFrame | None:
-        from pyspark.errors import AnalysisException
+def slug_of(project_dir: str) -> str:
+    """Twelve hex digits that name a project's folder (the same as functions.text.project_slug)."""
+    return hashlib.sha1(os.path.realpath(project_dir).encode()).hexdigest()[:12]
+
+
+def store_path(project_dir: str, home: str | None = None) -> str:
+    return f"{home or default_home()}/projects/{slug_of(project_dir)}"
+
+
+class Store:
+    def __init__(self, spark: SparkSession, root: str, read_only: bool = False):
+        self.spark, self.root, self.read_only = spark, root.rstrip("/"), read_only
+        self.schemas = SCHEMAS
+        if read_only:
+            log = self._log()
+            if log is None:
+                raise FileNotFoundError(f"no store at {root}")
+            found = log.agg(F.max("schema_version")).first()[0]
+            if found != SCHEMA_VERSION:
+                raise SchemaVersionError(f"store has schema {found}, this code reads {SCHEMA_VERSION}")
 
+    def _log(self) -> DataFrame | None:
         try:
-            return self.spark.read.schema("version bigint, schema_version int").parquet(f"{self.root}/log")
+            return self.spark.read.schema(_LOG).parquet(f"{self.root}/log")
         except AnalysisException:
             return None
 
@@ -47,23 +84,57 @@ class Store:
             raise SchemaVersionError(f"store has schema {row['s']}, this code knows {SCHEMA_VERSION}")
         return row["v"]
 
+    def migrate(self) -> int:
+        """Bring an older store to this schema; columns that it lacks read as null."""
+        log = self._log()
+        found = log.agg(F.max("schema_version")).first()[0] if log is not None else None
+        return self.version() if found in (None, SCHEMA_VERSION) else self.publish()
+
+    def _folders(self, name: str, version: int) -> list[str]:
+        rows = self._log().where((F.col("version") <= version) & (F.col("name") == name)).orderBy("version").collect()
+        found: list = []
+        for r in rows:  # a row for each write of the table
+            if r["replaces"]:
+                found = [x for x in found if r["project"] is not None and x["project"] != r["project"]]
+            found.append(r)
+        return [f"{self.root}/{r['folder']}" for r in found]
+
     def table(self, name: str, version: int | None = None) -> DataFrame:
+        """A table as of a version, the newest if none is given."""
         version = self.version() if version is None else version
         schema = T.StructType.fromDDL(self.schemas[name])
-        if not version:
+        folders = self._folders(name, version) if version else []
+        if not folders:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/v={version:08d}/{name}")
-
-    def publish(self, **tables: DataFrame) -> int:
-        """Write the given tables, carry the others over, and log the version."""
-        old = self.version()
-        new = old + 1
-        for name, ddl in self.schemas.items():
-            schema = T.StructType.fromDDL(ddl)
-            df = tables.get(name, self.table(name, old))
-            columns = [F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema]
-            df = df.select(columns)
-            df.write.mode("overwrite").parquet(f"{self.root}/v={new:08d}/{name}")
-        row = self.spark.createDataFrame([(new, SCHEMA_VERSION)], "version bigint, schema_version int")
-        row.coalesce(1).write.mode("append").parquet(f"{self.root}/log")
-        return new
+        df = self.spark.read.schema(schema).parquet(*folders)
+        if name == "events":
+            stamps = self.table("grades", version).groupBy("project", "id").agg(F.min("graded_at").alias("_stamp"))
+            df = df.join(stamps, ["project", "id"], "left").withColumn("graded_at", F.coalesce("graded_at", "_stamp")).select(*schema.names)
+        if name == "runs":
+            last = F.max_by(F.struct(*schema.names), F.coalesce("finished_at", F.lit(""))).alias("r")
+            df = df.groupBy("id").agg(last).select("r.*")
+        return df
+
+    def publish(self, append: dict[str, DataFrame] | None = None, replace: dict[str, DataFrame] | None = None, project: str | None = None) -> int:
+        """Write frames and log them as the next version.
+
+        ``replace`` is for one project's rows, or with no project for the whole table.
+        """
+        if self.read_only:
+            raise PermissionError("the store is open for reading only")
+        version, rows = self.version() + 1, []
+        for replaces, frames in ((False, append or {}), (True, replace or {})):
+            for name, df in frames.items():
+                schema = T.StructType.fromDDL(self.schemas[name])
+                columns = [F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema]
+                folder = f"data/{name}/{uuid.uuid4().hex}"
+                df.select(columns).write.parquet(f"{self.root}/{folder}")
+                rows.append((version, SCHEMA_VERSION, name, project, folder, replaces))
+        rows = rows or [(version, SCHEMA_VERSION, None, None, None, False)]
+        self.spark.createDataFrame(rows, _LOG).coalesce(1).write.mode("append").parquet(f"{self.root}/log")
+        return version
+
+    def compact(self, name: str) -> int:
+        """Rewrite a table that has many folders as one."""
+        frame = self.spark.read.schema(T.StructType.fromDDL(self.schemas[name])).parquet(*self._folders(name, self.version()))
+        return self.publish(replace={name: frame})

@@ -38,6 +38,21 @@ def last_events(lines: DataFrame) -> DataFrame:
     )
 
 
+def read_log(spark: SparkSession, *paths: str) -> DataFrame:
+    """The newest ingest and error over one or more logs, by time and then by place in the file."""
+    from pyspark.errors import AnalysisException
+
+    lines = spark.createDataFrame([], "value string, path string")
+    for path in paths:
+        try:
+            lines = lines.unionByName(spark.read.text(path).select("value", F.col("_metadata.file_modification_time").cast("string").alias("path")))
+        except AnalysisException:  # no log yet
+            continue
+    record = F.try_parse_json("value")
+    stamp = F.coalesce(F.try_variant_get(record, "$.ts", "string"), F.lit(""))
+    return last_events(lines.select(F.struct(stamp.alias("ts"), "path").alias("ord"), F.col("value").alias("line")))
+
+
 def first_object(candidates: list) -> dict | None:
     """The first JSON object among some texts (standard input, then arguments)."""
     import json

@@ -8,12 +8,14 @@ count as malformed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import strip
 
 DIALECTS = ("claude", "codex", "droid")
+#: Transcript folders under a home, and their dialects.
+ROOTS = ((".claude/projects", "claude"), (".codex/sessions", "codex"), (".factory/sessions", "droid"))
 HEAD_BYTES = 65536
 
 #: User texts of dialect 2 that a machine pushed, by prefix.
@@ -114,6 +116,35 @@ def read_lines(spark: SparkSession, *paths: str) -> DataFrame:
     )
 
 
+def arrivals(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, arrived): when each file was last written."""
+    files = spark.read.text(list(paths), wholetext=True)
+    return files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("arrived")).distinct()
+
+
+def dialects_of(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
+    """The files of each dialect; a row for each file comes to the driver."""
+    first = read_lines(spark, *paths).where("line_no = 1")
+    rows = first.select("path", detect_source(F.col("path"), F.col("line")).alias("dialect")).orderBy("path").collect()
+    out: dict[str, list[str]] = {}
+    for r in rows:
+        out.setdefault(r["dialect"], []).append(r["path"])
+    return out
+
+
+def roots(spark: SparkSession, home: str) -> DataFrame:
+    """(root, source): where each dialect's program keeps its transcripts."""
+    rows = [(f"{home}/{folder}", source) for folder, source in ROOTS]
+    return spark.createDataFrame(rows, "root string, source string")
+
+
+def pinned(lines: DataFrame) -> DataFrame:
+    """(path, dialect) of a list with a path and a dialect on each line; ``#`` starts a comment."""
+    bare = strip(F.regexp_replace("line", "#.*$", ""))
+    parts = F.split(bare, r"\s+")
+    return lines.where(F.length(bare) > 0).select(parts[0].alias("path"), F.element_at(parts, 2).alias("dialect")).where(F.col("dialect").isin(*DIALECTS))
+
+
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Non-empty lines with ``record`` (VARIANT, null if malformed) and ``ok``."""
     rows = lines.where(F.length(strip(F.col("line"))) > 0).withColumn("record", F.try_parse_json(strip(F.col("line"))))
@@ -203,8 +234,6 @@ def droid_statements(parsed: DataFrame) -> DataFrame:
 def _renumbered(statements: DataFrame, prefixes, patterns) -> DataFrame:
     """Without machine-pushed user texts; ordinals count what is left of a line."""
     kept = statements.where(~((F.col("role") == "user") & machine_pushed(F.col("text"), prefixes, patterns)))
-    from pyspark.sql import Window
-
     line = Window.partitionBy("path", "line_no").orderBy("index")
     return kept.withColumn("index", F.row_number().over(line) - 1)
 
@@ -212,6 +241,22 @@ def _renumbered(statements: DataFrame, prefixes, patterns) -> DataFrame:
 PARSERS = {"claude": claude_statements, "codex": codex_statements, "droid": droid_statements}
 
 
+def file_meta(parsed: DataFrame, dialect: str) -> DataFrame:
+    """path, session_id, cwd and skipped of each file: the first string seen, and the malformed lines' numbers."""
+    rows = parsed.where("ok")
+    if dialect == "claude":
+        session, cwd, own = _string("$.sessionId"), _string("$.cwd"), F.lit(True)
+    elif dialect == "codex":
+        session, cwd, own = _string("$.payload.session_id"), _string("$.payload.cwd"), _string("$.type") == "session_meta"
+    else:
+        session, cwd, own = _string("$.id"), _string("$.cwd"), _string("$.type") == "session_start"
+    first = lambda value: F.min_by(value, F.when(own & value.isNotNull(), F.col("line_no")))
+    found = rows.groupBy("path").agg(first(session).alias("session_id"), first(cwd).alias("cwd"))
+    none = F.array().cast("array<int>")
+    all_files = parsed.select("path").distinct().join(found, "path", "left").join(skipped_lines(parsed), "path", "left")
+    return all_files.withColumn("skipped", F.coalesce("skipped", none))
+
+
 def skipped_lines(parsed: DataFrame) -> DataFrame:
     """Numbers of malformed lines of each file."""
     return parsed.where(~F.col("ok")).groupBy("path").agg(F.array_sort(F.collect_list("line_no")).alias("skipped"))
@@ -231,11 +276,31 @@ def detect_source(path: Column, first_line: Column) -> Column:
 
 
 def discover(spark: SparkSession, roots: list[str], project: str) -> DataFrame:
-    """Transcripts whose first 64 KiB name the project, newest first."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").load(roots)
-    head = F.substring(F.col("content"), 1, HEAD_BYTES)
-    hit = files.where(F.contains(head, F.encode(F.lit(project), "UTF-8")))
-    return hit.select("path", "modificationTime", "length").orderBy(F.desc("modificationTime"), "path")
+    """Transcripts whose first 64 KiB name the project, newest first.
+
+    Files are read in lines, and a line only as far as the head goes, so no file is held whole.
+    """
+    lines = (
+        spark.read.option("recursiveFileLookup", True)
+        .option("pathGlobFilter", "*.jsonl")
+        .text(roots)
+        .select(
+            F.col("_metadata.file_path").alias("path"),
+            F.col("_metadata.file_modification_time").alias("modificationTime"),
+            F.col("_metadata.file_size").alias("length"),
+            F.col("_metadata.file_block_start").alias("block"),
+            "value",
+        )
+        .where("block = 0")
+        .withColumn("_line", F.monotonically_increasing_id())
+    )
+    at = F.octet_length(F.col("value")) + 1
+    order = Window.partitionBy("path").orderBy("_line")
+    before = F.coalesce(F.sum(at).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    head = lines.withColumn("_at", before).where(F.col("_at") < HEAD_BYTES)
+    raw = F.substring(F.encode("value", "UTF-8"), F.lit(1), (F.lit(HEAD_BYTES) - F.col("_at")).cast("int"))
+    hit = head.where(F.contains(raw, F.encode(F.lit(project), "UTF-8")))
+    return hit.select("path", "modificationTime", "length").distinct().orderBy(F.desc("modificationTime"), "path")
 
 
 def payload_field(payload: Column, *keys: str) -> Column:

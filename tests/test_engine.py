@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import chunking, redaction
 from gleaner.functions import text as tx
-from gleaner.operators import batching, gates, judges, lifecycle
+from gleaner.operators import audit, batching, gates, judges, lifecycle
 from gleaner.plans import report
 from gleaner.plans.distill import FACTS, LINKS, distill, route
 from gleaner.plans.engine import Engine, GradingNotEnabledError
 from gleaner.plans.store import SchemaVersionError, Store
 from gleaner.sources import memory_file, transcripts
-from gleaner.streaming.ingest import ingest_stream
+from gleaner.streaming.ingest import failed_paths, ingest_stream, retry_failed
 
 NOW = "2026-01-02T03:04:05Z"
 
@@ -251,7 +251,8 @@ def test_engine_end_to_end(spark, tmp_path):
     assert engine.ingest([path], "claude", NOW)["inserted"] == 0
     assert engine.status()["pending"] == 3
     stats = engine.distill(NOW)
-    assert stats["events_graded"] == 3 and stats["add"] == 3
+    assert stats["events_graded"] == 3 and stats["facts_added"] == [1, 2, 3] and len(stats) == 16
+    assert stats["api_calls"] == 1 and stats["usage"] > 100
     assert engine.distill(NOW) == {"events_graded": 0}
     status = engine.status()
     assert status["pending"] == 0 and status["facts"] == {"active": 3} and status["last_run"]["kind"] == "distill"
@@ -259,15 +260,24 @@ def test_engine_end_to_end(spark, tmp_path):
     assert "run the tests" in engine.search("run tests before commit").first()["claim"]
     assert engine.store.table("judgments").count() == 9
     assert "redacted" in " ".join(r.claim for r in engine.recall().collect())
-    verdicts = engine.audit("# R\n- We always run the tests before a commit.\n- Something else entirely\n").collect()
-    assert [v.keyword for v in verdicts][0] == "MATCHED" and len(verdicts) == 2
-    counts = engine.audit_counts(engine.audit("- x y z\n"))
-    assert sum(counts.values()) == 1 and len(counts) == 6
-    assert "MATCHED" in report.audit_markdown(verdicts, counts) and report.audit_terminal(verdicts, counts)
-    assert json.loads(report.audit_json(verdicts, counts))["lines"][0]["number"] == 2
-    facts, asks = engine.memory()
-    text = report.render_memory(facts.collect(), asks.collect())
-    assert text.count("\n- ") == 3
+    found = engine.audit("# R\n- We always run the tests before a commit.\n- Something else entirely\n", judges.ColumnJudge(), NOW)
+    assert [v["keyword"] for v in found.lines][0] == "MATCHED" and len(found.lines) == 2
+    assert sum(found.counts.values()) == 2 and len(found.counts) == 6
+    assert (found.evidence_facts, found.evidence_statements, found.api_calls) == (3, 3, 1)
+    receipts = engine.store.table("judgments").where(F.col("run_id") == found.run_id).collect()
+    assert sorted((r.subject_id, r.question_id, r.type) for r in receipts) == [
+        ("line:3", "contradicted", "noul"), ("line:3", "disposition", "choice"), ("line:3", "supported", "noul"),
+    ]
+    run = engine.status()["last_run"]
+    assert run["kind"] == "audit" and json.loads(run["stats"])["lines_audited"] == 2
+    assert engine.audit("# only a heading\n").run_id is None and engine.status()["last_run"] == run
+    assert "MATCHED" in report.audit_markdown(found) and report.audit_terminal(found)
+    assert json.loads(report.audit_json(found))["lines"][0]["number"] == 2
+    types = {(r.question_id, r.type) for r in engine.store.table("judgments").where("subject_kind = 'candidate'").collect()}
+    assert types == {("durable", "noul"), ("category", "choice"), ("significance", "score")}
+    assert engine.store.table("judgments").select("id").distinct().count() == 12
+    text = engine.memory_text(NOW)
+    assert text.count("\n- ") == 3 and "seen in 1 session " in text and "said Jan 2" in text
     target = tmp_path / "MEMORY.md"
     report.write_memory(str(target), text)
     report.write_memory(str(target), text)
@@ -281,19 +291,208 @@ def test_engine_end_to_end(spark, tmp_path):
 def test_store_refuses_newer_schemas(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     assert store.version() == 0 and store.table("facts").count() == 0
-    assert store.publish(facts=facts_frame(spark, fact(1))) == 1 and store.publish() == 2
-    assert store.table("facts").count() == 1
-    spark.createDataFrame([(9, 4)], "version bigint, schema_version int").write.mode("append").parquet(f"{tmp_path}/log")
+    assert store.publish(replace={"facts": facts_frame(spark, fact(1))}, project="p") == 1 and store.publish() == 2
+    other = facts_frame(spark, fact(1, project="q"))
+    store.publish(replace={"facts": other}, project="q")
+    store.publish(replace={"facts": facts_frame(spark, fact(1), fact(2))}, project="p")
+    assert store.table("facts").count() == 3 and store.table("facts", 1).count() == 1
+    store.compact("facts")
+    assert store.table("facts").count() == 3 and len(store._folders("facts", store.version())) == 1
+    with pytest.raises(PermissionError):
+        Store(spark, str(tmp_path), read_only=True).publish()
+    with pytest.raises(FileNotFoundError):
+        Store(spark, str(tmp_path / "none"), read_only=True)
+    log = spark.read.parquet(f"{tmp_path}/log")
+    spark.createDataFrame([(9, 4, None, None, None, False)], log.schema).write.mode("append").parquet(f"{tmp_path}/log")
     with pytest.raises(SchemaVersionError):
         store.version()
+    with pytest.raises(SchemaVersionError):
+        Store(spark, str(tmp_path), read_only=True)
+
+
+def test_older_stores_are_brought_up_to_date(spark, tmp_path):
+    """A first-schema store has events only, a second-schema one facts without an audit mark."""
+    for schema in (1, 2):
+        root = f"{tmp_path}/{schema}"
+        spark.createDataFrame([("p", "e1", "user", "some text")], "project string, id string, role string, text string").write.parquet(f"{root}/data/events/a")
+        rows = [(1, schema, "events", None, "data/events/a", False)]
+        if schema == 2:
+            facts_frame(spark, fact(1)).drop("verified_at").write.parquet(f"{root}/data/facts/a")
+            rows.append((1, schema, "facts", None, "data/facts/a", False))
+        spark.createDataFrame(rows, "version bigint, schema_version int, name string, project string, folder string, replaces boolean").write.parquet(f"{root}/log")
+        with pytest.raises(SchemaVersionError):
+            Store(spark, root, read_only=True)
+        assert Engine(spark, root, "p").init() == 2 and Store(spark, root, read_only=True).version() == 2
+        assert Store(spark, root).table("events").first().graded_at is None
+        assert [r.verified_at for r in Store(spark, root).table("facts").collect()] == [None] * (schema - 1)
 
 
 def test_streaming_ingest(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    run = lambda: ingest_stream(spark, str(tmp_path / "in"), "claude", "p", f"{tmp_path}/log", f"{tmp_path}/err", f"{tmp_path}/cp", NOW).awaitTermination()
+    engine = Engine(spark, f"{tmp_path}/store", "p", log=f"{tmp_path}/status")
+    run = lambda kind="claude": ingest_stream(engine, str(tmp_path / "in"), kind, f"{tmp_path}/err", f"{tmp_path}/cp", NOW).awaitTermination()
     write(tmp_path / "in" / "a.jsonl", claude_lines())
     run()
-    assert spark.read.parquet(f"{tmp_path}/log").count() == 3
-    write(tmp_path / "in" / "b.jsonl", [*claude_lines(), {"type": "user", "sessionId": "s2", "message": {"role": "user", "content": "a new statement"}}])
+    assert engine.status()["events"] == 3 and engine.status()["last_ingest"] == NOW
+    extra = {"type": "user", "sessionId": "s2", "message": {"role": "user", "content": "a new statement"}}
+    write(tmp_path / "in" / "b.jsonl", [*claude_lines(), extra])
+    run("nosuch")  # the batch fails, and the stream is none the wiser
+    assert engine.status()["events"] == 3 and len(failed_paths(spark, f"{tmp_path}/err")) == 1
+    assert retry_failed(engine, None, f"{tmp_path}/err", NOW) == 1
+    assert engine.status()["events"] == 4 and failed_paths(spark, f"{tmp_path}/err") == []
     run()
-    assert spark.read.parquet(f"{tmp_path}/log").count() == 4 and not (tmp_path / "err").exists()
+    assert engine.status()["events"] == 4
+
+
+def test_projects_share_a_store(spark, tmp_path):
+    """Both have facts 1 and 2; an ask of one is settled without touching the other."""
+    root, text = f"{tmp_path}/store", lambda t: {"type": "user", "sessionId": "s", "message": {"role": "user", "content": t}}
+    one_claim, other = "the build uses make and ninja everywhere", "the build uses bazel and ninja everywhere"
+    unsure = judges.ColumnJudge(
+        lambda t: judges.normal_answers() | {"significance": F.lit(2.5)},
+        lambda name: {"same_claim": F.lit(0.1), "contradicts": F.lit(0.9), "verdict": F.lit("unclear"), "verdict_confidence": F.lit(0.9)},
+    )
+    for project in ("a", "b"):
+        engine = Engine(spark, root, project)
+        engine.init(enable_grading=True, now=NOW)
+        engine.ingest([write(tmp_path / f"{project}.jsonl", [text(one_claim), text(other)])], "claude", NOW)
+        stats = engine.distill(NOW, unsure)
+        assert stats["facts_added"] == [1, 2] and stats["asks"] == [2] and stats["api_calls"] == 2
+        pair = [r for r in engine.store.table("judgments").where("subject_kind = 'pair'").collect() if r.run_id == engine.status()["last_run"]["id"]]
+        assert len(pair) == 3 and all(r.subject_id.endswith(":1") for r in pair)
+    a, b = Engine(spark, root, "a"), Engine(spark, root, "b")
+    assert [(r.fact_id, r.partner_id) for r in a.memory()[1].collect()] == [(2, 1)]
+    a.resolve(2, "keep_new", NOW)
+    assert a.status()["facts"] == {"active": 1, "superseded": 1} and b.status()["facts"] == {"active": 1, "ask": 1}
+    assert json.loads(a.status()["last_run"]["stats"]) == {"fact_id": 2, "partner_ids": [1], "resolution": "keep_new"}
+    for _ in range(3):  # the ask of b expires at its third run without a decision
+        b.distill(NOW, unsure)
+    assert b.status()["facts"] == {"active": 1, "retired": 1} and a.status()["facts"] == {"active": 1, "superseded": 1}
+    assert [(r.subject_id, r.type) for r in b.store.table("judgments").where("question_id = 'expiry'").collect()] == [("2", "choice")]
+
+
+def test_failed_runs_are_closed_and_keep_the_queue(spark, tmp_path):
+    engine = Engine(spark, f"{tmp_path}/store", "p", grading=True)
+    engine.ingest([write(tmp_path / "a.jsonl", claude_lines())], "claude", NOW)
+    silent = judges.ScriptedJudge(spark.createDataFrame([], "question_id string, answer string"))
+    with pytest.raises(PySparkException):
+        engine.distill(NOW, silent)
+    last = engine.status()["last_run"]
+    assert last["error"] and engine.status()["pending"] == 3 and engine.store.table("facts").count() == 0
+    with pytest.raises(PySparkException):
+        engine.distill(NOW, judges.ColumnJudge(lambda t: judges.normal_answers() | {"durable": F.lit(1.5)}))
+    with pytest.raises(ValueError):
+        engine.distill(NOW, cap=0)
+    first = engine.distill(NOW, cap=2)
+    assert (first["events_graded"], first["events_deferred"]) == (2, 1) and engine.status()["pending"] == 1
+
+
+def test_order_of_arrival_over_many_transcripts(spark, tmp_path):
+    """Two thousand files in one ingest, then one more: dense, unique, by file, line and text."""
+    import os
+
+    (tmp_path / "in").mkdir()
+    for i in range(2000):
+        path = tmp_path / "in" / f"{(i * 7919) % 2000:04d}.jsonl"
+        write(path, [{"type": "user", "sessionId": f"s{i}", "message": {"role": "user", "content": f"statement number {i} {j}"}} for j in range(2)])
+        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
+    engine = Engine(spark, f"{tmp_path}/store", "p")
+    assert engine.ingest([f"{tmp_path}/in"], "claude", NOW)["inserted"] == 4000
+    engine.ingest([write(tmp_path / "late.jsonl", claude_lines())], "claude", NOW)
+    rows = engine.store.table("events").orderBy("seq").collect()
+    assert len({r.seq for r in rows}) == 4003
+    assert [r.text for r in rows[:4000]] == [f"statement number {i} {j}" for i in range(2000) for j in range(2)]
+
+
+def test_file_meta_dialects_roots_and_pinned_lists(spark, tmp_path):
+    path = write(tmp_path / "a.jsonl", claude_lines())
+    lines = transcripts.parse_lines(transcripts.read_lines(spark, path))
+    row = transcripts.file_meta(lines, "claude").first()
+    assert (row.session_id, row.cwd, row.skipped) == ("s1", "/p", [10])
+    codex = write(tmp_path / "c.jsonl", [{"type": "x", "payload": {"cwd": "/no"}}, {"type": "session_meta", "payload": {"session_id": "c1", "cwd": "/q"}}])
+    row = transcripts.file_meta(transcripts.parse_lines(transcripts.read_lines(spark, codex)), "codex").first()
+    assert (row.session_id, row.cwd, row.skipped) == ("c1", "/q", [])
+    droid = write(tmp_path / "d.jsonl", [{"type": "session_start", "id": "d1", "cwd": "/r"}])
+    row = transcripts.file_meta(transcripts.parse_lines(transcripts.read_lines(spark, droid)), "droid").first()
+    assert (row.session_id, row.cwd) == ("d1", "/r")
+    found = {k: [p.rsplit("/", 1)[1] for p in v] for k, v in transcripts.dialects_of(spark, [codex, droid]).items()}
+    assert found["droid"] == ["d.jsonl"]
+    assert [r.source for r in transcripts.roots(spark, "/h").collect()] == ["claude", "codex", "droid"]
+    listed = spark.createDataFrame([("# list",), ("/a/b claude # why",), ("",), ("/c codex",), ("/d nothing",)], "line string")
+    assert [tuple(r) for r in transcripts.pinned(listed).collect()] == [("/a/b", "claude"), ("/c", "codex")]
+
+
+def test_route_equals_plain_retrieval(spark):
+    """The joins that feed the fold lose no partner: a plain BM25 over all facts says the same."""
+    import math
+    import random
+    from collections import Counter
+
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(60)] + ["the"] * 20
+    say = lambda: " ".join(r.choice(words) for _ in range(r.randrange(3, 12)))
+    old = [fact(i + 1, r.choice(("active", "active", "ask", "superseded")), say()) for i in range(150)]
+    rows = [("p", i, c, c, r.choice((1.0, 2.0, 3.0))) for i, c in enumerate(say() for _ in range(40))]
+    rows[7] = ("p", 7, old[3]["claim"], old[3]["claim"], 3.0)
+    frame = spark.createDataFrame(rows, "project string, ord bigint, norm string, claim string, significance double")
+    got = {x.ord: (x.route, x.duplicate_of, x.partners) for x in route(frame, facts_frame(spark, *old)).collect()}
+    tokens = lambda t: [w for w in t.lower().split() if len(w) >= 2]
+    index = {f["fact_id"]: f["claim"] for f in old if f["indexed"]}
+    active = {f["fact_id"] for f in old if f["status"] == "active"}
+    norms = {}
+    for f in old:
+        if f["status"] == "active":
+            norms.setdefault(f["claim"], f["fact_id"])
+    for _, o, norm, claim, significance in rows:
+        if norm in norms:
+            assert got[o] == ("duplicate", norms[norm], [])
+            continue
+        near = []
+        if significance >= 2:
+            docs = {f: Counter(c.split()) for f, c in index.items()}
+            mean = sum(sum(d.values()) for d in docs.values()) / len(docs)
+            df = Counter(t for d in docs.values() for t in d)
+            score = {}
+            for t, q in Counter(tokens(claim)).items():
+                for f, d in docs.items():
+                    if t in d:
+                        idf = max(math.log((len(docs) - df[t] + 0.5) / (df[t] + 0.5)), 1e-6)
+                        score[f] = score.get(f, 0) + q * idf * d[t] * 2.2 / (d[t] + 1.2 * (0.25 + 0.75 * sum(d.values()) / mean))
+            top = sorted(score, key=lambda f: (-round(score[f], 9), f))[:10]
+            ratio = lambda f: len(set(tokens(claim)) & set(tokens(index[f]))) / len(set(tokens(claim)) | set(tokens(index[f])))
+            near = sorted((f for f in top if f in active), key=lambda f: (-ratio(f), f))[:5]
+        if near:
+            assert got[o] == ("pair", None, near), o
+        else:
+            assert got[o] == ("add", None, []), o
+            norms[norm] = -1 - o
+            index[-1 - o] = claim
+            active.add(-1 - o)
+
+
+def test_planted_fidelity(spark, tmp_path):
+    """Three verbatim lines, one stale, one wrong and one made up: all anchors, none false, all verdicts right with an ideal judge."""
+    engine = Engine(spark, f"{tmp_path}/store", "p", grading=True)
+    claims = ["Deploys run from the main branch only", "The api listens on port 8080", "Tests need a running database"]
+    facts = [fact(i + 1, claim=c) for i, c in enumerate(claims)] + [fact(4, "superseded", "Builds use make")]
+    engine.store.publish(replace={"facts": facts_frame(spark, *facts)}, project="p")
+    planted = [(c, "keep", True) for c in claims] + [("Builds use make", "stale", False), ("The api listens on port 9090", "wrong", False), ("The team prefers tabs", "unsupported", False)]
+    truth = spark.createDataFrame(planted, "text string, disposition string, verbatim boolean")
+    found = engine.audit("\n".join(f"- {t}" for t, _, _ in planted), judges.IdealJudge(truth), NOW)
+    assert found.counts == {"KEEP": 0, "STALE": 1, "WRONG": 1, "UNSUPPORTED": 1, "REVIEW": 0, "MATCHED": 3} and found.api_calls == 1
+    anchored = spark.createDataFrame([(v["text"],) for v in found.lines if v["anchor_fact_id"] is not None], "text string")
+    row = audit.anchor_fidelity(truth, anchored, ["text"]).first()
+    assert (row.recall, row.false_anchors) == (1.0, 0.0)
+    assert "1 stale line" in report.summary(found) and report.footer(found).startswith("receipts: run 1")
+    review = engine.audit("- nothing anyone said", judges.adversarial_judge(), NOW)
+    assert review.counts["REVIEW"] == 1
+    guided = engine.audit("- we use TABS here", judges.planted_judge([("tabs", "wrong")]), NOW)
+    assert guided.counts["WRONG"] == 1
+
+
+def test_store_paths(monkeypatch):
+    from gleaner.plans import store
+
+    monkeypatch.setenv("GLEANER_HOME", "/h")
+    assert store.default_home() == "/h" and store.store_path("/tmp/x").startswith("/h/projects/") and len(store.slug_of("/tmp/x")) == 12
+    assert store.store_path("/tmp/x", "/k") == f"/k/projects/{store.slug_of('/tmp/x')}"

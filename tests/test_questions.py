@@ -1,6 +1,9 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
+from gleaner.operators import judges
 from gleaner.operators import questions as q
 from gleaner.sources import status_log
 
@@ -10,10 +13,16 @@ def test_questions_and_receipts(spark):
     assert [r.question_id for r in rows] == ["c0_durable", "c0_category", "c0_significance", "c1_durable", "c1_category", "c1_significance"]
     pair = q.pair_questions(spark.createDataFrame([(2, 3)], "i int, j int")).collect()
     assert [r.question_id for r in pair] == ["p2_3_same_claim", "p2_3_contradicts", "p2_3_verdict"]
-    judged = spark.createDataFrame([("e", 0.9, "tooling", 1.5)], "event_id string, durable double, category string, significance double")
-    out = q.receipts(judged, "candidate", F.col("event_id"), q.PHASE_A, 7, "now").collect()
-    assert [(r.question_id, r.type) for r in out] == [("durable", "noul"), ("category", "choice"), ("significance", "score")]
-    assert out[1].answer_json == '{"type":"choice","value":"tooling"}'
+    asked = spark.createDataFrame([("e", "e", "t", 0)], "subject_id string, subject string, text string, position int")
+    given = lambda text: {"durable": F.lit(0.9), "category": F.lit("tooling"), "significance": F.lit(1.5)}
+    answered = q.checked(judges.ColumnJudge(given).ask(q.candidate_questions(asked)), q.PHASE_A)
+    out = {r.question_id: r for r in q.receipts(answered, "candidate", 7, "now").collect()}
+    assert {k: r.type for k, r in out.items()} == {"durable": "noul", "category": "choice", "significance": "score"}
+    assert out["durable"].answer_json == '{"type":"noul","noul":0.9}'
+    row = q.by_subject(answered, ["position"], q.PHASE_A).first()
+    assert (row.durable, row.category, row.significance, row.category_confidence) == (0.9, "tooling", 1.5, 0.8)
+    body = json.loads(q.wire(q.candidate_questions(asked), ["subject"]).first().body)
+    assert sorted(body["questions"]) == ["c0_category", "c0_durable", "c0_significance"] and body["questions"]["c0_durable"]["type"] == "noul"
 
 
 def test_distributions(spark):
