@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from gleaner.sources import transcripts
+
 
 def squeeze(x: str) -> str:
     return rf"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
@@ -113,7 +115,8 @@ CANDIDATES = f"""{CONTEXT}, cl AS (
 GROUPS = f"""{CANDIDATES}, gr AS (
   SELECT project, {norm('text')} AS norm, role,
          arg_min(text, seq * 4096 + ordinal) AS text, arg_min(event_id, seq * 4096 + ordinal) AS event_id,
-         arg_min(context, seq * 4096 + ordinal) AS context, min(seq) AS first_seq, count(*) AS occurrences
+         arg_min(context, seq * 4096 + ordinal) AS context, min(seq) AS first_seq, arg_min(ordinal, seq * 4096 + ordinal) AS first_ordinal,
+         count(*) AS occurrences
   FROM ca GROUP BY 1, 2, 3
 )"""
 
@@ -128,11 +131,42 @@ JUDGED = f"""{GROUPS}, ju AS (
 )"""
 
 FACTS = f"""{JUDGED}, fa AS (
-  SELECT project, first_seq AS fact_id, text AS claim, category, significance, confidence, event_id, first_seq, context, role, norm,
+  SELECT project, first_seq * 4096 + first_ordinal AS fact_id, text AS claim, category, significance, confidence,
          CASE WHEN {unit("text || 'k'")} < 0.7 THEN 'active' WHEN {unit("text || 'k'")} < 0.85 THEN 'ask' ELSE 'superseded' END AS status
-  FROM (SELECT * FROM pa WHERE drop_reason IS NULL QUALIFY row_number() OVER (PARTITION BY first_seq ORDER BY role, norm) = 1)
+  FROM pa WHERE drop_reason IS NULL
 )"""
 
+QUEUE = f"""{CANDIDATES}, e AS (SELECT project, seq FROM st),
+  k AS (SELECT project, seq, {norm('text')} AS norm, role FROM ca),
+  fs AS (SELECT project, norm, role, min(seq) AS first_seq FROM k GROUP BY ALL),
+  cv AS (SELECT project, first_seq AS seq, count(*) AS covers FROM fs GROUP BY ALL),
+  fr AS (SELECT k.project, k.seq, count(*) AS fresh FROM k JOIN fs USING (project, norm, role) WHERE k.seq = fs.first_seq GROUP BY ALL),
+  r AS (SELECT e.project, e.seq, coalesce(sum(coalesce(covers, 0)) OVER (PARTITION BY e.project ORDER BY e.seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+               + coalesce(fresh, 0) > 50 AS over_cap FROM e LEFT JOIN cv USING (project, seq) LEFT JOIN fr USING (project, seq)),
+  qu AS (SELECT project, seq, NOT bool_or(over_cap) OVER (PARTITION BY project ORDER BY seq) AS selected FROM r)"""
+
+
+def json_chars(x: str) -> str:
+    """Length of a text as escaped JSON."""
+    many = lambda pattern: f"len(regexp_extract_all({x}, $r${pattern}$r$))"
+    short, long_, pair = many(r'["\\\x08\x0c\n\r\t]'), many(r"[\x00-\x07\x0b\x0e-\x1f\x7f-\x{ffff}]"), many(r"[\x{10000}-\x{10ffff}]")
+    return f"(length({x}) + 2 + {short} + 5 * {long_} + 11 * {pair})"
+
+
+def packed(items: str, by: str, order: str, chars: str, most: int) -> str:
+    """Greedy batches of the rows of a table: (by, d.o, d.b, d.p)."""
+    state = lambda used, batch, pos, done, o, c: f"{{'used': ({used})::BIGINT, 'batch': ({batch})::INT, 'pos': ({pos})::INT, 'done': {done}, 'o': ({o})::BIGINT, 'c': ({c})::BIGINT}}"
+    none = "[]::STRUCT(o BIGINT, b INT, p INT)[]"
+    put = lambda batch, pos: f"list_append(a.done, {{'o': x.o, 'b': ({batch})::INT, 'p': ({pos})::INT}})"
+    rows = f"list({state(0, 0, 0, none, order, chars)} ORDER BY {order})"
+    step = (
+        f"CASE WHEN a.used + x.c + 1 <= {most} OR a.pos = 0 THEN {state('a.used + x.c + 1', 'a.batch', 'a.pos + 1', put('a.batch', 'a.pos'), 'x.o', 'x.c')} "
+        f"ELSE {state('x.c + 1', 'a.batch + 1', '1', put('a.batch + 1', '0'), 'x.o', 'x.c')} END"
+    )
+    folded = f"list_reduce(list_prepend({state(0, 0, 0, none, 0, 0)}, {rows}), lambda a, x: {step})"
+    return f"SELECT {by}, unnest(done) AS d FROM (SELECT {by}, ({folded}).done AS done FROM {items} GROUP BY {by})"
+
+
 _TOKENS = "list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda w: length(w) >= 2)"
 
 
@@ -199,10 +233,9 @@ PAIRS = SIMILAR + f""", pr0 AS (
 DOC_LINES = f"""dl AS (
   SELECT doc_id, unnest(range(1, len(parts) + 1))::INT AS number, unnest(parts) AS text
   FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)
-), lf AS (
-  SELECT {norm('text')} AS n, min(doc_id * 100000 + number) AS fact_id FROM dl WHERE doc_id % 2 = 0 GROUP BY 1 HAVING n != ''
-), ln AS (SELECT doc_id, number, text, {norm('text')} AS n FROM dl WHERE doc_id % 2 = 1 AND {norm('text')} != ''
-), an AS (SELECT ln.doc_id, ln.number, lf.fact_id FROM ln JOIN lf USING (n)
+), ln AS (SELECT doc_id, number, text, {norm('text')} AS n, doc_id * 4294967296 + number AS own FROM dl WHERE {norm('text')} != ''
+), lf AS (SELECT n, min(own) AS fact_id FROM ln GROUP BY 1
+), an AS (SELECT ln.doc_id, ln.number, lf.fact_id FROM ln JOIN lf USING (n) WHERE fact_id != own
 )"""
 
 VERDICT_LINES = f"""{DOC_LINES}, lj AS (
@@ -238,7 +271,8 @@ SQL: dict[str, str] = {
     "redact_pages": f"SELECT page_id, sha256({redact('html')}) AS digest, {redact('html')} != html AS changed FROM pages",
     "redaction_counts": f"SELECT source, sum({redactions('text')})::BIGINT AS secrets, count(*) AS n FROM documents GROUP BY 1",
     "event_dedupe": f"""WITH d AS (SELECT source, doc_id, sha256(source || chr(31) || {squeeze(redact('text'))}) AS id FROM documents)
-        SELECT id, min(doc_id) AS seq FROM d WHERE doc_id % 3 != 0 AND id NOT IN (SELECT id FROM d WHERE doc_id % 3 = 0) GROUP BY id""",
+        SELECT id, min(doc_id) AS seq FROM d WHERE doc_id NOT IN (SELECT doc_id FROM labels)
+        AND id NOT IN (SELECT id FROM d WHERE doc_id IN (SELECT doc_id FROM labels)) GROUP BY id""",
     "chunk_conversations": f"""WITH c AS (SELECT conv_id, turn, {chunks('text')} AS parts FROM conversations)
         SELECT conv_id, turn, unnest(range(len(parts)))::INT AS ordinal, unnest(parts) AS chunk FROM c""",
     "chunk_documents": f"""WITH c AS (SELECT doc_id, {chunks('text')} AS parts FROM documents)
@@ -246,21 +280,14 @@ SQL: dict[str, str] = {
     "context_window": f"WITH {CONTEXT} SELECT session_id, seq, role, context FROM con",
     "candidates": f"WITH {CANDIDATES} SELECT event_id, seq, ordinal, role, text, context FROM ca",
     "candidate_groups": f"WITH {GROUPS} SELECT project, norm, role, text, event_id, context, first_seq, occurrences FROM gr",
-    "queue_selection": f"""WITH {CANDIDATES}, e AS (SELECT project, seq FROM st),
-        k AS (SELECT project, seq, {norm('text')} AS norm, role FROM ca),
-        fs AS (SELECT project, norm, role, min(seq) AS first_seq FROM k GROUP BY ALL),
-        cv AS (SELECT project, first_seq AS seq, count(*) AS covers FROM fs GROUP BY ALL),
-        fr AS (SELECT k.project, k.seq, count(*) AS fresh FROM k JOIN fs USING (project, norm, role) WHERE k.seq = fs.first_seq GROUP BY ALL),
-        r AS (SELECT e.project, e.seq, coalesce(sum(coalesce(covers, 0)) OVER (PARTITION BY e.project ORDER BY e.seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
-                     + coalesce(fresh, 0) > 50 AS over_cap FROM e LEFT JOIN cv USING (project, seq) LEFT JOIN fr USING (project, seq))
-        SELECT project, seq, NOT bool_or(over_cap) OVER (PARTITION BY project ORDER BY seq) AS selected FROM r""",
+    "queue_selection": f"WITH {QUEUE} SELECT project, seq, selected FROM qu",
     "session_closure": f"""WITH {EVENTS}, g AS (SELECT *, {unit('id')} < 0.8 AS is_graded FROM ev)
         SELECT id, session_id, seq, is_graded FROM g WHERE NOT is_graded OR session_id IN (SELECT session_id FROM g WHERE NOT is_graded)""",
     "phase_a_gate": f"WITH {JUDGED} SELECT project, norm, role, round(durable, 6) AS durable, round(significance, 6) AS significance, category, drop_reason, drop_reason IS NULL AS kept, near_miss, round(confidence, 6) AS confidence FROM pa",
     "phase_a_counts": f"""WITH {JUDGED} SELECT count(*) FILTER (drop_reason IS NULL) AS kept, count(*) FILTER (drop_reason = 'low_durable') AS dropped_durable,
         count(*) FILTER (drop_reason = 'low_significance') AS dropped_significance, count(*) FILTER (near_miss) AS near_misses FROM pa""",
-    "code_duplicates": f"""WITH d AS (SELECT doc_id, {norm('text')} AS n FROM documents), o AS (SELECT n, min(doc_id) AS fact_id FROM d WHERE doc_id % 2 = 0 AND n != '' GROUP BY 1)
-        SELECT d.doc_id, o.fact_id FROM d JOIN o USING (n) WHERE d.doc_id % 2 = 1""",
+    "code_duplicates": f"""WITH d AS (SELECT doc_id, {norm('text')} AS n FROM documents), o AS (SELECT n, min(doc_id) AS fact_id FROM d WHERE n != '' GROUP BY 1)
+        SELECT d.doc_id, o.fact_id FROM d JOIN o USING (n) WHERE d.doc_id != o.fact_id""",
     "anchor_lines": f"WITH {DOC_LINES} SELECT doc_id, number, fact_id FROM an",
     "unanchored_lines": f"WITH {DOC_LINES} SELECT doc_id, number FROM ln ANTI JOIN an USING (doc_id, number)",
     "claim_tokens": f"SELECT item_id, array_to_string({tokens('text')}, ' ') AS tokens FROM benchmark",
@@ -302,3 +329,156 @@ SQL: dict[str, str] = {
         (12, repeat('word', 8)), (13, '')) SELECT n, {redact('text')} AS text, ({redactions('text')})::INT AS hits FROM r""",
     "payload_json": "SELECT event_id, json_type(props::JSON) = 'OBJECT' AS is_object, nullif(props::JSON ->> '$.page', '') AS page FROM events",
 }
+
+_STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+_HEADING, _RULE, _TABLE = r"^ {0,3}#{1,6}(?:\s|$)", r"^ {0,3}(?:[-*_][ \t]*){3,}$", r"^\s*\|.*\|\s*$"
+_ITEM = r"^(\s*)([-*+]|\d+[.)])(\s+)(.*)$"
+
+
+def memory_lines(files: str) -> str:
+    """Claims of markdown files (path, text): a fold over each file's fences, and the last heading."""
+    ends = r"$r$\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]$r$"
+    state = lambda fence, inside, raw: f"{{'fence': {fence}, 'inside': {inside}, 'raw': {raw}}}"
+    mark = "substr(regexp_extract(x.raw, $r$^ {0,3}(`{3,}|~{3,})$r$, 1), 1, 1)"
+    bare = _STRIP.format("x.raw")
+    closes = f"((regexp_matches({bare}, '^`+$') AND a.fence = '`') OR (regexp_matches({bare}, '^~+$') AND a.fence = '~'))"
+    fence = f"CASE WHEN a.fence != '' AND {closes} THEN '' WHEN a.fence != '' THEN a.fence ELSE {mark} END"
+    step = state(fence, f"list_append(a.inside, a.fence != '' OR {mark} != '')", "x.raw")
+    start, none = state("''", "[]::BOOLEAN[]", "''"), state("''", "[]::BOOLEAN[]", "l")
+    title = f"nullif({_STRIP.format(f'regexp_replace({_STRIP.format(chr(114) + chr(97) + chr(119))}, $r$^#+$r$, $r$$r$)')}, '')"
+    claim = f"CASE WHEN regexp_matches(raw, $r${_ITEM}$r$) THEN regexp_extract(raw, $r${_ITEM}$r$, 4) ELSE {_STRIP.format('raw')} END"
+    return f"""fi AS (SELECT path, regexp_split_to_array(text, {ends}) AS ls FROM {files}),
+      fo AS (SELECT path, ls, list_reduce(list_prepend({start}, list_transform(ls, lambda l: {none})), lambda a, x: {step}).inside AS ins FROM fi),
+      ro AS (SELECT path, unnest(range(1, len(ls) + 1))::INT AS number, unnest(ls) AS raw, unnest(ins) AS hidden FROM fo),
+      he AS (SELECT path, number, raw, regexp_matches(raw, $r${_HEADING}$r$) AS heading, CASE WHEN regexp_matches(raw, $r${_HEADING}$r$) THEN {{'t': {title}}} END AS h
+             FROM ro WHERE NOT hidden AND length({_STRIP.format('raw')}) > 0),
+      se AS (SELECT *, last_value(h IGNORE NULLS) OVER (PARTITION BY path ORDER BY number ROWS UNBOUNDED PRECEDING).t AS section FROM he),
+      ml AS (SELECT path, number, raw, {markup(claim)} AS text, section FROM se
+             WHERE NOT heading AND NOT regexp_matches(raw, $r${_RULE}$r$) AND NOT regexp_matches(raw, $r${_TABLE}$r$))"""
+
+
+def transcript(prefixes: tuple[str, ...] = (), patterns: tuple[str, ...] = ()) -> str:
+    """Spoken turns that no machine pushed."""
+    text = _STRIP.format("text")
+    pushed = [f"starts_with({text}, $r${p}$r$)" for p in prefixes]
+    pushed += [f"regexp_matches({text}, $r${p.replace('(?U)', '')}$r$)" for p in patterns]
+    return f"""SELECT conv_id::VARCHAR AS path, (turn + 1)::INT AS line_no, role, 0::INT AS "index", {text} AS text FROM conversations
+        WHERE role IN ('user', 'assistant') AND {text} != '' AND NOT (role = 'user' AND ({' OR '.join(pushed) or 'false'}))"""
+
+
+_ASKED = f"""{JUDGED}, pk AS (
+  SELECT *, row_number() OVER (PARTITION BY project ORDER BY first_seq, first_ordinal) AS ord, {json_chars('event_id')} + {json_chars('text')} + 15 AS chars FROM ju
+), pd AS ({packed('pk', 'project', 'ord', 'chars', 8000)}
+), ba AS (SELECT pk.*, d.b AS batch_no, d.p AS position FROM pk JOIN pd ON pd.project = pk.project AND pd.d.o = pk.ord)"""
+
+_NOW = "1998-08-02 00:00:00"
+_ENDS = f"{FACTS}, en AS (SELECT project, category, min(fact_id) AS low, max(fact_id) AS high FROM fa WHERE status = 'active' GROUP BY ALL)"
+_EDGES = f"""{_ENDS}, ed AS (
+  SELECT *, row_number() OVER (PARTITION BY project ORDER BY fact_id, partner_id) AS seq FROM (
+    SELECT DISTINCT fa.project, fact_id, unnest([low, high]) AS partner_id FROM fa JOIN en USING (project, category) WHERE status = 'ask'))"""
+_LOG = "CASE WHEN event_type = 'view' THEN 'ingest' ELSE event_type END"
+
+
+def _problems() -> str:
+    """DuckDB's reading of the answers in gleaner.plans.queries.ANSWERS."""
+    from gleaner.plans.queries import ANSWERS
+
+    rows = ", ".join(f"({n}, '{kind}', '{answer}')" for n, kind, answer in ANSWERS)
+    number = lambda path, top: f"coalesce(json_type(a, '$.{path}') IN ('DOUBLE', 'BIGINT', 'UBIGINT') AND TRY_CAST(a ->> '$.{path}' AS DOUBLE) BETWEEN 0 AND {top}, false)"
+    probabilities = "coalesce(map_values(CAST(a -> '$.probabilities' AS MAP(VARCHAR, DOUBLE))), [])"
+    bad = f"NOT (abs(coalesce(list_sum({probabilities}), 0) - 1) <= 0.01 AND len(list_filter({probabilities}, lambda p: p NOT BETWEEN 0 AND 1)) = 0)"
+    names = "list_sort(json_keys(a, '$.probabilities'))"
+    return f"""WITH r(n, kind, answer) AS (VALUES {rows}), j AS (SELECT n, kind, answer::JSON AS a FROM r)
+        SELECT n, CASE WHEN a ->> '$.type' != kind THEN 'type'
+          WHEN kind = 'noul' THEN CASE WHEN {number('noul', 1)} THEN 'fine' ELSE 'noul' END
+          WHEN kind = 'choice' THEN CASE WHEN a ->> '$.choice' NOT IN {VERDICTS!r} THEN 'choice' WHEN {bad} THEN 'probabilities'
+               WHEN {names} != list_sort({list(VERDICTS)!r}) THEN 'options' WHEN NOT {number('confidence', 1)} THEN 'confidence' ELSE 'fine' END
+          ELSE CASE WHEN NOT {number('score', 3)} THEN 'score' WHEN {bad} THEN 'probabilities' WHEN len({names}) != 4 THEN 'levels'
+               WHEN NOT {number('confidence', 1)} THEN 'confidence' ELSE 'fine' END END AS problem FROM j"""
+
+
+_FLAT = r"regexp_replace(text, '\r\n|\r|\n', ' ', 'g')"
+_CORPUS = "'# Top\n\n- one **claim**\n* two\n1. three\n```\ncode\n~~~\n```\n| a | b |\n---\n## \nloose line\n- \n~~~py\nx\n~~~\nlast'"
+
+SQL |= {
+    "memory_corpus": f"WITH co AS (SELECT 'f' AS path, {_CORPUS} AS text), {memory_lines('co')} SELECT * FROM ml WHERE text != ''",
+    "memory_lines": f"""WITH co AS (SELECT conv_id::VARCHAR AS path, string_agg('## ' || role || chr(10) || '- ' || text, chr(10) ORDER BY turn, role, text) AS text
+        FROM conversations GROUP BY 1), {memory_lines('co')} SELECT * FROM ml WHERE text != ''""",
+    "claim_hashes": f"SELECT doc_id, sha256({norm('text')}) AS hash FROM documents",
+    "project_slugs": "SELECT page_id, substr(sha1(url), 1, 12) AS slug FROM pages",
+    "display_lines": f"""SELECT doc_id, sha256({_FLAT}) AS digest, CASE WHEN length({_FLAT}) <= 44 THEN {_FLAT} ELSE rtrim(substr({_FLAT}, 1, 43)) || '…' END AS line FROM documents""",
+    "role_histogram": f"""SELECT role, count(*) AS n, sum({redactions('text')})::BIGINT AS secrets, min(length(text)) AS least_chars, max(length(text)) AS most_chars,
+        count(*) || ' turn' || CASE WHEN count(*) = 1 THEN '' ELSE 's' END AS phrase FROM conversations GROUP BY 1""",
+    "stamp_parse": """WITH s AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS stamp FROM orders)
+        SELECT o_orderkey, epoch(strptime(stamp, '%Y-%m-%dT%H:%M:%SZ'))::BIGINT AS seconds, substr(stamp, 1, 10) AS day FROM s""",
+    "json_sizes": f"""WITH t AS (SELECT 'document' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'page', page_id, html FROM pages)
+        SELECT kind, id, {json_chars('text')} AS chars, ceil({json_chars('text')} / 4)::BIGINT AS tokens FROM t""",
+    "peaked_scores": """WITH l AS (SELECT unnest(range(4)) AS level), w AS (
+          SELECT level, i, CASE WHEN i = level THEN 0.6 WHEN abs(i - level) = 1 THEN 0.3 / (CASE WHEN level IN (0, 3) THEN 1 ELSE 2 END)
+                                ELSE 0.1 / (CASE WHEN level IN (0, 3) THEN 2 ELSE 1 END) END AS p FROM (SELECT level, unnest(range(4)) AS i FROM l))
+        SELECT level::INT AS level, round(sum(i * p) / sum(p), 6) AS score FROM w GROUP BY 1""",
+    "phase_a_batches": f"WITH {_ASKED} SELECT project, ord, chars, batch_no, position FROM ba",
+    "judge_receipts": f"""WITH {_ASKED}
+        SELECT project, ord, 'c' || position || '_durable' AS question_id, 'noul' AS type, round(durable, 6) AS value, '-' AS choice FROM ba UNION ALL
+        SELECT project, ord, 'c' || position || '_category', 'choice', NULL, category FROM ba UNION ALL
+        SELECT project, ord, 'c' || position || '_significance', 'score', round(significance, 6), '-' FROM ba""",
+    "answers_by_position": f"WITH {JUDGED} SELECT project, norm, role, round(durable, 6) AS durable, category, round(significance, 6) AS significance FROM ju",
+    "batch_spend": f"""WITH {_ASKED}, b AS (SELECT project, batch_no, sum(chars) AS chars FROM ba GROUP BY ALL)
+        SELECT project, count(*) AS api_calls, sum(ceil(chars / 4))::BIGINT AS usage FROM b GROUP BY 1""",
+    "audit_offline": f"WITH {VERDICT_LINES} SELECT doc_id, number, disposition, keyword FROM lv",
+    "planted_dispositions": f"""WITH {DOC_LINES} SELECT doc_id, number, CASE WHEN contains(lower(text), 'the') THEN 'stale' WHEN contains(lower(text), 'die') THEN 'wrong'
+        WHEN contains(lower(text), 'le') THEN 'unsupported' ELSE 'keep' END AS disposition FROM dl""",
+    "judge_doubles": """WITH j(judge, durable, significance, category, same_claim, contradicts, verdict, verdict_confidence, supported, contradicted, disposition, confidence) AS (VALUES
+          ('normal', 0.9::DOUBLE, 1.2::DOUBLE, 'convention', 0.9::DOUBLE, 0.08::DOUBLE, 'new_overrides', 0.8::DOUBLE, 0.9::DOUBLE, 0.08::DOUBLE, 'keep', 0.8::DOUBLE),
+          ('adversarial', 0.5, 1.5, 'preference', 0.5, 0.5, 'new_overrides', 0.0, 0.5, 0.5, 'keep', 0.0))
+        SELECT item_id, j.* FROM benchmark, j""",
+    "queue_deferred": f"WITH {QUEUE} SELECT project, seq FROM qu WHERE NOT selected",
+    "graded_stamps": f"""WITH {QUEUE}, ei AS (SELECT project, seq, sha256(coalesce(session_id, '') || chr(31) || {squeeze(redact('text'))}) AS id FROM st),
+        tk AS (SELECT DISTINCT id FROM ei JOIN qu USING (project, seq) WHERE selected)
+        SELECT id, seq, CASE WHEN id IN (SELECT id FROM tk) THEN '{_NOW}' ELSE 'pending' END AS graded_at FROM ei""",
+    "support_counts": f"WITH {CANDIDATES} SELECT project, {norm('text')} AS norm, role, count(DISTINCT event_id) AS support_count, count(*) AS occurrences FROM ca GROUP BY 1, 2, 3",
+    "support_bumps": f"""WITH {CANDIDATES} SELECT project, {norm('text')} AS norm, count(DISTINCT event_id) AS support_count, count(DISTINCT event_id) AS events,
+        CASE WHEN count(DISTINCT event_id) > 1 THEN '{_NOW}' ELSE 'then' END AS last_supported_at FROM ca GROUP BY 1, 2""",
+    "supersede_facts": f"""WITH {_ENDS}, lo AS (SELECT project, low AS fact_id FROM en WHERE low < high)
+        SELECT fa.project, fa.fact_id, CASE WHEN lo.fact_id IS NULL THEN status ELSE 'superseded' END AS status,
+               lo.fact_id IS NULL AND status IN ('active', 'ask') AS indexed, CASE WHEN lo.fact_id IS NULL THEN '' ELSE '{_NOW}' END AS updated_at
+        FROM fa LEFT JOIN lo ON lo.project = fa.project AND lo.fact_id = fa.fact_id""",
+    "supersede_links": f"""WITH {_ENDS} SELECT project, high AS fact_id, low AS related_id, 'supersedes' AS relation,
+        row_number() OVER (PARTITION BY project ORDER BY high, low) AS seq FROM en WHERE low < high""",
+    "status_changes": f"""WITH {FACTS}, c AS (SELECT *, category = 'none' AS r, category = 'tooling' AS k, category = 'pitfall' AND status = 'ask' AS b, category = 'convention' AS v FROM fa)
+        SELECT project, fact_id, CASE WHEN r THEN 'retired' WHEN k THEN 'ask' WHEN b THEN 'active' ELSE status END AS status,
+               CASE WHEN r THEN false WHEN k OR b THEN true ELSE status IN ('active', 'ask') END AS indexed, CASE WHEN k OR b THEN 0 ELSE fact_id % 3 END AS ask_seen_count,
+               CASE WHEN r OR k OR b OR v THEN '{_NOW}' ELSE '' END AS updated_at, CASE WHEN v THEN '{_NOW}' ELSE '-' END AS verified_at FROM c""",
+    "ask_partners": f"WITH {_EDGES} SELECT project, fact_id, partner_id, seq FROM ed",
+    "open_asks": f"""WITH {_EDGES}, f1 AS (SELECT project, fact_id, arg_min(partner_id, seq) AS partner_id FROM ed GROUP BY ALL)
+        SELECT fa.project, fa.fact_id, fa.claim, coalesce(f1.partner_id, -1) AS partner_id, coalesce(o.claim, '-') AS partner_claim
+        FROM fa LEFT JOIN f1 USING (project, fact_id) LEFT JOIN fa o ON o.project = fa.project AND o.fact_id = f1.partner_id WHERE fa.status = 'ask'""",
+    "active_facts": f"WITH {FACTS} SELECT project, fact_id, claim, category FROM fa WHERE status = 'active'",
+    "ask_facts": f"WITH {FACTS} SELECT project, fact_id, claim, category FROM fa WHERE status = 'ask'",
+    "search_topk": "WITH " + SIMILAR.replace("rank <= 10", "rank <= 16").replace("place <= 5", "place <= 8") + " SELECT query_id, fact_id, place, round(jaccard, 6) AS jaccard FROM si",
+    "jaccard_pairs": f"""WITH {BM25.replace('{where}', '')} SELECT query_id, fact_id, round(len(list_distinct(list_intersect({tokens('query')}, {tokens('claim')})))::DOUBLE
+        / len(list_distinct(list_concat({tokens('query')}, {tokens('claim')}))), 6) AS jaccard FROM tk JOIN f USING (fact_id) JOIN q USING (query_id)""",
+    "run_counts": f"""WITH {QUEUE}, g AS (SELECT project, {norm('text')} AS norm, role, arg_min(text, seq * 4096 + ordinal) AS text, count(*) AS n
+          FROM ca JOIN qu USING (project, seq) WHERE selected GROUP BY 1, 2, 3), u AS (SELECT *, {unit("text || 'd'")} AS durable FROM g)
+        SELECT (SELECT count(*) FROM qu WHERE selected) AS events_graded, (SELECT count(*) FROM qu WHERE NOT selected) AS events_deferred, count(*) AS candidates_graded,
+               sum(n)::BIGINT AS occurrences, count(*) FILTER (durable >= 0.5 AND durable < CASE WHEN role = 'user' THEN 0.7 ELSE 0.8 END) AS near_misses FROM u""",
+    "anchor_fidelity": f"""WITH {DOC_LINES}, o AS (SELECT text, min(own) AS oldest FROM ln GROUP BY 1),
+        h AS (SELECT own > oldest AS verbatim, an.fact_id IS NOT NULL AS hit FROM ln JOIN o USING (text) LEFT JOIN an ON an.doc_id = ln.doc_id AND an.number = ln.number)
+        SELECT round(avg(hit::INT) FILTER (verbatim), 6) AS recall, round(avg(hit::INT) FILTER (NOT verbatim), 6) AS false_anchors FROM h""",
+    "answer_checks": _problems(),
+    "detect_dialects": """WITH r(path, line) AS (VALUES ('/h/.codex/a', ''), ('/h/.factory/b', ''), ('/h/.claude/c', ''), ('/x', '{"type":"session_meta"}'), ('/y', '{"type":"session_start"}'), ('/z', '{"sessionId":"s"}'))
+        SELECT path, CASE WHEN contains(path, '/.codex/') OR contains(line, '"session_meta"') THEN 'codex' WHEN contains(path, '/.factory/') OR contains(line, '"session_start"') THEN 'droid' ELSE 'claude' END AS dialect FROM r""",
+    "transcript_roots": """SELECT '/home/me/' || f AS root, s AS source FROM (VALUES ('.claude/projects', 'claude'), ('.codex/sessions', 'codex'), ('.factory/sessions', 'droid')) t(f, s)""",
+    "pinned_list": r"""WITH r(line) AS (VALUES ('# list'), ('/a/b claude # why'), (''), ('/c codex'), ('/d nothing'), ('  /e   droid')),
+        s AS (SELECT regexp_split_to_array(trim(regexp_replace(line, '#.*$', '')), '\s+') AS p FROM r) SELECT p[1] AS path, p[2] AS dialect FROM s WHERE p[2] IN ('claude', 'codex', 'droid')""",
+    "log_events": f"""SELECT arg_max(event_id::VARCHAR, event_id) FILTER ({_LOG} = 'ingest') AS last_ingest,
+        arg_max('fault ' || user_id, event_id) FILTER (event_type = 'error') AS last_error FROM events""",
+    "transcript_files": """SELECT conv_id::VARCHAR AS path, CASE WHEN bool_or(turn % 3 != 0) THEN conv_id::VARCHAR ELSE '-' END AS session_id,
+        coalesce('/p/' || min(turn) FILTER (turn % 3 != 0), '-') AS cwd, coalesce(string_agg((turn + 1)::VARCHAR, ',' ORDER BY turn) FILTER (turn % 3 = 0), '') AS skipped FROM conversations GROUP BY conv_id""",
+    "distill_offline": f"""WITH {QUEUE}, g AS (SELECT project, {norm('text')} AS norm, arg_min(text, seq * 4096 + ordinal) AS claim, min(seq * 4096 + ordinal) AS place,
+          count(DISTINCT event_id) AS support_count FROM ca JOIN qu USING (project, seq) WHERE selected GROUP BY 1, 2)
+        SELECT project, row_number() OVER (PARTITION BY project ORDER BY place) AS fact_id, claim, 'active' AS status, 0.8::DOUBLE AS confidence, support_count FROM g""",
+    "transcript_claude": transcript(),
+    "transcript_codex": transcript(transcripts.CODEX_PREFIXES, transcripts.CODEX_PATTERNS),
+    "transcript_droid": transcript(transcripts.DROID_PREFIXES, transcripts.DROID_PATTERNS),
+}

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import chunking, redaction
 from gleaner.functions import text as tx
-from gleaner.operators import audit, events, gates, judges, lifecycle, retrieval
-from gleaner.sources import memory_file, transcripts
+from gleaner.operators import audit, batching, events, gates, judges, lifecycle, questions, retrieval
+from gleaner.plans import distill, scratch
+from gleaner.sources import memory_file, status_log, transcripts
 
 CAP = 50
 NOW = "1998-08-02 00:00:00"
@@ -39,13 +40,11 @@ def _phase_a(spark, sf_dir):
 
 
 def _facts(spark, sf_dir):
-    """Kept groups as facts; the hash judge also deals out a status."""
-    first = Window.partitionBy("first_seq").orderBy("role", "norm")
-    kept = _phase_a(spark, sf_dir).where("kept").withColumn("_r", F.row_number().over(first)).where("_r = 1")
+    """Kept groups as facts, named by the place of their first chunk; the hash judge also deals out a status."""
     u = judges.unit_hash(F.concat("text", F.lit("k")))
-    return kept.select(
+    return _phase_a(spark, sf_dir).where("kept").select(
         "project",
-        F.col("first_seq").alias("fact_id"),
+        (F.shiftleft("first_seq", 12) + F.col("first_ordinal")).alias("fact_id"),
         F.col("text").alias("claim"),
         "category",
         "significance",
@@ -54,6 +53,19 @@ def _facts(spark, sf_dir):
     )
 
 
+def _whole_facts(spark, sf_dir):
+    """Facts with all the columns that lifecycle functions change."""
+    return _facts(spark, sf_dir).withColumns(
+        {
+            "ask_seen_count": F.pmod("fact_id", F.lit(3)),
+            "indexed": F.col("status").isin("active", "ask"),
+            "updated_at": F.lit(""),
+            "last_supported_at": F.lit(""),
+            "verified_at": F.lit(None).cast("string"),
+        }
+    )
+
+
 def event_ids(spark, sf_dir):
     found = events.with_event_ids(_statements(spark, sf_dir))
     return found.where(F.col("role").isin(*events.SPOKEN)).select("session_id", "seq", "id")
@@ -98,8 +110,9 @@ def redaction_corpus(spark, sf_dir):
 def event_dedupe(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents").withColumn("text", redaction.redact(F.col("text")))
     log = docs.select(F.col("doc_id").alias("seq"), tx.event_id(F.col("source"), F.col("text")).alias("id"))
-    known = F.pmod("seq", F.lit(3)) == 0
-    return events.dedupe_events(log.where(~known), log.where(known)).select("id", "seq")
+    labelled = _read(spark, sf_dir, "labels").select(F.col("doc_id").alias("seq"))
+    known, new = log.join(labelled, "seq", "left_semi"), log.join(labelled, "seq", "left_anti")
+    return events.dedupe_events(new, known).select("id", "seq")
 
 
 def chunk_conversations(spark, sf_dir):
@@ -149,9 +162,10 @@ def phase_a_counts(spark, sf_dir):
 
 
 def code_duplicates(spark, sf_dir):
+    """The oldest other document with the same normalised text."""
     docs = _read(spark, sf_dir, "documents")
-    facts = docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("fact_id"), F.col("text").alias("claim"))
-    return retrieval.oldest_equal(docs.where("doc_id % 2 = 1"), facts, "text", []).select("doc_id", "fact_id")
+    facts = docs.select(F.col("doc_id").alias("fact_id"), F.col("text").alias("claim"))
+    return retrieval.oldest_equal(docs, facts, "text", []).where("doc_id != fact_id").select("doc_id", "fact_id")
 
 
 def _document_lines(spark, sf_dir):
@@ -160,10 +174,11 @@ def _document_lines(spark, sf_dir):
 
 
 def _lines_and_anchors(spark, sf_dir):
-    lines = _document_lines(spark, sf_dir)
-    facts = lines.where("doc_id % 2 = 0").select((F.col("doc_id") * 100000 + F.col("number")).alias("fact_id"), F.col("text").alias("claim"))
-    asked = lines.where("doc_id % 2 = 1").where(tx.claim_norm(F.col("text")) != "")
-    return asked, audit.anchors(asked, facts, [])
+    """All lines with a word, and the oldest other line that each equals."""
+    lines = _document_lines(spark, sf_dir).where(tx.claim_norm(F.col("text")) != "")
+    own = F.shiftleft("doc_id", 32) + F.col("number")
+    facts = lines.select(own.alias("fact_id"), F.col("text").alias("claim"))
+    return lines, audit.anchors(lines, facts, []).where(F.col("fact_id") != own)
 
 
 def anchor_lines(spark, sf_dir):
@@ -271,15 +286,9 @@ def judge_accuracy(spark, sf_dir):
 
 
 def memory_order(spark, sf_dir):
-    """Places in the memory file; a rank over all facts that are rendered."""
-    facts = _facts(spark, sf_dir).where("status = 'active' AND category != 'none'")
-    order = Window.orderBy(lifecycle.category_place(F.col("category")), F.desc("significance"), F.desc("confidence"), "fact_id")
-    return facts.select(
-        F.row_number().over(order).cast("bigint").alias("place"),
-        "fact_id",
-        "category",
-        tx.significance_word(F.col("significance")).alias("level"),
-    )
+    """Places in the memory file."""
+    facts = lifecycle.memory_places(_facts(spark, sf_dir))
+    return facts.select(F.col("place").cast("bigint").alias("place"), "fact_id", "category", tx.significance_word(F.col("significance")).alias("level"))
 
 
 def recall_topk(spark, sf_dir):
@@ -314,10 +323,7 @@ def stale_badge(spark, sf_dir):
 
 
 def resolve_and_expire(spark, sf_dir):
-    facts = _facts(spark, sf_dir).withColumns(
-        {"ask_seen_count": F.pmod("fact_id", F.lit(3)), "indexed": F.col("status").isin("active", "ask"), "updated_at": F.lit("")}
-    )
-    return lifecycle.bump_and_expire_asks(facts, NOW).select("fact_id", "status", "ask_seen_count", "expired")
+    return lifecycle.bump_and_expire_asks(_whole_facts(spark, sf_dir), NOW).select("fact_id", "status", "ask_seen_count", "expired")
 
 
 def payload_json(spark, sf_dir):
@@ -354,6 +360,304 @@ def memory_lines(spark, sf_dir):
     return memory_file.memory_lines(said.select(F.col("conv_id").cast("string").alias("path"), body.alias("text")))
 
 
+def memory_corpus(spark, sf_dir):
+    """A made-up file with every kind of line."""
+    text = "# Top\n\n- one **claim**\n* two\n1. three\n```\ncode\n~~~\n```\n| a | b |\n---\n## \nloose line\n- \n~~~py\nx\n~~~\nlast"
+    return memory_file.memory_lines(spark.createDataFrame([("f", text)], "path string, text string"))
+
+
+def claim_hashes(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", tx.claim_hash(F.col("text")).alias("hash"))
+
+
+def project_slugs(spark, sf_dir):
+    return _read(spark, sf_dir, "pages").select("page_id", tx.project_slug(F.col("url")).alias("slug"))
+
+
+def display_lines(spark, sf_dir):
+    flat = tx.one_line(F.col("text"))
+    return _read(spark, sf_dir, "documents").select("doc_id", F.sha2(flat, 256).alias("digest"), tx.clip(flat, 44).alias("line"))
+
+
+def role_histogram(spark, sf_dir):
+    said = _read(spark, sf_dir, "conversations").withColumns({"hits": redaction.redaction_count(F.col("text")), "chars": F.length("text").cast("bigint")})
+    rows = said.groupBy("role").agg(
+        F.count("*").alias("n"), F.sum("hits").cast("bigint").alias("secrets"), F.min("chars").alias("least_chars"), F.max("chars").alias("most_chars")
+    )
+    return rows.withColumn("phrase", tx.plural(F.col("n"), "turn"))
+
+
+def stamp_parse(spark, sf_dir):
+    stamp = F.date_format("o_orderdate", tx.STAMP)
+    rows = _read(spark, sf_dir, "orders").select("o_orderkey", stamp.alias("stamp"))
+    return rows.select("o_orderkey", F.unix_timestamp(tx.parse_stamp(F.col("stamp"))).alias("seconds"), F.substring("stamp", 1, 10).alias("day"))
+
+
+def json_sizes(spark, sf_dir):
+    """Sizes as escaped JSON, and the tokens estimated from them, of all texts and pages."""
+    docs = _read(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
+    pages = _read(spark, sf_dir, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("text"))
+    sized = docs.unionByName(pages).withColumn("chars", batching.json_chars(F.col("text")))
+    return sized.select("kind", "id", "chars", batching.tokens_of(F.col("chars")).alias("tokens"))
+
+
+def peaked_scores(spark, sf_dir):
+    levels = [spark.range(1).select(F.lit(at).alias("level"), questions.weighted_score(questions.peaked_levels(4, at)).alias("score")) for at in range(4)]
+    found = levels[0].unionByName(levels[1]).unionByName(levels[2]).unionByName(levels[3])
+    return found.select("level", F.round("score", 6).alias("score"))
+
+
+ANSWERS = (
+    (1, "noul", '{"type":"noul","noul":0.5}'),
+    (2, "noul", '{"type":"noul","noul":1.5}'),
+    (3, "noul", '{"type":"noul","noul":true}'),
+    (4, "noul", '{"type":"choice"}'),
+    (5, "choice", '{"type":"choice","choice":"unclear","probabilities":{"new_overrides":0.1,"old_stands":0.2,"unclear":0.7},"confidence":0.4}'),
+    (6, "choice", '{"type":"choice","choice":"other","probabilities":{"new_overrides":0.1,"old_stands":0.2,"unclear":0.7},"confidence":0.4}'),
+    (7, "choice", '{"type":"choice","choice":"unclear","probabilities":{"new_overrides":0.1,"old_stands":0.2,"unclear":0.5},"confidence":0.4}'),
+    (8, "choice", '{"type":"choice","choice":"unclear","probabilities":{"new_overrides":0.3,"unclear":0.7},"confidence":0.4}'),
+    (9, "choice", '{"type":"choice","choice":"unclear","probabilities":{"new_overrides":0.1,"old_stands":0.2,"unclear":0.7},"confidence":4}'),
+    (10, "score", '{"type":"score","score":1.2,"probabilities":{"0":0.1,"1":0.6,"2":0.3,"3":0.0},"confidence":0.4}'),
+    (11, "score", '{"type":"score","score":3.2,"probabilities":{"0":0.1,"1":0.6,"2":0.3,"3":0.0},"confidence":0.4}'),
+    (12, "score", '{"type":"score","score":1.2,"probabilities":{"0":0.1,"1":0.6,"2":0.3},"confidence":0.4}'),
+)
+
+
+def answer_checks(spark, sf_dir):
+    rows = spark.createDataFrame(ANSWERS, "n int, kind string, answer string").withColumn("a", F.try_parse_json("answer"))
+    problem = F.lit(None).cast("string")
+    for kind, options in (("noul", ()), ("choice", judges.PAIR_VERDICTS), ("score", tx.LEVELS)):
+        problem = F.when(F.col("kind") == kind, judges.answer_errors(F.col("a"), kind, options)).otherwise(problem)
+    return rows.select("n", F.coalesce(problem, F.lit("fine")).alias("problem"))
+
+
+def _packed_groups(spark, sf_dir, budget=2000):
+    """Candidate groups of each project in batches of a small budget."""
+    place = Window.partitionBy("project").orderBy("first_seq", "first_ordinal")
+    groups = _groups(spark, sf_dir).withColumn("ord", F.row_number().over(place).cast("bigint"))
+    chars = batching.entry_chars(id=F.col("event_id"), text=F.col("text"))
+    return batching.pack(groups.withColumn("chars", chars), ["project"], "ord", "chars", budget=budget)
+
+
+def phase_a_batches(spark, sf_dir):
+    return _packed_groups(spark, sf_dir).select("project", "ord", "chars", "batch_no", "position")
+
+
+def _asked_groups(spark, sf_dir):
+    packed = _packed_groups(spark, sf_dir).select("project", "batch_no", "position", "ord", "chars", "text", F.col("event_id").alias("subject_id"))
+    asked = questions.candidate_questions(packed.withColumn("subject", F.col("subject_id")))
+    return questions.checked(judges.ColumnJudge().ask(asked), questions.PHASE_A)
+
+
+def judge_receipts(spark, sf_dir):
+    """Every answer of phase A as it was given, and what was read from it."""
+    rows = _asked_groups(spark, sf_dir)
+    return rows.select("project", "ord", "question_id", "type", F.round("value", 6).alias("value"), F.coalesce("choice", F.lit("-")).alias("choice"))
+
+
+def answers_by_position(spark, sf_dir):
+    """Answers mapped back to the groups that were asked, by batch and position."""
+    packed = _packed_groups(spark, sf_dir).select("project", "batch_no", "position", "norm", "role")
+    answers = questions.by_subject(_asked_groups(spark, sf_dir), ["project", "batch_no", "position"], questions.PHASE_A)
+    joined = packed.join(answers, ["project", "batch_no", "position"])
+    return joined.select("project", "norm", "role", F.round("durable", 6).alias("durable"), "category", F.round("significance", 6).alias("significance"))
+
+
+def batch_spend(spark, sf_dir):
+    """Requests and tokens sent of each project's batches."""
+    sent = _packed_groups(spark, sf_dir).groupBy("project", "batch_no").agg(F.sum("chars").alias("chars"))
+    return sent.groupBy("project").agg(F.count("*").alias("api_calls"), F.sum(batching.tokens_of(F.col("chars"))).alias("usage"))
+
+
+def audit_offline(spark, sf_dir):
+    """Each document as a memory file: lines anchored, the rest asked in batches, answers read back, verdicts."""
+    lines, anchored = _lines_and_anchors(spark, sf_dir)
+    rest = audit.unanchored(lines, anchored, ["doc_id", "number"])
+    packed = batching.pack(rest.withColumn("chars", batching.entry_chars(text=F.col("text"))), ["doc_id"], "number", "chars", budget=200_000)
+    subjects = packed.withColumns({"subject": F.concat(F.lit("line:"), F.col("number").cast("string"))})
+    asked = questions.checked(judges.ColumnJudge().ask(questions.line_questions(subjects)), questions.PHASE_C)
+    answers = questions.by_subject(asked, ["doc_id", "number"], questions.PHASE_C).withColumnRenamed("disposition_confidence", "confidence")
+    verdicts = audit.line_verdicts(lines.join(answers, ["doc_id", "number"], "left"), anchored, ["doc_id", "number"])
+    return verdicts.select("doc_id", "number", "disposition", "keyword")
+
+
+def planted_dispositions(spark, sf_dir):
+    rules = [("the", "stale"), ("die", "wrong"), ("le", "unsupported")]
+    return _document_lines(spark, sf_dir).select("doc_id", "number", judges.planted(F.col("text"), rules).alias("disposition"))
+
+
+def judge_doubles(spark, sf_dir):
+    """What the constant judges say of every item of the benchmark."""
+    items = _read(spark, sf_dir, "benchmark").select("item_id")
+    kinds = (("normal", judges.normal_answers(), judges.normal_pair_answers(), judges.normal_line_answers()),)
+    kinds += (("adversarial", judges.adversarial_answers(), judges.adversarial_pair_answers(), judges.adversarial_line_answers()),)
+    frames = [items.withColumns({"judge": F.lit(name), **a, **b, **c}) for name, a, b, c in kinds]
+    return frames[0].unionByName(frames[1])
+
+
+def queue_deferred(spark, sf_dir):
+    """Pending events that the capped run leaves for the next."""
+    said = _statements(spark, sf_dir).select("project", "seq")
+    queue = events.queue_selection(said, _candidates(spark, sf_dir), CAP)
+    return said.join(queue.where("selected").select("project", "seq"), ["project", "seq"], "left_anti")
+
+
+def graded_stamps(spark, sf_dir):
+    """The log after a capped run has stamped what it took."""
+    log = events.with_event_ids(_statements(spark, sf_dir)).withColumn("graded_at", F.lit(None).cast("string"))
+    queue = events.queue_selection(log.select("project", "seq", "id"), _candidates(spark, sf_dir), CAP)
+    return events.graded(log, queue.where("selected"), NOW).select("id", "seq", F.coalesce("graded_at", F.lit("pending")).alias("graded_at"))
+
+
+def support_counts(spark, sf_dir):
+    return _groups(spark, sf_dir).select("project", "norm", "role", F.size("event_ids").cast("bigint").alias("support_count"), "occurrences")
+
+
+def support_bumps(spark, sf_dir):
+    """Facts that know their first event gain the others of the same normalised claim."""
+    found = _candidates(spark, sf_dir).withColumn("norm", tx.claim_norm(F.col("text")))
+    facts = found.groupBy("project", "norm").agg(
+        F.min("seq").alias("fact_id"), F.array(F.min_by("event_id", F.struct("seq", "ordinal"))).alias("source_event_ids")
+    )
+    facts = facts.withColumns({"support_count": F.lit(1), "last_supported_at": F.lit("then"), "updated_at": F.lit("then")}).withColumn("fact_id", F.xxhash64("project", "norm"))
+    support = found.select("project", F.xxhash64("project", "norm").alias("fact_id"), "event_id")
+    bumped = lifecycle.bump_support(facts, support, NOW)
+    return bumped.select("project", "norm", F.col("support_count").cast("bigint").alias("support_count"), F.size("source_event_ids").cast("bigint").alias("events"), "last_supported_at")
+
+
+def _superseded(spark, sf_dir):
+    """The oldest active fact of a project and category gives way to the newest."""
+    facts = _whole_facts(spark, sf_dir)
+    ends = facts.where("status = 'active'").groupBy("project", "category").agg(F.min("fact_id").alias("fact_id"), F.max("fact_id").alias("by_id"))
+    links = spark.createDataFrame([], "project string, fact_id bigint, related_id bigint, relation string, seq bigint")
+    return lifecycle.supersede(facts, links, ends.where("fact_id < by_id").select("project", "fact_id", "by_id"), NOW)
+
+
+def supersede_facts(spark, sf_dir):
+    return _superseded(spark, sf_dir)[0].select("project", "fact_id", "status", "indexed", "updated_at")
+
+
+def supersede_links(spark, sf_dir):
+    return _superseded(spark, sf_dir)[1].select("project", "fact_id", "related_id", "relation", F.col("seq").cast("bigint").alias("seq"))
+
+
+def status_changes(spark, sf_dir):
+    """Facts of one category retire, of another wait for a decision; asks of a third come back; one has an audit mark."""
+    facts = _whole_facts(spark, sf_dir)
+    of = lambda category: facts.where(F.col("category") == category).select("project", "fact_id")
+    changed = lifecycle.retire(facts, of("none"), NOW)
+    changed = lifecycle.mark_ask(changed, of("tooling"), NOW)
+    changed = lifecycle.reactivate(changed, facts.where("category = 'pitfall' AND status = 'ask'").select("project", "fact_id"), NOW)
+    changed = lifecycle.mark_verified(changed, of("convention"), NOW)
+    return changed.select("project", "fact_id", "status", "indexed", "ask_seen_count", "updated_at", F.coalesce("verified_at", F.lit("-")).alias("verified_at"))
+
+
+def _conflicts(spark, sf_dir):
+    """Every ask contradicts the oldest and the newest active fact of its project and category."""
+    facts = _facts(spark, sf_dir)
+    ends = facts.where("status = 'active'").groupBy("project", "category").agg(F.array(F.min("fact_id"), F.max("fact_id")).alias("ends"))
+    asks = facts.where("status = 'ask'").select("project", "category", "fact_id").join(ends, ["project", "category"])
+    links = spark.createDataFrame([], "project string, fact_id bigint, related_id bigint, relation string, seq bigint")
+    return facts, lifecycle.add_links(links, asks.select("project", "fact_id", F.explode("ends").alias("related_id"), F.lit("contradicts").alias("relation")))
+
+
+def ask_partners(spark, sf_dir):
+    return lifecycle.contradicts_partners(*_conflicts(spark, sf_dir)).select("project", "fact_id", "partner_id", F.col("seq").cast("bigint").alias("seq"))
+
+
+def open_asks(spark, sf_dir):
+    asks = lifecycle.open_asks(*_conflicts(spark, sf_dir))
+    return asks.select("project", "fact_id", "claim", F.coalesce("partner_id", F.lit(-1)).alias("partner_id"), F.coalesce("partner_claim", F.lit("-")).alias("partner_claim"))
+
+
+def active_facts(spark, sf_dir):
+    return _facts(spark, sf_dir).where("status = 'active'").select("project", "fact_id", "claim", "category")
+
+
+def ask_facts(spark, sf_dir):
+    return _facts(spark, sf_dir).where("status = 'ask'").select("project", "fact_id", "claim", "category")
+
+
+def search_topk(spark, sf_dir):
+    """The search tool with eight hits: twice as many by BM25 before the status is looked at."""
+    found = retrieval.retrieve_similar(*_retrieval_inputs(spark, sf_dir), 16, 8)
+    return found.select("query_id", "fact_id", F.col("place").cast("bigint").alias("place"), F.round("jaccard", 6).alias("jaccard"))
+
+
+def jaccard_pairs(spark, sf_dir):
+    said, facts = _retrieval_inputs(spark, sf_dir)
+    pairs = retrieval.bm25_topk(said, facts).select("query_id", "fact_id").join(said, "query_id").join(facts.select("fact_id", "claim"), "fact_id")
+    ratio = tx.jaccard(tx.claim_tokens(F.col("query")), tx.claim_tokens(F.col("claim")))
+    return pairs.select("query_id", "fact_id", F.round(ratio, 6).alias("jaccard"))
+
+
+def run_counts(spark, sf_dir):
+    """What a capped run of the hash judge counts."""
+    found = _candidates(spark, sf_dir)
+    queue = events.queue_selection(_statements(spark, sf_dir).select("project", "seq"), found, CAP)
+    taken = found.join(queue.where("selected").select("project", "seq"), ["project", "seq"], "left_semi")
+    verdicts = gates.phase_a(events.candidate_groups(taken).withColumns(judges.hash_answers(F.col("text"))))
+    counted = queue.agg(F.count_if("selected").alias("events_graded"), F.count_if(~F.col("selected")).alias("events_deferred"))
+    graded = verdicts.agg(F.count("*").alias("candidates_graded"), F.sum("occurrences").alias("occurrences"), F.count_if("near_miss").alias("near_misses"))
+    return counted.crossJoin(graded)
+
+
+def anchor_fidelity(spark, sf_dir):
+    """Of lines that stand word for word in an older place all have an anchor, and how many of the others."""
+    lines, anchored = _lines_and_anchors(spark, sf_dir)
+    own = F.shiftleft("doc_id", 32) + F.col("number")
+    oldest = lines.withColumn("own", own).groupBy("text").agg(F.min("own").alias("oldest"))
+    planted = lines.join(oldest, "text").select("doc_id", "number", (own > F.col("oldest")).alias("verbatim"))
+    row = audit.anchor_fidelity(planted, anchored, ["doc_id", "number"])
+    return row.select(F.round("recall", 6).alias("recall"), F.round("false_anchors", 6).alias("false_anchors"))
+
+
+def detect_dialects(spark, sf_dir):
+    rows = [("/h/.codex/a", ""), ("/h/.factory/b", ""), ("/h/.claude/c", ""), ("/x", '{"type":"session_meta"}'), ("/y", '{"type":"session_start"}'), ("/z", '{"sessionId":"s"}')]
+    frame = spark.createDataFrame(rows, "path string, line string")
+    return frame.select("path", transcripts.detect_source(F.col("path"), F.col("line")).alias("dialect"))
+
+
+def transcript_roots(spark, sf_dir):
+    return transcripts.roots(spark, "/home/me")
+
+
+def pinned_list(spark, sf_dir):
+    rows = [("# list",), ("/a/b claude # why",), ("",), ("/c codex",), ("/d nothing",), ("  /e   droid",)]
+    return transcripts.pinned(spark.createDataFrame(rows, "line string"))
+
+
+def log_events(spark, sf_dir):
+    """The events table as two status logs: the newest ingest and the newest error of both together."""
+    rows = _read(spark, sf_dir, "events")
+    kind = F.when(F.col("event_type") == "view", "ingest").otherwise(F.col("event_type"))
+    fault = F.when(F.col("event_type") == "error", F.concat(F.lit("fault "), F.col("user_id").cast("string")))
+    line = F.to_json(F.struct(kind.alias("event"), F.col("event_id").cast("string").alias("ts"), fault.alias("error")))
+    lines = rows.select(F.col("event_id").alias("ord"), line.alias("line"))
+    first, second = lines.where("ord < 100"), lines.where("ord >= 100")
+    return status_log.last_events(first.unionByName(second).unionByName(spark.createDataFrame([(10**12, "broken")], lines.schema)))
+
+
+def transcript_files(spark, sf_dir):
+    """Session, folder and malformed lines of conversations written as files; every third turn is cut short."""
+    said = _read(spark, sf_dir, "conversations")
+    record = F.struct(F.col("role").alias("type"), F.col("conv_id").cast("string").alias("sessionId"), F.concat(F.lit("/p/"), F.col("turn").cast("string")).alias("cwd"))
+    line = F.to_json(record)
+    line = F.when(F.col("turn") % 3 == 0, F.substring(line, 1, 9)).otherwise(line)
+    lines = said.select(F.col("conv_id").cast("string").alias("path"), (F.col("turn") + 1).cast("int").alias("line_no"), line.alias("line"))
+    found = transcripts.file_meta(transcripts.parse_lines(lines), "claude")
+    return found.select("path", F.coalesce("session_id", F.lit("-")).alias("session_id"), F.coalesce("cwd", F.lit("-")).alias("cwd"), F.array_join(F.col("skipped").cast("array<string>"), ",").alias("skipped"))
+
+
+def distill_offline(spark, sf_dir):
+    """A whole capped run over the conversations with the normal judge: the facts that it leaves."""
+    put = scratch.Scratch(spark).put
+    statements = _statements(spark, sf_dir).withColumn("graded_at", F.lit(None).cast("string"))
+    facts, links = spark.createDataFrame([], distill.FACTS), spark.createDataFrame([], distill.LINKS)
+    run = distill.plan_run(distill.pending_work(statements, put, CAP), facts, links, judges.normal_judge(), NOW, put)
+    return run.facts.select("project", "fact_id", "claim", "status", F.round("confidence", 6).alias("confidence"), F.col("support_count").cast("bigint").alias("support_count"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -363,6 +667,11 @@ QUERIES = {
         bm25_topk, retrieve_similar, pair_actions, best_pair, conflict_edges, sessions_by_fact, evidence_pool,
         line_verdicts, disposition_counts, confusion_matrix, judge_accuracy, memory_order, status_counts,
         fact_status_counts, last_run, markup_strip, stale_badge, resolve_and_expire, payload_json, memory_lines,
+        memory_corpus, claim_hashes, project_slugs, display_lines, role_histogram, stamp_parse, json_sizes, peaked_scores,
+        answer_checks, phase_a_batches, judge_receipts, answers_by_position, batch_spend, audit_offline, planted_dispositions,
+        judge_doubles, queue_deferred, graded_stamps, support_counts, support_bumps, supersede_facts, supersede_links,
+        status_changes, ask_partners, open_asks, active_facts, ask_facts, search_topk, jaccard_pairs, run_counts,
+        anchor_fidelity, detect_dialects, transcript_roots, pinned_list, log_events, transcript_files, distill_offline,
     )
 }
 QUERIES |= {f"transcript_{d}": _transcript(d) for d in transcripts.DIALECTS}
