@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.kernels import gather, slices, text_bytes
+from gleaner.llm.kernels import frugal, gather, slices, text_bytes
 from gleaner.llm.pieces import PieceCache
 
 #: Cells of a padded matrix; a bucket with more is cut by rows.
@@ -283,7 +283,7 @@ def encode_texts(df: DataFrame, ranks_path: str, pattern: str, text: str = "text
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], names)
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(frugal(run), schema)
 
 
 def round_trips(df: DataFrame, text: str = "text") -> DataFrame:

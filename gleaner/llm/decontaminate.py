@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.kernels import lower_table, mix, prefix_hash, slices, span_hash, text_bytes, words
+from gleaner.llm.kernels import frugal, lower_table, mix, prefix_hash, slices, span_hash, text_bytes, words
 from gleaner.llm.session import prepare, written
 from gleaner.llm.sketch import split_by_map
 
@@ -247,7 +247,7 @@ def drop_contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", i
                 yield pa.RecordBatch.from_arrays([own.column(0), pa.array(sha, pa.string())], ["_id", "_sha"])
 
         if not others:
-            return df.mapInArrow(clean, df.schema)
+            return df.mapInArrow(frugal(clean), df.schema)
         gone.append(written(docs.mapInArrow(hits, "_id bigint, _sha string")))
         index.destroy()
     if not gone:

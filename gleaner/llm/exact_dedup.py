@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.kernels import mix, slices, text_bytes
+from gleaner.llm.kernels import frugal, mix, slices, text_bytes
 from gleaner.llm.session import prepare, written
 from gleaner.llm.sketch import hash_bitmap, in_bitmap, split_by_map
 
@@ -122,7 +122,7 @@ def recipes(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
             ]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_chars", "text_sha256", "shape", "recipe"])
 
-    return df.select(F.col(key).cast("bigint"), F.col(text)).mapInArrow(run, _RECIPES)
+    return df.select(F.col(key).cast("bigint"), F.col(text)).mapInArrow(frugal(run), _RECIPES)
 
 
 def chunks_of_shapes(df: DataFrame, shapes, text: str = "text") -> DataFrame:
@@ -141,7 +141,7 @@ def chunks_of_shapes(df: DataFrame, shapes, text: str = "text") -> DataFrame:
                 ["hash", "bytes"],
             )
 
-    return df.select(text).mapInArrow(run, "hash bigint, bytes binary")
+    return df.select(text).mapInArrow(frugal(run), "hash bigint, bytes binary")
 
 
 def equal_texts(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

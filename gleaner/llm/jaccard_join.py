@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.kernels import mix, slices, text_bytes, word_hashes
+from gleaner.llm.kernels import frugal, give_back, mix, slices, text_bytes, word_hashes
 from gleaner.llm.session import Tables, prepare, shuffle_partitions, written
 from gleaner.llm.sketch import hash_bitmap, in_bitmap, split_by_map
 
@@ -140,7 +140,7 @@ def _marks(docs: DataFrame, size: int) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "key", "cells"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, key bigint, cells binary")
+    return docs.mapInArrow(frugal(run), "doc_id bigint, n bigint, key bigint, cells binary")
 
 
 def _distinct_sets(column: pa.Array, size: int) -> dict[int, np.ndarray]:
@@ -168,7 +168,7 @@ def long_lists(docs: DataFrame, size: int, least: int):
         if sets:
             yield recurring(sets)
 
-    found = docs.mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    found = docs.mapInArrow(frugal(run), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
     return hash_bitmap(found.where(F.col("n") >= least), F.col("token"))
 
 
@@ -222,7 +222,7 @@ def _postings(docs: DataFrame, size: int, percent: int, is_long, buckets: int) -
         if held:
             yield out()
 
-    return docs.mapInArrow(run, "bucket int, tokens binary, keys binary")
+    return docs.mapInArrow(frugal(run), "bucket int, tokens binary, keys binary")
 
 
 def _shared(rows: pd.DataFrame) -> pd.DataFrame:
@@ -238,6 +238,7 @@ def _shared(rows: pd.DataFrame) -> pd.DataFrame:
     equal = tokens[1:] == tokens[:-1]
     same[1:] |= equal
     same[:-1] |= equal
+    give_back()
     return pd.DataFrame({"token": tokens[same], "key": keys[same]})
 
 
@@ -339,7 +340,7 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, per
             columns = [pa.array(pick), pa.array([found[k].tobytes() for k in pick.tolist()], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["key", "shingles"])
 
-    sets = docs.mapInArrow(sets_of, "key bigint, shingles binary").groupBy("key").agg(F.first("shingles").alias("shingles"))
+    sets = docs.mapInArrow(frugal(sets_of), "key bigint, shingles binary").groupBy("key").agg(F.first("shingles").alias("shingles"))
     chunks = near.groupBy("a").agg(F.ceil(F.count("*") / CELL).cast("int").alias("chunks"))
     cells = near.join(chunks, "a").withColumn("chunk", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int")).select("a", "b", "chunk")
     queries = cells.select("a", F.col("a").alias("b"), "chunk").distinct()
@@ -356,6 +357,7 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, per
             rest = [i for i in range(len(keys)) if i != own]
             if rest:
                 found += [(a, int(keys[rest[i]])) for i in divide_skip(sets_[own], [sets_[i] for i in rest], percent)]
+        give_back()
         return pd.DataFrame({"a": [a for a, _ in found], "b": [b for _, b in found]}, dtype=np.int64)
 
     found = written(filled.groupBy("pack").applyInPandas(search, "a bigint, b bigint"))
@@ -531,6 +533,7 @@ def _block_pairs(members: DataFrame, known: DataFrame, classes: DataFrame, perce
             if nearest and len(picked) > nearest:
                 picked = picked[np.argsort(distance[picked], kind="stable")[:nearest]]
             found += [(min(a.key, k), max(a.key, k)) for k in keys[picked].tolist()]
+        give_back()
         return pd.DataFrame({"a": [x for x, _ in found], "b": [y for _, y in found]}, dtype=np.int64)
 
     return filled.groupBy("family", "p", "i", "q", "j").applyInPandas(near, "a bigint, b bigint")

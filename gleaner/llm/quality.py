@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gleaner.llm.kernels import prefix_hash, slices, span_hash, text_bytes, words
+from gleaner.llm.kernels import frugal, prefix_hash, slices, span_hash, text_bytes, words
 from gleaner.llm.labelled import fit_logistic, labelled_sample
 
 POSITIVES, NEGATIVES = 3000, 3000
@@ -164,4 +164,4 @@ def score_texts(df: DataFrame, model, rows_of=feature_rows, text: str = "text",
     kept = df.drop(score)
     names, place = [*kept.columns, score], kept.columns.index(text)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + f", `{score}` double"
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(frugal(run), schema)
