@@ -397,6 +397,38 @@ def _problems() -> str:
                WHEN NOT {number('confidence', 1)} THEN 'confidence' ELSE 'fine' END END AS problem FROM j"""
 
 
+def _wire() -> str:
+    """The request bodies of gleaner.plans.queries.question_wire, put together from the questions' parts."""
+    from gleaner.operators.questions import PHASE_A
+
+    rows = ", ".join(f"('{name}', '{kind}', $p${prompt}$p$, {list(criteria)!r}::VARCHAR[])" for name, kind, prompt, criteria in PHASE_A)
+    return f"""WITH q(name, kind, prompt, criteria) AS (VALUES {rows}), r(request, position) AS (VALUES (1, 0), (3, 0), (3, 1), (3, 2)),
+        w AS (SELECT request, 'c' || position || '_' || name AS id, '{{"criteria":' || to_json(criteria) || ',"prompt":' || to_json(prompt) || ',"type":"' || kind || '"}}' AS body FROM r, q)
+        SELECT request, '{{"questions":{{' || string_agg('"' || id || '":' || body, ',' ORDER BY id) || '}}}}' AS body FROM w GROUP BY 1"""
+
+
+def _pair_batches() -> str:
+    """Greedy batches of plans that share their facts: a fold over each conversation's plans in order."""
+    entry = lambda x: f"({json_chars(x)} + 9)"
+    kind = "STRUCT(o BIGINT, f BIGINT, b INT, i INT, j INT)[]"
+    state = lambda b, used, seen, i, done: f"{{'b': ({b})::INT, 'used': ({used})::BIGINT, 'seen': {seen}, 'i': ({i})::INT, 'done': {done}, 'o': x.o, 'c': x.c, 'fs': x.fs}}"
+    fresh = "list_filter(x.fs, lambda z: NOT list_contains(a.seen, z.f))"
+    size = f"x.c + coalesce(list_sum(list_transform({fresh}, lambda z: z.n)), 0) + len(x.fs)"
+    whole = "x.c + coalesce(list_sum(list_transform(x.fs, lambda z: z.n)), 0) + len(x.fs)"
+    seen = f"list_concat(a.seen, list_transform({fresh}, lambda z: z.f))"
+    rows = lambda b, i, s: f"list_transform(x.fs, lambda z: {{'o': x.o, 'f': z.f, 'b': ({b})::INT, 'i': ({i})::INT, 'j': (list_position({s}, z.f) - 1)::INT}})"
+    own = "list_transform(x.fs, lambda z: z.f)"
+    step = f"""CASE WHEN a.i > 0 AND a.used + {size} > 12000 THEN {state('a.b + 1', whole, own, '1', f"list_concat(a.done, {rows('a.b + 1', '0', own)})")}
+      ELSE {state('a.b', f'a.used + {size}', seen, 'a.i + 1', f"list_concat(a.done, {rows('a.b', 'a.i', seen)})")} END"""
+    zero = f"{{'b': 0::INT, 'used': 0::BIGINT, 'seen': []::BIGINT[], 'i': 0::INT, 'done': []::{kind}, 'o': 0::BIGINT, 'c': 0::BIGINT, 'fs': []::STRUCT(f BIGINT, n BIGINT)[]}}"
+    item = f"{{'b': 0::INT, 'used': 0::BIGINT, 'seen': []::BIGINT[], 'i': 0::INT, 'done': []::{kind}, 'o': o::BIGINT, 'c': c::BIGINT, 'fs': fs}}"
+    return f"""WITH {SIMILAR}, pl AS (
+          SELECT query_id AS o, any_value({entry('query')}) AS c, list({{'f': fact_id::BIGINT, 'n': ({entry('claim')})::BIGINT}} ORDER BY fact_id) AS fs FROM si GROUP BY 1
+        ), fo AS (SELECT (o >> 20)::VARCHAR AS project, list_reduce(list_prepend({zero}, list({item} ORDER BY o)), lambda a, x: {step}).done AS done FROM pl GROUP BY 1
+        ), un AS (SELECT project, unnest(done) AS d FROM fo)
+        SELECT project, d.o AS ord, d.f AS fact_id, d.b AS batch_no, d.i AS i, d.j AS j FROM un"""
+
+
 _FLAT = r"regexp_replace(text, '\r\n|\r|\n', ' ', 'g')"
 _CORPUS = "'# Top\n\n- one **claim**\n* two\n1. three\n```\ncode\n~~~\n```\n| a | b |\n---\n## \nloose line\n- \n~~~py\nx\n~~~\nlast'"
 
@@ -418,6 +450,8 @@ SQL |= {
                                 ELSE 0.1 / (CASE WHEN level IN (0, 3) THEN 2 ELSE 1 END) END AS p FROM (SELECT level, unnest(range(4)) AS i FROM l))
         SELECT level::INT AS level, round(sum(i * p) / sum(p), 6) AS score FROM w GROUP BY 1""",
     "phase_a_batches": f"WITH {_ASKED} SELECT project, ord, chars, batch_no, position FROM ba",
+    "phase_b_batches": _pair_batches(),
+    "question_wire": _wire(),
     "judge_receipts": f"""WITH {_ASKED}
         SELECT project, ord, 'c' || position || '_durable' AS question_id, 'noul' AS type, round(durable, 6) AS value, '-' AS choice FROM ba UNION ALL
         SELECT project, ord, 'c' || position || '_category', 'choice', NULL, category FROM ba UNION ALL

@@ -463,6 +463,23 @@ def answers_by_position(spark, sf_dir):
     return joined.select("project", "norm", "role", F.round("durable", 6).alias("durable"), "category", F.round("significance", 6).alias("significance"))
 
 
+def phase_b_batches(spark, sf_dir):
+    """Batches of the retrieved pairs of each conversation; a batch has a fact once, whoever asks for it."""
+    said, facts = _retrieval_inputs(spark, sf_dir)
+    pairs = retrieval.retrieve_similar(said, facts).select("query_id", "fact_id").join(said, "query_id").join(facts.select("fact_id", "claim"), "fact_id")
+    sized = pairs.select(
+        F.shiftright("query_id", 20).cast("string").alias("project"), F.col("query_id").alias("ord"), "fact_id",
+        batching.entry_chars(text=F.col("query")).alias("claim_chars"), batching.entry_chars(text=F.col("claim")).alias("fact_chars"),
+    )
+    return batching.pack_pairs(sized, budget=3000).select("project", "ord", "fact_id", "batch_no", "i", "j")
+
+
+def question_wire(spark, sf_dir):
+    """The questions member of requests about no, one and three candidates."""
+    asked = questions.candidate_questions(spark.createDataFrame([(1, 0), (3, 0), (3, 1), (3, 2)], "request int, position int"))
+    return questions.wire(asked, ["request"])
+
+
 def batch_spend(spark, sf_dir):
     """Requests and tokens sent of each project's batches."""
     sent = _packed_groups(spark, sf_dir).groupBy("project", "batch_no").agg(F.sum("chars").alias("chars"))
@@ -668,7 +685,7 @@ QUERIES = {
         line_verdicts, disposition_counts, confusion_matrix, judge_accuracy, memory_order, status_counts,
         fact_status_counts, last_run, markup_strip, stale_badge, resolve_and_expire, payload_json, memory_lines,
         memory_corpus, claim_hashes, project_slugs, display_lines, role_histogram, stamp_parse, json_sizes, peaked_scores,
-        answer_checks, phase_a_batches, judge_receipts, answers_by_position, batch_spend, audit_offline, planted_dispositions,
+        answer_checks, phase_a_batches, phase_b_batches, question_wire, judge_receipts, answers_by_position, batch_spend, audit_offline, planted_dispositions,
         judge_doubles, queue_deferred, graded_stamps, support_counts, support_bumps, supersede_facts, supersede_links,
         status_changes, ask_partners, open_asks, active_facts, ask_facts, search_topk, jaccard_pairs, run_counts,
         anchor_fidelity, detect_dialects, transcript_roots, pinned_list, log_events, transcript_files, distill_offline,
