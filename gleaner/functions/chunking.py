@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.text import strip
 
+#: Characters of a chunk, at most and at least, and of its context.
 MOST, LEAST, CONTEXT = 600, 12, 800
 
-#: A chunk that starts so refers to what was said before.
+#: Fixed value: a chunk that starts so refers to what was said before.
 ANAPHORIC = r"(?iU)^(?:that|this|it|they|the\s+same|those)\b"
 
 

@@ -62,6 +62,7 @@ def strip_markup(text: Column) -> Column:
     return strip(text)
 
 
+#: Fixed value: a list marker and what follows it.
 LIST_ITEM = r"(?U)^(\s*)([-*+]|\d+[.)])(\s+)(.*)$"
 
 

@@ -13,7 +13,7 @@ def norm(x: str) -> str:
     return squeeze(f"lower({x})")
 
 
-#: Redaction rules without lookaround: (pattern, replacement) in order.
+#: The redaction rules for a dialect without lookaround, (pattern, replacement) in order.
 _CREDENTIAL = r"""(?i)\b(password|passwd|pwd|token|api_?key|secret|auth)\b["']?\s*[:=]\s*(?:"[^"\n]{8,}"|'[^'\n]{8,}'|[^\s"'&\[\]]{8,})"""
 _WITH_DIGIT = "|".join([f"[A-Za-z+/]{{{i}}}[0-9][A-Za-z0-9+/]{{{19 - i},}}" for i in range(20)] + ["[A-Za-z+/]{20,}[0-9][A-Za-z0-9+/]*"])
 RULES = (

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.text import claim_text, strip
 
+#: Lines of a markdown file that make no claim.
 HEADING = r"(?U)^ {0,3}#{1,6}(?:\s|$)"
 RULE = r"^ {0,3}(?:[-*_][ \t]*){3,}$"
 TABLE = r"(?U)^\s*\|.*\|\s*$"

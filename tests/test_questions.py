@@ -42,3 +42,11 @@ def test_status_log(spark, tmp_path):
     row = status_log.last_events(spark.createDataFrame(lines, "ord int, line string")).first()
     assert (row.last_ingest, row.last_error) == ("t2", "boom")
     assert status_log.first_object([None, "x", "[1]", '{"a": 1}', '{"b": 2}']) == {"a": 1}
+
+
+def test_public_names():
+    import gleaner
+
+    assert all(getattr(gleaner, name) is not None for name in gleaner.__all__)
+    with pytest.raises(AttributeError):
+        gleaner.nothing_of_that_name
