@@ -159,6 +159,20 @@ class ScriptedJudge(Judge):
         return scripted(questions, self.answers.select("question_id", "answer"), ["question_id"])
 
 
+class CappedJudge(Judge):
+    """Another judge, until ``most`` requests (distinct ``batch`` keys) have been made in all."""
+
+    def __init__(self, judge: Judge, most: int, batch: tuple[str, ...] = ("batch_no",)):
+        self.judge, self.most, self.batch, self.used = judge, most, batch, 0
+
+    def ask(self, questions: DataFrame) -> DataFrame:
+        keys = [c for c in ("project", *self.batch) if c in questions.columns]
+        self.used += questions.select(*keys).distinct().count()
+        if self.used > self.most:
+            raise RuntimeError(f"{self.used} requests are over the cap of {self.most}")
+        return self.judge.ask(questions)
+
+
 class IdealJudge(Judge):
     """Answers lines with their planted disposition (text, disposition), and all else as the normal judge."""
 
@@ -180,6 +194,33 @@ def planted(line: Column, rules: list[tuple[str, str]], default: str = "keep") -
     return out
 
 
+def level_count(answer: Column) -> Column:
+    """Levels of a score: one more than the highest key of its legend, or else of its probabilities."""
+    legend = F.map_keys(F.try_variant_get(answer, "$.legend", "map<string,string>"))
+    keys = F.coalesce(F.when(F.size(legend) > 0, legend), F.map_keys(F.try_variant_get(answer, "$.probabilities", "map<string,double>")))
+    return F.array_max(F.transform(keys, lambda k: k.try_cast("int"))) + 1
+
+
+def envelope_errors(response: Column, question_ids: Column) -> Column:
+    """Why a response (JSON text) is not acceptable, or null.
+
+    It has an object of answers with one for every id, whole numbers of tokens used, and
+    the name of the model, if it is given.
+    """
+    record = F.try_parse_json(response)
+    kind = lambda path: F.coalesce(F.schema_of_variant(F.try_variant_get(record, path, "variant")), F.lit("VOID"))
+    answers = F.try_variant_get(record, "$.answers", "map<string,variant>")
+    missing = F.size(F.array_except(question_ids, F.map_keys(answers))) > 0
+    whole = lambda path: kind(path) == "BIGINT"
+    return (
+        F.when(record.isNull() | ~F.coalesce(F.schema_of_variant(record).startswith("OBJECT"), F.lit(False)), "json")
+        .when(~kind("$.answers").startswith("OBJECT"), "answers")
+        .when(F.coalesce(missing, F.lit(True)), "unanswered")
+        .when(~(whole("$.usage.input_tokens") & whole("$.usage.output_tokens")), "usage")
+        .when(~kind("$.model").isin("STRING", "VOID"), "model")
+    )
+
+
 def answer_errors(answer: Column, kind: str, options: tuple[str, ...] = ()) -> Column:
     """Why a VARIANT answer of this kind is not acceptable, or null.
 

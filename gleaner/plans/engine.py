@@ -155,6 +155,13 @@ class Engine:
         finally:
             scratch.drop()
 
+    def drain(self, now: str, judge: judges.Judge | None = None, cap: int = 50) -> list[dict]:
+        """Capped runs until nothing is left that one would take; the counts of each."""
+        runs = []
+        while not runs or (runs[-1]["events_graded"] and runs[-1].get("events_deferred")):
+            runs.append(self.distill(now, judge, cap))
+        return runs
+
     @staticmethod
     def _chosen(choice: str) -> str:
         return json.dumps({"type": "choice", "choice": choice, "probabilities": {choice: 1.0}, "confidence": 1.0})
@@ -177,7 +184,7 @@ class Engine:
             facts = self._mine("facts").where("status = 'active'")
             anchored = au.anchors(lines, facts, []).cache()
             rest = au.unanchored(lines, anchored, ["number"])
-            pool = au.evidence_pool(facts, self._mine("events")).collect()  # seventy rows at most
+            pool = au.evidence_pool(facts, self._mine("events")).orderBy("kind", "place").collect()  # seventy rows at most, oldest first
             pool = pool if anchored.count() < total else []
             evidence = sum(len(json.dumps(dict(zip(("id", "text"), (r["place"], r["text"]))))) + 1 for r in pool)
             chars = batching.entry_chars(number=F.col("number").cast("string"), section=F.col("section"), text=F.col("text"))

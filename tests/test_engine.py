@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import chunking, redaction
 from gleaner.functions import text as tx
 from gleaner.operators import audit, batching, gates, judges, lifecycle
+from gleaner.operators import questions as q
 from gleaner.plans import report
 from gleaner.plans.distill import FACTS, LINKS, distill, route
 from gleaner.plans.engine import Engine, GradingNotEnabledError
@@ -171,6 +172,25 @@ def test_answers_are_checked(spark):
     assert check(good, "choice", ("a", "b", "c")) == "options"
 
 
+def test_responses_are_checked(spark):
+    def check(response, *ids):
+        found = judges.envelope_errors(F.col("r"), F.array(*map(F.lit, ids)))
+        return one(spark, found, r=response if isinstance(response, str) else json.dumps(response))
+
+    good = {"answers": {"c0_durable": {"type": "noul", "noul": 0.5}}, "usage": {"input_tokens": 3, "output_tokens": 1}, "model": "m"}
+    assert check(good, "c0_durable") is None and check("{", "a") == "json" and check([1], "a") == "json"
+    assert check(good, "c0_durable", "c0_category") == "unanswered" and check(good | {"answers": []}, "a") == "answers"
+    assert check(good | {"usage": {"input_tokens": 1.5, "output_tokens": 1}}, "c0_durable") == "usage"
+    assert check(good | {"model": 3}, "c0_durable") == "model"
+    levels = lambda a: one(spark, judges.level_count(F.try_parse_json(F.col("a"))), a=json.dumps(a))
+    assert levels({"legend": {"0": "a", "3": "b"}, "probabilities": {"0": 1.0}}) == 4 and levels({"probabilities": {"0": 0.5, "1": 0.5}}) == 2
+    capped = judges.CappedJudge(judges.normal_judge(), 2)
+    asked = q.candidate_questions(spark.createDataFrame([(0, 0, "s", "t"), (1, 0, "s", "t")], "batch_no int, position int, subject string, text string"))
+    assert capped.ask(asked).count() == 6 and capped.used == 2
+    with pytest.raises(RuntimeError):
+        capped.ask(asked)
+
+
 def test_scripted_judge_needs_all_answers(spark):
     asked = spark.createDataFrame([(1,), (2,)], "id int")
     given = spark.createDataFrame([(1, 0.9)], "id int, noul double")
@@ -385,6 +405,7 @@ def test_failed_runs_are_closed_and_keep_the_queue(spark, tmp_path):
         engine.distill(NOW, cap=0)
     first = engine.distill(NOW, cap=2)
     assert (first["events_graded"], first["events_deferred"]) == (2, 1) and engine.status()["pending"] == 1
+    assert [r["events_graded"] for r in engine.drain(NOW, cap=1)] == [1] and engine.status()["pending"] == 0
 
 
 def test_order_of_arrival_over_many_transcripts(spark, tmp_path):
