@@ -173,35 +173,41 @@ def long_lists(docs: DataFrame, size: int, least: int):
 
 
 def _postings(docs: DataFrame, size: int, percent: int, is_long, buckets: int) -> DataFrame:
-    """Indexed (shingle, class) pairs: packed by bucket, long lists in bucket -1."""
+    """Indexed (shingle, class) pairs, packed by bucket.
+
+    Pairs of short lists go to a bucket by their shingle, so that a list is complete there;
+    those of long lists by their class, so that no list has to be in one place.
+    """
+
+    def parted(t, k, by, is_long_part):
+        place = ((by >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(place, kind="stable")
+        t, k, place = t[order], k[order], place[order]
+        ends = np.searchsorted(place, np.arange(buckets + 1))
+        for b in np.flatnonzero(np.diff(ends)).tolist():
+            yield b, t[ends[b] : ends[b + 1]], k[ends[b] : ends[b + 1]], is_long_part
 
     def run(batches):
         tokens, keys, held = [], [], 0
         long_tokens, long_keys = [], []
 
-        def packed():
-            if long_tokens:
-                t, k = np.concatenate(long_tokens), np.concatenate(long_keys)
-                yield -1, t, k
+        def out():
+            rows = []
             if tokens:
                 t, k = np.concatenate(tokens), np.concatenate(keys)
-                place = ((t >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-                order = np.argsort(place, kind="stable")
-                t, k, place = t[order], k[order], place[order]
-                ends = np.searchsorted(place, np.arange(buckets + 1))
-                for b in np.flatnonzero(np.diff(ends)).tolist():
-                    yield b, t[ends[b] : ends[b + 1]], k[ends[b] : ends[b + 1]]
-
-        def out():
-            rows = list(packed())
+                rows += parted(t, k, t, False)
+            if long_tokens:
+                t, k = np.concatenate(long_tokens), np.concatenate(long_keys)
+                rows += parted(t, k, mix(k.view(np.uint64)), True)
             columns = [
-                pa.array([b for b, _, _ in rows], pa.int32()),
-                pa.array([t.tobytes() for _, t, _ in rows], pa.binary()),
-                pa.array([k.tobytes() for _, _, k in rows], pa.binary()),
+                pa.array([b for b, *_ in rows], pa.int32()),
+                pa.array([t.tobytes() for _, t, *_ in rows], pa.binary()),
+                pa.array([k.tobytes() for _, _, k, _ in rows], pa.binary()),
+                pa.array([x for *_, x in rows], pa.bool_()),
             ]
             for x in (tokens, keys, long_tokens, long_keys):
                 x.clear()
-            return pa.RecordBatch.from_arrays(columns, ["bucket", "tokens", "keys"])
+            return pa.RecordBatch.from_arrays(columns, ["bucket", "tokens", "keys", "long"])
 
         for batch in batches:
             for key, s in _distinct_sets(batch.column(1), size).items():
@@ -222,40 +228,36 @@ def _postings(docs: DataFrame, size: int, percent: int, is_long, buckets: int) -
         if held:
             yield out()
 
-    return docs.mapInArrow(frugal(run), "bucket int, tokens binary, keys binary")
+    return docs.mapInArrow(frugal(run), "bucket int, tokens binary, keys binary, long boolean")
 
 
-def _shared(rows: pd.DataFrame) -> pd.DataFrame:
-    """Postings of lists with two classes or more, of one bucket."""
+def _pairs_of(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (token, key) of some packets, sorted."""
     tokens = np.frombuffer(b"".join(rows["tokens"]), np.int64)
     keys = np.frombuffer(b"".join(rows["keys"]), np.int64)
     order = np.lexsort((keys, tokens))
     tokens, keys = tokens[order], keys[order]
     new = np.ones(len(tokens), bool)
     new[1:] = (tokens[1:] != tokens[:-1]) | (keys[1:] != keys[:-1])
-    tokens, keys = tokens[new], keys[new]
+    return tokens[new], keys[new]
+
+
+def _shared(rows: pd.DataFrame) -> pd.DataFrame:
+    """Postings of one bucket: of short lists with two classes or more, and all of long ones."""
+    tokens, keys = _pairs_of(rows[~rows["long"]])
     same = np.zeros(len(tokens), bool)
     equal = tokens[1:] == tokens[:-1]
     same[1:] |= equal
     same[:-1] |= equal
+    more = _pairs_of(rows[rows["long"]])
     give_back()
-    return pd.DataFrame({"token": tokens[same], "key": keys[same]})
-
-
-def _unpacked(batches):
-    for batch in batches:
-        tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.int64)
-        keys = np.frombuffer(b"".join(batch.column("keys").to_pylist()), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(keys)], ["token", "key"])
+    return pd.DataFrame({"token": np.concatenate([tokens[same], more[0]]), "key": np.concatenate([keys[same], more[1]])})
 
 
 def _lists(docs: DataFrame, size: int, percent: int, is_long, buckets: int) -> DataFrame:
     packed = _postings(docs, size, percent, is_long, buckets)
-    schema = "token bigint, key bigint"
-    short = packed.where("bucket >= 0").repartition(min(buckets, 4 * shuffle_partitions(docs.sparkSession)), "bucket")
-    short = short.groupBy("bucket").applyInPandas(_shared, schema)
-    long_ = packed.where("bucket < 0").mapInArrow(_unpacked, schema).distinct()
-    return short.unionByName(long_)
+    dealt = packed.repartition(min(buckets, 4 * shuffle_partitions(docs.sparkSession)), "bucket")
+    return dealt.groupBy("bucket").applyInPandas(_shared, "token bigint, key bigint")
 
 
 def divide_skip(query: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> list[int]:
@@ -329,8 +331,10 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, per
     if not rows:
         return near
     wanted = near.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    # sets of the wanted classes only; the bitmap may let a few more pass
+    # sets of the wanted classes only, from one document of each; the bitmaps may let a few more pass
     bits = hash_bitmap(wanted, F.col("key"))
+    owners = split_by_map(classes.select("key", "doc_id"), F.col("key"), wanted)[1].select(F.xxhash64("doc_id").alias("place"))
+    some = split_by_map(docs, F.xxhash64("doc_id"), owners)[1]
 
     def sets_of(batches):
         for batch in batches:
@@ -340,7 +344,7 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, per
             columns = [pa.array(pick), pa.array([found[k].tobytes() for k in pick.tolist()], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["key", "shingles"])
 
-    sets = docs.mapInArrow(frugal(sets_of), "key bigint, shingles binary").groupBy("key").agg(F.first("shingles").alias("shingles"))
+    sets = some.mapInArrow(frugal(sets_of), "key bigint, shingles binary").groupBy("key").agg(F.first("shingles").alias("shingles"))
     chunks = near.groupBy("a").agg(F.ceil(F.count("*") / CELL).cast("int").alias("chunks"))
     cells = near.join(chunks, "a").withColumn("chunk", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int")).select("a", "b", "chunk")
     queries = cells.select("a", F.col("a").alias("b"), "chunk").distinct()

@@ -30,12 +30,13 @@ def split_by_map(df: DataFrame, key: Column, marked: DataFrame) -> tuple[DataFra
     broadcast (4 MB at most), so the first frame's rows, texts and all, are not shuffled
     for a join that couldn't touch them; a full map only makes the second frame larger.
     """
-    words = _words(F.col(marked.columns[0]), marked).select(F.col("word").alias("_word"), F.col("bits").alias("_bits"))
-    place = F.shiftrightunsigned(key, 64 - BITS)
-    placed = df.withColumn("_place", place).withColumn("_key", F.shiftrightunsigned("_place", 6))
-    seen = placed.join(F.broadcast(words), F.col("_key") == F.col("_word"), "left")
-    hit = F.coalesce(F.expr("shiftrightunsigned(_bits, cast(_place & 63 as int)) & 1") == 1, F.lit(False))
-    return tuple(seen.where(c).select(*[F.col(f"`{n}`") for n in df.columns]) for c in (~hit, hit))
+    words = _words(F.col(marked.columns[0]), marked)
+    # the input's columns travel as one, so that none of their names can clash
+    row = F.struct(*[F.col(f"`{n}`") for n in df.columns]).alias("row")
+    placed = df.select(row, F.shiftrightunsigned(key, 64 - BITS).alias("place"))
+    seen = placed.join(F.broadcast(words), F.shiftrightunsigned("place", 6) == F.col("word"), "left")
+    hit = F.coalesce(F.expr("shiftrightunsigned(bits, cast(place & 63 as int)) & 1") == 1, F.lit(False))
+    return tuple(seen.where(c).select("row.*") for c in (~hit, hit))
 
 
 def hash_bitmap(df: DataFrame, key: Column):

@@ -114,6 +114,46 @@ def test_jaccard_join_equals_brute_force(spark, documents):
     assert got == brute_components(rows)
 
 
+def test_one_group_of_thousands_of_near_copies(spark):
+    """5,000 copies of one text with a few words of their own each, and clean texts beside them."""
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(5000):
+        words = list(base)
+        for _ in range(r.choice((1, 2, 3))):
+            words[r.randrange(120)] = f"e{r.randrange(300)}"
+        rows.append((i + 10, " ".join(words)))
+    rows += [(10_000 + i, " ".join(f"c{r.randrange(10**6)}" for _ in range(60))) for i in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)
+    got = {x.doc_id: x.component_id for x in jaccard_join.near_duplicates(frame).collect()}
+    shingles = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    alone = [i for i, _ in rows if got[i] == i and i != 10]
+    for i in alone[:60]:  # whoever stayed alone has no link to anyone, by brute force
+        for j, other in shingles.items():
+            n = len(shingles[i] & other)
+            assert i == j or 100 * n < 80 * (len(shingles[i]) + len(other) - n), (i, j)
+    assert all(got[10_000 + i] == 10_000 + i for i in range(200))
+    for i in r.sample(range(10, 5010), 60):  # and a linked pair is in one component
+        for j in range(10, 5010, 7):
+            n = len(shingles[i] & shingles[j])
+            if 100 * n >= 80 * (len(shingles[i]) + len(shingles[j]) - n):
+                assert got[i] == got[j]
+
+
+def test_rows_that_a_map_leaves_alone(spark):
+    from pyspark.sql import functions as F
+
+    from gleaner.llm.sketch import split_by_map
+
+    frame = spark.range(2000).withColumn("_word", F.lit("kept"))
+    marked = spark.range(0, 2000, 50).select(F.xxhash64("id").alias("k"))
+    sure, unsure = split_by_map(frame, F.xxhash64("id"), marked)
+    assert sure.columns == frame.columns and sure.count() + unsure.count() == 2000
+    assert {x.id for x in unsure.collect()} >= set(range(0, 2000, 50)) and unsure.count() < 60
+    assert split_by_map(frame, F.xxhash64("id"), marked.limit(0))[1].count() == 0
+
+
 def test_jaccard_join_with_long_lists(spark, monkeypatch):
     """Every recurring shingle is long: short lists alone don't reach a prefix."""
     monkeypatch.setattr(jaccard_join, "LONG", 2)
