@@ -4,6 +4,7 @@ import re
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
@@ -52,6 +53,77 @@ def test_classifier_edges(spark, edge_documents, module, fit, label):
     assert score(edge_documents.limit(0), one_class).count() == 0
 
 
+def test_dual_coordinate_descent_is_optimal():
+    """The dual solution meets the optimality conditions, and no plain subgradient run finds a better primal."""
+    r = np.random.default_rng(2)
+    n, d = 120, 40
+    rows = [np.flatnonzero(r.random(d) < 0.3).astype(np.int32) for _ in range(n)]
+    rows = [x if len(x) else np.array([0], np.int32) for x in rows]
+    y = np.array([int(1 in x or r.random() < 0.3) for x in rows])
+    ratio = quality.log_count_ratio(rows, y)
+    plain = np.zeros((2, quality.N_FEATURES))
+    for x, label in zip(rows, y):
+        for j in x:
+            plain[label][j] += 1
+    assert np.allclose(ratio, np.log((plain[1] + 1) / (y.sum() + 2)) - np.log((plain[0] + 1) / (n - y.sum() + 2)))
+    w, bias = quality.dual_coordinate_descent(rows, ratio, y, rounds=400)
+    X = np.zeros((n, d))
+    for i, x in enumerate(rows):
+        X[i, x] = ratio[x] / np.sqrt((ratio[x] ** 2).sum() + 1e-9)
+    sign, X1 = 2 * y - 1, np.concatenate([X, np.ones((n, 1))], axis=1)
+    loss = lambda v: 0.5 * v @ v + np.maximum(0, 1 - sign * (X1 @ v)).sum()
+    own = loss(np.append(w[:d], bias))
+    v, best = np.zeros(d + 1), np.inf
+    for t in range(1, 20_000):
+        active = sign * (X1 @ v) < 1
+        v = v - (v - (sign[active, None] * X1[active]).sum(axis=0)) / t
+        best = min(best, loss(v))
+    assert not w[d:].any() and own <= best * 1.001 and own >= best * 0.98
+
+
+def test_convolution_equals_loops_and_its_gradient():
+    """Pools and margins by loops over windows; gradients by finite differences."""
+    import pyarrow as pa
+
+    from gleaner.llm.kernels import text_bytes
+
+    texts = ["one two three four five", "", "two", "alpha beta two three", "x y z one one one two"]
+    t = toxicity.Tokens(*text_bytes(pa.array(texts)))
+    model = toxicity.ConvModel(3)
+    model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    pooled, _, x = model.pools(t)
+    margins = model.margins(t)
+    for i in range(len(texts)):
+        own, total = x[t.first[i] : t.first[i + 1]], float(model.p["bias"][0])
+        for k, w in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                values = [sum(own[s + j] @ model.p[f"f{w}"][j * toxicity.SIZE : (j + 1) * toxicity.SIZE, f] for j in range(w)) for s in range(len(own) - w + 1)]
+                top = max([0.0, *values])
+                assert abs(pooled[i, k * toxicity.FILTERS + f] - top) < 1e-5
+                total += top * model.p["out"][k * toxicity.FILTERS + f]
+        assert abs(margins[i] - total) < 1e-5
+    y, weight = np.array([1, 0, 0, 1, 0], np.float32), np.ones(5, np.float32)
+
+    def loss():
+        z = model.pools(t)[0] @ model.p["out"] + model.p["bias"][0]
+        return float((np.log1p(np.exp(-np.abs(z))) + np.maximum(z, 0) - y * z).mean())
+
+    before, start = loss(), {k: v.copy() for k, v in model.p.items()}
+    used = np.unique(t.word)
+    slopes = {}
+    for name, place in (("f2", (3, 4)), ("f3", (7, 1)), ("out", 5), ("word", (used[0], 2)), ("word", (used[2], 0)), ("bias", 0)):
+        model.p[name][place] += 1e-5
+        slopes[name, place] = (loss() - before) / 1e-5
+        model.p[name][place] = start[name][place]
+    toxicity.train(model, [(t, y, weight)], 1, rate=1e-4)
+    for (name, place), slope in slopes.items():  # Adam's first step goes against the gradient's sign
+        moved = model.p[name][place] - start[name][place]
+        assert abs(slope) < 1e-6 or moved * slope < 0, (name, place)
+    for _ in range(30):
+        toxicity.train(model, [(t, y, weight)], 1, rate=1e-2)
+    assert loss() < before / 2
+
+
 def test_sample_without_a_huge_text(spark):
     """A text beyond the bound leaves out itself, whatever its place in the order."""
     rows = [(i, f"text {i}") for i in range(20)]

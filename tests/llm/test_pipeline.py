@@ -33,6 +33,51 @@ def test_stages_on_edges(spark, edge_documents, tmp_path):
             frame.count()
 
 
+def test_stages_equal_brute_force(spark, documents):
+    """Every stage's rows against a plain reading of its own input."""
+    import base64
+    import hashlib
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from test_duplicates import brute_components, brute_equal, brute_overlaps, near_copies
+
+    from gleaner.llm import quality
+    from gleaner.llm.labelled import held_out
+
+    P, tiktoken = pytest.importorskip("public_tokenizers"), pytest.importorskip("tiktoken")
+    extra = [(i + 10**6, t) for i, t in near_copies(families=5)]
+    added = spark.createDataFrame(extra, "doc_id bigint, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("bigint")})
+    docs = documents.unionByName(added.select(*documents.columns))
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.fit_quality(docs, labels, ~held_out("doc_id", 5, 0))
+    rows = lambda frame: [(r.doc_id, r.text) for r in frame.collect()]
+    ids = lambda frame: {r.doc_id for r in frame.select("doc_id").collect()}
+    stages = dict(corpus_pipeline.STAGES)
+
+    kept = stages["quality_classifier"](spark, docs, SF)
+    accepted = set()
+    for doc_id, text in rows(docs):
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        if model.score(quality.feature_rows(raw, np.array([0, len(raw)])))[0] >= 0.3:
+            accepted.add(doc_id)
+    assert ids(kept) == accepted
+    deduped = stages["exact_dedup"](spark, docs, SF)
+    assert ids(deduped) == {i for i, v in brute_equal(rows(docs)).items() if v[2]}
+    alone = stages["ngram_jaccard_join"](spark, docs, SF)
+    assert ids(alone) == {i for i, (_, least) in brute_components(rows(docs)).items() if i == least}
+    clean = stages["benchmark_decontamination"](spark, docs, SF)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    assert ids(docs) - ids(clean) >= {d for d, _ in brute_overlaps(rows(docs), items)}
+    lines = map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))
+    ranks = {base64.b64decode(a): int(b) for a, b in lines}
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = dict(rows(docs))
+    for r in stages["byte_bpe"](spark, docs, SF).collect():
+        assert r.ids_sha256 == hashlib.sha256(np.array(own.encode_ordinary(texts[r.doc_id] or ""), "<u4").tobytes()).hexdigest()
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_oracles(spark, name):
     con = duckdb.connect()
