@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gleaner.llm.kernels import frugal, prefix_hash, slices, span_hash, text_bytes, words
+from gleaner.llm.kernels import frugal, give_back, prefix_hash, slices, span_hash, text_bytes, words
 from gleaner.llm.labelled import fit_logistic, labelled_sample
 
 POSITIVES, NEGATIVES = 3000, 3000
@@ -143,7 +143,7 @@ def fit(texts: list[str], y: np.ndarray, share: float) -> QualityModel:
 
 def fit_quality(documents: DataFrame, labels: DataFrame, usable, label: str = "quality") -> QualityModel:
     model = fit(*labelled_sample(documents, labels, label, usable, POSITIVES, NEGATIVES))
-    pa.default_memory_pool().release_unused()  # the driver gives back what the sample took
+    give_back()  # what the sample took of the driver
     return model
 
 

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.llm.kernels import give_back
+
 #: The bitmap has 2**BITS bits (2 MB), whatever the input: it may be broadcast.
 BITS = 24
 
@@ -49,6 +51,8 @@ def hash_bitmap(df: DataFrame, key: Column):
     words = _words(key, df).toPandas()
     table = np.zeros(1 << (BITS - 6), np.uint64)
     table[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    del words
+    give_back()
     return df.sparkSession.sparkContext.broadcast(table)
 
 

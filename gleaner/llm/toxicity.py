@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gleaner.llm.kernels import lower_table, prefix_hash, span_hash, text_bytes, words
+from gleaner.llm.kernels import give_back, lower_table, prefix_hash, span_hash, text_bytes, words
 from gleaner.llm.labelled import fit_logistic, labelled_sample
 from gleaner.llm.quality import score_texts
 
@@ -221,7 +221,9 @@ def fit(texts: list[str], y: np.ndarray, share: float, steps: int = 560, batch:
 
 
 def fit_toxicity(documents: DataFrame, labels: DataFrame, usable, label: str = "toxic") -> ConvModel:
-    return fit(*labelled_sample(documents, labels, label, usable, POSITIVES, NEGATIVES))
+    model = fit(*labelled_sample(documents, labels, label, usable, POSITIVES, NEGATIVES))
+    give_back()  # what the sample took of the driver
+    return model
 
 
 def score_toxicity(df: DataFrame, model: ConvModel, text: str = "text", score: str = "score") -> DataFrame:
