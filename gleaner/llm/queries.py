@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import bpe_matrix, decontaminate, exact_dedup, html_extract, jaccard_join, license_scan, quality, token_store, toxicity, url_rules
+from gleaner.llm import align, bpe_matrix, decontaminate, exact_dedup, html_extract, jaccard_join, license_scan, quality, token_store, toxicity, url_rules
 from gleaner.llm.labelled import held_out
 from gleaner.llm.session import prepare
 
@@ -103,6 +103,12 @@ def op10_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(pages, url_rules.CONTRACT_RULES).drop("url")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE against sentencepiece tokens of all documents, with corpus-wide pair counts."""
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return align.alignment_digests(documents, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 _OP9_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
@@ -154,6 +160,7 @@ QUERIES = {
     "op8_chunk_recipes": op8_chunk_recipes,
     "op9_divide_skip": op9_divide_skip,
     "op10_url_verdicts": op10_url_verdicts,
+    "op11_token_alignment": op11_token_alignment,
 }
 
 ORACLE_SQL = {
