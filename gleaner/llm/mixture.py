@@ -40,6 +40,8 @@ WEIGHTS = (1, 2, 3)
 CAP = 3
 #: Newton rounds at most, and the relative error of the words taken that ends them.
 ROUNDS, TOLERANCE = 60, 1e-7
+#: Parts of a copy in which rates are summed, for words and for their slope.
+WORD_UNIT, SLOPE_UNIT = 1e12, 1e6
 #: Documents of one window when copies are shared out.
 PART = 20_000
 
@@ -105,11 +107,15 @@ def solve(cells: DataFrame, goals: DataFrame, tables: Tables, cap: int = CAP) ->
     for _ in range(ROUNDS):
         z = F.col("size") / F.col("mean")
         rate = _rate(F.col("m"), z, cap)
-        inside = F.when(rate < cap, 1.0).otherwise(0.0)
-        words = F.col("size") * F.col("n") * rate
+        whole = lambda c, digits: c.cast(f"decimal({digits},0)")
+        # sums of whole numbers: the same whatever the order, so reruns take the same steps
+        words = whole(F.col("size") * F.col("n"), 20) * whole(F.round(rate * WORD_UNIT), 13)
+        squares = whole(whole(F.col("size"), 10) * whole(F.col("size") * F.col("n"), 20), 28)
+        slope = F.when(rate < cap, squares * whole(F.round(rate * SLOPE_UNIT), 7)).otherwise(F.lit(0).cast("decimal(36,0)"))
         active = state.where("NOT done").withColumnRenamed("source", "_source")
         step = cells.join(active, F.col("source").eqNullSafe(F.col("_source"))).groupBy("source").agg(
-            F.sum(words).alias("words"), F.sum(words * z * inside).alias("slope")
+            F.greatest(F.sum(words).cast("double") / WORD_UNIT, F.lit(1e-9)).alias("words"),
+            (F.sum(slope).cast("double") / SLOPE_UNIT / F.first("mean")).alias("slope"),
         )
         # Newton on log(words) = log(target); words grow with m, so each side of the target is a bound
         off = F.log(F.col("words")) - F.log(F.col("target"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import align, bpe_matrix, decontaminate, exact_dedup, html_extract, jaccard_join, license_scan, quality, token_store, toxicity, url_rules
+from gleaner.llm import align, bpe_matrix, decontaminate, exact_dedup, html_extract, jaccard_join, license_scan, mixture, quality, token_store, toxicity, url_rules
 from gleaner.llm.labelled import held_out
 from gleaner.llm.session import prepare
 
@@ -109,6 +109,11 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.alignment_digests(documents, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op13_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix with source weights 1, 2, 3 takes of all documents."""
+    return mixture.mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("copies")
+
+
 _OP9_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
@@ -161,6 +166,7 @@ QUERIES = {
     "op9_divide_skip": op9_divide_skip,
     "op10_url_verdicts": op10_url_verdicts,
     "op11_token_alignment": op11_token_alignment,
+    "op13_entropy_mix": op13_entropy_mix,
 }
 
 ORACLE_SQL = {
