@@ -54,7 +54,7 @@ _COUNTS = "lang string, source string, term string, n bigint, docs bigint"
 
 def _block_counts(langs: pa.Array, sources: pa.Array, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
     """Counts and documents of each term of each group of one block of texts."""
-    group = pc.struct_field  # both names are coded apart and joined as one number
+    # both names are coded apart and joined as one number
     lang, source = langs.dictionary_encode(), sources.dictionary_encode()
     n_source = max(1, len(source.dictionary))
     group = lang.indices.to_numpy().astype(np.int64) * n_source + source.indices.to_numpy()
@@ -258,10 +258,11 @@ def audit_sources(
     tables = Tables(prepare(df.sparkSession))
     own = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"), (text, "text"))])
     counts = tables.written(term_counts(own))
-    kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).drop("docs")
+    kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs)
+    kept = tables.written(kept.drop("docs"))
     used = tables.written(counts.join(kept, ["lang", "term"]).select("lang", "source", "term", "n", "total"))
     sizes = used.groupBy("lang", "source").agg(F.sum("n").alias("size"))
-    langs = used.select("lang", "term", "total").distinct().groupBy("lang").agg(F.count("*").alias("v"), F.sum("total").alias("lang_size"))
+    langs = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("total").alias("lang_size"))
     groups = own.select("lang", "source").distinct().join(sizes, ["lang", "source"], "left").join(langs, "lang", "left")
     groups = groups.fillna(0, ["size", "v", "lang_size"])
     zero = F.when(F.col("v") > 0, share(F.lit(0), F.col("size"), F.greatest("v", F.lit(1)))).otherwise(F.lit(0).cast("bigint"))

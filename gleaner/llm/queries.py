@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import align, bpe_matrix, decontaminate, exact_dedup, html_extract, jaccard_join, license_scan, mixture, quality, token_store, toxicity, url_rules
+from gleaner.llm import align, bpe_matrix, decontaminate, divergence, exact_dedup, html_extract, jaccard_join, license_scan, mixture, quality, token_store, toxicity, url_rules
 from gleaner.llm.labelled import held_out
 from gleaner.llm.session import prepare
 
@@ -109,6 +109,11 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.alignment_digests(documents, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op12_dominance_skyband(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between the sources of each language of all documents, and the terms they overuse."""
+    return divergence.audit_sources(_table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
 def op13_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix with source weights 1, 2, 3 takes of all documents."""
     return mixture.mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("copies")
@@ -154,6 +159,45 @@ FROM u LEFT JOIN r ON (u.host = r.rhost OR ends_with(u.host, '.' || r.rhost)) AN
 GROUP BY ALL
 """
 
+_OP12_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents
+), t AS (
+  SELECT lang, source, r, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), c AS (
+  SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM t GROUP BY ALL
+), k AS (
+  SELECT lang, term, sum(n)::HUGEINT AS total FROM c GROUP BY ALL HAVING sum(docs) >= 30
+), v AS (
+  SELECT lang, count(*)::HUGEINT AS v, sum(total)::HUGEINT AS size FROM k GROUP BY lang
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), x AS (
+  SELECT c.lang, c.source, c.term, c.n FROM c JOIN k USING (lang, term)
+), s AS (
+  SELECT g.lang, g.source, coalesce(sum(x.n), 0)::HUGEINT AS size FROM g LEFT JOIN x USING (lang, source) GROUP BY ALL
+), p AS (
+  SELECT s.lang, s.source, k.term, coalesce(x.n, 0) AS n,
+         1 + (1000000000::HUGEINT * (coalesce(x.n, 0) + 5)) // (s.size + 5 * v.v) AS p,
+         1 + (1000000000::HUGEINT * (k.total + 5)) // (v.size + 5 * v.v) AS q
+  FROM s JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN x ON x.lang = s.lang AND x.source = s.source AND x.term = k.term
+), f AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p))::BIGINT AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source != b.source GROUP BY ALL
+), r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source != b.source
+  LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM r
+)
+SELECT * FROM o WHERE part = 'pair' OR rank <= 50
+"""
+
 QUERIES = {
     "op1_host_suffix_array": op1_host_suffix_array,
     "op2_token_ids": op2_token_ids,
@@ -166,6 +210,7 @@ QUERIES = {
     "op9_divide_skip": op9_divide_skip,
     "op10_url_verdicts": op10_url_verdicts,
     "op11_token_alignment": op11_token_alignment,
+    "op12_dominance_skyband": op12_dominance_skyband,
     "op13_entropy_mix": op13_entropy_mix,
 }
 
@@ -173,4 +218,5 @@ ORACLE_SQL = {
     "op8_chunk_recipes": _OP8_SQL,
     "op9_divide_skip": _OP9_SQL,
     "op10_url_verdicts": _OP10_SQL,
+    "op12_dominance_skyband": _OP12_SQL,
 }
