@@ -227,7 +227,7 @@ def _pairs(shares: DataFrame, groups: DataFrame) -> DataFrame:
         F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"),
     )
     base = met_as(base).select("lang", "x", "y", "of", "place", "side", "zero")
-    terms = shares.withColumn("key", F.xxhash64("term")).withColumn("of", F.pmod("key", "parts"))
+    terms = shares.withColumn("key", F.xxhash64("term")).withColumn("of", F.pmod("key", "parts").cast("int"))
     terms = terms.withColumns({"block": side, "other": F.explode(F.sequence(F.lit(0), blocks))})
     terms = met_as(terms).select(F.col("lang").alias("l"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("of").alias("o"), "place", "term", "p")
 
