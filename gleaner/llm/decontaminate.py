@@ -255,5 +255,8 @@ def drop_contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", i
     found = reduce(DataFrame.unionByName, gone).distinct()
     own = F.col(key).cast("bigint")
     sure, unsure = split_by_map(df, F.xxhash64(own), found.select(F.xxhash64("_id").alias("place")))
-    same = own.eqNullSafe(F.col("_id")) & (F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256) == F.col("_sha"))
-    return sure.unionByName(unsure.join(found, same, "left_anti"))
+    # the input's columns travel as one, so that none of their names can clash
+    row = F.struct(*[F.col(f"`{n}`") for n in df.columns]).alias("row")
+    rows = unsure.select(row, own.alias("id"), F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256).alias("sha"))
+    kept = rows.join(found, F.col("id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha")), "left_anti")
+    return sure.unionByName(kept.select("row.*"))

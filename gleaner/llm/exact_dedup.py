@@ -200,10 +200,14 @@ def drop_copies(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
     plain = value
     for white in WHITE.decode():
         plain = F.replace(plain, F.lit(white), F.lit(""))
-    rows = df.withColumns({"_s": F.sha2(plain.cast("binary"), 256), "_n": F.length(value).cast("bigint")})
-    same = F.col(key).cast("bigint").eqNullSafe(F.col("_id")) & (F.col("_s") == F.col("_sha")) & (F.col("_n") == F.col("_chars"))
+    # the input's columns travel as one, so that none of their names can clash
+    row = F.struct(*[F.col(f"`{n}`") for n in df.columns]).alias("row")
+    rows = df.select(
+        row, F.col(key).cast("bigint").alias("id"), F.sha2(plain.cast("binary"), 256).alias("sha"), F.length(value).cast("bigint").alias("chars"), F.xxhash64(text).alias("h")
+    )
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha")) & (F.col("chars") == F.col("_chars"))
     joined = rows.join(kept, same)
     # rows that repeat a kept row: one of each stays
-    one = Window.partitionBy("_id", "_s").orderBy(F.xxhash64(text))
+    one = Window.partitionBy("_id", "_sha").orderBy("h")
     again = joined.where("repeats > 1").withColumn("_r", F.row_number().over(one)).where("_r = 1")
-    return sure.unionByName(joined.where("repeats = 1").select(*df.columns)).unionByName(again.select(*df.columns))
+    return sure.unionByName(joined.where("repeats = 1").select("row.*")).unionByName(again.select("row.*"))

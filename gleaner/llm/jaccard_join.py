@@ -547,6 +547,11 @@ def near_duplicates(
     df: DataFrame, text: str = "text", key: str = "doc_id", size: int = WORDS, percent: int = PERCENT
 ) -> DataFrame:
     """doc_id, n_shingles and component_id of each row."""
+    return _labelled(df, text, key, size, percent).drop("key", "label")
+
+
+def _labelled(df: DataFrame, text: str, key: str, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The same with the key of the row's class and of its component, null for an empty set."""
     spark = prepare(df.sparkSession)
     docs = df.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     tables = Tables(spark)
@@ -584,27 +589,43 @@ def near_duplicates(
 
     joined = classes.select("key", "doc_id").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     least = joined.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    owner = joined.join(least, "label").select("key", "component_id")
+    owner = joined.join(least, "label").select("key", "label", "component_id")
     named = marks.where("n > 0").select("doc_id", F.col("n").alias("n_shingles"), "key").join(owner, "key")
-    empty = marks.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    found = written(named.select("doc_id", "n_shingles", "component_id").unionByName(empty))
+    empty = marks.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "key", F.col("key").alias("label"))
+    found = written(named.select("doc_id", "n_shingles", "component_id", "key", "label").unionByName(empty))
     tables.drop()
     return found
 
 
 def keep_representatives(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows whose doc_id is the smallest of their component, with all columns.
+    """One row of each component, that of the smallest doc_id, with all columns.
 
-    Rows with an empty set stay; of rows that repeat a doc_id and text, one.  Texts of
-    rows that certainly stay are not moved (see ``split_by_map``).
+    Rows with an empty set stay.  Rows that share a doc_id are told apart by their texts: each
+    is judged by its own component, and of those that repeat a doc_id and text, or a doc_id and
+    component, one stays.  Rows without a doc_id stay, one of each component, unless it has a row
+    with one.  Texts of rows that certainly stay are not moved (see ``split_by_map``).
     """
-    verdicts = near_duplicates(df, text, key)
-    dropped = verdicts.where("doc_id IS NOT NULL AND doc_id != component_id").select("doc_id")
-    # only doc_ids that repeat can still stand twice
-    twice = verdicts.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id")
-    place = F.xxhash64(F.col(key).cast("bigint"))
-    sure, unsure = split_by_map(df, place, dropped.unionByName(twice).select(F.xxhash64("doc_id").alias("place")))
-    gone = dropped.distinct().withColumnRenamed("doc_id", "_id")
-    kept = unsure.join(gone, F.col(key).cast("bigint") == F.col("_id"), "left_anti")
-    one = Window.partitionBy(key, F.xxhash64(text)).orderBy(F.xxhash64(text))
-    return sure.unionByName(kept.withColumn("_r", F.row_number().over(one)).where("_r = 1").drop("_r"))
+    verdicts = _labelled(df, text, key)
+    # doc_ids that one row has are decided by themselves, all others by their rows' sets
+    several = verdicts.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("_id"))
+    gone = verdicts.where("doc_id IS NOT NULL AND doc_id != component_id").select(F.col("doc_id").alias("_id")).distinct()
+    own = F.col(key).cast("bigint")
+    doubtful = gone.unionByName(several).select(F.xxhash64("_id").alias("place"))
+    sure, unsure = split_by_map(df, F.xxhash64(own), doubtful)
+    # the input's columns travel as one, so that none of their names can clash
+    row = F.struct(*[F.col(f"`{n}`") for n in df.columns]).alias("row")
+    body = F.coalesce(F.col(text), F.lit("")).alias("body")
+    rows = unsure.select(row, own.alias("id"), body)
+    same = F.col("id").eqNullSafe(F.col("_id"))
+    single = rows.join(several, same, "left_anti").join(gone, same, "left_anti").select("row.*")
+    many = rows.join(several, same, "left_semi").withColumn("h", F.xxhash64("id", "body"))
+    # the sets of these rows, by the hash of doc_id and text
+    sets = _marks(many.select(F.col("h").alias("doc_id"), F.col("body").alias("text")), WORDS)
+    sets = sets.select(F.col("doc_id").alias("h"), "key").distinct()
+    component = verdicts.where("key IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "label", "component_id").distinct()
+    judged = many.join(sets, "h").join(component, same & (F.col("key") == F.col("_key")), "left")
+    stays = F.col("key").isNull() | F.col("id").eqNullSafe(F.col("component_id"))
+    unit = F.when(F.col("key").isNull(), F.col("h")).otherwise(F.col("label"))
+    one = Window.partitionBy("id", F.col("key").isNull(), unit).orderBy("h")
+    kept = judged.where(stays).withColumn("_r", F.row_number().over(one)).where("_r = 1")
+    return sure.unionByName(single).unionByName(kept.select("row.*"))

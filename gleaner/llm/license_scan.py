@@ -25,6 +25,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.llm.session import unused
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: What stands between the same words before A-Z are lower-cased.
 GAP_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -372,16 +374,17 @@ def scan_licenses(df: DataFrame, text: str = "text", rules=None) -> DataFrame:
         return _resolve(F.flatten(F.transform(_matching(n, rules), lambda r: _intervals(n, r))))
 
     result = F.when(_may_match(value, rules), F.transform(F.array(norm), scan)[0])
-    out = df.withColumn("_scan", result)
+    scan_ = unused(df, "_scan")
+    out = df.withColumn(scan_, result)
     names = lambda c: F.coalesce(F.array_join(F.array_sort(c), ","), F.lit(""))
     return out.withColumns(
         {
             "n_words": F.size(F.array_remove(F.split(value, GAP_ANY_CASE), "")).cast("bigint"),
-            "n_base": F.coalesce(F.col("_scan.n_base"), F.lit(0)).cast("bigint"),
-            "first_word": F.col("_scan.first").cast("bigint"),
-            "last_word": F.col("_scan.last").cast("bigint"),
-            "base_labels": names(F.col("_scan.base")),
-            "labels": names(F.col("_scan.labels")),
-            "score": F.coalesce(F.col("_scan.score"), F.lit(0.0)),
+            "n_base": F.coalesce(F.col(f"{scan_}.n_base"), F.lit(0)).cast("bigint"),
+            "first_word": F.col(f"{scan_}.first").cast("bigint"),
+            "last_word": F.col(f"{scan_}.last").cast("bigint"),
+            "base_labels": names(F.col(f"{scan_}.base")),
+            "labels": names(F.col(f"{scan_}.labels")),
+            "score": F.coalesce(F.col(f"{scan_}.score"), F.lit(0.0)),
         }
-    ).drop("_scan")
+    ).drop(scan_)

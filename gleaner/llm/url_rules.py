@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.llm.session import unused
+
 MAX_RULES = 200_000
 
 #: The rules of the corpus contract: (verdict, host, path).
@@ -89,7 +91,7 @@ def best_rule(trie: dict, host: str, path: str):
 
 def judge_urls(df: DataFrame, rules, url: str = "url", default: str = "allow") -> DataFrame:
     """``df`` with host, path, rule and verdict of each url."""
-    rules = list(rules)
+    rules, best = list(rules), unused(df, "_best")
     address = F.coalesce(F.col(url), F.lit(""))
     rest = F.regexp_extract(address, r"(?s)://(.*)$", 1)
     host = F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1)
@@ -99,7 +101,7 @@ def judge_urls(df: DataFrame, rules, url: str = "url", default: str = "allow") -
             "host": F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"),
             "path": path,
         }
-    ).withColumn("_best", F.lit(None).cast("struct<score:long,rule:string,verdict:string>"))
+    ).withColumn(best, F.lit(None).cast("struct<score:long,rule:string,verdict:string>"))
     for start in range(0, len(rules), MAX_RULES):
         trie = df.sparkSession.sparkContext.broadcast(build_trie(rules[start : start + MAX_RULES]))
 
@@ -115,10 +117,10 @@ def judge_urls(df: DataFrame, rules, url: str = "url", default: str = "allow") -
                 }
             )
 
-        out = out.withColumn("_best", F.greatest("_best", match("host", "path")))
+        out = out.withColumn(best, F.greatest(best, match("host", "path")))
     return out.withColumns(
         {
-            "rule": F.col("_best.rule"),
-            "verdict": F.coalesce(F.col("_best.verdict"), F.lit(default)),
+            "rule": F.col(f"{best}.rule"),
+            "verdict": F.coalesce(F.col(f"{best}.verdict"), F.lit(default)),
         }
-    ).drop("_best")
+    ).drop(best)

@@ -33,6 +33,49 @@ def test_stages_on_edges(spark, edge_documents, tmp_path):
             frame.count()
 
 
+def test_repeated_doc_ids_are_told_apart_by_their_texts(spark):
+    """Doc_ids that several texts share, in every stage that drops rows."""
+    from gleaner.llm import exact_dedup, jaccard_join
+
+    a, b, c = (" ".join(f"{w}{i}" for i in range(60)) for w in "abc")
+    rows = [(3, a), (5, a + " x"), (5, b), (7, c), (5, b), (9, ""), (9, None), (None, c + " y"), (None, "no id"), (None, "no id"), (3, a + " z")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    kept = jaccard_join.keep_representatives(frame).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept)[-2:] == [(7, c), (9, "")]
+    assert sorted(r.doc_id or 0 for r in kept) == [0, 3, 5, 7, 9] and {r.text for r in kept if r.doc_id == 5} == {b}
+    assert {r.text for r in kept if r.doc_id is None} == {"no id"}
+    kept = exact_dedup.drop_copies(frame).collect()
+    texts = lambda rows: sorted({t or "" for _, t in rows})
+    assert texts((r.doc_id, r.text) for r in kept) == texts(rows) and len(kept) == len(texts(rows))
+
+
+def test_clashing_names_in_every_stage(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from gleaner.llm import decontaminate, exact_dedup, jaccard_join, license_scan, quality, url_rules
+
+    names = ["_id", "_sha", "_chars", "repeats", "_n", "_r", "_s", "_scan", "_best", "_quality", "id", "sha", "h", "row", "_key", "body", "place", "component_id"]
+    words = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, words), (2, words), (3, words + " end"), (4, "GPL v2 license"), (4, "mit license"), (None, None)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({n: F.lit(f"own {n}") for n in names})
+    bench = spark.createDataFrame([(1, words), (2, " ".join(f"other{i}" for i in range(30)))], "item_id bigint, text string")
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 100)
+    found = {
+        "copies": (exact_dedup.drop_copies(frame), 5),
+        "near": (jaccard_join.keep_representatives(frame), 4),
+        "clean": (decontaminate.drop_contaminated(frame, bench), 3),
+        "licences": (license_scan.scan_licenses(frame), 6),
+        "urls": (url_rules.judge_urls(frame.withColumn("url", F.lit("http://a.org/es/x")), url_rules.CONTRACT_RULES), 6),
+    }
+    for name, (out, n) in found.items():
+        got = out.collect()
+        assert len(got) == n, name
+        assert all(r[c] == f"own {c}" for r in got for c in names), name
+    docs = frame.select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).alias("n_chars"), *names)
+    kept = corpus_pipeline.quality_stage(spark, docs, SF)
+    assert kept.columns == docs.columns and all(r["_quality"] == "own _quality" for r in kept.collect())
+
+
 def test_stages_equal_brute_force(spark, documents):
     """Every stage's rows against a plain reading of its own input."""
     import base64
