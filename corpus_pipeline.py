@@ -7,18 +7,20 @@ stage's documents; all but the last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gleaner.llm import bpe_matrix, decontaminate, exact_dedup, jaccard_join, quality
 from gleaner.llm.labelled import held_out
 from gleaner.llm.queries import tokenizer_path
-from gleaner.llm.session import prepare, written
+from gleaner.llm.session import prepare, unused, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted on this stage's rows, accepts."""
     labels = prepare(spark).read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.fit_quality(docs, labels, ~held_out("doc_id", 5, 0))
-    return quality.score_texts(docs, model, score="_quality").where("_quality >= 0.3").drop("_quality")
+    score = unused(docs, "_quality")
+    return quality.score_texts(docs, model, score=score).where(F.col(score) >= 0.3).drop(score)
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
