@@ -51,6 +51,8 @@ SLICE = 16 << 20
 BLOCK = 1 << 21
 #: Pieces, and bytes of pieces, that a worker remembers between blocks.
 PIECES, PIECE_BYTES = 300_000, 16 << 20
+#: Pieces that are tokenized as one text.
+JOINED = 64
 #: Keys over which a pair's slices are spread when they ask for its sum.
 SALTS = 8
 
@@ -150,6 +152,8 @@ class Aligner:
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.a_bytes = self._table(self._a_tokens())
         self.b_bytes = self._table(self._b_tokens())
+        self.width = max(len(self.a_bytes[2]), len(self.b_bytes[2]))
+        self.spelling = self._table([b"%d%s" % (i, end) for end in (b",", b"|", b";", b"") for i in range(self.width)])
         self._forget()
 
     def _a_tokens(self) -> list[bytes]:
@@ -183,22 +187,69 @@ class Aligner:
         self.sound = np.zeros(0, bool)
         self.links, self.at = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _encode(self, pieces: list[bytes]) -> tuple[list[list[int]], list[list[int]]]:
-        texts = [p.decode("utf-8", "replace") for p in pieces]
-        a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
-        # B puts a space before what it is given; a piece that has none loses that space's token again
+    def _alone_a(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _alone_b(self, texts: list[str]) -> list[list[int]]:
+        """B puts a space before what it is given; a piece that has none loses that space's token again."""
         bare = [not t.startswith(" ") for t in texts]
-        b = self.b.encode([t if x else t[1:] for t, x in zip(texts, bare)], num_threads=1)
+        ids = self.b.encode([t if x else t[1:] for t, x in zip(texts, bare)], num_threads=1)
         one = self.b.piece_to_id("▁")
-        return a, [ids[1:] if x else ids or [one] for ids, x in zip(b, bare)]
+        return [own[1:] if x else own or [one] for own, x in zip(ids, bare)]
+
+    def _encode(self, texts: list[str], size: np.ndarray, joined, alone, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, flat, and how many each has.
+
+        Pieces that end without white space are given many as one text, and their ends found by
+        counting bytes; where these don't come out even (a text with U+2581) each is given alone.
+        """
+        flatten = lambda ids: np.fromiter((i for own in ids for i in own), np.int64, sum(map(len, ids)))
+        single = np.fromiter((t[-1].isspace() for t in texts), bool, len(texts))
+        counts, starts, parts, used = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), [], 0
+        plain = np.flatnonzero(~single)
+        if len(plain):
+            groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
+            ids = joined([" ." + "".join([texts[k] for k in g.tolist()]) for g in groups])
+            flat = flatten(ids)
+            until = np.cumsum(lens[flat])
+            ends = np.cumsum(np.concatenate([np.concatenate([[2], size[g]]) for g in groups]))
+            own = np.repeat(np.arange(len(groups)), [len(g) + 1 for g in groups])
+            at = np.searchsorted(until, ends)
+            even = (at < len(until)) & (until[np.minimum(at, max(0, len(until) - 1))] == ends)
+            # tokens and bytes of a group must both end where its last piece does
+            bounds = np.cumsum([len(x) for x in ids])
+            last = np.cumsum([len(g) + 1 for g in groups]) - 1
+            good = (np.bincount(own, ~even, len(groups)) == 0) & (at[last] + 1 == bounds)
+            if not good.all():
+                # ends after an uneven group are shifted, so all of these pieces go alone
+                single[plain] = True
+            else:
+                heads = np.ones(len(ends), bool)
+                heads[last] = False
+                first = at[heads] + 1
+                counts[plain] = np.diff(at)[heads[:-1]]
+                starts[plain] = first
+                parts.append(flat)
+                used = len(flat)
+        rest = np.flatnonzero(single)
+        if len(rest):
+            ids = alone([texts[k] for k in rest.tolist()])
+            counts[rest] = [len(x) for x in ids]
+            starts[rest] = used + np.cumsum(counts[rest]) - counts[rest]
+            parts.append(flatten(ids))
+        return gather(np.concatenate(parts), starts, counts), counts
 
     def _learn(self, pieces: list[bytes]) -> None:
         """Tokenize and align new pieces."""
-        a, b = self._encode(pieces)
-        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
-        flat_a, flat_b = (np.fromiter((i for ids in x for i in ids), np.int64, int(n.sum())) for x, n in ((a, n_a), (b, n_b)))
         size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        sound = self._sound(pieces, size, flat_a, n_a, self.a_bytes) & self._sound(pieces, size, flat_b, n_b, self.b_bytes)
+        texts = [p.decode("utf-8", "replace") for p in pieces]
+        # a piece with U+2581 is never sound
+        marked = np.fromiter(("▁" in t for t in texts), bool, len(texts))
+        texts = [" " if m else t for t, m in zip(texts, marked.tolist())] if marked.any() else texts
+        flat_a, n_a = self._encode(texts, size, self._alone_a, self._alone_a, self.a_bytes[2])
+        flat_b, n_b = self._encode(texts, size, lambda x: self.b.encode([t[1:] for t in x], num_threads=1), self._alone_b, self.b_bytes[2])
+        body = np.frombuffer(b"".join(pieces), np.uint8)
+        sound = self._sound(body, size, flat_a, n_a, self.a_bytes) & self._sound(body, size, flat_b, n_b, self.b_bytes) & ~marked
         sound &= (n_a > 0) & (n_b > 0)
         # ends as offsets into all sound pieces together, so that one sorted list serves all
         keep_a, keep_b = np.repeat(sound, n_a), np.repeat(sound, n_b)
@@ -219,14 +270,13 @@ class Aligner:
         order = np.lexsort((right, left))
         left, right = left[order], right[order]
         cut_a, cut_b = np.sort(np.concatenate(cut_a)), np.sort(np.concatenate(cut_b))
-        ends_a = first_a + n_a
         n_links = np.diff(np.searchsorted(left, np.append(first_a, len(flat_a))))
         n_groups = np.diff(np.searchsorted(cut_a, np.append(first_a, len(flat_a))))
         base = len(self.groups)
         for k, piece in enumerate(pieces):
             self.rows[piece] = base + k
             self.size += len(piece)
-        self.groups += self._spelled(flat_a, flat_b, cut_a, cut_b, n_groups, ends_a)
+        self.groups += self._spelled(flat_a, flat_b, cut_a, cut_b, n_groups)
         for name, n in (("a", n_a), ("b", n_b), ("groups", n_groups), ("links", n_links)):
             self.n[name] = np.concatenate([self.n[name], n])
         self.sound = np.concatenate([self.sound, sound])
@@ -234,30 +284,36 @@ class Aligner:
         self.links = np.concatenate([self.links, (flat_a[left] << 32) | flat_b[right]])
 
     @staticmethod
-    def _sound(pieces: list[bytes], size: np.ndarray, flat: np.ndarray, n: np.ndarray, table) -> np.ndarray:
+    def _sound(body: np.ndarray, size: np.ndarray, flat: np.ndarray, n: np.ndarray, table) -> np.ndarray:
         """Which pieces' token bytes are the piece's."""
         raw, at, lens = table
         ends = np.concatenate([[0], np.cumsum(lens[flat])])[np.concatenate([[0], np.cumsum(n)])]
         out = np.diff(ends) == size
-        joined = gather(raw, at[flat], lens[flat])
-        for k in np.flatnonzero(out).tolist():
-            out[k] = joined[ends[k] : ends[k + 1]].tobytes() == pieces[k]
+        mine = flat[np.repeat(out, n)]
+        differs = gather(raw, at[mine], lens[mine]) != body[np.repeat(out, size)]
+        wrong = np.concatenate([[0], np.cumsum(differs)])[np.concatenate([[0], np.cumsum(size[out])])]
+        out[out] = np.diff(wrong) == 0
         return out
 
-    @staticmethod
-    def _spelled(flat_a, flat_b, cut_a, cut_b, n_groups, ends_a) -> list[bytes]:
-        """Each piece's groups as text, '' for pieces without tokens."""
-        a, b = list(map(str, flat_a.tolist())), list(map(str, flat_b.tolist()))
-        i = j = g = 0
-        out, ca, cb = [], (cut_a + 1).tolist(), (cut_b + 1).tolist()
-        for n in n_groups.tolist():
-            parts = []
-            for g in range(g, g + n):
-                parts.append(",".join(a[i : ca[g]]) + "|" + ",".join(b[j : cb[g]]))
-                i, j = ca[g], cb[g]
-            g += n > 0
-            out.append(";".join(parts).encode())
-        return out
+    def _spelled(self, flat_a, flat_b, cut_a, cut_b, n_groups) -> list[bytes]:
+        """Each piece's groups as text, empty for pieces without tokens."""
+        groups = len(cut_a)
+        # every id is written with what follows it: a comma, a bar after a group's A ids, a
+        # semicolon after its B ids, and nothing at the end of a piece
+        after_a, after_b = np.zeros(len(flat_a), np.int64), np.zeros(len(flat_b), np.int64)
+        after_a[cut_a], after_b[cut_b] = 1, 2
+        after_b[cut_b[(np.cumsum(n_groups) - 1)[n_groups > 0]]] = 3
+        of_a = np.repeat(np.arange(groups), np.diff(np.concatenate([[-1], cut_a])))
+        of_b = np.repeat(np.arange(groups), np.diff(np.concatenate([[-1], cut_b])))
+        entry = np.concatenate([after_a * self.width + flat_a, after_b * self.width + flat_b])
+        side = np.concatenate([2 * of_a, 2 * of_b + 1])
+        entry = entry[np.argsort(side, kind="stable")]
+        raw, at, lens = self.spelling
+        text = gather(raw, at[entry], lens[entry]).tobytes()
+        tokens = np.bincount(of_a, minlength=groups) + np.bincount(of_b, minlength=groups)
+        until = np.concatenate([[0], np.cumsum(lens[entry])])[np.concatenate([[0], np.cumsum(tokens)])]
+        ends = until[np.concatenate([[0], np.cumsum(n_groups)])].tolist()
+        return [text[x:y] for x, y in zip(ends, ends[1:])]
 
     def pieces_of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Row of every piece of all texts, and each text's first piece (one more at the end)."""
