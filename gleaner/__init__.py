@@ -9,7 +9,7 @@ _NAMES = {
     "gleaner.plans.distill": "distill plan_run route",
     "gleaner.operators.judges": "Judge ColumnJudge ScriptedJudge IdealJudge normal_judge adversarial_judge planted_judge answer_errors",
     "gleaner.operators.questions": "candidate_questions pair_questions line_questions",
-    "gleaner.operators.batching": "BatchError pack pack_pairs json_chars",
+    "gleaner.operators.batching": "pack pack_pairs json_chars",
     "gleaner.operators.retrieval": "bm25_topk retrieve_similar oldest_equal",
     "gleaner.functions.redaction": "redact redaction_count",
     "gleaner.functions.chunking": "chunks",

@@ -55,9 +55,12 @@ def bm25_topk(queries: DataFrame, facts: DataFrame, k: int = RETRIEVE) -> DataFr
     return bm25_scores(queries, facts).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def retrieve_similar(queries: DataFrame, facts: DataFrame, k: int = RETRIEVE, keep: int = KEEP) -> DataFrame:
-    """BM25 top k over indexed facts, then active ones by Jaccard, at most ``keep``."""
-    top = bm25_topk(queries, facts.where("indexed"), k)
+def retrieve_similar(queries: DataFrame, facts: DataFrame, k: int = RETRIEVE, keep: int = KEEP, top: DataFrame | None = None) -> DataFrame:
+    """BM25 top k over indexed facts, then active ones by Jaccard, at most ``keep``.
+
+    ``top`` is that top k if a kept index gave it (see search_index).
+    """
+    top = (bm25_topk(queries, facts.where("indexed"), k) if top is None else top).select("query_id", "fact_id")
     joined = top.join(facts.where("status = 'active'").select("fact_id", "claim"), "fact_id").join(queries, "query_id")
     scored = joined.withColumn("jaccard", jaccard(claim_tokens(F.col("query")), claim_tokens(F.col("claim"))))
     best = Window.partitionBy("query_id").orderBy(F.desc("jaccard"), "fact_id")

@@ -208,7 +208,7 @@ def plan_run(work: tuple[DataFrame, DataFrame], facts: DataFrame, links: DataFra
     # phase A: batches of candidates, three questions each
     size = batching.entry_chars(id=F.col("event_id"), role=F.col("role"), text=F.col("text"), context=F.col("context"))
     sized = groups.withColumn("chars", size + questions.question_chars(questions.PHASE_A))
-    packed = put(batching.pack(put(sized), ["project"], "ord", "chars", budget=budget))
+    packed = put(batching.pack(put(sized), ["project"], "ord", "chars", budget=budget, put=put))
     subjects = packed.select("project", "batch_no", "position", "ord", "chars", "text", F.col("event_id").alias("subject_id"), F.col("event_id").alias("subject"))
     candidate_answers = put(_asked(subjects, questions.PHASE_A, questions.candidate_questions, judge))
     answers = questions.by_subject(candidate_answers, ["project", "batch_no", "position"], questions.PHASE_A)
@@ -233,7 +233,7 @@ def plan_run(work: tuple[DataFrame, DataFrame], facts: DataFrame, links: DataFra
         }
     )
     pairs = put(pairs)
-    placed = batching.pack_pairs(pairs.select("project", "ord", "claim_chars", "fact_id", "fact_chars"), budget)
+    placed = batching.pack_pairs(pairs.select("project", "ord", "claim_chars", "fact_id", "fact_chars"), budget, put)
     pairs = put(pairs.join(placed, ["project", "ord", "fact_id"]))
     name = F.concat_ws(":", "project", F.col("ord").cast("string"), F.col("fact_id").cast("string"))
     subjects = pairs.select("project", "batch_no", "i", "j", "ord", "fact_id", "event_id", F.col("fact_chars").alias("chars"), F.col("claim").alias("text"), name.alias("subject"))

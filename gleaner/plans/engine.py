@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.redaction import redaction_count
 from gleaner.operators import audit as au
-from gleaner.operators import batching, gates, judges, lifecycle, questions, retrieval
+from gleaner.operators import batching, gates, judges, lifecycle, questions, retrieval, search_index
 from gleaner.operators.events import dedupe_events
 from gleaner.plans import distill as ds
 from gleaner.plans import report
@@ -47,6 +47,28 @@ class Engine:
     def _mine(self, name: str) -> DataFrame:
         return self.store.table(name).where(F.col("project") == self.project)
 
+    def _index(self) -> search_index.Index:
+        """The kept search index of this project; a store from before it had one is indexed on the spot."""
+        index = search_index.Index(*map(self._mine, search_index.SCHEMAS))
+        if index.docs.isEmpty():
+            return search_index.build(self._mine("facts").where("indexed"))
+        return index
+
+    def _index_changes(self, facts: DataFrame) -> dict[str, DataFrame]:
+        """Rows that keep the index in step with the next snapshot of this project's facts."""
+        index = search_index.Index(*map(self._mine, search_index.SCHEMAS))
+        return search_index.changes(index, facts, self.store.version() + 1)
+
+    def compact(self) -> None:
+        """One folder a table, one segment of the index; what no version reads any more is deleted."""
+        for name in ("events", "grades", "runs", "judgments"):
+            if not self.store.table(name).isEmpty():
+                self.store.compact(name)
+        postings, docs = search_index.segment(self._mine("facts").where("indexed"), self.store.version() + 1)
+        gone = self.spark.createDataFrame([], search_index.GONE)
+        self.store.publish(replace={"postings": postings, "index_docs": docs, "index_gone": gone}, project=self.project)
+        self.store.vacuum()
+
     def _need_grading(self) -> None:
         if not self.grading and not self._consent():
             raise GradingNotEnabledError(self.project)
@@ -144,9 +166,10 @@ class Engine:
             receipts = expiry.unionByName(questions.receipts(run.candidate_answers, "candidate", run_id, now))
             receipts = receipts.unionByName(questions.receipts(run.pair_answers, "pair", run_id, now))
             stamps = run.queue.where("selected").select("project", "id", F.lit(now).alias("graded_at"))
+            kept = scratch.put(run.facts)
             self._log_run(
                 run_id, "distill", now, now, stats, None,
-                append={"judgments": self._receipt_ids(receipts, run_id), "grades": stamps}, replace={"facts": run.facts, "links": run.links},
+                append={"judgments": self._receipt_ids(receipts, run_id), "grades": stamps, **self._index_changes(kept)}, replace={"facts": kept, "links": run.links},
             )
             return stats
         except BaseException as error:
@@ -224,7 +247,13 @@ class Engine:
         names = "run_id bigint, subject_kind string, subject_id string, question_id string, type string, answer_json string, created_at string"
         receipts = self._receipt_ids(self.spark.createDataFrame(receipt, names), run_id)
         stats = {"resolution": choice, "fact_id": fact_id, "partner_ids": partners}
-        self._log_run(run_id, "resolve", now, now, stats, None, append={"judgments": receipts}, replace={"facts": facts, "links": links})
+        scratch = Scratch(self.spark)
+        try:
+            facts = scratch.put(facts)
+            append = {"judgments": receipts, **self._index_changes(facts)}
+            self._log_run(run_id, "resolve", now, now, stats, None, append=append, replace={"facts": facts, "links": links})
+        finally:
+            scratch.drop()
 
     # -- reading -------------------------------------------------------------------
 
@@ -246,11 +275,12 @@ class Engine:
         return lifecycle.recall_topk(self._mine("facts"), limit)
 
     def search(self, query: str, limit: int = 5) -> DataFrame:
-        """At most ``limit`` (1 to 25) facts like the query, most alike first."""
+        """At most ``limit`` (1 to 25) facts like the query, most alike first, by the kept index."""
         limit = max(1, min(SEARCH_LIMIT, limit))
-        asked = self.spark.createDataFrame([(0, query)], "query_id int, query string")
+        asked = self.spark.createDataFrame([(self.project, 0, query)], "project string, query_id int, query string")
         facts = self._mine("facts")
-        found = retrieval.retrieve_similar(asked, facts, max(10, 2 * limit), limit)
+        top = search_index.topk(asked, self._index(), max(10, 2 * limit))
+        found = retrieval.retrieve_similar(asked, facts, keep=limit, top=top)
         return found.join(facts, "fact_id").orderBy("place")
 
     def fact(self, fact_id: int) -> DataFrame:

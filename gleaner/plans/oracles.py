@@ -178,7 +178,7 @@ ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaa
 
 #: Claims are the benchmark items; queries are user turns.
 BM25 = f"""q AS (
-  SELECT (conv_id << 20) + turn AS query_id, text AS query FROM conversations WHERE role = 'user'
+  SELECT (conv_id << 20) + turn AS query_id, text AS query FROM conversations WHERE role IN ('user', 'assistant')
 ), f AS (
   SELECT item_id AS fact_id, text AS claim, item_id % 5 != 0 AS indexed,
          CASE WHEN item_id % 7 = 0 THEN 'ask' ELSE 'active' END AS status FROM benchmark

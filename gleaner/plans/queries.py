@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import chunking, redaction
 from gleaner.functions import text as tx
-from gleaner.operators import audit, batching, events, gates, judges, lifecycle, questions, retrieval
+from gleaner.operators import audit, batching, events, gates, judges, lifecycle, questions, retrieval, search_index
 from gleaner.plans import distill, scratch
 from gleaner.sources import memory_file, status_log, transcripts
 
@@ -195,7 +195,7 @@ def claim_tokens(spark, sf_dir):
 
 
 def _retrieval_inputs(spark, sf_dir):
-    said = _read(spark, sf_dir, "conversations").where("role = 'user'")
+    said = _read(spark, sf_dir, "conversations").where(F.col("role").isin(*events.SPOKEN))
     queries = said.select((F.shiftleft("conv_id", 20) + F.col("turn")).alias("query_id"), F.col("text").alias("query"))
     facts = _read(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("fact_id"),
@@ -206,13 +206,21 @@ def _retrieval_inputs(spark, sf_dir):
     return queries, facts
 
 
+def _top(queries, facts, k=retrieval.RETRIEVE):
+    """The k best facts of each query from an index that is written first, as an engine keeps it."""
+    put = scratch.Scratch(queries.sparkSession).put
+    return search_index.topk(queries, search_index.build(facts.where("indexed"), put), k, put)
+
+
 def bm25_topk(spark, sf_dir):
-    top = retrieval.bm25_topk(*_retrieval_inputs(spark, sf_dir))
+    said, facts = _retrieval_inputs(spark, sf_dir)
+    top = _top(said, facts.withColumn("indexed", F.lit(True)))
     return top.select("query_id", "fact_id", F.col("rank").cast("bigint").alias("rank"), F.round("score", 6).alias("score"))
 
 
 def retrieve_similar(spark, sf_dir):
-    found = retrieval.retrieve_similar(*_retrieval_inputs(spark, sf_dir))
+    said, facts = _retrieval_inputs(spark, sf_dir)
+    found = retrieval.retrieve_similar(said, facts, top=_top(said, facts))
     return found.select("query_id", "fact_id", F.col("place").cast("bigint").alias("place"), F.round("jaccard", 6).alias("jaccard"))
 
 
@@ -597,7 +605,8 @@ def ask_facts(spark, sf_dir):
 
 def search_topk(spark, sf_dir):
     """The search tool with eight hits: twice as many by BM25 before the status is looked at."""
-    found = retrieval.retrieve_similar(*_retrieval_inputs(spark, sf_dir), 16, 8)
+    said, facts = _retrieval_inputs(spark, sf_dir)
+    found = retrieval.retrieve_similar(said, facts, keep=8, top=_top(said, facts, 16))
     return found.select("query_id", "fact_id", F.col("place").cast("bigint").alias("place"), F.round("jaccard", 6).alias("jaccard"))
 
 

@@ -15,12 +15,15 @@ from __future__ import annotations
 import hashlib
 import os
 import uuid
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gleaner.operators import search_index
+
 SCHEMA_VERSION = 3
 
 EVENTS = "project string, id string, source string, session_id string, seq bigint, ts string, role string, text string, created_at string, graded_at string"
@@ -34,7 +37,7 @@ LINKS = "project string, fact_id bigint, related_id bigint, relation string, seq
 RUNS = "id bigint, project string, kind string, started_at string, finished_at string, stats string, error string"
 JUDGMENTS = "id bigint, run_id bigint, subject_kind string, subject_id string, question_id string, type string, answer_json string, created_at string"
 MARKERS = "project string, enabled_at string"
-SCHEMAS = {"events": EVENTS, "grades": GRADES, "facts": FACTS, "links": LINKS, "runs": RUNS, "judgments": JUDGMENTS, "markers": MARKERS}
+SCHEMAS = {"events": EVENTS, "grades": GRADES, "facts": FACTS, "links": LINKS, "runs": RUNS, "judgments": JUDGMENTS, "markers": MARKERS, **search_index.SCHEMAS}
 _LOG = "version bigint, schema_version int, name string, project string, folder string, replaces boolean"
 
 
@@ -90,23 +93,42 @@ class Store:
         found = log.agg(F.max("schema_version")).first()[0] if log is not None else None
         return self.version() if found in (None, SCHEMA_VERSION) else self.publish()
 
-    def _folders(self, name: str, version: int) -> list[str]:
+    def _parts(self, name: str, version: int) -> list[tuple[str, frozenset]]:
+        """(folder, projects whose rows in it do not count) of a table.
+
+        A folder of one project is out once that project's rows are replaced; one of several
+        projects stays for the others.
+        """
         rows = self._log().where((F.col("version") <= version) & (F.col("name") == name)).orderBy("version").collect()
         found: list = []
         for r in rows:  # a row for each write of the table
+            own = r["project"]
             if r["replaces"]:
-                found = [x for x in found if r["project"] is not None and x["project"] != r["project"]]
-            found.append(r)
-        return [f"{self.root}/{r['folder']}" for r in found]
+                found = [(p, f, out | {own}) for p, f, out in found if own is not None and p != own]
+            found.append((own, f"{self.root}/{r['folder']}", frozenset()))
+        return [(f, out if p is None else frozenset()) for p, f, out in found]
+
+    def _folders(self, name: str, version: int) -> list[str]:
+        return [f for f, _ in self._parts(name, version)]
+
+    def _read(self, name: str, version: int) -> DataFrame:
+        """All rows of a table that has some, as they were written."""
+        by_out: dict[frozenset, list[str]] = {}
+        for folder, out in self._parts(name, version):
+            by_out.setdefault(out, []).append(folder)
+        frames = []
+        for out, folders in by_out.items():
+            df = self.spark.read.schema(T.StructType.fromDDL(self.schemas[name])).parquet(*folders)
+            frames.append(df.where(F.col("project").isNull() | ~F.col("project").isin(*sorted(out))) if out else df)
+        return reduce(DataFrame.unionByName, frames)
 
     def table(self, name: str, version: int | None = None) -> DataFrame:
         """A table as of a version, the newest if none is given."""
         version = self.version() if version is None else version
         schema = T.StructType.fromDDL(self.schemas[name])
-        folders = self._folders(name, version) if version else []
-        if not folders:
+        if not version or not self._folders(name, version):
             return self.spark.createDataFrame([], schema)
-        df = self.spark.read.schema(schema).parquet(*folders)
+        df = self._read(name, version)
         if name == "events":
             stamps = self.table("grades", version).groupBy("project", "id").agg(F.min("graded_at").alias("_stamp"))
             df = df.join(stamps, ["project", "id"], "left").withColumn("graded_at", F.coalesce("graded_at", "_stamp")).select(*schema.names)
@@ -135,6 +157,23 @@ class Store:
         return version
 
     def compact(self, name: str) -> int:
-        """Rewrite a table that has many folders as one."""
-        frame = self.spark.read.schema(T.StructType.fromDDL(self.schemas[name])).parquet(*self._folders(name, self.version()))
-        return self.publish(replace={name: frame})
+        """Rewrite a table that has many folders as one, for all projects together."""
+        return self.publish(replace={name: self._read(name, self.version())})
+
+    def vacuum(self) -> int:
+        """Delete the folders that the newest version does not read; older versions can't be read after it.
+
+        Returns how many there were.  What the log names stays until it is replaced, so a
+        writer that is still running is safe as long as it is the only one.
+        """
+        if self.read_only:
+            raise PermissionError("the store is open for reading only")
+        version = self.version()
+        logged = self._log().where("folder IS NOT NULL").select("name", "folder").distinct().collect()  # a row for each write
+        used = {f for name in {r["name"] for r in logged} for f in self._folders(name, version)}
+        dead = [f"{self.root}/{r['folder']}" for r in logged if f"{self.root}/{r['folder']}" not in used]
+        removed = 0
+        for folder in dead:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+            removed += path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        return removed
