@@ -79,7 +79,7 @@ def _places(units: DataFrame, by: list[str], order: str, most: int, put=None) ->
     put = put or Scratch(units.sparkSession).put
     types = {f.name: f.dataType.simpleString() for f in units.schema}
     keys = ", ".join(f"`{c}` {types[c]}" for c in by)
-    summed = put(scan.running(units, by, [order], "size", put))
+    summed = put(scan.running(units, by, [order], put, before="size"))
     width = NODE * most
     node = F.floor(F.col("before") / width)
     own = summed.withColumns({"node": node, "ahead": F.lit(False)})

@@ -18,20 +18,21 @@ from pyspark.sql import functions as F
 FAN = 64
 
 
-def running(df: DataFrame, by: list[str], order: list[str], value: str, put, total: str = "before") -> DataFrame:
-    """``df`` with ``total``, the sum of ``value`` over the rows before it in its group.
+def running(df: DataFrame, by: list[str], order: list[str], put, **totals: str) -> DataFrame:
+    """``df`` with a column for each of ``totals`` (its name, and that of a value): the sum of the value over
+    the rows before it in its group.
 
     Rows are dealt by ranges of ``by`` and ``order``, so that a large group lies in many partitions;
     a row for each partition and group carries the sums over.  ``put`` writes and rereads, as
     ranges are drawn anew otherwise.  No null in ``by``; ``order`` tells rows of a group apart.
     """
     placed = put(df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()))
-    parts = placed.groupBy(*by, "_part").agg(F.sum(value).alias("_sum"))
-    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("_base", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).drop("_sum")
-    inside = Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    own = placed.withColumn("_own", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(parts, [*by, "_part"])
-    return own.withColumn(total, F.col("_base") + F.col("_own")).drop("_part", "_base", "_own")
+    so_far = lambda v, w: F.coalesce(F.sum(v).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = placed.groupBy(*by, "_part").agg(*[F.sum(v).alias(f"_{name}") for name, v in totals.items()])
+    earlier, inside = Window.partitionBy(*by).orderBy("_part"), Window.partitionBy(*by, "_part").orderBy(*order)
+    parts = parts.select(*by, "_part", *[so_far(f"_{name}", earlier).alias(f"_{name}") for name in totals])
+    own = placed.withColumns({name: so_far(v, inside) for name, v in totals.items()}).join(parts, [*by, "_part"])
+    return own.withColumns({name: F.col(name) + F.col(f"_{name}") for name in totals}).drop("_part", *[f"_{name}" for name in totals])
 
 
 def _arrays(table: pa.Table, *names: str) -> list[np.ndarray]:

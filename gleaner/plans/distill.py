@@ -1,54 +1,45 @@
 """Distill: pending events to graded facts, as one plan from snapshot to snapshot.
 
-Everything but the routing of survivors is relational.  Routing is sequential by nature
-(a fact added for one candidate is seen by the next), so it is a fold over one run's
-candidates of a project, which the cap bounds.  The facts that the project already has
-do not go through it: their equal claims and their postings are found by joins, and a
-candidate brings only those that may be among its best.
+All of it is relational.  Routing is sequential by nature (a fact added for one candidate
+is seen by the next), and is settled in rounds of joins over all candidates of a run.
 """
 
 from __future__ import annotations
 
-import math
-import re
-from collections import Counter
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import claim_norm, claim_tokens, fact_confidence, jaccard
-from gleaner.operators import batching, gates, judges, lifecycle, questions
+from gleaner.operators import batching, gates, judges, lifecycle, questions, scan
 from gleaner.operators import events as ev
-from gleaner.operators.retrieval import ACCENTED, B, K1, KEEP, PLAIN, RETRIEVE, index_terms
+from gleaner.operators.retrieval import K1, KEEP, RETRIEVE, B, index_terms
 from gleaner.plans.scratch import Scratch
 from gleaner.plans.store import FACTS, LINKS
 
 __all__ = ["FACTS", "LINKS", "Outcome", "distill", "plan_run", "route"]
 
-_PLAIN = str.maketrans(ACCENTED, PLAIN)
-_ROUTED = "project string, ord bigint, route string, duplicate_of bigint, partners array<bigint>"
-_NEAR = "array<struct<fact_id:bigint,dl:int,active:boolean,ratio:double,tfs:map<string,bigint>>>"
+_TFS = "map<string,bigint>"
 
 
-def near_facts(kept: DataFrame, facts: DataFrame, k: int = RETRIEVE) -> DataFrame:
-    """(project, ord, near, df, n, total): what routing has to know of the indexed facts.
+def _near(kept: DataFrame, facts: DataFrame, k: int = RETRIEVE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What routing has to know of the facts that the project has indexed.
 
-    ``near`` are the facts that may be among the ``k`` best of a candidate by BM25,
-    whatever the run has added before it; ``df`` the document frequencies of its terms.
-    Facts of the run raise N and a term's frequency by at most its number of candidates
-    and move the mean length at most to that of their shortest or longest.  These give each
-    score a lower and an upper bound, and a fact whose upper bound is below the k-th best
-    lower bound is out.
+    (project, ord, fact_id, dl, active, ratio, tfs, lo, hi): the facts that may be among the
+    ``k`` best of a candidate by BM25, whatever the run has added before it.  Facts of the run
+    raise N and a term's frequency by at most its number of candidates and move the mean
+    length at most to that of their shortest or longest; these give each score the bounds lo
+    and hi, and a fact whose upper bound is below the k-th best lower bound is out.
+    (project, ord, term, df): document frequencies of asked terms.  (project, n, total): number
+    of facts and of their terms.
     """
     indexed = facts.where("indexed")
     terms = indexed.select("project", "fact_id", index_terms(F.col("claim")).alias("terms"))
     stats = terms.groupBy("project").agg(F.count("*").alias("n"), F.sum(F.size("terms")).alias("total"))
     size = F.size(index_terms(F.col("claim")))
     runs = kept.groupBy("project").agg(F.count("*").alias("m"), F.min(size).alias("least"), F.max(size).alias("most"))
-    asked = kept.where(F.col("significance") >= gates.PAIRING)
-    asked = asked.select("project", "ord", F.explode(claim_tokens(F.col("claim"))).alias("term")).groupBy("project", "ord", "term").agg(F.count("*").alias("qf"))
+    asked = _asked_terms(kept.where(F.col("significance") >= gates.PAIRING))
     wanted = asked.select("project", "term").distinct()
     postings = (
         terms.select("project", "fact_id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
@@ -84,87 +75,126 @@ def near_facts(kept: DataFrame, facts: DataFrame, k: int = RETRIEVE) -> DataFram
     claims = indexed.select("project", "fact_id", F.col("claim").alias("known"), (F.col("status") == "active").alias("active"))
     ratio = jaccard(claim_tokens(F.col("claim")), claim_tokens(F.col("known")))
     near = near.join(claims, ["project", "fact_id"]).join(kept.select("project", "ord", "claim"), ["project", "ord"])
-    listed = near.groupBy("project", "ord").agg(F.collect_list(F.struct("fact_id", "dl", "active", ratio.alias("ratio"), "tfs")).alias("near"))
-    counts = asked.join(frequency, ["project", "term"]).groupBy("project", "ord").agg(F.map_from_entries(F.collect_list(F.struct("term", "df"))).alias("df"))
-    return kept.select("project", "ord").join(stats, "project", "left").join(listed, ["project", "ord"], "left").join(counts, ["project", "ord"], "left")
-
-
-def _tokens(claim: str) -> list[str]:
-    return [w for w in re.findall(r"[a-z0-9]+", claim.lower()) if len(w) >= 2]
-
-
-def _ratio(a: str, b: str) -> float:
-    x, y = set(_tokens(a)), set(_tokens(b))
-    return len(x & y) / len(x | y) if x | y else 0.0
-
-
-class _Added:
-    """The facts that a run has added so far."""
-
-    def __init__(self):
-        self.claims: dict[int, str] = {}
-        self.terms: dict[int, Counter] = {}
-        self.df: Counter = Counter()
-        self.total = 0
-
-    def add(self, fact_id: int, claim: str) -> None:
-        terms = Counter(re.findall(r"[^\W_]+", claim.lower().translate(_PLAIN)))
-        self.claims[fact_id], self.terms[fact_id] = claim, terms
-        self.df.update(terms.keys())
-        self.total += sum(terms.values())
-
-    def best(self, claim: str, near: list, df: dict, n: int, total: int) -> list[tuple[int, bool, float]]:
-        """(fact, active, ratio) of the RETRIEVE best of the old and new facts."""
-        n, total = n + len(self.claims), total + self.total
-        if not n or not total:
-            return []
-        scores, known = {}, {f["fact_id"]: (f["active"], f["ratio"]) for f in near}
-        rows = [(f["fact_id"], f["dl"], dict(f["tfs"])) for f in near] + [(f, sum(t.values()), t) for f, t in self.terms.items()]
-        asked = Counter(_tokens(claim))
-        weight = {}
-        for term in asked:
-            own = df.get(term, 0) + self.df[term]
-            weight[term] = max(math.log((n - own + 0.5) / (own + 0.5)), 1e-6)
-        for fact, length, tfs in rows:
-            parts = [q * weight[t] * tfs[t] * (K1 + 1) / (tfs[t] + K1 * (1 - B + B * length * n / total)) for t, q in asked.items() if tfs.get(t)]
-            if parts:
-                scores[fact] = sum(parts)
-        top = sorted(scores, key=lambda f: (-round(scores[f], 9), f))[:RETRIEVE]
-        return [(f, *known[f]) if f in known else (f, True, _ratio(claim, self.claims[f])) for f in top]
-
-
-def route(kept: DataFrame, facts: DataFrame) -> DataFrame:
+    near = near.select("project", "ord", "fact_id", F.col("dl").cast("bigint").alias("dl"), "active", ratio.alias("ratio"), F.col("tfs").cast(_TFS).alias("tfs"), "lo", "hi")
+    return near, asked.join(frequency, ["project", "term"]).select("project", "ord", "term", "df"), stats
+
+
+def _asked_terms(kept: DataFrame) -> DataFrame:
+    rows = kept.select("project", "ord", F.explode(claim_tokens(F.col("claim"))).alias("term"))
+    return rows.groupBy("project", "ord", "term").agg(F.count("*").alias("qf"))
+
+
+def _partners(asking: DataFrame, added: DataFrame, near: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
+    """(project, ord, partners) of candidates that have any: at most KEEP active facts of the RETRIEVE best.
+
+    asking: project, ord, claim, and what had been added before it (more_n, more_total).  added:
+    project, at (its ord), claim; only those before a candidate count for it.
+    """
+    old, frequency, stats = near
+    key = ["project", "ord"]
+    terms = added.select("project", "at", index_terms(F.col("claim")).alias("terms"))
+    postings = terms.select("project", "at", F.size("terms").cast("bigint").alias("dl"), F.explode("terms").alias("term"))
+    postings = postings.groupBy("project", "at", "dl", "term").agg(F.count("*").alias("tf"))
+    asked = _asked_terms(asking)
+    new = asked.drop("qf").join(postings, ["project", "term"]).where("at < ord")
+    more = new.groupBy(*key, "term").agg(F.count("*").alias("more"))
+    own = F.coalesce("df", F.lit(0)) + F.coalesce("more", F.lit(0))
+    n = F.coalesce("n", F.lit(0)) + F.col("more_n")
+    weights = (
+        asked.join(frequency, [*key, "term"], "left")
+        .join(more, [*key, "term"], "left")
+        .join(asking.select(*key, "more_n", "more_total"), key)
+        .join(stats, "project", "left")
+        .withColumns({"own": own, "all": n, "mean": (F.coalesce("total", F.lit(0)) + F.col("more_total")) / F.greatest(n, F.lit(1))})
+        .where("own > 0 AND mean > 0")
+        .select(*key, "term", "mean", (F.col("qf") * F.greatest(F.log((F.col("all") - F.col("own") + 0.5) / (F.col("own") + 0.5)), F.lit(1e-6))).alias("weight"))
+    )
+    known = old.join(asking.select(*key), key, "left_semi").select(*key, "fact_id", "dl", F.explode("tfs").alias("term", "tf"))
+    rows = known.unionByName(new.select(*key, (-1 - F.col("at")).alias("fact_id"), "dl", "term", "tf")).join(weights, [*key, "term"])
+    part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
+    scores = rows.groupBy(*key, "fact_id").agg(F.sum(part).alias("score"))
+    best = Window.partitionBy(*key).orderBy(F.desc(F.round("score", 9)), "fact_id")
+    top = scores.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= RETRIEVE).select(*key, "fact_id")
+    # facts of the run are active; their ratios are taken for the few that came so far
+    claims = added.select("project", (-1 - F.col("at")).alias("fact_id"), F.col("claim").alias("known"))
+    fresh = top.where("fact_id < 0").join(claims, ["project", "fact_id"]).join(asking.select(*key, "claim"), key)
+    fresh = fresh.select(*key, "fact_id", jaccard(claim_tokens(F.col("claim")), claim_tokens(F.col("known"))).alias("ratio"))
+    stored = top.where("fact_id >= 0").join(old.where("active").select(*key, "fact_id", "ratio"), [*key, "fact_id"])
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("ratio"), "fact_id"))
+    chosen = fresh.unionByName(stored.select(*fresh.columns)).withColumn("_p", place).where(F.col("_p") <= KEEP)
+    listed = F.array_sort(F.collect_list(F.struct("_p", "fact_id")))
+    return chosen.groupBy(*key).agg(F.transform(listed, lambda x: x["fact_id"]).alias("partners"))
+
+
+def _before(rows: DataFrame, put) -> DataFrame:
+    """``rows`` (project, ord, claim, is_added) with the number and the length of facts added before each."""
+    length = F.size(index_terms(F.col("claim")))
+    counted = rows.withColumns({"_one": F.col("is_added").cast("bigint"), "_len": F.when(F.col("is_added"), length).otherwise(0).cast("bigint")})
+    return scan.running(counted, ["project"], ["ord"], put, more_n="_one", more_total="_len").drop("_one", "_len")
+
+
+def route(kept: DataFrame, facts: DataFrame, put=None) -> DataFrame:
     """What to do with each kept candidate: duplicate, add, or pair with partners.
 
     kept: project, ord, norm, claim, significance; facts: as in FACTS.  Facts that this
     run adds have negative ids, -1 - ord, until they are numbered.
-    """
 
-    def fold(key, rows: pd.DataFrame) -> pd.DataFrame:
-        added, by_norm, out = _Added(), {}, []
-        for c in rows.sort_values("ord").itertuples():
-            own = by_norm.get(c.norm) if pd.isna(c.equal) else int(c.equal)
-            partners = []
-            if own is None and c.significance >= gates.PAIRING:
-                near = [] if c.near is None else list(c.near)
-                found = added.best(c.claim, near, dict(c.df or {}), int(c.n), int(c.total))
-                partners = sorted(((f, r) for f, active, r in found if active), key=lambda x: (-x[1], x[0]))[:KEEP]
-            if own is not None:
-                out.append((key[0], c.ord, "duplicate", own, []))
-            elif partners:
-                out.append((key[0], c.ord, "pair", None, [f for f, _ in partners]))
-            else:
-                by_norm[c.norm] = -1 - c.ord
-                added.add(-1 - c.ord, c.claim)
-                out.append((key[0], c.ord, "add", None, []))
-        return pd.DataFrame(out, columns=["project", "ord", "route", "duplicate_of", "partners"]).astype({"duplicate_of": "Int64"})
-
-    kept = kept.select("project", "ord", "norm", "claim", "significance")
+    A candidate depends on those before it that are added: whether one has its norm, whether one
+    shares a term, and, where ten asks may fill its top, on scores.  All candidates are decided
+    at once from a guess of what is added, and again from what comes out, until nothing changes.
+    As the first r candidates are right after r rounds, that ends with the result of one
+    after the other; as a rule it takes a few rounds.  Partners are found when all is decided.
+    """
+    put = put or Scratch(kept.sparkSession).put
+    key = ["project", "ord"]
+    kept = put(kept.select("project", F.col("ord").cast("bigint").alias("ord"), "norm", "claim", "significance"))
     active = facts.where("status = 'active'").select("project", claim_norm(F.col("claim")).alias("norm"), "fact_id")
     equal = active.join(kept.select("project", "norm").distinct(), ["project", "norm"]).groupBy("project", "norm").agg(F.min("fact_id").alias("equal"))
-    rows = kept.join(equal, ["project", "norm"], "left").join(near_facts(kept, facts), ["project", "ord"], "left")
-    rows = rows.withColumns({"n": F.coalesce("n", F.lit(0)), "total": F.coalesce("total", F.lit(0)), "near": F.col("near").cast(_NEAR)})
-    return rows.groupBy("project").applyInPandas(fold, _ROUTED)
+    near = tuple(put(f) for f in _near(kept, facts))
+
+    # what the old facts alone settle: see the bounds of _near
+    nearest = near[0].groupBy(*key).agg(F.max(F.when(F.col("active"), F.col("lo"))).alias("la"))
+    above = near[0].where("NOT active").join(nearest, key).groupBy(*key).agg(F.count("*").alias("asks"), F.count_if(F.col("hi") >= F.col("la") - 1e-6).alias("over"))
+    rows = kept.join(equal, ["project", "norm"], "left").join(nearest, key, "left").join(above, key, "left").fillna(0, ["asks", "over"])
+    looks = F.col("significance") >= gates.PAIRING
+    sure = F.col("equal").isNotNull() | (looks & F.col("la").isNotNull() & (F.col("over") < RETRIEVE))
+    fixed = put(
+        rows.select(
+            *key, "norm", "claim", "equal", sure.alias("sure"), looks.alias("looks"), (looks & ~sure & (F.col("asks") >= RETRIEVE)).alias("waits"),
+        )
+    )
+    words = put(fixed.where("looks AND NOT sure AND NOT waits").select(*key, F.explode(F.array_distinct(claim_tokens(F.col("claim")))).alias("term")))
+    scored = not fixed.where("waits").isEmpty()
+    state = put(fixed.withColumn("is_added", ~F.col("sure")))
+    while True:
+        added = state.where("is_added")
+        by_norm = added.groupBy("project", "norm").agg(F.min("ord").alias("norm_added"))
+        by_term = added.select("project", "ord", F.explode(F.array_distinct(index_terms(F.col("claim")))).alias("term"))
+        by_term = by_term.groupBy("project", "term").agg(F.min("ord").alias("a"))
+        seen = words.join(by_term, ["project", "term"]).groupBy(*key).agg(F.min("a").alias("term_added"))
+        asked = state.join(seen, key, "left").join(by_norm, ["project", "norm"], "left").withColumn("some", F.lit(None).cast("boolean"))
+        if scored:
+            asking = _before(state, put).where("waits").select(*key, "claim", "more_n", "more_total")
+            found = _partners(asking, added.select("project", F.col("ord").alias("at"), "claim"), near)
+            asked = asked.drop("some").join(found.select(*key, F.lit(True).alias("some")), key, "left")
+        earlier = lambda c: F.coalesce(F.col(c) < F.col("ord"), F.lit(False))
+        out = F.when(F.col("sure") | earlier("norm_added"), False).when(~F.col("looks"), True)
+        out = out.when(F.col("waits"), F.col("some").isNull()).otherwise(~earlier("term_added"))
+        after = put(asked.select(*fixed.columns, out.alias("is_added"), (out != F.col("is_added")).alias("changed")))
+        state, changed = after.drop("changed"), not after.where("changed").isEmpty()
+        if not changed:
+            break
+
+    adds = state.where("is_added").select("project", "norm", F.col("ord").alias("at"), "claim")
+    same = adds.select("project", "norm", "at")
+    final = state.join(same, ["project", "norm"], "left")
+    twin = F.coalesce("equal", F.when(~F.col("is_added") & (F.col("at") < F.col("ord")), -1 - F.col("at")))
+    final = put(_before(final.withColumn("duplicate_of", twin), put))
+    asking = final.where("NOT is_added AND duplicate_of IS NULL").select(*key, "claim", "more_n", "more_total")
+    found = _partners(asking, adds.drop("norm"), near)
+    way = F.when(F.col("duplicate_of").isNotNull(), "duplicate").when(F.col("is_added"), "add").otherwise("pair")
+    none = F.array().cast("array<bigint>")
+    return final.join(found, key, "left").select(*key, way.alias("route"), "duplicate_of", F.coalesce("partners", none).alias("partners"))
 
 
 @dataclass
@@ -218,7 +248,7 @@ def plan_run(work: tuple[DataFrame, DataFrame], facts: DataFrame, links: DataFra
 
     expired = put(lifecycle.bump_and_expire_asks(facts, now))
     facts = expired.drop("expired")
-    routed = put(route(kept, facts))
+    routed = put(route(kept, facts, put))
 
     # phase B: pairs share one array of facts in a batch
     pairs = routed.where("route = 'pair'").select("project", "ord", F.explode("partners").alias("fact_id"))

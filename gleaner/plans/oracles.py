@@ -509,6 +509,42 @@ SQL |= {
         arg_max('fault ' || user_id, event_id) FILTER (event_type = 'error') AS last_error FROM events""",
     "transcript_files": """SELECT conv_id::VARCHAR AS path, CASE WHEN bool_or(turn % 3 != 0) THEN conv_id::VARCHAR ELSE '-' END AS session_id,
         coalesce('/p/' || min(turn) FILTER (turn % 3 != 0), '-') AS cwd, coalesce(string_agg((turn + 1)::VARCHAR, ',' ORDER BY turn) FILTER (turn % 3 = 0), '') AS skipped FROM conversations GROUP BY conv_id""",
+    "route_candidates": f"""WITH RECURSIVE {JUDGED}, kk AS (
+          SELECT project, row_number() OVER (PARTITION BY project ORDER BY first_seq, first_ordinal) AS ord, norm, text AS claim, significance >= 2.0 AS looks,
+                 {tokens('text')} AS toks, regexp_extract_all(translate(lower(text), '{ACCENTED}', '{PLAIN}'), '[\\p{{L}}\\p{{N}}]+') AS terms
+          FROM pa WHERE drop_reason IS NULL
+        ), ro AS (
+          SELECT DISTINCT project, 0::BIGINT AS ord, []::VARCHAR[] AS norms, []::VARCHAR[] AS seen, ''::VARCHAR AS way FROM kk
+          UNION ALL
+          SELECT project, ord, CASE WHEN way = 'add' THEN list_append(norms, norm) ELSE norms END,
+                 CASE WHEN way = 'add' THEN list_distinct(list_concat(seen, terms)) ELSE seen END, way
+          FROM (SELECT k.*, r.norms, r.seen, CASE WHEN list_contains(r.norms, k.norm) THEN 'duplicate' WHEN k.looks AND list_has_any(r.seen, k.toks) THEN 'pair' ELSE 'add' END AS way
+                FROM ro r JOIN kk k ON k.project = r.project AND k.ord = r.ord + 1)
+        ), ad AS (
+          SELECT project, ord AS pl, norm, claim, terms, toks FROM ro JOIN kk USING (project, ord) WHERE way = 'add'
+        ), po AS (
+          SELECT project, pl, dl, term, count(*) AS tf FROM (SELECT project, pl, len(terms) AS dl, unnest(terms) AS term FROM ad) GROUP BY ALL
+        ), aq AS (
+          SELECT project, ord, term, count(*) AS qf FROM (SELECT project, ord, unnest(toks) AS term FROM ro JOIN kk USING (project, ord) WHERE way = 'pair') GROUP BY ALL
+        ), nn AS (
+          SELECT a.project, a.ord, count(*) AS n, sum(len(ad.terms)) AS total FROM (SELECT DISTINCT project, ord FROM aq) a JOIN ad ON ad.project = a.project AND ad.pl < a.ord GROUP BY 1, 2
+        ), hi AS (
+          SELECT aq.*, po.pl, po.dl, po.tf, count(*) OVER (PARTITION BY aq.project, aq.ord, aq.term) AS df
+          FROM aq JOIN po ON po.project = aq.project AND po.term = aq.term AND po.pl < aq.ord
+        ), sc AS (
+          SELECT project, ord, pl, sum(qf * greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl * n / total))) AS score
+          FROM hi JOIN nn USING (project, ord) GROUP BY 1, 2, 3
+        ), tk AS (
+          SELECT *, row_number() OVER (PARTITION BY project, ord ORDER BY round(score, 9) DESC, pl DESC) AS r FROM sc QUALIFY r <= 10
+        ), js AS (
+          SELECT tk.project, tk.ord, tk.pl, len(list_distinct(list_intersect(kk.toks, ad.toks)))::DOUBLE / nullif(len(list_distinct(list_concat(kk.toks, ad.toks))), 0) AS ratio
+          FROM tk JOIN kk USING (project, ord) JOIN ad ON ad.project = tk.project AND ad.pl = tk.pl
+        ), pt AS (
+          SELECT project, ord, string_agg((-1 - pl)::VARCHAR, ',' ORDER BY ratio DESC, pl DESC) AS partners
+          FROM (SELECT *, row_number() OVER (PARTITION BY project, ord ORDER BY ratio DESC, pl DESC) AS p FROM js QUALIFY p <= 5) GROUP BY 1, 2
+        )
+        SELECT ro.project, ro.ord, way AS route, CASE WHEN way = 'duplicate' THEN -1 - ad.pl ELSE 0 END AS duplicate_of, coalesce(partners, '') AS partners
+        FROM ro JOIN kk USING (project, ord) LEFT JOIN ad ON ad.project = ro.project AND ad.norm = kk.norm LEFT JOIN pt ON pt.project = ro.project AND pt.ord = ro.ord""",
     "distill_offline": f"""WITH {QUEUE}, g AS (SELECT project, {norm('text')} AS norm, arg_min(text, seq * 4096 + ordinal) AS claim, min(seq * 4096 + ordinal) AS place,
           count(DISTINCT event_id) AS support_count FROM ca JOIN qu USING (project, seq) WHERE selected GROUP BY 1, 2)
         SELECT project, row_number() OVER (PARTITION BY project ORDER BY place) AS fact_id, claim, 'active' AS status, 0.8::DOUBLE AS confidence, support_count FROM g""",

@@ -675,6 +675,15 @@ def transcript_files(spark, sf_dir):
     return found.select("path", F.coalesce("session_id", F.lit("-")).alias("session_id"), F.coalesce("cwd", F.lit("-")).alias("cwd"), F.array_join(F.col("skipped").cast("array<string>"), ",").alias("skipped"))
 
 
+def route_candidates(spark, sf_dir):
+    """Routes of all candidates that the hash judge keeps, without a cap, and the partners of those to be paired."""
+    place = Window.partitionBy("project").orderBy("first_seq", "first_ordinal")
+    kept = _phase_a(spark, sf_dir).where("kept").withColumn("ord", F.row_number().over(place).cast("bigint"))
+    routed = distill.route(kept.withColumnRenamed("text", "claim"), spark.createDataFrame([], distill.FACTS))
+    partners = F.array_join(F.col("partners").cast("array<string>"), ",")
+    return routed.select("project", "ord", "route", F.coalesce("duplicate_of", F.lit(0)).alias("duplicate_of"), partners.alias("partners"))
+
+
 def distill_offline(spark, sf_dir):
     """A whole capped run over the conversations with the normal judge: the facts that it leaves."""
     put = scratch.Scratch(spark).put
@@ -697,7 +706,7 @@ QUERIES = {
         answer_checks, phase_a_batches, phase_b_batches, question_wire, judge_receipts, answers_by_position, batch_spend, audit_offline, planted_dispositions,
         judge_doubles, queue_deferred, graded_stamps, support_counts, support_bumps, supersede_facts, supersede_links,
         status_changes, ask_partners, open_asks, active_facts, ask_facts, search_topk, jaccard_pairs, run_counts,
-        anchor_fidelity, detect_dialects, transcript_roots, pinned_list, log_events, transcript_files, distill_offline,
+        anchor_fidelity, detect_dialects, transcript_roots, pinned_list, log_events, transcript_files, route_candidates, distill_offline,
     )
 }
 QUERIES |= {f"transcript_{d}": _transcript(d) for d in transcripts.DIALECTS}

@@ -40,7 +40,7 @@ def test_running_sums(spark):
     rows = [(g, i, r.randrange(9)) for g, n in (("a", 900), ("b", 1), ("c", 40)) for i in range(n)]
     r.shuffle(rows)
     frame = spark.createDataFrame(rows, "g string, o bigint, v bigint").repartition(7)
-    got = {(x.g, x.o): x.before for x in scan.running(frame, ["g"], ["o"], "v", Scratch(spark).put).collect()}
+    got = {(x.g, x.o): x.before for x in scan.running(frame, ["g"], ["o"], Scratch(spark).put, before="v").collect()}
     sums = {}
     for g, o, v in sorted(rows):
         assert got[g, o] == sums.get(g, 0)
