@@ -1,13 +1,17 @@
 """Transcript sources: JSON lines in three dialects, as DataFrames of statements.
 
-Files are read as lines with their numbers, each line becomes a VARIANT, and a
-dialect is a projection of it; there is no row-wise Python.  Lines that are not JSON
+Files are read by byte ranges as lines with their numbers, each line becomes a VARIANT,
+and a dialect is a projection of it; there is no row-wise Python.  Lines that are not JSON
 objects are reported by number.  NaN and duplicate keys, which some parsers accept,
 count as malformed.
 """
 
 from __future__ import annotations
 
+from urllib.parse import unquote, urlsplit
+
+import pyarrow as pa
+import pyarrow.fs  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -109,17 +113,58 @@ def machine_pushed(text: Column, prefixes: tuple[str, ...], patterns: tuple[str,
 
 
 def read_lines(spark: SparkSession, *paths: str) -> DataFrame:
-    """path, line_no (from 1) and line of text files; any newline style."""
-    whole = spark.read.text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    return whole.select("path", F.posexplode(F.split("value", "\r\n|\r|\n")).alias("_at", "line")).select(
-        "path", (F.col("_at") + 1).alias("line_no"), "line"
+    """path, line_no (from 1) and line of text files; any newline style.
+
+    Files are read by byte ranges, many tasks a file.  A line's number is its place in its range
+    and the lines of the ranges before it, of which there is a row each.
+    """
+    rows = spark.read.text(list(paths)).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("range"), F.col("value").alias("line"), F.monotonically_increasing_id().alias("id")
     )
+    # rows of a range follow each other in one partition, so their ids do, too
+    ranges = rows.groupBy("path", "range").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("path").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.select("path", "range", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    numbered = rows.join(starts, ["path", "range"])
+    return numbered.select("path", (F.col("before") + F.col("id") - F.col("first") + 1).cast("int").alias("line_no"), "line")
+
+
+def _listed(spark: SparkSession, paths: list[str], **options: str) -> DataFrame:
+    """path, modificationTime and length of files, whose contents are not read."""
+    files = spark.read.format("binaryFile").options(**options).load(list(paths))
+    return files.select(F.col("_metadata.file_path").alias("path"), "modificationTime", "length")
 
 
 def arrivals(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(path, arrived): when each file was last written."""
-    files = spark.read.text(list(paths), wholetext=True)
-    return files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("arrived")).distinct()
+    return _listed(spark, paths).select("path", F.col("modificationTime").alias("arrived")).distinct()
+
+
+def _head(path: str, most: int) -> bytes:
+    """The first bytes of a file, and no more of it."""
+    url = urlsplit(path)
+    if url.scheme in ("", "file"):
+        with open(unquote(url.path), "rb") as f:
+            return f.read(most)
+    files, place = pa.fs.FileSystem.from_uri(path)
+    with files.open_input_file(place) as f:
+        return f.read(most)
+
+
+def heads(files: DataFrame, most: int = HEAD_BYTES) -> DataFrame:
+    """``files`` (path, ...) with ``head``, their first bytes."""
+    place, names = files.columns.index("path"), [*files.columns, "head"]
+
+    def run(batches):
+        for batch in batches:
+            # a batch of paths is cut, so that its heads stay bounded
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
+                found = pa.array([_head(p, most) for p in part.column(place).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns, found], names)
+
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema)
+    return files.mapInArrow(run, f"{types}, head binary")
 
 
 def dialects_of(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
@@ -276,31 +321,12 @@ def detect_source(path: Column, first_line: Column) -> Column:
 
 
 def discover(spark: SparkSession, roots: list[str], project: str) -> DataFrame:
-    """Transcripts whose first 64 KiB name the project, newest first.
-
-    Files are read in lines, and a line only as far as the head goes, so no file is held whole.
-    """
-    lines = (
-        spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.jsonl")
-        .text(roots)
-        .select(
-            F.col("_metadata.file_path").alias("path"),
-            F.col("_metadata.file_modification_time").alias("modificationTime"),
-            F.col("_metadata.file_size").alias("length"),
-            F.col("_metadata.file_block_start").alias("block"),
-            "value",
-        )
-        .where("block = 0")
-        .withColumn("_line", F.monotonically_increasing_id())
-    )
-    at = F.octet_length(F.col("value")) + 1
-    order = Window.partitionBy("path").orderBy("_line")
-    before = F.coalesce(F.sum(at).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    head = lines.withColumn("_at", before).where(F.col("_at") < HEAD_BYTES)
-    raw = F.substring(F.encode("value", "UTF-8"), F.lit(1), (F.lit(HEAD_BYTES) - F.col("_at")).cast("int"))
-    hit = head.where(F.contains(raw, F.encode(F.lit(project), "UTF-8")))
-    return hit.select("path", "modificationTime", "length").distinct().orderBy(F.desc("modificationTime"), "path")
+    """Transcripts whose first 64 KiB name the project, newest first; no more of a file is read."""
+    files = _listed(spark, roots, recursiveFileLookup="true", pathGlobFilter="*.jsonl")
+    # few bytes a row, so that many tasks share the reading
+    spread = files.repartition(F.xxhash64("path"))
+    hit = heads(spread).where(F.contains("head", F.encode(F.lit(project), "UTF-8")))
+    return hit.select("path", "modificationTime", "length").orderBy(F.desc("modificationTime"), "path")
 
 
 def payload_field(payload: Column, *keys: str) -> Column:
