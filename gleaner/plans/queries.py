@@ -87,6 +87,7 @@ def redaction_counts(spark, sf_dir):
 
 
 def redaction_corpus(spark, sf_dir):
+    """Every turn with one of thirteen planted lines below it, redacted."""
     a = lambda s, n: s * n
     rows = [
         (1, "key sk-" + a("Ab1_", 6) + " end"),
@@ -103,8 +104,11 @@ def redaction_corpus(spark, sf_dir):
         (12, a("word", 8)),
         (13, ""),
     ]
-    df = spark.createDataFrame(rows, "n int, text string")
-    return df.select("n", redaction.redact(F.col("text")).alias("text"), redaction.redaction_count(F.col("text")).alias("hits"))
+    planted = F.broadcast(spark.createDataFrame(rows, "n int, planted string"))
+    said = _read(spark, sf_dir, "conversations").withColumn("n", (F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.lit(13)) + 1).cast("int"))
+    text = F.concat(F.col("text"), F.lit("\n"), F.col("planted"))
+    found = said.join(planted, "n").withColumn("text", text)
+    return found.select("conv_id", "turn", "n", redaction.redact(F.col("text")).alias("text"), redaction.redaction_count(F.col("text")).alias("hits"))
 
 
 def event_dedupe(spark, sf_dir):
@@ -371,9 +375,11 @@ def memory_lines(spark, sf_dir):
 
 
 def memory_corpus(spark, sf_dir):
-    """A made-up file with every kind of line."""
+    """Each turn as a memory file that begins with every kind of line."""
     text = "# Top\n\n- one **claim**\n* two\n1. three\n```\ncode\n~~~\n```\n| a | b |\n---\n## \nloose line\n- \n~~~py\nx\n~~~\nlast"
-    return memory_file.memory_lines(spark.createDataFrame([("f", text)], "path string, text string"))
+    path = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    files = _read(spark, sf_dir, "conversations").select(path.alias("path"), F.concat(F.lit(text + "\n"), "text").alias("text"))
+    return memory_file.memory_lines(files)
 
 
 def claim_hashes(spark, sf_dir):
@@ -412,9 +418,12 @@ def json_sizes(spark, sf_dir):
 
 
 def peaked_scores(spark, sf_dir):
-    levels = [spark.range(1).select(F.lit(at).alias("level"), questions.weighted_score(questions.peaked_levels(4, at)).alias("score")) for at in range(4)]
-    found = levels[0].unionByName(levels[1]).unionByName(levels[2]).unionByName(levels[3])
-    return found.select("level", F.round("score", 6).alias("score"))
+    """Documents scored at the level that their two labels make."""
+    level = F.col("quality") + 2 * F.col("toxic")
+    score = F.lit(None).cast("double")
+    for at in range(4):
+        score = F.when(level == at, questions.weighted_score(questions.peaked_levels(4, at))).otherwise(score)
+    return _read(spark, sf_dir, "labels").select("doc_id", level.cast("int").alias("level"), F.round(score, 6).alias("score"))
 
 
 ANSWERS = (
@@ -434,11 +443,14 @@ ANSWERS = (
 
 
 def answer_checks(spark, sf_dir):
-    rows = spark.createDataFrame(ANSWERS, "n int, kind string, answer string").withColumn("a", F.try_parse_json("answer"))
+    """Each labelled document is answered by one of the answers above; what is wrong with it."""
+    given = F.broadcast(spark.createDataFrame(ANSWERS, "n int, kind string, answer string"))
+    rows = _read(spark, sf_dir, "labels").withColumn("n", (F.pmod("doc_id", F.lit(len(ANSWERS))) + 1).cast("int")).join(given, "n")
+    rows = rows.withColumn("a", F.try_parse_json("answer"))
     problem = F.lit(None).cast("string")
     for kind, options in (("noul", ()), ("choice", judges.PAIR_VERDICTS), ("score", tx.LEVELS)):
         problem = F.when(F.col("kind") == kind, judges.answer_errors(F.col("a"), kind, options)).otherwise(problem)
-    return rows.select("n", F.coalesce(problem, F.lit("fine")).alias("problem"))
+    return rows.select("doc_id", "n", F.coalesce(problem, F.lit("fine")).alias("problem"))
 
 
 def _packed_groups(spark, sf_dir, budget=2000):
@@ -485,9 +497,9 @@ def phase_b_batches(spark, sf_dir):
 
 
 def question_wire(spark, sf_dir):
-    """The questions member of requests about no, one and three candidates."""
-    asked = questions.candidate_questions(spark.createDataFrame([(1, 0), (3, 0), (3, 1), (3, 2)], "request int, position int"))
-    return questions.wire(asked, ["request"])
+    """The questions member of each batch of candidate groups."""
+    asked = questions.candidate_questions(_packed_groups(spark, sf_dir).select("project", "batch_no", "position"))
+    return questions.wire(asked, ["project", "batch_no"])
 
 
 def batch_spend(spark, sf_dir):
@@ -641,18 +653,27 @@ def anchor_fidelity(spark, sf_dir):
 
 
 def detect_dialects(spark, sf_dir):
-    rows = [("/h/.codex/a", ""), ("/h/.factory/b", ""), ("/h/.claude/c", ""), ("/x", '{"type":"session_meta"}'), ("/y", '{"type":"session_start"}'), ("/z", '{"sessionId":"s"}')]
-    frame = spark.createDataFrame(rows, "path string, line string")
+    """Each conversation as a transcript that its folder or its first line tells the dialect of."""
+    folders = F.array(*map(F.lit, ("/h/.codex/", "/h/.factory/", "/h/.claude/", "/x/", "/y/", "/z/")))
+    heads = F.array(*map(F.lit, ("", "", "", '{"type":"session_meta"}', '{"type":"session_start"}', '{"sessionId":"s"}')))
+    at, name = (F.pmod("conv_id", F.lit(6)) + 1).cast("int"), F.col("conv_id").cast("string")
+    frame = _read(spark, sf_dir, "conversations").select("conv_id").distinct()
+    frame = frame.select(F.concat(F.element_at(folders, at), name).alias("path"), F.element_at(heads, at).alias("line"))
     return frame.select("path", transcripts.detect_source(F.col("path"), F.col("line")).alias("dialect"))
 
 
 def transcript_roots(spark, sf_dir):
-    return transcripts.roots(spark, "/home/me")
+    """Where transcripts lie in the homes of all customers."""
+    homes = _read(spark, sf_dir, "customer").select(F.concat(F.lit("/home/"), F.col("c_custkey").cast("string")).alias("home"))
+    return transcripts.roots_of(homes)
 
 
 def pinned_list(spark, sf_dir):
-    rows = [("# list",), ("/a/b claude # why",), ("",), ("/c codex",), ("/d nothing",), ("  /e   droid",)]
-    return transcripts.pinned(spark.createDataFrame(rows, "line string"))
+    """Page addresses as a list of transcripts: every fourth has no known dialect, every third a comment."""
+    kind = F.element_at(F.array(*map(F.lit, ("claude", "codex", "droid", "nothing"))), (F.pmod("page_id", F.lit(4)) + 1).cast("int"))
+    why = F.when(F.pmod("page_id", F.lit(3)) == 0, "  # why").otherwise("")
+    lines = _read(spark, sf_dir, "pages").select(F.concat(F.lit(" "), F.coalesce("url", F.lit("")), F.lit("  "), kind, why).alias("line"))
+    return transcripts.pinned(lines)
 
 
 def log_events(spark, sf_dir):

@@ -179,15 +179,20 @@ def dialects_of(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
 
 def roots(spark: SparkSession, home: str) -> DataFrame:
     """(root, source): where each dialect's program keeps its transcripts."""
-    rows = [(f"{home}/{folder}", source) for folder, source in ROOTS]
-    return spark.createDataFrame(rows, "root string, source string")
+    return roots_of(spark.createDataFrame([(home,)], "home string"))
+
+
+def roots_of(homes: DataFrame) -> DataFrame:
+    """(root, source) of each home."""
+    each = F.explode(F.array(*[F.struct(F.lit(folder).alias("folder"), F.lit(source).alias("source")) for folder, source in ROOTS])).alias("r")
+    return homes.select("home", each).select(F.concat_ws("/", "home", "r.folder").alias("root"), "r.source")
 
 
 def pinned(lines: DataFrame) -> DataFrame:
     """(path, dialect) of a list with a path and a dialect on each line; ``#`` starts a comment."""
     bare = strip(F.regexp_replace("line", "#.*$", ""))
     parts = F.split(bare, r"\s+")
-    return lines.where(F.length(bare) > 0).select(parts[0].alias("path"), F.element_at(parts, 2).alias("dialect")).where(F.col("dialect").isin(*DIALECTS))
+    return lines.where(F.length(bare) > 0).select(parts[0].alias("path"), F.try_element_at(parts, F.lit(2)).alias("dialect")).where(F.col("dialect").isin(*DIALECTS))
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
