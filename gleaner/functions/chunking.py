@@ -10,6 +10,9 @@ from gleaner.functions.text import strip
 #: Characters of a chunk, at most and at least, and of its context.
 MOST, LEAST, CONTEXT = 600, 12, 800
 
+#: Sentences that a fold packs before it appends them to a text's chunks.
+BLOCK = 256
+
 #: Fixed value: a chunk that starts so refers to what was said before.
 ANAPHORIC = r"(?iU)^(?:that|this|it|they|the\s+same|those)\b"
 
@@ -55,12 +58,22 @@ def chunks(text: Column, most: int = MOST) -> Column:
             )
         )
 
-    packed = F.aggregate(
-        F.flatten(F.transform(pairs, pieces)),
-        state,
-        pack,
-        lambda acc: F.when(acc["open"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))),
-    )
+    def block(all_, acc, i):
+        # a list that grows inside a fold is copied at each step, so it grows by blocks
+        inner = F.aggregate(F.slice(all_, i * BLOCK + 1, BLOCK), F.struct(F.array().cast("array<string>").alias("done"), acc["open"].alias("open")), pack)
+        return F.struct(F.concat(acc["done"], inner["done"]).alias("done"), inner["open"].alias("open"))
+
+    def fold(all_):
+        blocks = F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / BLOCK).cast("int"))
+        return F.aggregate(
+            blocks,
+            state,
+            lambda acc, i: block(all_, acc, i),
+            lambda acc: F.when(acc["open"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))),
+        )
+
+    # in an array of one, so that the lambda computes the pieces once
+    packed = F.transform(F.array(F.flatten(F.transform(pairs, pieces))), fold)[0]
     return F.when(F.length(body) == 0, F.array().cast("array<string>")).otherwise(packed)
 
 

@@ -6,6 +6,8 @@ Later rules see the replacements of earlier ones.  All classes are Unicode-aware
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,11 +30,19 @@ RULES = (
 )
 
 
-#: What any text that a rule matches has: one pass that most texts end at.
-GATE = (
-    r"(?iU)-----BEGIN|bearer|sk-|AKIA|ASIA|gh[pousr]_|eyJ|password|passwd|pwd|token|api_?key|secret|auth"
-    r"|[A-Za-z0-9+/]{20}"
-)
+#: What a text has that a rule matches: one of these as it stands, ...
+_MARKS = ("-----BEGIN", "earer", "sk-", "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "eyJ")
+#: ... one of these in lower case and an assignment (the two letters fold to s and k), ...
+_NAMES = ("password", "passwd", "pwd", "token", "apikey", "api_key", "secret", "auth", "\u017f", "\u212a")
+#: ... or a run of twenty such characters.
+_RUN = r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{20}"
+
+
+def may_match(text: Column) -> Column:
+    """Whether a rule may match: substring looks, and one pass for long runs; most texts end here."""
+    any_of = lambda body, marks: reduce(Column.__or__, [F.contains(body, F.lit(m)) for m in marks])
+    assigned = F.contains(text, F.lit(":")) | F.contains(text, F.lit("="))
+    return any_of(text, _MARKS) | (assigned & any_of(F.lower(text), _NAMES)) | text.rlike(_RUN)
 
 
 def redact(text: Column) -> Column:
@@ -40,7 +50,7 @@ def redact(text: Column) -> Column:
     safe = text
     for pattern, replacement in RULES:
         safe = F.regexp_replace(safe, pattern, replacement)
-    return F.when(text.rlike(GATE), safe).otherwise(text)
+    return F.when(may_match(text), safe).otherwise(text)
 
 
 def redaction_count(text: Column) -> Column:
@@ -49,4 +59,4 @@ def redaction_count(text: Column) -> Column:
     for pattern, replacement in RULES:
         total = total + F.regexp_count(safe, F.lit(pattern))
         safe = F.regexp_replace(safe, pattern, replacement)
-    return F.when(text.isNull() | text.rlike(GATE), total).otherwise(0)
+    return F.when(text.isNull() | may_match(text), total).otherwise(0)

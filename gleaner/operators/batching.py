@@ -150,13 +150,13 @@ def pack(items: DataFrame, by: list[str], order: str, chars: str, fixed_chars: i
     return items.join(placed, [*by, order])
 
 
-def pack_pairs(plans: DataFrame, budget: int = BUDGET, put=None) -> DataFrame:
+def pack_pairs(plans: DataFrame, budget: int = BUDGET, put=None, fixed_chars: int = 0) -> DataFrame:
     """Batches of candidate-fact pairs that share one array of distinct facts.
 
     plans: project, ord, claim_chars, fact_id, fact_chars (a row for each pair).  Yields
     batch_no, i (candidate) and j (fact) positions; both start anew in each batch.
     """
-    most = budget * 4
+    most = budget * 4 - fixed_chars
     pairs = plans.groupBy("project", "ord", "fact_id").agg(F.first("claim_chars").alias("claim_chars"), F.first("fact_chars").alias("fact_chars"))
     # a candidate has few pairs
     listed = F.array_sort(F.collect_list(F.struct("fact_id", F.col("fact_chars").cast("bigint").alias("chars"))))

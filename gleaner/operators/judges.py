@@ -108,12 +108,96 @@ def answer_json(kind: Column, value: Column, confidence: Column, criteria: Colum
     return F.when(kind == "noul", noul).when(kind == "choice", choice).otherwise(score)
 
 
+class JudgeError(Exception):
+    """Some questions got no acceptable answer; what was answered is kept."""
+
+
 class Judge:
-    """Answers question rows: adds ``answer``, a JSON object for each."""
+    """Answers question rows: adds ``answer``, a JSON object for each.
+
+    ``states`` has what is to be read of each batch (its keys and ``state``, JSON).  A judge may
+    also add ``error``, the name of what went wrong where there is no answer, instead of
+    failing as a whole.
+    """
+
+    def ask(self, questions: DataFrame, states: DataFrame | None = None) -> DataFrame:
+        raise NotImplementedError
+
+
+class RequestJudge(Judge):
+    """A judge of whole requests: ``respond`` gets a row a batch (its keys, body, question_ids) and adds ``response``.
+
+    Responses are checked, and their answers dealt to the questions by id; a batch whose response is
+    not acceptable has errors in place of answers.
+    """
+
+    def __init__(self, by: tuple[str, ...] = ("project", "batch_no")):
+        self.by = by
 
-    def ask(self, questions: DataFrame) -> DataFrame:
+    def respond(self, requests: DataFrame) -> DataFrame:
         raise NotImplementedError
 
+    def ask(self, questions: DataFrame, states: DataFrame | None = None) -> DataFrame:
+        from gleaner.operators.questions import requests
+
+        by = [c for c in self.by if c in questions.columns]
+        if states is None:
+            states = questions.select(*by).distinct().withColumn("state", F.lit("{}"))
+        answered = self.respond(requests(questions, states, by))
+        wrong = envelope_errors(F.col("response"), F.col("question_ids"))
+        given = F.try_variant_get(F.try_parse_json("response"), "$.answers", "map<string,variant>")
+        rows = answered.select(*by, wrong.alias("_wrong"), given.alias("_given"))
+        joined = questions.join(rows, by, "left")
+        answer = F.to_json(F.try_element_at("_given", F.col("question_id")))
+        error = F.when(F.col("_given").isNull() & F.col("_wrong").isNull(), "no response").otherwise(F.col("_wrong"))
+        return joined.withColumns({"answer": F.when(error.isNull(), answer), "error": error}).drop("_wrong", "_given")
+
+
+class FaultyJudge(Judge):
+    """Another judge, but for the batches of some numbers, which have an error of this name."""
+
+    def __init__(self, judge: Judge, faults: dict[int, str], batch: str = "batch_no"):
+        self.judge, self.faults, self.batch = judge, faults, batch
+
+    def ask(self, questions: DataFrame, states: DataFrame | None = None) -> DataFrame:
+        error = F.lit(None).cast("string")
+        for number, name in self.faults.items():
+            error = F.when(F.col(self.batch) == number, F.lit(name)).otherwise(error)
+        rows = self.judge.ask(questions, states).withColumn("error", error)
+        return rows.withColumn("answer", F.when(F.col("error").isNull(), F.col("answer")))
+
+
+class JournalJudge(Judge):
+    """Another judge, asked only what the journal has no answer to.
+
+    ``known`` are journal rows (key, answer); ``keep`` appends the rows of new answers to it.  A
+    question is known by what it is and by its subject's ``entry``, so a failed run, a lost executor
+    or a changed batch never asks it twice.  Bad answers are not kept.  When some questions have
+    an error or a bad answer, the others are kept first, and then JudgeError is raised.
+    """
+
+    def __init__(self, judge: Judge, known: DataFrame, keep, put):
+        self.judge, self.known, self.keep, self.put = judge, known, keep, put
+
+    def ask(self, questions: DataFrame, states: DataFrame | None = None) -> DataFrame:
+        from gleaner.operators.questions import problem
+
+        key = F.sha2(F.concat_ws("\u001f", F.coalesce("entry", "text"), "name", "prompt", F.array_join("criteria", ",")), 256)
+        keyed = self.put(questions.withColumn("key", key))
+        known = self.known.groupBy("key").agg(F.min("answer").alias("answer"))
+        todo = keyed.join(known.select("key"), "key", "left_anti")
+        asked = self.judge.ask(todo, states)
+        asked = asked if "error" in asked.columns else asked.withColumn("error", F.lit(None).cast("string"))
+        fault = F.coalesce("error", problem(F.try_parse_json("answer")))
+        asked = self.put(asked.withColumn("error", fault))
+        fine = asked.where("error IS NULL")
+        if not fine.isEmpty():
+            self.keep(fine)
+        worst = asked.where("error IS NOT NULL").agg(F.count("*").alias("n"), F.min_by("error", "question_id").alias("e"), F.min("question_id").alias("q")).first()
+        if worst["n"]:
+            raise JudgeError(f"{worst['n']} questions without an answer, such as {worst['q']}: {worst['e']}")
+        return keyed.join(known, "key").unionByName(fine.select(*keyed.columns, "answer")).drop("key")
+
 
 class ColumnJudge(Judge):
     """Answers by Column expressions of the subject's text (candidates, lines) or name (pairs)."""
@@ -121,7 +205,7 @@ class ColumnJudge(Judge):
     def __init__(self, candidate=hash_answers, pair=hash_pair_answers, line=hash_line_answers):
         self.candidate, self.pair, self.line = candidate, pair, line
 
-    def ask(self, questions: DataFrame) -> DataFrame:
+    def ask(self, questions: DataFrame, states: DataFrame | None = None) -> DataFrame:
         given = {**self.candidate(F.col("text")), **self.pair(F.col("subject")), **self.line(F.col("text"))}
         value = F.lit(None).cast("string")
         for name in ("category", "verdict", "disposition"):
@@ -155,7 +239,7 @@ class ScriptedJudge(Judge):
     def __init__(self, answers: DataFrame):
         self.answers = answers
 
-    def ask(self, questions: DataFrame) -> DataFrame:
+    def ask(self, questions: DataFrame, states: DataFrame | None = None) -> DataFrame:
         return scripted(questions, self.answers.select("question_id", "answer"), ["question_id"])
 
 
@@ -165,12 +249,12 @@ class CappedJudge(Judge):
     def __init__(self, judge: Judge, most: int, batch: tuple[str, ...] = ("batch_no",)):
         self.judge, self.most, self.batch, self.used = judge, most, batch, 0
 
-    def ask(self, questions: DataFrame) -> DataFrame:
+    def ask(self, questions: DataFrame, states: DataFrame | None = None) -> DataFrame:
         keys = [c for c in ("project", *self.batch) if c in questions.columns]
         self.used += questions.select(*keys).distinct().count()
         if self.used > self.most:
             raise RuntimeError(f"{self.used} requests are over the cap of {self.most}")
-        return self.judge.ask(questions)
+        return self.judge.ask(questions, states)
 
 
 class IdealJudge(Judge):
@@ -179,7 +263,7 @@ class IdealJudge(Judge):
     def __init__(self, truth: DataFrame):
         self.truth = truth
 
-    def ask(self, questions: DataFrame) -> DataFrame:
+    def ask(self, questions: DataFrame, states: DataFrame | None = None) -> DataFrame:
         known = self.truth.select("text", F.col("disposition").alias("_planted")).dropDuplicates(["text"])
         line = lambda text: normal_line_answers() | {"disposition": F.coalesce("_planted", F.lit("keep")), "confidence": F.lit(0.95)}
         own = ColumnJudge(lambda text: normal_answers(), lambda name: normal_pair_answers(), line)

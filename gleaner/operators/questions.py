@@ -98,6 +98,52 @@ def wire(asked: DataFrame, by: list[str]) -> DataFrame:
     return rows.select(*by, F.concat(F.lit('{"questions":{'), F.array_join(F.transform("q", member), ","), F.lit("}}")).alias("body"))
 
 
+def _in_place(place: str, **members: str) -> Column:
+    """A batch's entries in the order of ``place``, each once; a batch is bounded by its budget."""
+    entry = F.struct(*[F.col(c).alias(name) for name, c in members.items()]).alias("entry")
+    return F.transform(F.array_sort(F.collect_set(F.struct(place, entry))), lambda x: x["entry"])
+
+
+def _state(context: str, **members: Column) -> Column:
+    parts = [F.concat(F.lit(f'"{name}":'), value) for name, value in members.items()]
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts, F.lit(f'"project":{context}')), F.lit("}")).alias("state")
+
+
+def candidate_states(packed: DataFrame, by: list[str], context: str = "{}") -> DataFrame:
+    """(by, state): what a judge reads of a batch of candidates (position, event_id, role, text, context)."""
+    told = _in_place("position", context="context", id="event_id", role="role", text="text")
+    return packed.groupBy(*by).agg(told.alias("c")).select(*by, _state(context, candidates=F.to_json("c")))
+
+
+def pair_states(pairs: DataFrame, by: list[str], context: str = "{}") -> DataFrame:
+    """The same of a batch of pairs (i, event_id, claim, j, fact_id, known); a fact stands there once, whoever asks for it."""
+    told = pairs.groupBy(*by).agg(_in_place("i", id="event_id", text="claim").alias("c"), _in_place("j", id="fact_id", text="known").alias("f"))
+    return told.select(*by, _state(context, candidates=F.to_json("c"), facts=F.to_json("f")))
+
+
+def line_states(packed: DataFrame, by: list[str], facts: list[dict], statements: list[dict], context: str = "{}") -> DataFrame:
+    """The same of a batch of memory lines (position, number, section, text), with the evidence that all batches share."""
+    told = packed.groupBy(*by).agg(_in_place("position", number="number", section="section", text="text").alias("l"))
+    known = {name: F.lit(json.dumps(rows, separators=(",", ":"))) for name, rows in (("facts", facts), ("statements", statements))}
+    return told.select(*by, _state(context, **known, lines=F.to_json("l")))
+
+
+def requests(asked: DataFrame, states: DataFrame, by: list[str]) -> DataFrame:
+    """(by, body, question_ids): the request of each batch, its state and its questions."""
+    ids = asked.groupBy(*by).agg(F.array_sort(F.collect_list("question_id")).alias("question_ids"))
+    rows = wire(asked, by).withColumnRenamed("body", "_q").join(states, by).join(ids, by)
+    inner = F.expr("substring(_q, 2, length(_q) - 2)")
+    return rows.select(*by, F.concat(F.lit("{"), inner, F.lit(',"state":'), "state", F.lit("}")).alias("body"), "question_ids")
+
+
+def problem(answer: Column) -> Column:
+    """Why the JSON answer of a question row is not acceptable, or null."""
+    out = F.lit(None).cast("string")
+    for name, kind, _, criteria in (*PHASE_A, *PHASE_B, *PHASE_C):
+        out = F.when(F.col("name") == name, answer_errors(answer, kind, criteria)).otherwise(out)
+    return F.when(answer.isNull(), "json").otherwise(out)
+
+
 def checked(answered: DataFrame, phase) -> DataFrame:
     """Answers parsed and validated: ``value`` (number), ``choice`` and ``sure``; a bad one is an error."""
     parsed = F.try_parse_json("answer")

@@ -211,8 +211,8 @@ class Outcome:
     expired: DataFrame
 
 
-def _asked(frame: DataFrame, phase, ask, judge: judges.Judge) -> DataFrame:
-    return questions.checked(judge.ask(ask(frame)), phase)
+def _asked(frame: DataFrame, phase, ask, judge: judges.Judge, states: DataFrame) -> DataFrame:
+    return questions.checked(judge.ask(ask(frame), states), phase)
 
 
 def pending_work(statements: DataFrame, put, cap: int = 50) -> tuple[DataFrame, DataFrame]:
@@ -224,10 +224,11 @@ def pending_work(statements: DataFrame, put, cap: int = 50) -> tuple[DataFrame,
     return found, put(ev.queue_selection(pending, found, cap))
 
 
-def plan_run(work: tuple[DataFrame, DataFrame], facts: DataFrame, links: DataFrame, judge: judges.Judge, now: str, put, budget: int = batching.BUDGET) -> Outcome:
+def plan_run(work: tuple[DataFrame, DataFrame], facts: DataFrame, links: DataFrame, judge: judges.Judge, now: str, put, budget: int = batching.BUDGET, context: str = "{}") -> Outcome:
     """One run over pending_work() and the facts and links of its projects.
 
-    ``put`` writes and rereads a step that several others need (see Scratch).
+    ``put`` writes and rereads a step that several others need (see Scratch).  ``context``
+    is the JSON object that every request tells of the project; it counts in every batch.
     """
     found, queue = work
     chosen = queue.where("selected")
@@ -238,9 +239,11 @@ def plan_run(work: tuple[DataFrame, DataFrame], facts: DataFrame, links: DataFra
     # phase A: batches of candidates, three questions each
     size = batching.entry_chars(id=F.col("event_id"), role=F.col("role"), text=F.col("text"), context=F.col("context"))
     sized = groups.withColumn("chars", size + questions.question_chars(questions.PHASE_A))
-    packed = put(batching.pack(put(sized), ["project"], "ord", "chars", budget=budget, put=put))
-    subjects = packed.select("project", "batch_no", "position", "ord", "chars", "text", F.col("event_id").alias("subject_id"), F.col("event_id").alias("subject"))
-    candidate_answers = put(_asked(subjects, questions.PHASE_A, questions.candidate_questions, judge))
+    packed = put(batching.pack(put(sized), ["project"], "ord", "chars", len(context), budget, put))
+    entry = F.to_json(F.struct("event_id", "role", "text", "context")).alias("entry")
+    subjects = packed.select("project", "batch_no", "position", "ord", "chars", "text", F.col("event_id").alias("subject_id"), F.col("event_id").alias("subject"), entry)
+    states = questions.candidate_states(packed, ["project", "batch_no"], context)
+    candidate_answers = put(_asked(subjects, questions.PHASE_A, questions.candidate_questions, judge, states))
     answers = questions.by_subject(candidate_answers, ["project", "batch_no", "position"], questions.PHASE_A)
     graded = packed.join(answers, ["project", "batch_no", "position"])
     verdicts = put(gates.phase_a(graded))
@@ -263,11 +266,12 @@ def plan_run(work: tuple[DataFrame, DataFrame], facts: DataFrame, links: DataFra
         }
     )
     pairs = put(pairs)
-    placed = batching.pack_pairs(pairs.select("project", "ord", "claim_chars", "fact_id", "fact_chars"), budget, put)
+    placed = batching.pack_pairs(pairs.select("project", "ord", "claim_chars", "fact_id", "fact_chars"), budget, put, len(context))
     pairs = put(pairs.join(placed, ["project", "ord", "fact_id"]))
     name = F.concat_ws(":", "project", F.col("ord").cast("string"), F.col("fact_id").cast("string"))
-    subjects = pairs.select("project", "batch_no", "i", "j", "ord", "fact_id", "event_id", F.col("fact_chars").alias("chars"), F.col("claim").alias("text"), name.alias("subject"))
-    pair_answers = put(_asked(subjects, questions.PHASE_B, questions.pair_questions, judge))
+    subjects = pairs.select("project", "batch_no", "i", "j", "ord", "fact_id", "event_id", F.col("fact_chars").alias("chars"), F.col("claim").alias("text"), name.alias("subject"), F.to_json(F.struct("event_id", "claim", "known")).alias("entry"))
+    states = questions.pair_states(pairs, ["project", "batch_no"], context)
+    pair_answers = put(_asked(subjects, questions.PHASE_B, questions.pair_questions, judge, states))
     answers = questions.by_subject(pair_answers, ["project", "batch_no", "i", "j"], questions.PHASE_B)
     judged = pairs.select("project", "batch_no", "i", "j", "ord", "fact_id").join(answers, ["project", "batch_no", "i", "j"])
     action = gates.pair_action(F.col("same_claim"), F.col("contradicts"), F.col("verdict"), F.col("verdict_confidence"))

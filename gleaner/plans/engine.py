@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterable
 
@@ -139,12 +140,14 @@ class Engine:
 
     # -- distill -------------------------------------------------------------------
 
-    def distill(self, now: str, judge: judges.Judge | None = None, cap: int | None = 50, budget: int = batching.BUDGET) -> dict:
+    def distill(self, now: str, judge: judges.Judge | None = None, cap: int | None = 50, budget: int = batching.BUDGET, context: dict | None = None) -> dict:
         """Grade pending events into facts and publish the next snapshot at once.
 
         A run with nothing to grade and no open ask writes nothing.  The run is open in
         the log from its start; it is closed with its counts, or with the error's name, in
-        which case the events stay pending.
+        which case the events stay pending.  Answers are kept in a journal as they come: those of a
+        failed run have their receipts, and the next run does not ask for them again.  ``context``
+        is what every request tells of the project (its name without it).
         """
         self._need_grading()
         if cap is not None and cap <= 0:
@@ -157,7 +160,9 @@ class Engine:
             return {"events_graded": 0}
         run_id = self._open_run("distill", now)
         try:
-            run = ds.plan_run(work, facts, links, judge or judges.normal_judge(), now, scratch.put, budget)
+            told = json.dumps(context or {"name": self.project}, sort_keys=True, separators=(",", ":"))
+            asking = self._journaled(judge or judges.normal_judge(), run_id, now, scratch.put)
+            run = ds.plan_run(work, facts, links, asking, now, scratch.put, budget, told)
             stats = ds.run_stats(run).first().asDict()
             expiry = run.expired.select(
                 F.lit(run_id).cast("bigint").alias("run_id"), F.lit("fact").alias("subject_kind"), F.col("fact_id").cast("string").alias("subject_id"),
@@ -173,11 +178,31 @@ class Engine:
             )
             return stats
         except BaseException as error:
-            self._log_run(run_id, "distill", now, now, None, type(error).__name__)
+            self._log_run(run_id, "distill", now, now, None, type(error).__name__, append={"judgments": self._kept_receipts(run_id)})
             raise
         finally:
             scratch.drop()
 
+    def _journaled(self, judge: judges.Judge, run_id: int, now: str, put) -> judges.JournalJudge:
+        """The judge behind this project's journal of answers."""
+
+        def keep(rows: DataFrame) -> None:
+            kind = F.when(F.col("name").isin([q[0] for q in questions.PHASE_A]), "candidate").when(F.col("name").isin([q[0] for q in questions.PHASE_B]), "pair").otherwise("line")
+            subject = F.when(kind == "pair", F.concat_ws(":", "event_id", F.col("fact_id").cast("string"))) if "fact_id" in rows.columns else F.lit(None)
+            named = F.coalesce(subject, F.col("subject_id") if "subject_id" in rows.columns else F.lit(None))
+            found = rows.select(
+                F.lit(self.project).alias("project"), F.lit(run_id).cast("bigint").alias("run_id"), "key", kind.alias("subject_kind"), named.alias("subject_id"),
+                F.col("name").alias("question_id"), "type", "answer", F.lit(now).alias("created_at"),
+            )
+            self.store.publish(append={"answers": found}, project=self.project)
+
+        return judges.JournalJudge(judge, self._mine("answers").select("key", "answer"), keep, put)
+
+    def _kept_receipts(self, run_id: int) -> DataFrame:
+        """Receipts of the answers that came before a run failed."""
+        rows = self._mine("answers").where(F.col("run_id") == run_id)
+        return self._receipt_ids(rows.withColumnRenamed("answer", "answer_json").drop("project", "key"), run_id)
+
     def drain(self, now: str, judge: judges.Judge | None = None, cap: int = 50) -> list[dict]:
         """Capped runs until nothing is left that one would take; the counts of each."""
         runs = []
@@ -202,7 +227,7 @@ class Engine:
         total = lines.count()
         if not total:
             return report.AuditReport([], {k: 0 for k in gates.KEYWORDS})
-        run_id = self._open_run("audit", now)
+        run_id, scratch = self._open_run("audit", now), Scratch(self.spark)
         try:
             facts = self._mine("facts").where("status = 'active'")
             anchored = au.anchors(lines, facts, []).cache()
@@ -212,12 +237,18 @@ class Engine:
             evidence = sum(len(json.dumps(dict(zip(("id", "text"), (r["place"], r["text"]))))) + 1 for r in pool)
             chars = batching.entry_chars(number=F.col("number").cast("string"), section=F.col("section"), text=F.col("text"))
             sized = rest.withColumns({"all": F.lit(0), "chars": chars + questions.question_chars(questions.PHASE_C)})
-            packed = batching.pack(sized, ["all"], "number", "chars", evidence, budget)
+            packed = batching.pack(sized, ["all"], "number", "chars", evidence, budget, scratch.put)
             subjects = packed.select(
                 "batch_no", "position", "number", "chars", "text", F.concat(F.lit("line:"), F.col("number").cast("string")).alias("subject_id")
             ).withColumn("subject", F.col("subject_id"))
-            ask = judge or judges.ColumnJudge(line=lambda t: judges.normal_line_answers())
-            asked = questions.checked(ask.ask(questions.line_questions(subjects)), questions.PHASE_C).cache()
+            ask = self._journaled(judge or judges.ColumnJudge(line=lambda t: judges.normal_line_answers()), run_id, now, scratch.put)
+            own = lambda kind: [{"id": r["place"], "text": r["text"]} for r in pool if r["kind"] == kind]
+            told = json.dumps({"name": self.project}, separators=(",", ":"))
+            states = questions.line_states(packed, ["batch_no"], own("fact"), own("statement"), told)
+            # what is known of a line depends on the evidence, too
+            proof = hashlib.sha256(json.dumps([own("fact"), own("statement")]).encode()).hexdigest()
+            subjects = subjects.withColumn("entry", F.concat_ws("|", F.lit(proof), "number", "text"))
+            asked = questions.checked(ask.ask(questions.line_questions(subjects), states), questions.PHASE_C).cache()
             answers = questions.by_subject(asked, ["batch_no", "position", "number"], questions.PHASE_C)
             judged = lines.join(answers.withColumnRenamed("disposition_confidence", "confidence"), "number", "left")
             verdicts = au.line_verdicts(judged, anchored, ["number"]).orderBy("number").collect()  # a row a line of one file
@@ -230,10 +261,11 @@ class Engine:
             n_facts = sum(r["kind"] == "fact" for r in pool)
             return report.AuditReport(verdicts, counts, run_id, spent["api_calls"], spent["usage"], n_facts, len(pool) - n_facts)
         except BaseException as error:
-            self._log_run(run_id, "audit", now, now, None, type(error).__name__)
+            self._log_run(run_id, "audit", now, now, None, type(error).__name__, append={"judgments": self._kept_receipts(run_id)})
             raise
         finally:
             lines.unpersist()
+            scratch.drop()
 
     # -- decisions -----------------------------------------------------------------
 

@@ -409,6 +409,15 @@ def _wire() -> str:
         SELECT project, batch_no, '{{"questions":{{' || string_agg('"' || id || '":' || body, ',' ORDER BY id) || '}}}}' AS body FROM w GROUP BY 1, 2"""
 
 
+def _states() -> str:
+    """Digests of the states of gleaner.plans.queries.request_states, and the lengths of their requests."""
+    entry = "'{\"context\":' || to_json(coalesce(context, '')) || ',\"id\":\"' || event_id || '\",\"role\":\"' || role || '\",\"text\":' || to_json(text) || '}'"
+    wire = _wire().replace("SELECT project, batch_no, '{", ", b AS (SELECT project, batch_no, '{", 1) + ")"
+    return f"""{wire}, s AS (SELECT project, batch_no, '{{"candidates":[' || string_agg({entry}, ',' ORDER BY position) || '],"project":{{"name":"conversations"}}}}' AS state,
+        3 * count(*) AS asked FROM ba GROUP BY 1, 2)
+        SELECT project, batch_no, sha256(state) AS state, length(body) + length(state) + 9 AS chars, asked FROM s JOIN b USING (project, batch_no)"""
+
+
 def _pair_batches() -> str:
     """Greedy batches of plans that share their facts: a fold over each conversation's plans in order."""
     entry = lambda x: f"({json_chars(x)} + 9)"
@@ -455,6 +464,7 @@ SQL |= {
     "phase_a_batches": f"WITH {_ASKED} SELECT project, ord, chars, batch_no, position FROM ba",
     "phase_b_batches": _pair_batches(),
     "question_wire": _wire(),
+    "request_states": _states(),
     "judge_receipts": f"""WITH {_ASKED}
         SELECT project, ord, 'c' || position || '_durable' AS question_id, 'noul' AS type, round(durable, 6) AS value, '-' AS choice FROM ba UNION ALL
         SELECT project, ord, 'c' || position || '_category', 'choice', NULL, category FROM ba UNION ALL

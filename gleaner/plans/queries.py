@@ -113,7 +113,8 @@ def redaction_corpus(spark, sf_dir):
 
 def event_dedupe(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents").withColumn("text", redaction.redact(F.col("text")))
-    log = docs.select(F.col("doc_id").alias("seq"), tx.event_id(F.col("source"), F.col("text")).alias("id"))
+    # hashed once; both joins read what was written
+    log = scratch.Scratch(spark).put(docs.select(F.col("doc_id").alias("seq"), tx.event_id(F.col("source"), F.col("text")).alias("id")))
     labelled = _read(spark, sf_dir, "labels").select(F.col("doc_id").alias("seq"))
     known, new = log.join(labelled, "seq", "left_semi"), log.join(labelled, "seq", "left_anti")
     return events.dedupe_events(new, known).select("id", "seq")
@@ -502,6 +503,15 @@ def question_wire(spark, sf_dir):
     return questions.wire(asked, ["project", "batch_no"])
 
 
+def request_states(spark, sf_dir):
+    """What a judge reads of each batch of candidate groups, as a digest, and how long the whole request is."""
+    packed = scratch.Scratch(spark).put(_packed_groups(spark, sf_dir))
+    by = ["project", "batch_no"]
+    states = questions.candidate_states(packed, by, '{"name":"conversations"}')
+    bodies = questions.requests(questions.candidate_questions(packed.select(*by, "position")), states, by)
+    return states.join(bodies, by).select(*by, F.sha2("state", 256).alias("state"), F.length("body").cast("bigint").alias("chars"), F.size("question_ids").cast("bigint").alias("asked"))
+
+
 def batch_spend(spark, sf_dir):
     """Requests and tokens sent of each project's batches."""
     sent = _packed_groups(spark, sf_dir).groupBy("project", "batch_no").agg(F.sum("chars").alias("chars"))
@@ -726,7 +736,7 @@ QUERIES = {
         line_verdicts, disposition_counts, confusion_matrix, judge_accuracy, memory_order, status_counts,
         fact_status_counts, last_run, markup_strip, stale_badge, resolve_and_expire, payload_json, memory_lines,
         memory_corpus, claim_hashes, project_slugs, display_lines, role_histogram, stamp_parse, json_sizes, peaked_scores,
-        answer_checks, phase_a_batches, phase_b_batches, question_wire, judge_receipts, answers_by_position, batch_spend, audit_offline, planted_dispositions,
+        answer_checks, phase_a_batches, phase_b_batches, question_wire, judge_receipts, answers_by_position, request_states, batch_spend, audit_offline, planted_dispositions,
         judge_doubles, queue_deferred, graded_stamps, support_counts, support_bumps, supersede_facts, supersede_links,
         status_changes, ask_partners, open_asks, active_facts, ask_facts, search_topk, jaccard_pairs, run_counts,
         anchor_fidelity, detect_dialects, transcript_roots, pinned_list, log_events, transcript_files, route_candidates, distill_offline,

@@ -36,8 +36,10 @@ FACTS = (
 LINKS = "project string, fact_id bigint, related_id bigint, relation string, seq bigint"
 RUNS = "id bigint, project string, kind string, started_at string, finished_at string, stats string, error string"
 JUDGMENTS = "id bigint, run_id bigint, subject_kind string, subject_id string, question_id string, type string, answer_json string, created_at string"
+#: Answers as they came, by the key of their question, whatever became of the run.
+ANSWERS = "project string, run_id bigint, key string, subject_kind string, subject_id string, question_id string, type string, answer string, created_at string"
 MARKERS = "project string, enabled_at string"
-SCHEMAS = {"events": EVENTS, "grades": GRADES, "facts": FACTS, "links": LINKS, "runs": RUNS, "judgments": JUDGMENTS, "markers": MARKERS, **search_index.SCHEMAS}
+SCHEMAS = {"events": EVENTS, "grades": GRADES, "facts": FACTS, "links": LINKS, "runs": RUNS, "judgments": JUDGMENTS, "answers": ANSWERS, "markers": MARKERS, **search_index.SCHEMAS}
 _LOG = "version bigint, schema_version int, name string, project string, folder string, replaces boolean"
 
 
