@@ -21,6 +21,11 @@ from gleaner.plans.store import FACTS, LINKS
 __all__ = ["FACTS", "LINKS", "Outcome", "distill", "plan_run", "route"]
 
 _TFS = "map<string,bigint>"
+_NONE_NEAR = (
+    f"project string, ord bigint, fact_id bigint, dl bigint, active boolean, ratio double, tfs {_TFS}, lo double, hi double",
+    "project string, ord bigint, term string, df bigint",
+    "project string, n bigint, total bigint",
+)
 
 
 def _near(kept: DataFrame, facts: DataFrame, k: int = RETRIEVE) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -150,7 +155,9 @@ def route(kept: DataFrame, facts: DataFrame, put=None) -> DataFrame:
     kept = put(kept.select("project", F.col("ord").cast("bigint").alias("ord"), "norm", "claim", "significance"))
     active = facts.where("status = 'active'").select("project", claim_norm(F.col("claim")).alias("norm"), "fact_id")
     equal = active.join(kept.select("project", "norm").distinct(), ["project", "norm"]).groupBy("project", "norm").agg(F.min("fact_id").alias("equal"))
-    near = tuple(put(f) for f in _near(kept, facts))
+    # a run without a candidate that looks for partners has nothing to search for
+    searches = not kept.where(F.col("significance") >= gates.PAIRING).isEmpty()
+    near = tuple(put(f) for f in _near(kept, facts)) if searches else tuple(kept.sparkSession.createDataFrame([], s) for s in _NONE_NEAR)
 
     # what the old facts alone settle: see the bounds of _near
     nearest = near[0].groupBy(*key).agg(F.max(F.when(F.col("active"), F.col("lo"))).alias("la"))
@@ -189,7 +196,11 @@ def route(kept: DataFrame, facts: DataFrame, put=None) -> DataFrame:
     same = adds.select("project", "norm", "at")
     final = state.join(same, ["project", "norm"], "left")
     twin = F.coalesce("equal", F.when(~F.col("is_added") & (F.col("at") < F.col("ord")), -1 - F.col("at")))
-    final = put(_before(final.withColumn("duplicate_of", twin), put))
+    final = put(final.withColumn("duplicate_of", twin))
+    if not searches:
+        way = F.when(F.col("duplicate_of").isNotNull(), "duplicate").otherwise("add")
+        return final.select(*key, way.alias("route"), "duplicate_of", F.array().cast("array<bigint>").alias("partners"))
+    final = put(_before(final, put))
     asking = final.where("NOT is_added AND duplicate_of IS NULL").select(*key, "claim", "more_n", "more_total")
     found = _partners(asking, adds.drop("norm"), near)
     way = F.when(F.col("duplicate_of").isNotNull(), "duplicate").when(F.col("is_added"), "add").otherwise("pair")
@@ -266,7 +277,9 @@ def plan_run(work: tuple[DataFrame, DataFrame], facts: DataFrame, links: DataFra
         }
     )
     pairs = put(pairs)
-    placed = batching.pack_pairs(pairs.select("project", "ord", "claim_chars", "fact_id", "fact_chars"), budget, put, len(context))
+    sizes = pairs.select("project", "ord", "claim_chars", "fact_id", "fact_chars")
+    none = sizes.sparkSession.createDataFrame([], "project string, ord bigint, fact_id bigint, batch_no int, i int, j int")
+    placed = none if pairs.isEmpty() else batching.pack_pairs(sizes, budget, put, len(context))
     pairs = put(pairs.join(placed, ["project", "ord", "fact_id"]))
     name = F.concat_ws(":", "project", F.col("ord").cast("string"), F.col("fact_id").cast("string"))
     subjects = pairs.select("project", "batch_no", "i", "j", "ord", "fact_id", "event_id", F.col("fact_chars").alias("chars"), F.col("claim").alias("text"), name.alias("subject"), F.to_json(F.struct("event_id", "claim", "known")).alias("entry"))
