@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import strip
+from gleaner.plans.scratch import ship
 
 DIALECTS = ("claude", "codex", "droid")
 #: Transcript folders under a home, and their dialects.
@@ -153,6 +154,7 @@ def _head(path: str, most: int) -> bytes:
 
 def heads(files: DataFrame, most: int = HEAD_BYTES) -> DataFrame:
     """``files`` (path, ...) with ``head``, their first bytes."""
+    ship(files.sparkSession)
     place, names = files.columns.index("path"), [*files.columns, "head"]
 
     def run(batches):
