@@ -64,23 +64,32 @@ def candidates(statements: DataFrame) -> DataFrame:
 
 
 def candidate_groups(found: DataFrame) -> DataFrame:
-    """Candidates by normalised text and role; the first one represents a group."""
+    """Candidates by normalised text and role; the first one represents a group.
+
+    ``support`` is the number of its events; candidate_sources() names them.  Rows are combined by
+    group and event first, so a sentence with a third of all rows is spread over its events.
+    """
     place = F.struct("seq", "ordinal")
-    return (
+    group = ["project", "norm", "role"]
+    by_event = (
         found.withColumn("norm", claim_norm(F.col("text")))
-        .groupBy("project", "norm", "role")
-        .agg(
-            F.min_by("text", place).alias("text"),
-            F.min_by("event_id", place).alias("event_id"),
-            F.min_by("context", place).alias("context"),
-            F.min("seq").alias("first_seq"),
-            F.min(place)["ordinal"].alias("first_ordinal"),
-            F.count("*").alias("occurrences"),
-            F.array_distinct(
-                F.transform(F.array_sort(F.collect_list(F.struct("seq", "ordinal", "event_id"))), lambda x: x["event_id"])
-            ).alias("event_ids"),
-        )
+        .groupBy(*group, "event_id")
+        .agg(F.min(place).alias("place"), F.min_by("text", place).alias("text"), F.min_by("context", place).alias("context"), F.count("*").alias("n"))
     )
+    return by_event.groupBy(*group).agg(
+        F.min_by("text", "place").alias("text"),
+        F.min_by("event_id", "place").alias("event_id"),
+        F.min_by("context", "place").alias("context"),
+        F.min("place")["seq"].alias("first_seq"),
+        F.min("place")["ordinal"].alias("first_ordinal"),
+        F.sum("n").alias("occurrences"),
+        F.count("*").alias("support"),
+    )
+
+
+def candidate_sources(found: DataFrame) -> DataFrame:
+    """(project, norm, role, event_id): each event of each candidate group, a row an edge."""
+    return found.select("project", claim_norm(F.col("text")).alias("norm"), "role", "event_id").distinct()
 
 
 def queue_stops(found: DataFrame, cap: int) -> DataFrame:
@@ -119,6 +128,7 @@ def session_closure(events: DataFrame) -> DataFrame:
 
 def graded(events: DataFrame, selected: DataFrame, now: str) -> DataFrame:
     """Stamp the selected events that have no stamp yet."""
-    marked = events.join(selected.select("id").distinct().withColumn("_hit", F.lit(True)), "id", "left")
+    key = [c for c in ("project", "id") if c in events.columns and c in selected.columns]
+    marked = events.join(selected.select(*key).distinct().withColumn("_hit", F.lit(True)), key, "left")
     stamp = F.when(F.col("_hit"), F.coalesce("graded_at", F.lit(now))).otherwise(F.col("graded_at"))
     return marked.withColumn("graded_at", stamp).drop("_hit")

@@ -33,21 +33,31 @@ def add_links(links: DataFrame, new: DataFrame) -> DataFrame:
     return links.unionByName(fresh)
 
 
-def bump_support(facts: DataFrame, support: DataFrame, now: str) -> DataFrame:
-    """Add source events (fact_id, event_id) that a fact does not have yet."""
-    key = _key(facts, support)
-    gained = support.groupBy(*key).agg(F.array_sort(F.collect_set("event_id")).alias("_new"))
-    joined = facts.join(gained, key, "left")
-    added = F.array_except(F.coalesce("_new", F.array().cast("array<string>")), F.col("source_event_ids"))
-    more = F.size(added)
+def new_sources(facts: DataFrame, sources: DataFrame, support: DataFrame) -> DataFrame:
+    """Edges (project, fact_id, event_id) of ``support`` that ``sources`` lacks, each once; facts that are not there gain none.
+
+    The join with the known edges is by fact and event, so a fact with many sources is many
+    small keys.
+    """
+    key = _key(facts, support, sources)
+    edge = [*key, "event_id"]
+    fresh = support.select(*edge).distinct().join(sources.select(*edge), edge, "left_anti")
+    return fresh.join(facts.select(*key), key, "left_semi")
+
+
+def bump_support(facts: DataFrame, gained: DataFrame, now: str) -> DataFrame:
+    """Count the new source edges (see new_sources) of each fact."""
+    key = _key(facts, gained)
+    counted = gained.groupBy(*key).agg(F.count("*").alias("_more"))
+    joined = facts.join(counted, key, "left")
+    gains = F.col("_more").isNotNull()
     return joined.withColumns(
         {
-            "source_event_ids": F.concat("source_event_ids", added),
-            "support_count": F.col("support_count") + more,
-            "last_supported_at": F.when(more > 0, F.lit(now)).otherwise(F.col("last_supported_at")),
-            "updated_at": F.when(more > 0, F.lit(now)).otherwise(F.col("updated_at")),
+            "support_count": (F.col("support_count") + F.coalesce("_more", F.lit(0))).cast("int"),
+            "last_supported_at": F.when(gains, F.lit(now)).otherwise(F.col("last_supported_at")),
+            "updated_at": F.when(gains, F.lit(now)).otherwise(F.col("updated_at")),
         }
-    ).drop("_new")
+    ).drop("_more")
 
 
 def set_status(facts: DataFrame, ids: DataFrame, status: str, now: str) -> DataFrame:
@@ -110,18 +120,25 @@ def bump_and_expire_asks(facts: DataFrame, now: str, runs: int = ASK_RUNS) -> Da
     )
 
 
-def resolve(facts: DataFrame, links: DataFrame, fact_id: int, choice: str, now: str) -> tuple[DataFrame, DataFrame]:
-    """Settle an ask of one project: keep_new supersedes all its partners, keep_old retires it."""
-    found = facts.where(F.col("fact_id") == fact_id).select("status").first()
-    if found is None or found["status"] != "ask":
+def resolve(facts: DataFrame, links: DataFrame, fact_id: int, choice: str, now: str, project: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Settle an ask: keep_new supersedes all its partners, keep_old retires it.
+
+    ``project`` may be left out only where one project has a fact of that id.
+    """
+    here = F.col("fact_id") == fact_id
+    if project is not None:
+        here &= F.col("project") == project
+    found = facts.where(here).select("status").limit(2).collect()
+    if len(found) > 1:
+        raise ValueError(f"several projects have a fact {fact_id}")
+    if not found or found[0]["status"] != "ask":
         raise ValueError(f"fact {fact_id} is not an open ask")
     if choice not in RESOLVE_CHOICES:
         raise ValueError("choice is keep_new or keep_old")
-    own = facts.where(F.col("fact_id") == fact_id).select("fact_id")
-    project = [c for c in links.columns if c == "project"]
-    partners = links.where((F.col("fact_id") == fact_id) & (F.col("relation") == "contradicts")).select(
-        *project, F.col("related_id").alias("fact_id"), F.lit(fact_id).cast("bigint").alias("by_id")
-    )
+    key = _key(facts, links)
+    own = facts.where(here).select(*key)
+    edges = links.where("relation = 'contradicts'").join(own, key, "left_semi")
+    partners = edges.select(*key[:-1], F.col("related_id").alias("fact_id"), F.lit(fact_id).cast("bigint").alias("by_id"))
     if partners.isEmpty():
         raise ValueError(f"ask {fact_id} has no partners")
     if choice == "keep_old":
@@ -146,11 +163,18 @@ def open_asks(facts: DataFrame, links: DataFrame) -> DataFrame:
     return asks.join(first, ["project", "fact_id"], "left").select("project", "fact_id", "claim", "confidence", "p.partner_id", "p.partner_claim")
 
 
-def sessions_by_fact(facts: DataFrame, events: DataFrame) -> DataFrame:
-    """Distinct sessions behind each fact, one at least."""
-    sources = facts.select("fact_id", F.explode_outer("source_event_ids").alias("id"))
-    joined = sources.join(events.select("id", "session_id"), "id", "left")
-    return joined.groupBy("fact_id").agg(F.greatest(F.countDistinct("session_id"), F.lit(1)).alias("sessions"))
+def sessions_by_fact(facts: DataFrame, sources: DataFrame, events: DataFrame) -> DataFrame:
+    """Distinct sessions behind each fact, one at least.
+
+    sources: project, fact_id, event_id.  A fact and session are paired once before they are
+    counted, so no task holds the sources of a fact.
+    """
+    key = _key(facts, sources)
+    by = [c for c in ("project", "id") if c in sources.columns or c == "id"]
+    edges = sources.withColumnRenamed("event_id", "id")
+    pairs = edges.join(events.select(*by, "session_id"), by).select(*key, "session_id").where("session_id IS NOT NULL").distinct()
+    counts = pairs.groupBy(*key).agg(F.count("*").alias("_n"))
+    return facts.select(*key).join(counts, key, "left").select(*key, F.coalesce("_n", F.lit(1)).alias("sessions"))
 
 
 def category_place(category: Column) -> Column:

@@ -16,9 +16,9 @@ from gleaner.operators import batching, gates, judges, lifecycle, questions, sca
 from gleaner.operators import events as ev
 from gleaner.operators.retrieval import K1, KEEP, RETRIEVE, B, index_terms
 from gleaner.plans.scratch import Scratch
-from gleaner.plans.store import FACTS, LINKS
+from gleaner.plans.store import FACTS, LINKS, SOURCES
 
-__all__ = ["FACTS", "LINKS", "Outcome", "distill", "plan_run", "route"]
+__all__ = ["FACTS", "LINKS", "SOURCES", "Outcome", "distill", "plan_run", "route"]
 
 _TFS = "map<string,bigint>"
 _NONE_NEAR = (
@@ -220,6 +220,7 @@ class Outcome:
     candidate_answers: DataFrame
     pair_answers: DataFrame
     expired: DataFrame
+    sources: DataFrame  # edges from facts to events that the run adds
 
 
 def _asked(frame: DataFrame, phase, ask, judge: judges.Judge, states: DataFrame) -> DataFrame:
@@ -235,15 +236,16 @@ def pending_work(statements: DataFrame, put, cap: int = 50) -> tuple[DataFrame,
     return found, put(ev.queue_selection(pending, found, cap))
 
 
-def plan_run(work: tuple[DataFrame, DataFrame], facts: DataFrame, links: DataFrame, judge: judges.Judge, now: str, put, budget: int = batching.BUDGET, context: str = "{}") -> Outcome:
-    """One run over pending_work() and the facts and links of its projects.
+def plan_run(work: tuple[DataFrame, DataFrame], facts: DataFrame, links: DataFrame, judge: judges.Judge, now: str, put, budget: int = batching.BUDGET, context: str = "{}", sources: DataFrame | None = None) -> Outcome:
+    """One run over pending_work() and the facts, links and source edges (none if not given) of its projects.
 
     ``put`` writes and rereads a step that several others need (see Scratch).  ``context``
     is the JSON object that every request tells of the project; it counts in every batch.
     """
     found, queue = work
     chosen = queue.where("selected")
-    groups = ev.candidate_groups(found.join(chosen.select("project", "seq"), ["project", "seq"], "left_semi"))
+    taken = found.join(chosen.select("project", "seq"), ["project", "seq"], "left_semi")
+    groups = ev.candidate_groups(taken)
     order = Window.partitionBy("project").orderBy("first_seq", "first_ordinal")
     groups = groups.withColumn("ord", F.row_number().over(order).cast("bigint"))
 
@@ -308,14 +310,18 @@ def plan_run(work: tuple[DataFrame, DataFrame], facts: DataFrame, links: DataFra
     status = F.when(F.col("outcome") == "ask", "ask").otherwise("active")
     rows = new.select(
         "project", "fact_id", "claim", "category", F.nullif("context", F.lit("")).alias("context"), "significance",
-        fact_confidence(F.col("durable")).alias("confidence"), status.alias("status"), F.col("event_ids").alias("source_event_ids"),
-        F.size("event_ids").alias("support_count"), F.lit(0).alias("ask_seen_count"), F.lit(now).alias("created_at"),
+        fact_confidence(F.col("durable")).alias("confidence"), status.alias("status"),
+        F.col("support").cast("int").alias("support_count"), F.lit(0).alias("ask_seen_count"), F.lit(now).alias("created_at"),
         F.lit(now).alias("updated_at"), F.lit(now).alias("last_supported_at"), F.lit(None).cast("string").alias("verified_at"),
         F.lit(True).alias("indexed"),
     )
     facts = facts.unionByName(rows)
-    bumps = numbered(done.where("outcome = 'duplicate'").select("project", "target", "event_ids"), "target")
-    facts = lifecycle.bump_support(facts, bumps.select("project", F.col("target").alias("fact_id"), F.explode("event_ids").alias("event_id")), now)
+    edges_of = lambda owned: ev.candidate_sources(taken).join(owned, ["project", "norm", "role"]).select("project", "fact_id", "event_id")
+    own = edges_of(new.select("project", "norm", "role", "fact_id"))
+    twins = numbered(done.where("outcome = 'duplicate'").select("project", "norm", "role", F.col("target").alias("fact_id")), "fact_id")
+    known = own if sources is None else sources.select("project", "fact_id", "event_id").unionByName(own)
+    gained = put(lifecycle.new_sources(facts, known, edges_of(twins)))
+    facts = lifecycle.bump_support(facts, gained, now)
     replaced = numbered(new.where("outcome = 'supersede'").select("project", F.col("supersedes").alias("target"), "fact_id"), "target")
     replaced = replaced.select("project", F.col("target").alias("fact_id"), F.col("fact_id").alias("by_id"))
     edges = numbered(gates.conflict_edges(judged, best, ["project", "ord"]), "related_id")
@@ -325,7 +331,7 @@ def plan_run(work: tuple[DataFrame, DataFrame], facts: DataFrame, links: DataFra
     done = done.join(new.select("project", "ord", F.col("fact_id").alias("new_id")), ["project", "ord"], "left")
     pair_answers = numbered(pair_answers, "fact_id").withColumn("subject_id", F.concat_ws(":", "event_id", F.col("fact_id").cast("string")))
     done = numbered(numbered(done, "target"), "supersedes")
-    return Outcome(facts, links, queue, verdicts, done, candidate_answers, pair_answers, expired.where("expired").select("project", "fact_id"))
+    return Outcome(facts, links, queue, verdicts, done, candidate_answers, pair_answers, expired.where("expired").select("project", "fact_id"), own.unionByName(gained))
 
 
 def distill(statements: DataFrame, facts: DataFrame, links: DataFrame, answers, pair_answers, now: str, cap: int = 50):

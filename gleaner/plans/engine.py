@@ -62,7 +62,7 @@ class Engine:
 
     def compact(self) -> None:
         """One folder a table, one segment of the index; what no version reads any more is deleted."""
-        for name in ("events", "grades", "runs", "judgments"):
+        for name in ("events", "grades", "sources", "runs", "judgments"):
             if not self.store.table(name).isEmpty():
                 self.store.compact(name)
         postings, docs = search_index.segment(self._mine("facts").where("indexed"), self.store.version() + 1)
@@ -162,7 +162,7 @@ class Engine:
         try:
             told = json.dumps(context or {"name": self.project}, sort_keys=True, separators=(",", ":"))
             asking = self._journaled(judge or judges.normal_judge(), run_id, now, scratch.put)
-            run = ds.plan_run(work, facts, links, asking, now, scratch.put, budget, told)
+            run = ds.plan_run(work, facts, links, asking, now, scratch.put, budget, told, self._mine("sources"))
             stats = ds.run_stats(run).first().asDict()
             expiry = run.expired.select(
                 F.lit(run_id).cast("bigint").alias("run_id"), F.lit("fact").alias("subject_kind"), F.col("fact_id").cast("string").alias("subject_id"),
@@ -174,7 +174,7 @@ class Engine:
             kept = scratch.put(run.facts)
             self._log_run(
                 run_id, "distill", now, now, stats, None,
-                append={"judgments": self._receipt_ids(receipts, run_id), "grades": stamps, **self._index_changes(kept)}, replace={"facts": kept, "links": run.links},
+                append={"judgments": self._receipt_ids(receipts, run_id), "grades": stamps, "sources": run.sources, **self._index_changes(kept)}, replace={"facts": kept, "links": run.links},
             )
             return stats
         except BaseException as error:
@@ -273,7 +273,7 @@ class Engine:
         """Settle an open ask of this project, with a run and a receipt."""
         facts, links = self._mine("facts"), self._mine("links")
         partners = [r["partner_id"] for r in lifecycle.contradicts_partners(facts, links).where(F.col("fact_id") == fact_id).orderBy("seq").collect()]
-        facts, links = lifecycle.resolve(facts, links, fact_id, choice, now)
+        facts, links = lifecycle.resolve(facts, links, fact_id, choice, now, self.project)
         run_id = self._open_run("resolve", now)
         receipt = [(run_id, "fact", str(fact_id), "resolution", "choice", self._chosen(choice), now)]
         names = "run_id bigint, subject_kind string, subject_id string, question_id string, type string, answer_json string, created_at string"
@@ -326,6 +326,6 @@ class Engine:
     def memory_text(self, now: str | None = None) -> str:
         """The memory file; facts are rendered as they come from Spark, one at a time."""
         facts, asks = self.memory()
-        sessions = lifecycle.sessions_by_fact(self._mine("facts"), self._mine("events"))
-        rows: Iterable = facts.join(sessions, "fact_id", "left").transform(lifecycle.memory_order).toLocalIterator()
+        sessions = lifecycle.sessions_by_fact(self._mine("facts"), self._mine("sources"), self._mine("events"))
+        rows: Iterable = facts.join(sessions, ["project", "fact_id"], "left").transform(lifecycle.memory_order).toLocalIterator()
         return report.render_memory(rows, asks.toLocalIterator(), now)

@@ -483,6 +483,8 @@ SQL |= {
     "graded_stamps": f"""WITH {QUEUE}, ei AS (SELECT project, seq, sha256(coalesce(session_id, '') || chr(31) || {squeeze(redact('text'))}) AS id FROM st),
         tk AS (SELECT DISTINCT id FROM ei JOIN qu USING (project, seq) WHERE selected)
         SELECT id, seq, CASE WHEN id IN (SELECT id FROM tk) THEN '{_NOW}' ELSE 'pending' END AS graded_at FROM ei""",
+    "fact_sources": f"""WITH {JUDGED} SELECT DISTINCT pa.project, first_seq * 4096 + first_ordinal AS fact_id, ca.event_id
+        FROM pa JOIN ca ON ca.project = pa.project AND ca.role = pa.role AND {norm('ca.text')} = pa.norm WHERE drop_reason IS NULL""",
     "support_counts": f"WITH {CANDIDATES} SELECT project, {norm('text')} AS norm, role, count(DISTINCT event_id) AS support_count, count(*) AS occurrences FROM ca GROUP BY 1, 2, 3",
     "support_bumps": f"""WITH {CANDIDATES} SELECT project, {norm('text')} AS norm, count(DISTINCT event_id) AS support_count, count(DISTINCT event_id) AS events,
         CASE WHEN count(DISTINCT event_id) > 1 THEN '{_NOW}' ELSE 'then' END AS last_supported_at FROM ca GROUP BY 1, 2""",

@@ -253,15 +253,20 @@ def conflict_edges(spark, sf_dir):
 
 
 def sessions_by_fact(spark, sf_dir):
-    found = _candidates(spark, sf_dir).withColumn("fact_id", tx.claim_norm(F.col("text")))
-    facts = found.groupBy("fact_id").agg(F.collect_set("event_id").alias("source_event_ids"))
-    sessions = lifecycle.sessions_by_fact(facts, found.select(F.col("event_id").alias("id"), "session_id").distinct())
-    joined = sessions.join(facts, "fact_id")
-    return joined.select(
-        F.col("fact_id").alias("norm"),
-        F.col("sessions").cast("bigint").alias("sessions"),
-        F.size("source_event_ids").cast("bigint").alias("support_count"),
-    )
+    """Sessions and events behind each normalised claim, from its source edges."""
+    found = scratch.Scratch(spark).put(_candidates(spark, sf_dir).select("project", "event_id", "session_id", "role", "text"))
+    sources = events.candidate_sources(found).select(F.col("norm").alias("fact_id"), "event_id").distinct()
+    facts = sources.groupBy("fact_id").agg(F.count("*").alias("support_count"))
+    sessions = lifecycle.sessions_by_fact(facts, sources, found.select(F.col("event_id").alias("id"), "session_id").distinct())
+    return sessions.join(facts, "fact_id").select(F.col("fact_id").alias("norm"), "sessions", "support_count")
+
+
+def fact_sources(spark, sf_dir):
+    """The edges from kept groups, as facts, to the events that say them."""
+    kept = _phase_a(spark, sf_dir).where("kept")
+    facts = kept.select("project", "norm", "role", (F.shiftleft("first_seq", 12) + F.col("first_ordinal")).alias("fact_id"))
+    edges = events.candidate_sources(_candidates(spark, sf_dir)).join(facts, ["project", "norm", "role"])
+    return edges.select("project", "fact_id", "event_id")
 
 
 def evidence_pool(spark, sf_dir):
@@ -558,19 +563,22 @@ def graded_stamps(spark, sf_dir):
 
 
 def support_counts(spark, sf_dir):
-    return _groups(spark, sf_dir).select("project", "norm", "role", F.size("event_ids").cast("bigint").alias("support_count"), "occurrences")
+    return _groups(spark, sf_dir).select("project", "norm", "role", F.col("support").alias("support_count"), "occurrences")
 
 
 def support_bumps(spark, sf_dir):
     """Facts that know their first event gain the others of the same normalised claim."""
-    found = _candidates(spark, sf_dir).withColumn("norm", tx.claim_norm(F.col("text")))
-    facts = found.groupBy("project", "norm").agg(
-        F.min("seq").alias("fact_id"), F.array(F.min_by("event_id", F.struct("seq", "ordinal"))).alias("source_event_ids")
-    )
-    facts = facts.withColumns({"support_count": F.lit(1), "last_supported_at": F.lit("then"), "updated_at": F.lit("then")}).withColumn("fact_id", F.xxhash64("project", "norm"))
-    support = found.select("project", F.xxhash64("project", "norm").alias("fact_id"), "event_id")
-    bumped = lifecycle.bump_support(facts, support, NOW)
-    return bumped.select("project", "norm", F.col("support_count").cast("bigint").alias("support_count"), F.size("source_event_ids").cast("bigint").alias("events"), "last_supported_at")
+    put = scratch.Scratch(spark).put
+    norm = tx.claim_norm(F.col("text"))
+    found = put(_candidates(spark, sf_dir).select("project", "seq", "ordinal", "event_id", norm.alias("norm"), F.xxhash64("project", norm).alias("fact_id")))
+    key = ["project", "fact_id"]
+    facts = found.groupBy(*key, "norm").agg(F.min_by("event_id", F.struct("seq", "ordinal")).alias("event_id"))
+    known = put(facts.withColumns({"support_count": F.lit(1), "last_supported_at": F.lit("then"), "updated_at": F.lit("then")}))
+    sources = known.select(*key, "event_id")
+    gained = put(lifecycle.new_sources(known, sources, found))
+    bumped = lifecycle.bump_support(known.drop("event_id"), gained, NOW)
+    edges = sources.unionByName(gained).groupBy(*key).agg(F.count("*").alias("events"))
+    return bumped.join(edges, key).select("project", "norm", F.col("support_count").cast("bigint").alias("support_count"), "events", "last_supported_at")
 
 
 def _superseded(spark, sf_dir):
@@ -736,7 +744,7 @@ QUERIES = {
         fact_status_counts, last_run, markup_strip, stale_badge, resolve_and_expire, payload_json, memory_lines,
         memory_corpus, claim_hashes, project_slugs, display_lines, role_histogram, stamp_parse, json_sizes, peaked_scores,
         answer_checks, phase_a_batches, phase_b_batches, question_wire, judge_receipts, answers_by_position, request_states, batch_spend, audit_offline, planted_dispositions,
-        judge_doubles, queue_deferred, graded_stamps, support_counts, support_bumps, supersede_facts, supersede_links,
+        judge_doubles, queue_deferred, graded_stamps, fact_sources, support_counts, support_bumps, supersede_facts, supersede_links,
         status_changes, ask_partners, open_asks, active_facts, ask_facts, search_topk, jaccard_pairs, run_counts,
         anchor_fidelity, detect_dialects, transcript_roots, pinned_list, log_events, transcript_files, route_candidates, distill_offline,
     )

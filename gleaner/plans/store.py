@@ -24,22 +24,24 @@ from pyspark.sql import types as T
 
 from gleaner.operators import search_index
 
-SCHEMA_VERSION = 3
+SCHEMA_VERSION = 4
 
 EVENTS = "project string, id string, source string, session_id string, seq bigint, ts string, role string, text string, created_at string, graded_at string"
 GRADES = "project string, id string, graded_at string"
 FACTS = (
     "project string, fact_id bigint, claim string, category string, context string, significance double, confidence double, "
-    "status string, source_event_ids array<string>, support_count int, ask_seen_count int, created_at string, updated_at string, "
+    "status string, support_count int, ask_seen_count int, created_at string, updated_at string, "
     "last_supported_at string, verified_at string, indexed boolean"
 )
+#: The events that say a fact, an edge a row; only ever added to.
+SOURCES = "project string, fact_id bigint, event_id string"
 LINKS = "project string, fact_id bigint, related_id bigint, relation string, seq bigint"
 RUNS = "id bigint, project string, kind string, started_at string, finished_at string, stats string, error string"
 JUDGMENTS = "id bigint, run_id bigint, subject_kind string, subject_id string, question_id string, type string, answer_json string, created_at string"
 #: Answers as they came, by the key of their question, whatever became of the run.
 ANSWERS = "project string, run_id bigint, key string, subject_kind string, subject_id string, question_id string, type string, answer string, created_at string"
 MARKERS = "project string, enabled_at string"
-SCHEMAS = {"events": EVENTS, "grades": GRADES, "facts": FACTS, "links": LINKS, "runs": RUNS, "judgments": JUDGMENTS, "answers": ANSWERS, "markers": MARKERS, **search_index.SCHEMAS}
+SCHEMAS = {"events": EVENTS, "grades": GRADES, "facts": FACTS, "sources": SOURCES, "links": LINKS, "runs": RUNS, "judgments": JUDGMENTS, "answers": ANSWERS, "markers": MARKERS, **search_index.SCHEMAS}
 _LOG = "version bigint, schema_version int, name string, project string, folder string, replaces boolean"
 
 
@@ -79,21 +81,33 @@ class Store:
         except AnalysisException:
             return None
 
-    def version(self) -> int:
-        """The newest published version; 0 if there is none."""
+    def _newest(self) -> tuple[int, int]:
+        """The newest version and its schema; an empty store is at version 0 of this schema."""
         log = self._log()
         row = log.agg(F.max("version").alias("v"), F.max("schema_version").alias("s")).first() if log is not None else None
         if row is None or row["v"] is None:
-            return 0
+            return 0, SCHEMA_VERSION
         if row["s"] > SCHEMA_VERSION:
             raise SchemaVersionError(f"store has schema {row['s']}, this code knows {SCHEMA_VERSION}")
-        return row["v"]
+        return row["v"], row["s"]
+
+    def version(self) -> int:
+        """The newest published version; 0 if there is none."""
+        return self._newest()[0]
 
     def migrate(self) -> int:
-        """Bring an older store to this schema; columns that it lacks read as null."""
-        log = self._log()
-        found = log.agg(F.max("schema_version")).first()[0] if log is not None else None
-        return self.version() if found in (None, SCHEMA_VERSION) else self.publish()
+        """Bring an older store to this schema; columns that it lacks read as null.
+
+        Before schema 4 a fact's row had its sources as an array; they become edges.
+        """
+        version, found = self._newest()
+        if found == SCHEMA_VERSION:
+            return version
+        append = {}
+        if self._folders("facts", version):
+            facts = self._read("facts", version, f"{FACTS}, source_event_ids array<string>")
+            append["sources"] = facts.select("project", "fact_id", F.explode("source_event_ids").alias("event_id")).distinct()
+        return self._write(version + 1, append, {}, None)
 
     def _parts(self, name: str, version: int) -> list[tuple[str, frozenset]]:
         """(folder, projects whose rows in it do not count) of a table.
@@ -113,14 +127,14 @@ class Store:
     def _folders(self, name: str, version: int) -> list[str]:
         return [f for f, _ in self._parts(name, version)]
 
-    def _read(self, name: str, version: int) -> DataFrame:
+    def _read(self, name: str, version: int, schema: str | None = None) -> DataFrame:
         """All rows of a table that has some, as they were written."""
         by_out: dict[frozenset, list[str]] = {}
         for folder, out in self._parts(name, version):
             by_out.setdefault(out, []).append(folder)
         frames = []
         for out, folders in by_out.items():
-            df = self.spark.read.schema(T.StructType.fromDDL(self.schemas[name])).parquet(*folders)
+            df = self.spark.read.schema(T.StructType.fromDDL(schema or self.schemas[name])).parquet(*folders)
             frames.append(df.where(F.col("project").isNull() | ~F.col("project").isin(*sorted(out))) if out else df)
         return reduce(DataFrame.unionByName, frames)
 
@@ -143,11 +157,15 @@ class Store:
         """Write frames and log them as the next version.
 
         ``replace`` is for one project's rows, or with no project for the whole table.
+        An older store is brought to this schema first.
         """
         if self.read_only:
             raise PermissionError("the store is open for reading only")
-        version, rows = self.version() + 1, []
-        for replaces, frames in ((False, append or {}), (True, replace or {})):
+        return self._write(self.migrate() + 1, append or {}, replace or {}, project)
+
+    def _write(self, version: int, append: dict[str, DataFrame], replace: dict[str, DataFrame], project: str | None) -> int:
+        rows = []
+        for replaces, frames in ((False, append), (True, replace)):
             for name, df in frames.items():
                 schema = T.StructType.fromDDL(self.schemas[name])
                 columns = [F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema]

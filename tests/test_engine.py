@@ -11,9 +11,9 @@ from gleaner.functions import text as tx
 from gleaner.operators import audit, batching, gates, judges, lifecycle
 from gleaner.operators import questions as q
 from gleaner.plans import report
-from gleaner.plans.distill import FACTS, LINKS, distill, route
+from gleaner.plans.distill import FACTS, LINKS, SOURCES, distill, route
 from gleaner.plans.engine import Engine, GradingNotEnabledError
-from gleaner.plans.store import SchemaVersionError, Store
+from gleaner.plans.store import SCHEMA_VERSION, SchemaVersionError, Store
 from gleaner.sources import memory_file, transcripts
 from gleaner.streaming.ingest import failed_paths, ingest_stream, retry_failed
 
@@ -221,7 +221,7 @@ def test_routing_sees_facts_of_the_same_run(spark):
 
 
 def fact(i, status="active", claim="c", **k):
-    base = dict(project="p", fact_id=i, claim=claim, category="convention", context=None, significance=1.0, confidence=0.5, status=status, source_event_ids=["e"], support_count=1, ask_seen_count=0, created_at=NOW, updated_at=NOW, last_supported_at=NOW, verified_at=None, indexed=status in ("active", "ask"))  # noqa: C408
+    base = dict(project="p", fact_id=i, claim=claim, category="convention", context=None, significance=1.0, confidence=0.5, status=status, support_count=1, ask_seen_count=0, created_at=NOW, updated_at=NOW, last_supported_at=NOW, verified_at=None, indexed=status in ("active", "ask"))  # noqa: C408
     return {**base, **k}
 
 
@@ -234,15 +234,25 @@ def test_lifecycle(spark):
     facts = facts_frame(spark, fact(1), fact(2, "ask", ask_seen_count=2), fact(3, "ask"))
     out = {r.fact_id: r for r in lifecycle.bump_and_expire_asks(facts, "n").collect()}
     assert (out[2].status, out[2].expired, out[3].status, out[3].ask_seen_count) == ("retired", True, "ask", 1)
-    support = spark.createDataFrame([(1, "e"), (1, "f"), (1, "f")], "fact_id bigint, event_id string")
-    bumped = lifecycle.bump_support(facts, support, "n").where("fact_id = 1").first()
-    assert bumped.support_count == 2 and bumped.source_event_ids == ["e", "f"]
+    edges = lambda *rows: spark.createDataFrame([("p", *r) for r in rows], SOURCES)
+    gained = lifecycle.new_sources(facts, edges((1, "e")), edges((1, "e"), (1, "f"), (1, "f"), (9, "g"), (1, None)))
+    assert {(r.fact_id, r.event_id) for r in gained.collect()} == {(1, "f"), (1, None)}
+    bumped = {r.fact_id: r for r in lifecycle.bump_support(facts, gained, "n").collect()}
+    assert bumped[1].support_count == 3 and bumped[1].last_supported_at == "n" and bumped[2].support_count == 1 and bumped[2].updated_at == NOW
+    said = spark.createDataFrame([("p", "e", "s"), ("p", "f", "s"), ("p", "g", "t"), ("q", "e", "u")], "project string, id string, session_id string")
+    sessions = lifecycle.sessions_by_fact(facts, edges((1, "e"), (1, "f"), (2, "e"), (2, "g"), (2, "gone")), said)
+    assert {r.fact_id: r.sessions for r in sessions.collect()} == {1: 1, 2: 2, 3: 1}
     links = spark.createDataFrame([(3, 1, "contradicts")], "fact_id bigint, related_id bigint, relation string")
     new, edges = lifecycle.resolve(facts, links, 3, "keep_new", "n")
     assert {r.fact_id: r.status for r in new.collect()} == {1: "superseded", 2: "ask", 3: "active"}
     assert {(r.fact_id, r.related_id, r.relation) for r in edges.collect()} == {(3, 1, "contradicts"), (3, 1, "supersedes")}
     old, _ = lifecycle.resolve(facts, links, 3, "keep_old", "n")
     assert old.where("fact_id = 3").first().status == "retired"
+    twice, both = facts.unionByName(facts_frame(spark, fact(3, "ask", project="q"))), spark.createDataFrame([("q", 3, 1, "contradicts", 1)], LINKS)
+    with pytest.raises(ValueError, match="several projects"):
+        lifecycle.resolve(twice, both, 3, "keep_old", "n")
+    settled = lifecycle.resolve(twice, both, 3, "keep_old", "n", "q")[0]
+    assert {(r.project, r.status) for r in settled.where("fact_id = 3").collect()} == {("p", "ask"), ("q", "retired")}
     for bad in ((1, "keep_new"), (9, "keep_new"), (3, "other"), (2, "keep_new")):
         with pytest.raises(ValueError):
             lifecycle.resolve(facts, links, *bad, "n")
@@ -296,6 +306,8 @@ def test_engine_end_to_end(spark, tmp_path):
     types = {(r.question_id, r.type) for r in engine.store.table("judgments").where("subject_kind = 'candidate'").collect()}
     assert types == {("durable", "noul"), ("category", "choice"), ("significance", "score")}
     assert engine.store.table("judgments").select("id").distinct().count() == 12
+    edges = engine.store.table("sources")
+    assert edges.count() == 3 and edges.select("fact_id").distinct().count() == 3
     text = engine.memory_text(NOW)
     assert text.count("\n- ") == 3 and "seen in 1 session " in text and "said Jan 2" in text
     target = tmp_path / "MEMORY.md"
@@ -323,7 +335,7 @@ def test_store_refuses_newer_schemas(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         Store(spark, str(tmp_path / "none"), read_only=True)
     log = spark.read.parquet(f"{tmp_path}/log")
-    spark.createDataFrame([(9, 4, None, None, None, False)], log.schema).write.mode("append").parquet(f"{tmp_path}/log")
+    spark.createDataFrame([(9, SCHEMA_VERSION + 1, None, None, None, False)], log.schema).write.mode("append").parquet(f"{tmp_path}/log")
     with pytest.raises(SchemaVersionError):
         store.version()
     with pytest.raises(SchemaVersionError):
@@ -331,20 +343,26 @@ def test_store_refuses_newer_schemas(spark, tmp_path):
 
 
 def test_older_stores_are_brought_up_to_date(spark, tmp_path):
-    """A first-schema store has events only, a second-schema one facts without an audit mark."""
-    for schema in (1, 2):
+    """A first-schema store has events only, a second-schema one facts without an audit mark; up to the third a fact has its sources."""
+    for schema in (1, 2, 3):
         root = f"{tmp_path}/{schema}"
         spark.createDataFrame([("p", "e1", "user", "some text")], "project string, id string, role string, text string").write.parquet(f"{root}/data/events/a")
         rows = [(1, schema, "events", None, "data/events/a", False)]
-        if schema == 2:
-            facts_frame(spark, fact(1)).drop("verified_at").write.parquet(f"{root}/data/facts/a")
+        if schema > 1:
+            facts = facts_frame(spark, fact(1)).withColumn("source_event_ids", F.array(F.lit("e1"), F.lit("e2")))
+            facts.drop(*["verified_at"][schema - 2 :]).write.parquet(f"{root}/data/facts/a")
             rows.append((1, schema, "facts", None, "data/facts/a", False))
         spark.createDataFrame(rows, "version bigint, schema_version int, name string, project string, folder string, replaces boolean").write.parquet(f"{root}/log")
         with pytest.raises(SchemaVersionError):
             Store(spark, root, read_only=True)
-        assert Engine(spark, root, "p").init() == 2 and Store(spark, root, read_only=True).version() == 2
+        if schema == 3:  # a write does it, too
+            assert Store(spark, root).publish() == 3
+        else:
+            assert Engine(spark, root, "p").init() == 2
+        assert Store(spark, root, read_only=True).version() == max(2, schema)
         assert Store(spark, root).table("events").first().graded_at is None
-        assert [r.verified_at for r in Store(spark, root).table("facts").collect()] == [None] * (schema - 1)
+        assert [r.verified_at for r in Store(spark, root).table("facts").collect()] == [None] * (schema > 1)
+        assert {(r.fact_id, r.event_id) for r in Store(spark, root).table("sources").collect()} == ({(1, "e1"), (1, "e2")} if schema > 1 else set())
 
 
 def test_streaming_ingest(spark, tmp_path):

@@ -108,7 +108,7 @@ def test_engine_keeps_its_index(spark, tmp_path):
 
     engine = Engine(spark, str(tmp_path), "p")
     fact = dict.fromkeys([c.split()[0] for c in FACTS.split(", ")])
-    fact |= {"project": "p", "significance": 1.0, "confidence": 0.5, "source_event_ids": ["e"], "support_count": 1, "ask_seen_count": 0}
+    fact |= {"project": "p", "significance": 1.0, "confidence": 0.5, "support_count": 1, "ask_seen_count": 0}
     rows = [fact | {"fact_id": i, "claim": c, "status": s, "indexed": True} for i, (c, s) in enumerate([("red apples", "active"), ("green apples", "ask"), ("plum jam", "active")], 1)]
     links = spark.createDataFrame([("p", 2, 1, "contradicts", 1)], "project string, fact_id bigint, related_id bigint, relation string, seq bigint")
     engine.store.publish(append={"facts": spark.createDataFrame(rows, FACTS), "links": links}, project="p")
