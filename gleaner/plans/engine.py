@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +13,7 @@ from gleaner.operators import audit as au
 from gleaner.operators import batching, gates, judges, lifecycle, questions, retrieval, search_index
 from gleaner.operators.events import dedupe_events
 from gleaner.plans import distill as ds
-from gleaner.plans import report
+from gleaner.plans import memory_sink, report
 from gleaner.plans.scratch import Scratch
 from gleaner.plans.store import Store
 from gleaner.sources import memory_file, status_log, transcripts
@@ -323,9 +322,17 @@ class Engine:
         facts = self._mine("facts")
         return lifecycle.memory_order(facts), lifecycle.open_asks(facts, self._mine("links")).orderBy("fact_id")
 
-    def memory_text(self, now: str | None = None) -> str:
-        """The memory file; facts are rendered as they come from Spark, one at a time."""
-        facts, asks = self.memory()
+    def _memory_lines(self, now: str | None) -> DataFrame:
+        facts = self._mine("facts")
         sessions = lifecycle.sessions_by_fact(self._mine("facts"), self._mine("sources"), self._mine("events"))
-        rows: Iterable = facts.join(sessions, ["project", "fact_id"], "left").transform(lifecycle.memory_order).toLocalIterator()
-        return report.render_memory(rows, asks.toLocalIterator(), now)
+        told = facts.join(sessions, ["project", "fact_id"], "left")
+        return memory_sink.memory_file_lines(told, lifecycle.open_asks(facts, self._mine("links")), now)
+
+    def memory_text(self, now: str | None = None) -> str:
+        """The memory file as a string; write_memory() is for files that the driver should not hold."""
+        lines = self._memory_lines(now).orderBy(*memory_sink.ORDER).select("line")
+        return "".join(r["line"] + "\n" for r in lines.toLocalIterator())
+
+    def write_memory(self, path: str, now: str | None = None, force: bool = False) -> None:
+        """Write the memory file from Spark; a file that this engine did not make is kept unless forced."""
+        memory_sink.write_file(self._memory_lines(now), path, force)

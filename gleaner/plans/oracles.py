@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from gleaner.functions.text import LEVELS
+from gleaner.plans.report import SENTINEL
 from gleaner.sources import transcripts
 
 
@@ -381,6 +383,10 @@ _EDGES = f"""{_ENDS}, ed AS (
 _LOG = "CASE WHEN event_type = 'view' THEN 'ingest' ELSE event_type END"
 
 
+def _clip200(x: str) -> str:
+    return f"CASE WHEN length({x}) <= 200 THEN {x} ELSE rtrim(substr({x}, 1, 199)) || '…' END"
+
+
 def _problems() -> str:
     """DuckDB's reading of the answers in gleaner.plans.queries.ANSWERS."""
     from gleaner.plans.queries import ANSWERS
@@ -502,6 +508,17 @@ SQL |= {
     "open_asks": f"""WITH {_EDGES}, f1 AS (SELECT project, fact_id, arg_min(partner_id, seq) AS partner_id FROM ed GROUP BY ALL)
         SELECT fa.project, fa.fact_id, fa.claim, coalesce(f1.partner_id, -1) AS partner_id, coalesce(o.claim, '-') AS partner_claim
         FROM fa LEFT JOIN f1 USING (project, fact_id) LEFT JOIN fa o ON o.project = fa.project AND o.fact_id = f1.partner_id WHERE fa.status = 'ask'""",
+    "memory_file_text": f"""WITH {_EDGES}, f1 AS (SELECT project, fact_id, arg_min(partner_id, seq) AS partner_id FROM ed GROUP BY ALL),
+        mf AS (SELECT *, list_position({list(CATEGORIES)!r}, category) AS block, make_date(1998, (fact_id % 9 + 1)::INT, 5) AS said FROM fa WHERE status = 'active' AND category != 'none')
+        SELECT 0 AS block, 0 AS kind, 0 AS fact_id, '{SENTINEL}' || chr(10) || '# Memory' || CASE WHEN count(*) = 0 THEN chr(10) ELSE '' END AS line FROM mf
+        UNION ALL SELECT DISTINCT block, 0, 0, chr(10) || '## ' || upper(substr(category, 1, 1)) || substr(category, 2) FROM mf
+        UNION ALL SELECT block, 1, fact_id, '- "' || regexp_replace(claim, '\\r\\n|\\r|\\n', ' ', 'g') || '" (`' || category || ' · ' || ([{', '.join(repr(x) for x in LEVELS)}])[{_LEVEL} + 1]
+            || '` · confidence ' || printf('%.2f', confidence) || ' · ' || CASE WHEN fact_id % 2 = 0 THEN 'seen in ' || fact_id % 3 || ' session' || CASE WHEN fact_id % 3 = 1 THEN '' ELSE 's' END
+               ELSE 'seen ' || fact_id % 4 || ' time' || CASE WHEN fact_id % 4 = 1 THEN '' ELSE 's' END END || ' · said ' || strftime(said, '%b %-d')
+            || CASE WHEN DATE '1998-08-02' - said > 30 THEN ' · stale' ELSE '' END || CASE WHEN category = 'tooling' THEN ' · audit mark ' || strftime(said, '%b %-d') ELSE ' · unverified' END || ')' FROM mf
+        UNION ALL SELECT 100, 0, 0, chr(10) || '## Needs a decision' WHERE EXISTS (SELECT 1 FROM fa WHERE status = 'ask')
+        UNION ALL SELECT 100, 1, a.fact_id, '- #' || a.fact_id || ': ' || {_clip200(squeeze('a.claim'))} || ' / ' || {_clip200(squeeze("coalesce(o.claim, '-')"))}
+        FROM fa a LEFT JOIN f1 USING (project, fact_id) LEFT JOIN fa o ON o.project = a.project AND o.fact_id = f1.partner_id WHERE a.status = 'ask'""",
     "active_facts": f"WITH {FACTS} SELECT project, fact_id, claim, category FROM fa WHERE status = 'active'",
     "ask_facts": f"WITH {FACTS} SELECT project, fact_id, claim, category FROM fa WHERE status = 'ask'",
     "search_topk": "WITH " + SIMILAR.replace("rank <= 10", "rank <= 16").replace("place <= 5", "place <= 8") + " SELECT query_id, fact_id, place, round(jaccard, 6) AS jaccard FROM si",

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import chunking, redaction
 from gleaner.functions import text as tx
 from gleaner.operators import audit, batching, events, gates, judges, lifecycle, questions, retrieval, search_index
-from gleaner.plans import distill, scratch
+from gleaner.plans import distill, memory_sink, scratch
 from gleaner.sources import memory_file, status_log, transcripts
 
 CAP = 50
@@ -308,6 +308,16 @@ def memory_order(spark, sf_dir):
     return facts.select(F.col("place").cast("bigint").alias("place"), "fact_id", "category", tx.significance_word(F.col("significance")).alias("level"))
 
 
+def memory_file_text(spark, sf_dir):
+    """All lines of the memory file of all facts, in blocks of a heading and its facts, then open asks."""
+    facts, links = _conflicts(spark, sf_dir)
+    stamp = F.concat(F.lit("1998-0"), (F.pmod("fact_id", F.lit(9)) + 1).cast("string"), F.lit("-05T00:00:00Z"))
+    told = {"sessions": F.when(F.col("fact_id") % 2 == 0, F.pmod("fact_id", F.lit(3))), "support_count": F.pmod("fact_id", F.lit(4)), "created_at": stamp, "last_supported_at": F.lit(None).cast("string")}
+    facts = facts.withColumns(told | {"verified_at": F.when(F.col("category") == "tooling", stamp)})
+    lines = memory_sink.memory_file_lines(facts, lifecycle.open_asks(facts, links), "1998-08-02T00:00:00Z")
+    return lines.select("block", "kind", "fact_id", "line")
+
+
 def recall_topk(spark, sf_dir):
     top = lifecycle.recall_topk(_facts(spark, sf_dir))
     order = Window.orderBy(F.desc("confidence"), "fact_id")
@@ -740,7 +750,7 @@ QUERIES = {
         chunk_conversations, chunk_documents, context_window, candidates, candidate_groups, queue_selection,
         session_closure, phase_a_gate, phase_a_counts, code_duplicates, anchor_lines, unanchored_lines, claim_tokens,
         bm25_topk, retrieve_similar, pair_actions, best_pair, conflict_edges, sessions_by_fact, evidence_pool,
-        line_verdicts, disposition_counts, confusion_matrix, judge_accuracy, memory_order, status_counts,
+        line_verdicts, disposition_counts, confusion_matrix, judge_accuracy, memory_order, memory_file_text, status_counts,
         fact_status_counts, last_run, markup_strip, stale_badge, resolve_and_expire, payload_json, memory_lines,
         memory_corpus, claim_hashes, project_slugs, display_lines, role_histogram, stamp_parse, json_sizes, peaked_scores,
         answer_checks, phase_a_batches, phase_b_batches, question_wire, judge_receipts, answers_by_position, request_states, batch_spend, audit_offline, planted_dispositions,
