@@ -13,8 +13,9 @@ indexed, and a long list only where a text has too few short ones.
 
 Steps, each a Spark job over partitioned data:
 
-1. ``marks``: doc_id, set size, class key (a hash of the set: copies collapse into
-   one class) and a histogram of the set with about a cell for each shingle.
+1. ``survey``: doc_id, set size, class key (a hash of the set: copies collapse into
+   one class), a histogram of the set with about a cell for each shingle, the set's
+   first shingles, and what recurs.
 2. ``lists``: (shingle, class) rows of lists with two classes or more.  Short lists
    travel packed in arrays by hash bucket, and lists of one, by far the most, end in
    the reducer; long lists stay rows, so none is ever gathered into one task.
@@ -147,34 +148,85 @@ def _distinct_sets(column: pa.Array, size: int) -> dict[int, np.ndarray]:
     return {class_key(s): s for s in shingle_sets(column, size) if len(s)}
 
 
-def long_lists(docs: DataFrame, size: int, least: int):
-    """Bitmap of shingles with long lists."""
+def _recurring(sets) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of the sets have, and how many do."""
+    value, count = np.unique(np.concatenate(list(sets)), return_counts=True)
+    again = count > 1
+    return value[again].view(np.int64), count[again].astype(np.int64)
+
+
+def _survey(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """One pass over the texts: a row of marks and ``head`` for each document (``is_doc``), and rows of
+    ``again``: shingles that recur within about PART shingles, copies left out.
 
-    def recurring(sets):
-        value, count = np.unique(np.concatenate(list(sets.values())), return_counts=True)
-        again = count > 1
-        columns = [pa.array(value[again].view(np.int64)), pa.array(count[again].astype(np.int64))]
-        return pa.RecordBatch.from_arrays(columns, ["token", "n"])
+    A head is the set's first shingles, half as many again as ``_postings`` wants of short lists.
+    """
+    names = ["is_doc", "doc_id", "n", "key", "cells", "head", "again"]
+    pair = pa.struct([("token", pa.int64()), ("n", pa.int64())])
+
+    def found(sets):
+        token, n = _recurring(sets)
+        again = pa.ListArray.from_arrays(pa.array([0, len(token)], pa.int32()), pa.StructArray.from_arrays([pa.array(token), pa.array(n)], fields=list(pair)))
+        none = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())]
+        return pa.RecordBatch.from_arrays([pa.array([False]), *none, again], names)
 
     def run(batches):
-        sets, held = {}, 0
+        part, held = {}, 0
         for batch in batches:
-            for key, s in _distinct_sets(batch.column(1), size).items():
-                held += len(s) * (key not in sets)
-                sets[key] = s
-                if held >= PART:
-                    yield recurring(sets)
-                    sets, held = {}, 0
-        if sets:
-            yield recurring(sets)
-
-    found = docs.mapInArrow(frugal(run), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+            sets = shingle_sets(batch.column(1), size)
+            keys = [class_key(s) if len(s) else None for s in sets]
+            columns = [
+                pa.array(np.ones(len(sets), bool)),
+                batch.column(0),
+                pa.array([len(s) for s in sets], pa.int64()),
+                pa.array(keys, pa.int64()),
+                pa.array([histogram(s) if len(s) else None for s in sets], pa.binary()),
+                pa.array([s[: _head(len(s), percent)].tobytes() for s in sets], pa.binary()),
+                pa.nulls(len(sets), pa.list_(pair)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names)
+            for key, s in zip(keys, sets):
+                if len(s):
+                    held += len(s) * (key not in part)
+                    part[key] = s
+            if held >= PART:
+                yield found(part.values())
+                part, held = {}, 0
+        if part:
+            yield found(part.values())
+
+    schema = "is_doc boolean, doc_id bigint, n bigint, key bigint, cells binary, head binary, again array<struct<token:bigint,n:bigint>>"
+    return docs.mapInArrow(frugal(run), schema)
+
+
+def long_lists(survey: DataFrame, least: int):
+    """Bitmap of shingles with long lists."""
+    found = survey.where("NOT is_doc").select(F.inline("again")).groupBy("token").agg(F.sum("n").alias("n"))
     return hash_bitmap(found.where(F.col("n") >= least), F.col("token"))
 
 
-def _postings(docs: DataFrame, size: int, percent: int, is_long, buckets: int) -> DataFrame:
+def _need(n: int, percent: int) -> int:
+    """Shingles of a set of n that are indexed."""
+    return n - int(least_overlap(n, percent)) + 1
+
+
+def _head(n: int, percent: int) -> int:
+    return min(n, _need(n, percent) * 3 // 2 + 8)
+
+
+def _long(is_long, sets: list[np.ndarray]) -> list[np.ndarray]:
+    """Of each set, which shingles have long lists."""
+    if not sets:
+        return []
+    return np.split(in_bitmap(is_long.value, np.concatenate(sets)), np.cumsum([len(s) for s in sets])[:-1])
+
+
+def _postings(rows: DataFrame, sets_of, percent: int, is_long, buckets: int) -> DataFrame:
     """Indexed (shingle, class) pairs, packed by bucket.
 
+    ``sets_of`` gives (key, set size, shingles) of a batch of ``rows``: whole sets, or heads, which
+    are passed over if they lack some of what is indexed.
+
     Pairs of short lists go to a bucket by their shingle, so that a list is complete there;
     those of long lists by their class, so that no list has to be in one place.
     """
@@ -210,10 +262,12 @@ def _postings(docs: DataFrame, size: int, percent: int, is_long, buckets: int) -
             return pa.RecordBatch.from_arrays(columns, ["bucket", "tokens", "keys", "long"])
 
         for batch in batches:
-            for key, s in _distinct_sets(batch.column(1), size).items():
-                need = len(s) - least_overlap(len(s), percent) + 1
-                long_ = in_bitmap(is_long.value, s)
+            some = sets_of(batch)
+            for (key, n, s), long_ in zip(some, _long(is_long, [s for _, _, s in some])):
+                need = _need(n, percent)
                 short = s[~long_][:need]
+                if len(short) < need and len(s) < n:
+                    continue  # a head that lacks some
                 tokens.append(short)
                 keys.append(np.full(len(short), key, np.int64))
                 held += len(short)
@@ -228,7 +282,7 @@ def _postings(docs: DataFrame, size: int, percent: int, is_long, buckets: int) -
         if held:
             yield out()
 
-    return docs.mapInArrow(frugal(run), "bucket int, tokens binary, keys binary, long boolean")
+    return rows.mapInArrow(frugal(run), "bucket int, tokens binary, keys binary, long boolean")
 
 
 def _pairs_of(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -254,8 +308,32 @@ def _shared(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"token": np.concatenate([tokens[same], more[0]]), "key": np.concatenate([keys[same], more[1]])})
 
 
-def _lists(docs: DataFrame, size: int, percent: int, is_long, buckets: int) -> DataFrame:
-    packed = _postings(docs, size, percent, is_long, buckets)
+def _lists(docs: DataFrame, survey: DataFrame, size: int, percent: int, is_long, buckets: int) -> DataFrame:
+    """(token, key) of lists with two classes or more.
+
+    Heads have what is indexed of nearly all sets.  The others, sets of many long lists, are made
+    again from their texts (and those of a few more documents, which adds nothing new).
+    """
+
+    def heads(batch):
+        key, n, head = (c.to_pylist() for c in batch.columns)
+        found = {k: (k, m, np.frombuffer(h, np.uint64)) for k, m, h in zip(key, n, head)}
+        return list(found.values())
+
+    def lacking(batches):
+        for batch in batches:
+            n, sets = batch.column(1).to_pylist(), [np.frombuffer(h, np.uint64) for h in batch.column(2).to_pylist()]
+            less = [len(s) < m and np.count_nonzero(~x) < _need(m, percent) for m, s, x in zip(n, sets, _long(is_long, sets))]
+            yield batch.select(["doc_id"]).filter(pa.array(less, pa.bool_()))
+
+    def whole(batch):
+        return [(key, len(s), s) for key, s in _distinct_sets(batch.column(1), size).items()]
+
+    known = survey.where("is_doc AND n > 0")
+    packed = _postings(known.select("key", "n", "head"), heads, percent, is_long, buckets)
+    rest = known.select("doc_id", "n", "head").mapInArrow(frugal(lacking), "doc_id bigint").select(F.xxhash64("doc_id").alias("place"))
+    again = split_by_map(docs, F.xxhash64("doc_id"), rest)[1]
+    packed = packed.unionByName(_postings(again, whole, percent, is_long, buckets))
     dealt = packed.repartition(min(buckets, 4 * shuffle_partitions(docs.sparkSession)), "bucket")
     return dealt.groupBy("bucket").applyInPandas(_shared, "token bigint, key bigint")
 
@@ -514,6 +592,11 @@ def _block_pairs(members: DataFrame, known: DataFrame, classes: DataFrame, perce
                 folded[width, to] = own.reshape(-1, width // to, to).sum(axis=1, dtype=np.int16)
             return folded[width, to]
 
+        # folded to the fewest cells first, which leaves few pairs to the finer ones
+        coarse = np.zeros((len(n), LEAST_CELLS), np.int16)
+        for width in np.unique(widths[widths > 0]).tolist():
+            coarse[widths == width] = matrix(width, LEAST_CELLS)
+        row = np.cumsum([widths == w for w in np.unique(widths)], axis=1)[np.searchsorted(np.unique(widths), widths), np.arange(len(n))] - 1 if len(n) else n
         for a in left.itertuples():
             ok = (label != a.label) & (100 * np.minimum(n, a.n) >= percent * np.maximum(n, a.n))
             if itself and not nearest:
@@ -523,16 +606,19 @@ def _block_pairs(members: DataFrame, known: DataFrame, classes: DataFrame, perce
             distance = np.zeros(len(n), np.int64)
             if a.cells is not None:
                 mine = np.frombuffer(a.cells, np.uint8)
-                for width in np.unique(widths[ok]).tolist():
-                    if width:
-                        rows_ = np.flatnonzero(widths == width)
-                        low = min(width, len(mine))
-                        use = np.flatnonzero(ok[rows_])
-                        other = matrix(width, low)[use]
-                        own = mine.reshape(-1, low).sum(axis=0, dtype=np.int16)
-                        apart = np.abs(other - own).sum(axis=1, dtype=np.int64)
-                        distance[rows_[use]] = apart
-                        ok[rows_[use]] = (100 + percent) * apart <= (n[rows_[use]] + a.n) * (100 - percent)
+                use = np.flatnonzero(ok & (widths > 0))
+                own = mine.reshape(-1, LEAST_CELLS).sum(axis=0, dtype=np.int16)
+                apart = np.abs(coarse[use] - own).sum(axis=1, dtype=np.int64)
+                far = (100 + percent) * apart > (n[use] + a.n) * (100 - percent)
+                ok[use[far]] = False
+                use = use[~far]
+                for width in np.unique(widths[use]).tolist():
+                    rows_ = use[widths[use] == width]
+                    low = min(width, len(mine))
+                    own = mine.reshape(-1, low).sum(axis=0, dtype=np.int16)
+                    apart = np.abs(matrix(width, low)[row[rows_]] - own).sum(axis=1, dtype=np.int64)
+                    distance[rows_] = apart
+                    ok[rows_] = (100 + percent) * apart <= (n[rows_] + a.n) * (100 - percent)
             picked = np.flatnonzero(ok & (keys != a.key))
             if nearest and len(picked) > nearest:
                 picked = picked[np.argsort(distance[picked], kind="stable")[:nearest]]
@@ -555,13 +641,14 @@ def _labelled(df: DataFrame, text: str, key: str, size: int = WORDS, percent: in
     spark = prepare(df.sparkSession)
     docs = df.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     tables = Tables(spark)
-    marks = tables.written(_marks(docs, size))
+    survey = tables.written(_survey(docs, size, percent))
+    marks = survey.where("is_doc").select("doc_id", "n", "key", "cells")
     classes = tables.written(
         marks.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("cells").alias("cells"))
     )
     total = classes.agg(F.sum("n")).first()[0] or 0
     buckets = max(shuffle_partitions(spark), int(total * (100 - percent) / 100 * 16 / BUCKET_BYTES) + 1)
-    lists = tables.written(_lists(docs, size, percent, long_lists(docs, size, LONG), buckets))
+    lists = tables.written(_lists(docs, survey, size, percent, long_lists(survey, LONG), buckets))
 
     heads = lists.groupBy("token").agg(F.min("key").alias("a"))
     stars = tables.written(lists.join(heads, "token").where("key != a").select("a", F.col("key").alias("b")).distinct())

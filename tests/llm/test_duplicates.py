@@ -166,6 +166,27 @@ def test_jaccard_join_with_long_lists(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_texts_are_read_once_but_for_sets_of_long_lists(spark, monkeypatch):
+    """Heads give the postings; sets whose heads lack short lists are made again, and no list changes."""
+    from pyspark.sql import functions as F
+
+    rows = [*near_copies(seed=5, families=5, members=25), *((10**7 + i, " ".join(f"u{i}x{j}" for j in range(60))) for i in range(300))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    jaccard_join.prepare(spark)
+    survey = jaccard_join.written(jaccard_join._survey(docs, 5, 80))
+    again = {}
+    real = jaccard_join.split_by_map
+    monkeypatch.setattr(jaccard_join, "split_by_map", lambda *a: again.setdefault("docs", real(*a)))
+    lists = jaccard_join._lists(docs, survey, 5, 80, jaccard_join.long_lists(survey, 2), 4)
+    got = {(r.token, r.key) for r in lists.collect()}
+    assert 0 < again["docs"][1].count() < 200
+    # all sets made from the texts
+    bare = survey.withColumn("head", F.when(F.col("n") < 0, F.col("head")).otherwise(F.lit(b"")))
+    monkeypatch.setattr(jaccard_join, "split_by_map", lambda df, *a: (df.limit(0), df))
+    whole = jaccard_join._lists(docs, bare, 5, 80, jaccard_join.long_lists(survey, 2), 4)
+    assert got == {(r.token, r.key) for r in whole.collect()}
+
+
 def test_jaccard_join_edges(spark, edge_documents):
     rows = jaccard_join.near_duplicates(edge_documents).collect()
     assert len(rows) == 8
