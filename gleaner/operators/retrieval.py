@@ -34,12 +34,14 @@ def bm25_scores(queries: DataFrame, facts: DataFrame) -> DataFrame:
     queries: query_id, query; facts: fact_id, claim.  Query terms count as often as
     they occur.  The postings join is on the term; the corpus statistics are three
     numbers and join by a cross of one row, which is a broadcast of fixed size.
+    Queries are dealt by query_id first: where Spark broadcasts the postings of few facts, a
+    query's pairs are summed and ranked where they are, and are not shuffled.
     """
     terms = facts.select("fact_id", index_terms(F.col("claim")).alias("terms"))
     stats = terms.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("avgdl"))
     # a posting carries its document's length, and its term's document frequency from the asked terms only
     postings = terms.select("fact_id", F.size("terms").alias("dl"), F.explode("terms").alias("term")).groupBy("term", "fact_id", "dl").agg(F.count("*").alias("tf"))
-    asked = queries.select("query_id", F.explode(claim_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
+    asked = queries.repartition("query_id").select("query_id", F.explode(claim_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     asked = asked.join(df, "term")
     rows = asked.join(postings, "term").join(F.broadcast(stats))
@@ -61,8 +63,10 @@ def retrieve_similar(queries: DataFrame, facts: DataFrame, k: int = RETRIEVE, ke
     ``top`` is that top k if a kept index gave it (see search_index).
     """
     top = (bm25_topk(queries, facts.where("indexed"), k) if top is None else top).select("query_id", "fact_id")
-    joined = top.join(facts.where("status = 'active'").select("fact_id", "claim"), "fact_id").join(queries, "query_id")
-    scored = joined.withColumn("jaccard", jaccard(claim_tokens(F.col("query")), claim_tokens(F.col("claim"))))
+    # each text is cut into tokens once, not once a pair
+    known = facts.where("status = 'active'").select("fact_id", claim_tokens(F.col("claim")).alias("_known"))
+    said = queries.select("query_id", claim_tokens(F.col("query")).alias("_said"))
+    scored = top.join(known, "fact_id").join(said, "query_id").withColumn("jaccard", jaccard(F.col("_said"), F.col("_known")))
     best = Window.partitionBy("query_id").orderBy(F.desc("jaccard"), "fact_id")
     ranked = scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= keep)
     return ranked.select("query_id", "fact_id", "place", "jaccard")

@@ -248,7 +248,7 @@ def best_pair(spark, sf_dir):
 
 
 def conflict_edges(spark, sf_dir):
-    pairs = _pairs(spark, sf_dir)
+    pairs = scratch.Scratch(spark).put(_pairs(spark, sf_dir))  # read twice
     return gates.conflict_edges(pairs, gates.best_pairs(pairs, ["query_id"]), ["query_id"])
 
 
