@@ -157,7 +157,9 @@ def pack_pairs(plans: DataFrame, budget: int = BUDGET, put=None, fixed_chars: in
     batch_no, i (candidate) and j (fact) positions; both start anew in each batch.
     """
     most = budget * 4 - fixed_chars
-    pairs = plans.groupBy("project", "ord", "fact_id").agg(F.first("claim_chars").alias("claim_chars"), F.first("fact_chars").alias("fact_chars"))
+    put = put or Scratch(plans.sparkSession).put
+    # read twice, and what gave the plans may have been a search
+    pairs = put(plans.groupBy("project", "ord", "fact_id").agg(F.first("claim_chars").alias("claim_chars"), F.first("fact_chars").alias("fact_chars")))
     # a candidate has few pairs
     listed = F.array_sort(F.collect_list(F.struct("fact_id", F.col("fact_chars").cast("bigint").alias("chars"))))
     units = pairs.groupBy("project", "ord").agg(listed.alias("l"), F.first("claim_chars").alias("claim_chars"))
