@@ -118,3 +118,23 @@ def test_engine_keeps_its_index(spark, tmp_path):
     assert {r.fact_id for r in engine._index().live().collect()} == {2, 3}
     engine.compact()
     assert [r.fact_id for r in engine.search("apples").collect()] == [2] and engine.store.table("index_gone").isEmpty()
+
+
+def test_a_small_index_is_scored_without_blocks(spark, inputs, monkeypatch):
+    """Nothing can be skipped among few facts; facts that have left do not count."""
+    facts, asked = inputs
+    put = Scratch(spark).put
+    few = facts.where("fact_id < 300")
+    index = search_index.build(few, put)
+    index.gone = index.docs.where("fact_id % 7 = 0").select("project", "segment", "fact_id")
+    monkeypatch.setattr(search_index, "candidates", lambda *a: pytest.fail("blocks were read"))
+    got = search_index.topk(asked, index, 10, put)
+    assert ranked(got) == ranked(retrieval.bm25_topk(asked, few.where("fact_id % 7 != 0"), 10))
+
+
+def test_pairs_of_few_facts_are_not_shuffled(spark, inputs):
+    """Queries are dealt once; their pairs are summed and ranked in the same place."""
+    facts, asked = inputs
+    top = retrieval.bm25_topk(asked, facts.where("fact_id < 300").limit(300), 10)
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id" in plan and not any("fact_id" in line.split("hashpartitioning(query_id")[1].split(")")[0] for line in plan.splitlines() if "hashpartitioning(query_id" in line)
