@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from gleaner.functions.text import claim_norm, claim_tokens, fact_confidence, jaccard
 from gleaner.operators import batching, gates, judges, lifecycle, questions, scan
 from gleaner.operators import events as ev
-from gleaner.operators.retrieval import K1, KEEP, RETRIEVE, B, index_terms
+from gleaner.operators.retrieval import K1, KEEP, RETRIEVE, B, best_before, index_terms
 from gleaner.plans.scratch import Scratch
 from gleaner.plans.store import FACTS, LINKS, SOURCES
 
@@ -89,7 +89,30 @@ def _asked_terms(kept: DataFrame) -> DataFrame:
     return rows.groupBy("project", "ord", "term").agg(F.count("*").alias("qf"))
 
 
-def _partners(asking: DataFrame, added: DataFrame, near: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
+#: Blocks that a project's candidates are cut into, and the least and the most places of one.
+BLOCKS, LEAST, MOST = 16, 2048, 65536
+
+
+def _added_with(asked: DataFrame, postings: DataFrame, size: int) -> DataFrame:
+    """(project, ord, term, more): how many facts before each asked term's candidate have the term.
+
+    asked: project, ord, term; postings: project, at, term, each once.  Counted inside blocks of
+    ``size`` places, and by blocks, so that no task sees all that have a common term.
+    """
+    rows = asked.select("project", "term", "ord", F.lit(0).cast("bigint").alias("one")).unionByName(
+        postings.select("project", "term", F.col("at").alias("ord"), F.lit(1).cast("bigint").alias("one"))
+    )
+    key = ["project", "term", "block"]
+    rows = rows.withColumn("block", F.floor(F.col("ord") / size))
+    inside = Window.partitionBy(*key).orderBy("ord").rangeBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("project", "term").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy(*key).agg(F.sum("one").alias("ones"), F.min("one").alias("least"))
+    blocks = blocks.withColumn("before", F.coalesce(F.sum("ones").over(earlier), F.lit(0))).where("least = 0").select(*key, "before")
+    own = rows.withColumn("own", F.coalesce(F.sum("one").over(inside), F.lit(0))).where("one = 0")
+    return own.join(blocks, key).select("project", "ord", "term", (F.col("own") + F.col("before")).alias("more"))
+
+
+def _partners(asking: DataFrame, added: DataFrame, near: tuple[DataFrame, DataFrame, DataFrame], put) -> DataFrame:
     """(project, ord, partners) of candidates that have any: at most KEEP active facts of the RETRIEVE best.
 
     asking: project, ord, claim, and what had been added before it (more_n, more_total).  added:
@@ -98,32 +121,33 @@ def _partners(asking: DataFrame, added: DataFrame, near: tuple[DataFrame, DataFr
     old, frequency, stats = near
     key = ["project", "ord"]
     terms = added.select("project", "at", index_terms(F.col("claim")).alias("terms"))
-    postings = terms.select("project", "at", F.size("terms").cast("bigint").alias("dl"), F.explode("terms").alias("term"))
-    postings = postings.groupBy("project", "at", "dl", "term").agg(F.count("*").alias("tf"))
+    postings = terms.select("project", "at", F.explode(F.array_distinct("terms")).alias("term"))
+    size = min(MOST, max(LEAST, (asking.agg(F.max("ord")).first()[0] or 0) // BLOCKS + 1))
     asked = _asked_terms(asking)
-    new = asked.drop("qf").join(postings, ["project", "term"]).where("at < ord")
-    more = new.groupBy(*key, "term").agg(F.count("*").alias("more"))
     own = F.coalesce("df", F.lit(0)) + F.coalesce("more", F.lit(0))
     n = F.coalesce("n", F.lit(0)) + F.col("more_n")
     weights = (
         asked.join(frequency, [*key, "term"], "left")
-        .join(more, [*key, "term"], "left")
+        .join(_added_with(asked, postings, size), [*key, "term"], "left")
         .join(asking.select(*key, "more_n", "more_total"), key)
         .join(stats, "project", "left")
         .withColumns({"own": own, "all": n, "mean": (F.coalesce("total", F.lit(0)) + F.col("more_total")) / F.greatest(n, F.lit(1))})
         .where("own > 0 AND mean > 0")
         .select(*key, "term", "mean", (F.col("qf") * F.greatest(F.log((F.col("all") - F.col("own") + 0.5) / (F.col("own") + 0.5)), F.lit(1e-6))).alias("weight"))
     )
+    listed = F.array_sort(F.collect_list(F.struct("term", "weight")))
+    asks = put(weights.groupBy(*key).agg(F.first("mean").alias("mean"), listed.alias("l")).select(*key, "mean", F.col("l.term").alias("terms"), F.col("l.weight").alias("weights")))
     known = old.join(asking.select(*key), key, "left_semi").select(*key, "fact_id", "dl", F.explode("tfs").alias("term", "tf"))
-    rows = known.unionByName(new.select(*key, (-1 - F.col("at")).alias("fact_id"), "dl", "term", "tf")).join(weights, [*key, "term"])
+    rows = known.join(asks.select(*key, "mean", F.explode(F.arrays_zip("terms", "weights")).alias("w")).select(*key, "mean", F.col("w.terms").alias("term"), F.col("w.weights").alias("weight")), [*key, "term"])
     part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
-    scores = rows.groupBy(*key, "fact_id").agg(F.sum(part).alias("score"))
+    scores = rows.groupBy(*key, "fact_id").agg(F.sum(part).alias("score")).unionByName(best_before(asks, terms, size))
     best = Window.partitionBy(*key).orderBy(F.desc(F.round("score", 9)), "fact_id")
-    top = scores.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= RETRIEVE).select(*key, "fact_id")
-    # facts of the run are active; their ratios are taken for the few that came so far
-    claims = added.select("project", (-1 - F.col("at")).alias("fact_id"), F.col("claim").alias("known"))
-    fresh = top.where("fact_id < 0").join(claims, ["project", "fact_id"]).join(asking.select(*key, "claim"), key)
-    fresh = fresh.select(*key, "fact_id", jaccard(claim_tokens(F.col("claim")), claim_tokens(F.col("known"))).alias("ratio"))
+    top = put(scores.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= RETRIEVE).select(*key, "fact_id"))
+    # facts of the run are active; their ratios are taken for the few that came so far, each claim cut into tokens once
+    claims = added.select("project", (-1 - F.col("at")).alias("fact_id"), claim_tokens(F.col("claim")).alias("_known"))
+    said = asking.select(*key, claim_tokens(F.col("claim")).alias("_said"))
+    fresh = top.where("fact_id < 0").join(claims, ["project", "fact_id"]).join(said, key)
+    fresh = fresh.select(*key, "fact_id", jaccard(F.col("_said"), F.col("_known")).alias("ratio"))
     stored = top.where("fact_id >= 0").join(old.where("active").select(*key, "fact_id", "ratio"), [*key, "fact_id"])
     place = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("ratio"), "fact_id"))
     chosen = fresh.unionByName(stored.select(*fresh.columns)).withColumn("_p", place).where(F.col("_p") <= KEEP)
@@ -182,7 +206,7 @@ def route(kept: DataFrame, facts: DataFrame, put=None) -> DataFrame:
         asked = state.join(seen, key, "left").join(by_norm, ["project", "norm"], "left").withColumn("some", F.lit(None).cast("boolean"))
         if scored:
             asking = _before(state, put).where("waits").select(*key, "claim", "more_n", "more_total")
-            found = _partners(asking, added.select("project", F.col("ord").alias("at"), "claim"), near)
+            found = _partners(asking, added.select("project", F.col("ord").alias("at"), "claim"), near, put)
             asked = asked.drop("some").join(found.select(*key, F.lit(True).alias("some")), key, "left")
         earlier = lambda c: F.coalesce(F.col(c) < F.col("ord"), F.lit(False))
         out = F.when(F.col("sure") | earlier("norm_added"), False).when(~F.col("looks"), True)
@@ -202,7 +226,7 @@ def route(kept: DataFrame, facts: DataFrame, put=None) -> DataFrame:
         return final.select(*key, way.alias("route"), "duplicate_of", F.array().cast("array<bigint>").alias("partners"))
     final = put(_before(final, put))
     asking = final.where("NOT is_added AND duplicate_of IS NULL").select(*key, "claim", "more_n", "more_total")
-    found = _partners(asking, adds.drop("norm"), near)
+    found = _partners(asking, adds.drop("norm"), near, put)
     way = F.when(F.col("duplicate_of").isNotNull(), "duplicate").when(F.col("is_added"), "add").otherwise("pair")
     none = F.array().cast("array<bigint>")
     return final.join(found, key, "left").select(*key, way.alias("route"), "duplicate_of", F.coalesce("partners", none).alias("partners"))
