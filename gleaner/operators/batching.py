@@ -141,13 +141,23 @@ def pack(items: DataFrame, by: list[str], order: str, chars: str, fixed_chars: i
 
     A batch takes items while its characters (``fixed_chars`` and one more an item for
     the separator included) stay in the budget.  ``put`` writes and rereads intermediate
-    tables (a Scratch of its own without it); so it is in pack_pairs.
+    tables (a Scratch of its own without it); so it is in pack_pairs.  A group that fits
+    into one batch is that batch, and is numbered where it lies; only larger ones are cut into nodes.
     """
     most = budget * 4 - fixed_chars
+    put = put or Scratch(items.sparkSession).put
+    size = (F.col(chars) + 1).cast("bigint")
+    totals = put(_checked(items, size, most).groupBy(*by).agg(F.sum(size).alias("_total")))
+    place = Window.partitionBy(*by).orderBy(order)
+    small = items.join(totals.where(F.col("_total") <= most).drop("_total"), by)
+    small = small.withColumns({"batch_no": F.lit(0), "position": F.row_number().over(place) - 1})
+    large = totals.where(F.col("_total") > most).drop("_total")
+    if large.isEmpty():
+        return small
+    rest = items.join(large, by)
     none = F.lit(None).cast("array<bigint>")
-    units = items.select(*by, order, (F.col(chars) + 1).cast("bigint").alias("size"), none.alias("facts"), none.alias("fact_chars"))
-    placed = _places(_checked(units, F.col("size"), most), by, order, most, put)
-    return items.join(placed, [*by, order])
+    placed = _places(rest.select(*by, order, size.alias("size"), none.alias("facts"), none.alias("fact_chars")), by, order, most, put)
+    return small.unionByName(rest.join(placed, [*by, order]).select(*small.columns))
 
 
 def pack_pairs(plans: DataFrame, budget: int = BUDGET, put=None, fixed_chars: int = 0) -> DataFrame:

@@ -144,6 +144,9 @@ def problem(answer: Column) -> Column:
     return F.when(answer.isNull(), "json").otherwise(out)
 
 
+_READ = "struct<value:double,choice:string,sure:double>"
+
+
 def checked(answered: DataFrame, phase) -> DataFrame:
     """Answers parsed and validated: ``value`` (number), ``choice`` and ``sure``; a bad one is an error."""
     parsed = F.try_parse_json("answer")
@@ -152,15 +155,11 @@ def checked(answered: DataFrame, phase) -> DataFrame:
         problem = F.when(F.col("name") == name, answer_errors(F.col("_a"), kind, criteria)).otherwise(problem)
     rows = answered.withColumn("_a", parsed).withColumn("_p", F.when(F.col("_a").isNull(), "json").otherwise(problem))
     said = F.concat(F.lit("bad answer to "), F.col("question_id"), F.lit(": "), F.col("_p"))
-    fine = F.when(F.col("_p").isNotNull(), F.raise_error(said).cast("boolean")).otherwise(F.lit(True))
     number = F.coalesce(F.try_variant_get("_a", "$.noul", "double"), F.try_variant_get("_a", "$.score", "double"))
-    return (
-        rows.where(fine)
-        .withColumns(
-            {"value": number, "choice": F.try_variant_get("_a", "$.choice", "string"), "sure": F.try_variant_get("_a", "$.confidence", "double")}
-        )
-        .drop("_a", "_p")
-    )
+    read = F.struct(number.alias("value"), F.try_variant_get("_a", "$.choice", "string").alias("choice"), F.try_variant_get("_a", "$.confidence", "double").alias("sure"))
+    # not a filter: pushed below, it would make and parse the answer anew for each of its parts
+    read = F.when(F.col("_p").isNull(), read).otherwise(F.raise_error(said).cast(_READ))
+    return rows.withColumn("_r", read).select(*answered.columns, "_r.value", "_r.choice", "_r.sure")
 
 
 def by_subject(found: DataFrame, by: list[str], phase) -> DataFrame:
