@@ -362,7 +362,7 @@ def payload_json(spark, sf_dir):
 
 def _transcript(dialect: str):
     def query(spark, sf_dir):
-        """Conversations written as files of the dialect, one each, and read back by byte ranges."""
+        """Conversations written as transcripts of the dialect, many a file, and read back by byte ranges."""
         said = _read(spark, sf_dir, "conversations")
         block = lambda kind: F.array(F.struct(F.lit(kind).alias("type"), F.col("text").alias("text")))
         session = F.col("conv_id").cast("string")
@@ -374,11 +374,12 @@ def _transcript(dialect: str):
             record = F.struct(F.lit("response_item").alias("type"), payload.alias("payload"))
         else:
             record = F.struct(F.lit("message").alias("type"), F.struct(F.col("role").alias("role"), block("text").alias("content")).alias("message"))
-        folder = f"{scratch.Scratch(spark).root}/{dialect}"
-        lines = said.select(session.alias("conv"), "turn", F.to_json(record).alias("line"))
-        lines.repartition("conv").sortWithinPartitions("conv", "turn").select("conv", "line").write.partitionBy("conv").text(folder)
-        found = transcripts.PARSERS[dialect](transcripts.parse_lines(transcripts.read_lines(spark, folder)))
-        return found.select(F.regexp_extract("path", "/conv=([^/]*)/", 1).alias("path"), "line_no", "role", "index", "text")
+        keep = scratch.Scratch(spark)
+        folder = f"{keep.root}/{dialect}"
+        transcripts.write_packed(said.select(session.alias("path"), "turn", F.to_json(record).alias("line")), folder, "turn")
+        # parsed once: filters on its parts would parse a line anew for each, and what a dialect takes from a whole file reads all again
+        parsed = keep.put(transcripts.parse_lines(transcripts.read_packed(spark, folder)))
+        return transcripts.PARSERS[dialect](parsed).select("path", "line_no", "role", "index", "text")
 
     return query
 
