@@ -19,10 +19,14 @@ PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 
 
 def oldest_equal(claims: DataFrame, facts: DataFrame, claim: str, keys: list[str]) -> DataFrame:
-    """Lowest fact id whose normalised claim equals the claim's; empty never matches."""
-    known = facts.withColumn("_norm", claim_norm(F.col("claim"))).where("_norm != ''")
+    """Lowest fact id whose normalised claim equals the claim's; empty never matches.
+
+    Rows that have ``_norm`` already (the normalised text, or on both sides its digest) are taken by that.
+    """
+    normed = lambda rows, c: rows if "_norm" in rows.columns else rows.withColumn("_norm", claim_norm(F.col(c)))
+    known = normed(facts, "claim").where("_norm != ''")
     oldest = known.groupBy(*keys, "_norm").agg(F.min("fact_id").alias("fact_id"))
-    return claims.withColumn("_norm", claim_norm(F.col(claim))).join(oldest, [*keys, "_norm"]).drop("_norm")
+    return normed(claims, claim).join(oldest, [*keys, "_norm"]).drop("_norm")
 
 
 def index_terms(text: Column) -> Column:

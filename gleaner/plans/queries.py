@@ -179,12 +179,13 @@ def _document_lines(spark, sf_dir):
 
 
 def _lines_and_anchors(spark, sf_dir):
-    """All lines with a word, and the oldest other line that each equals; the latter are written once, without texts."""
+    """All lines with a word, and the oldest other line that each equals; digests of all and the latter are written once."""
+    put = scratch.Scratch(spark).put
     lines = _document_lines(spark, sf_dir).where(F.col("text").rlike(r"(?U)\S"))
     own = F.shiftleft("doc_id", 32) + F.col("number")
-    facts = lines.select(own.alias("fact_id"), F.col("text").alias("claim"))
-    anchored = audit.anchors(lines, facts, []).where(F.col("fact_id") != own)
-    return lines, scratch.Scratch(spark).put(anchored.select("doc_id", "number", "fact_id"))
+    hashed = put(lines.select("doc_id", "number", tx.claim_hash(F.col("text")).alias("_norm")))
+    anchored = audit.anchors(hashed, hashed.select(own.alias("fact_id"), "_norm"), []).where(F.col("fact_id") != own)
+    return lines, put(anchored.select("doc_id", "number", "fact_id"))
 
 
 def anchor_lines(spark, sf_dir):

@@ -4,7 +4,8 @@ import random
 
 import pytest
 
-from gleaner.operators import batching, judges, questions
+from gleaner.functions import text as tx
+from gleaner.operators import batching, judges, questions, retrieval
 
 
 def frame(spark, groups):
@@ -45,3 +46,10 @@ def test_answers_are_not_parsed_in_filters(spark):
     plan = asked._jdf.queryExecution().optimizedPlan().toString()
     assert not any("Filter" in line and "parse_json" in line for line in plan.splitlines())
     assert asked.where("value IS NOT NULL OR choice IS NOT NULL").count() == 3
+
+
+def test_equal_claims_by_a_digest_that_is_there(spark):
+    rows = spark.createDataFrame([(3, "A  b"), (1, "c"), (2, "a B ")], "fact_id long, claim string")
+    hashed = rows.select("fact_id", tx.claim_hash(rows.claim).alias("_norm"))
+    found = retrieval.oldest_equal(hashed.withColumnRenamed("fact_id", "own"), hashed, "text", [])
+    assert sorted((r.own, r.fact_id) for r in found.collect()) == [(1, 1), (2, 2), (3, 2)]
