@@ -23,7 +23,9 @@ Steps, each a Spark job over partitioned data:
    whose classes are all connected by then needs nothing more, which keeps a large
    group of near copies linear.  Round two takes from the other lists every pair of
    similar size that is still in different components, from short ones by a join, from
-   long ones by blocks of histograms: no link is lost.
+   long ones by blocks of histograms: no link is lost.  A linked pair shares several
+   indexed shingles (``shared_least``), so a pair that has one in common by chance is dropped
+   by its count, before any histogram is moved.
 4. Pairs are tested cheaply first (sizes, histogram distance: both are safe bounds),
    then exactly: cells of one query class and at most ``CELL`` others are searched by
    DivideSkip, merging short lists and binary-probing long ones.
@@ -51,7 +53,7 @@ WORDS, PERCENT = 5, 80
 #: Recurrences within parts of about PART shingles, summed over all, that make a list long.
 LONG, PART = 3, 1_000_000
 #: Lists of up to so many classes are compared pair by pair, longer ones by blocks.
-PAIRED = 32
+PAIRED = 256
 #: Classes in a block, and nearest classes of each that are tried before all.
 BLOCK, NEAREST = 2048, 8
 #: Classes searched against one query at a time.
@@ -129,6 +131,17 @@ def least_overlap(n, percent: int = PERCENT):
     return -(-percent * n // 100)
 
 
+def shared_least(n, m, percent: int = PERCENT):
+    """Indexed shingles that linked sets of n and m have in common, at least (columns).
+
+    They share ``T >= percent * (n + m) / (100 + percent)``.  Of the two, the one whose indexed
+    shingles end first has at most ``n - T`` that the other lacks, and the rest of its ``n - need + 1``
+    come before the other's end too.
+    """
+    both = F.ceil(percent * (n + m) / F.lit(100 + percent))
+    return both - F.ceil(percent * F.greatest(n, m) / F.lit(100)) + 1
+
+
 def _marks(docs: DataFrame, size: int) -> DataFrame:
     def run(batches):
         for batch in batches:
@@ -366,11 +379,14 @@ def divide_skip(query: np.ndarray, sets: list[np.ndarray], percent: int = PERCEN
         merged += np.bincount(run, minlength=len(sets))
     candidates = np.flatnonzero(merged >= least - skip)
     found = merged[candidates]
-    for j in long_.tolist():
-        own = member[ends[j] : ends[j + 1]]
-        if len(own):
-            place = np.minimum(np.searchsorted(own, candidates), len(own) - 1)
-            found = found + (own[place] == candidates)
+    long_ = long_[lengths[long_] > 0]
+    if len(long_) and len(candidates):
+        # many probes at once: the lists are one ascending run of (shingle, member)
+        lists = at * len(sets) + member
+        for part in np.array_split(np.sort(long_), 1 + (len(long_) * len(candidates) >> 18)):
+            probes = part[:, None] * len(sets) + candidates
+            place = np.minimum(np.searchsorted(lists, probes), len(lists) - 1)
+            found = found + (lists[place] == probes).sum(axis=0)
     linked = 100 * found >= percent * (len(query) + sizes[candidates] - found)
     return candidates[linked].tolist()
 
@@ -392,12 +408,17 @@ def _near(percent: int):
     return near
 
 
-def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that link."""
+def _sized(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs of similar sizes, with n_a and n_b."""
     sized = lambda k: classes.select(F.col("key").alias(k), F.col("n").alias(f"n_{k}"))
     alike = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    return pairs.join(sized("a"), "a").join(sized("b"), "b").where(alike)
+
+
+def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b, n_a, n_b) of classes that link, as (a, b)."""
     tables = Tables(docs.sparkSession)
-    pairs = tables.written(pairs.join(sized("a"), "a").join(sized("b"), "b").where(alike))
+    pairs = tables.written(pairs)
     # histograms of the classes that are left
     some = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     cells = split_by_map(classes.select("key", "cells"), F.col("key"), some)[1].join(some, "key", "left_semi")
@@ -537,14 +558,29 @@ def _open_lists(lists: DataFrame, classes: DataFrame, labels: DataFrame, percent
     return known, tables.written(placed.join(mixed.where("low < high"), "token").drop("low", "high"))
 
 
+def _more(members: DataFrame) -> DataFrame:
+    """(key, more): in how many long lists a class is."""
+    return members.where(F.col("length") > PAIRED).groupBy("key").agg(F.count("*").alias("more"))
+
+
 def _short_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of a short list, of similar sizes and different components."""
-    short = members.where(F.col("length") <= PAIRED).drop("length")
-    left = short.select("token", F.explode(F.array("band", F.col("band") + 1)).alias("band"), F.col("key").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"))
-    right = short.select("token", "band", F.col("key").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly"))
+    """Pairs (a, b, n_a, n_b) that short lists have, of similar sizes and different components.
+
+    A pair stays if the short lists it shares, and the long ones it may share, are enough for a link.
+    """
+    short = members.where(F.col("length") <= PAIRED).drop("length").join(_more(members), "key", "left").fillna(0, ["more"])
+    side = lambda k: [F.col(c).alias(c[0] + k) for c in ("key", "n", "label", "more")]
+    left = short.select("token", *side("x"), F.posexplode(F.array("band", F.col("band") + 1)).alias("above", "band"))
+    right = short.select("token", "band", *side("y"))
     alike = (F.col("lx") != F.col("ly")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
-    pairs = left.join(right, ["token", "band"]).where(alike)
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    once = (F.col("above") == 1) | (F.col("kx") < F.col("ky"))
+    pairs = left.join(right, ["token", "band"]).where(alike & once)
+    first = [F.first(c).alias(c) for c in ("nx", "ny", "mx", "my")]
+    pairs = pairs.groupBy("kx", "ky").agg(F.count("*").alias("shared"), *first)
+    pairs = pairs.where(F.col("shared") + F.least("mx", "my") >= shared_least(F.col("nx"), F.col("ny"), percent))
+    turned = F.col("kx") > F.col("ky")
+    n_a, n_b = F.when(turned, F.col("ny")).otherwise(F.col("nx")), F.when(turned, F.col("nx")).otherwise(F.col("ny"))
+    return pairs.select(F.least("kx", "ky").alias("a"), F.greatest("kx", "ky").alias("b"), n_a.alias("n_a"), n_b.alias("n_b"))
 
 
 def _block_pairs(members: DataFrame, known: DataFrame, classes: DataFrame, percent: int, nearest: int = 0) -> DataFrame:
@@ -552,14 +588,15 @@ def _block_pairs(members: DataFrame, known: DataFrame, classes: DataFrame, perce
 
     Classes that long lists connect form a family, cut by size band and hash into
     blocks.  A task has two blocks of histograms and yields only the pairs that pass,
-    so no list is spelled out in pairs.  With ``nearest``, each class is paired with so
-    many of the block's closest ones only.
+    so no list is spelled out in pairs.  Pairs that share a short list too are left to
+    ``_short_pairs``: the others need enough long lists.  With ``nearest``, each class is
+    paired with so many of the block's closest ones only.
     """
     long_ = members.where(F.col("length") > PAIRED).select("token", "key")
     heads = long_.groupBy("token").agg(F.min("key").alias("a"))
     edges = long_.join(heads, "token").where("key != a").select("a", F.col("key").alias("b"))
     family = components(edges).withColumnRenamed("label", "family")
-    rows = family.join(known, "key")
+    rows = family.join(known, "key").join(_more(members), "key")
     sizes = rows.groupBy("family", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     at = lambda shift, name: sizes.select("family", (F.col("band") + shift).alias("band"), F.col("blocks").alias(name))
     rows = rows.join(at(0, "own"), ["family", "band"]).join(at(-1, "above"), ["family", "band"], "left").join(at(1, "below"), ["family", "band"], "left")
@@ -575,13 +612,13 @@ def _block_pairs(members: DataFrame, known: DataFrame, classes: DataFrame, perce
         F.transform(upto(F.col("above")), lambda j: cell(b, i, b + 1, j, True)),
         F.transform(upto(F.col("below")), lambda j: cell(b - 1, j, b, i, False)),
     )
-    placed = rows.select("family", "key", "n", "label", F.explode(places).alias("c")).select("family", "c.*", "key", "n", "label")
+    placed = rows.select("family", "key", "n", "label", "more", F.explode(places).alias("c")).select("family", "c.*", "key", "n", "label", "more")
     filled = placed.join(split_by_map(classes.select("key", "cells"), F.col("key"), family.select("key"))[1], "key")
 
     def near(part: pd.DataFrame) -> pd.DataFrame:
         left, right = part[part["left"]], part[~part["left"]]
         found = []
-        n, label, keys = (right[c].to_numpy(np.int64) for c in ("n", "label", "key"))
+        n, label, keys, more = (right[c].to_numpy(np.int64) for c in ("n", "label", "key", "more"))
         widths = np.array([len(c) if c is not None else 0 for c in right["cells"]], np.int64)
         folded: dict = {}
         itself = part["p"].iat[0] == part["q"].iat[0] and part["i"].iat[0] == part["j"].iat[0]
@@ -598,7 +635,9 @@ def _block_pairs(members: DataFrame, known: DataFrame, classes: DataFrame, perce
             coarse[widths == width] = matrix(width, LEAST_CELLS)
         row = np.cumsum([widths == w for w in np.unique(widths)], axis=1)[np.searchsorted(np.unique(widths), widths), np.arange(len(n))] - 1 if len(n) else n
         for a in left.itertuples():
-            ok = (label != a.label) & (100 * np.minimum(n, a.n) >= percent * np.maximum(n, a.n))
+            larger = np.maximum(n, a.n)
+            ok = (label != a.label) & (100 * np.minimum(n, a.n) >= percent * larger)
+            ok &= np.minimum(more, a.more) > -(-percent * (n + a.n) // (100 + percent)) - least_overlap(larger, percent)
             if itself and not nearest:
                 ok &= keys > a.key  # the other half of the cell has the same pairs
             if not ok.any():
@@ -626,7 +665,9 @@ def _block_pairs(members: DataFrame, known: DataFrame, classes: DataFrame, perce
         give_back()
         return pd.DataFrame({"a": [x for x, _ in found], "b": [y for _, y in found]}, dtype=np.int64)
 
-    return filled.groupBy("family", "p", "i", "q", "j").applyInPandas(near, "a bigint, b bigint")
+    # cells are few bytes and much work, so their partitions are not put together
+    dealt = filled.repartition(shuffle_partitions(members.sparkSession), "family", "p", "i", "q", "j")
+    return dealt.groupBy("family", "p", "i", "q", "j").applyInPandas(near, "a bigint, b bigint")
 
 
 def near_duplicates(
@@ -651,26 +692,33 @@ def _labelled(df: DataFrame, text: str, key: str, size: int = WORDS, percent: in
     lists = tables.written(_lists(docs, survey, size, percent, long_lists(survey, LONG), buckets))
 
     heads = lists.groupBy("token").agg(F.min("key").alias("a"))
-    stars = tables.written(lists.join(heads, "token").where("key != a").select("a", F.col("key").alias("b")).distinct())
+    stars = lists.join(heads, "token").where("key != a").groupBy("a", F.col("key").alias("b")).agg(F.count("*").alias("shared"))
+    # a pair's other lists may have other heads, so half is enough here; round two counts exactly
+    likely = 2 * F.col("shared") >= shared_least(F.col("n_a"), F.col("n_b"), percent)
+    stars = tables.written(_sized(stars, classes, percent).where(likely).drop("shared"))
     first = _links(stars, classes, docs, size, percent)
     labels = components(first)
 
-    tested, links = stars, first.select("a", "b")
+    tested, links = stars.select("a", "b"), first.select("a", "b")
 
-    # nearest neighbours first: they connect large groups of near copies with few pairs
     known, members = _open_lists(lists, classes, labels, percent, tables)
+    pairs = tables.written(_short_pairs(members, percent).join(tested, ["a", "b"], "left_anti"))
     if members.where(F.col("length") > PAIRED).limit(1).count():
+        # nearest neighbours first: they connect large groups of near copies with few pairs
         close = _block_pairs(members, known, classes, percent, NEAREST).distinct().join(tested, ["a", "b"], "left_anti")
         close = tables.written(close)
         tested = tested.unionByName(close)
-        links = links.unionByName(_links(close, classes, docs, size, percent).select("a", "b"))
+        links = links.unionByName(_links(_sized(close, classes, percent), classes, docs, size, percent).select("a", "b"))
         labels = components(links)
-        known, members = _open_lists(lists, classes, labels, percent, tables)
-
-    pairs = _short_pairs(members, percent)
-    if members.where(F.col("length") > PAIRED).limit(1).count():
-        pairs = pairs.unionByName(_block_pairs(members, known, classes, percent))
-    second = _links(pairs.distinct().join(tested, ["a", "b"], "left_anti"), classes, docs, size, percent)
+        long_ = members.where(F.col("length") > PAIRED).select("token", "key")
+        known, members = _open_lists(long_, classes, labels, percent, tables)
+        end = lambda k: known.select(F.col("key").alias(k), F.col("label").alias(f"l_{k}"))
+        pairs = pairs.join(end("a"), "a").join(end("b"), "b").where("l_a != l_b").drop("l_a", "l_b")
+        if members.limit(1).count():
+            pairs = pairs.unionByName(_sized(_block_pairs(members, known, classes, percent), classes, percent))
+        pairs = pairs.distinct().join(tested, ["a", "b"], "left_anti")
+
+    second = _links(pairs, classes, docs, size, percent)
     if second.limit(1).count():
         labels = components(links.unionByName(second.select("a", "b")))
 

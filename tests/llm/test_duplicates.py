@@ -166,6 +166,42 @@ def test_jaccard_join_with_long_lists(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_chance_shingles_make_no_pairs(spark, monkeypatch):
+    """Texts of similar size with one shingle in common are no candidates, however many share it."""
+    monkeypatch.setattr(jaccard_join, "LONG", 10**9)
+    r = random.Random(4)
+    own = lambda n: [f"v{r.randrange(10**9)}" for _ in range(n)]
+    rows = [(i, " ".join(["it", "is", "of", "the", "and", *own(40)])) for i in range(60)]
+    rows += [(100, rows[7][1] + " more")]
+    asked, real = [], jaccard_join._links
+    monkeypatch.setattr(jaccard_join, "_links", lambda pairs, *rest: (asked.append(pairs.count()), real(pairs, *rest))[1])
+    blocks = []
+    monkeypatch.setattr(jaccard_join, "_block_pairs", lambda *rest: blocks.append(rest))
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.near_duplicates(frame).collect()}
+    assert got == brute_components(rows) and got[100][1] == 7
+    assert sum(asked) == 1 and not blocks
+
+
+@pytest.mark.parametrize("percent", [80, 50])
+def test_linked_sets_share_enough_indexed_shingles(spark, percent):
+    """The bound on indexed shingles holds for random pairs, long lists last, and is reached."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(percent)
+    pairs = []
+    for _ in range(3000):
+        n = r.choice((1, 2, 3, 5, 9, 10, 11, 30))
+        a = {r.randrange(10**6) for _ in range(n)}
+        b = {x for x in a if r.random() < 0.93} | {r.randrange(10**6) for _ in range(r.randrange(1 + n // 6))}
+        if b and 100 * len(a & b) >= percent * len(a | b):
+            first = [set(sorted(s, key=lambda x: (x % 3 == 0, x))[: jaccard_join._need(len(s), percent)]) for s in (a, b)]
+            pairs.append((len(a), len(b), len(first[0] & first[1])))
+    least = jaccard_join.shared_least(F.col("n"), F.col("m"), percent)
+    spare = [x.spare for x in spark.createDataFrame(pairs, "n long, m long, shared long").select((F.col("shared") - least).alias("spare")).collect()]
+    assert len(spare) > 1000 and min(spare) == 0
+
+
 def test_texts_are_read_once_but_for_sets_of_long_lists(spark, monkeypatch):
     """Heads give the postings; sets whose heads lack short lists are made again, and no list changes."""
     from pyspark.sql import functions as F
